@@ -129,13 +129,15 @@ def fix_charset(col, source: str = "ISO-8859-1") -> Column:
 
 
 def url_unquote(col) -> Column:
-    """Percent-decode, keep the raw text when decoding fails.
-
-    A literal ``+`` is protected first: Spark's decoder turns it into a space
-    while ``unquote`` keeps it.
+    """Percent-decode like ``unquote``: valid ``%XX`` escapes are decoded,
+    a ``%`` not followed by two hex digits and a ``+`` stay as they are.
+    When the decoded bytes are not valid UTF-8 the raw text is kept.
     """
     c = _c(col)
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    esc = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")
+    dec = F.try_url_decode(esc)
+    bad = dec.isNull() | (F.contains(dec, F.lit("\ufffd")) & ~F.contains(c, F.lit("\ufffd")))
+    return F.when(bad, c).otherwise(dec)
 
 
 def interval_key(var, seq, interval) -> Column:
