@@ -99,11 +99,11 @@ def case_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def form_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Form answers, long: form = conversation, field = 'f' || turn, value = text length."""
+    """Form answers, long: form = conversation, field = 'f' || turn, value = text length mod 100."""
     c = table(spark, d, "conversations")
     return c.select(F.col("conv_id").alias("id_form"),
                     F.concat(F.lit("f"), F.lpad(F.col("turn").cast("string"), 2, "0")).alias("champ_formulaire"),
-                    F.char_length("text").cast("string").alias("lwert"), "role")
+                    F.pmod(F.char_length("text"), F.lit(100)).cast("string").alias("lwert"), "role")
 
 
 def page_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,7 @@ SQL: dict[str, str] = {
     "case_table": """SELECT lpad(CAST(id_nda AS VARCHAR), 10, '0') AS id_nda, CAST(dt_deb_nda AS DATE) AS j1, dt_deces
         FROM order_stays""",
     "form_rows": """SELECT conv_id AS id_form, 'f' || lpad(CAST(turn AS VARCHAR), 2, '0') AS champ_formulaire,
-        CAST(length(text) AS VARCHAR) AS lwert, role FROM conversations""",
+        CAST(length(text) % 100 AS VARCHAR) AS lwert, role FROM conversations""",
     "page_counts": """SELECT strftime(ts, '%m%d') AS month_day, CAST(hour(ts) AS INTEGER) AS hour, event_type AS prj,
         CAST(user_id AS VARCHAR) AS page, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS hits FROM events""",
     "tensor_long": """SELECT vec_id AS "case", label >= 5 AS outcome,

@@ -1 +1,314 @@
-"""Registered queries."""
+"""Registered form-matrix, risk-score, split, evaluation and model queries
+(survey §2.9-§2.10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wavecohort.functions import keys as K
+from wavecohort.operators import evaluate as E
+from wavecohort.operators import models as M
+from wavecohort.operators import score as P
+from wavecohort.plans import bindings as B
+from wavecohort.plans.bindings import with_ctes
+from wavecohort.plans.registry import query
+from wavecohort.session import shared_path
+from wavecohort.sources import tables as S
+
+# Fields kept in the form matrix (prefix 'f0' or listed) and the total-score field.
+FORM_FIELDS = [f"f{i:02d}" for i in range(12)]
+DATE_FIELDS_EXTRA = ["f10"]          # the dates query omits the score field, as the source does
+SCORE_FIELD = "f11"
+WEIGHT_MOD = 13
+ENCODED = ["f01", "f02", "f03"]
+
+
+def _forms(spark, d):
+    """Form answers and form headers (dates from the order of the same key)."""
+    rows = B.form_rows(spark, d)
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id_form"), "o_orderdate", "o_orderstatus")
+    ans = rows.filter(K.form_fields("champ_formulaire", ["f0"], ["f10", SCORE_FIELD])).select(
+        "id_form", F.lpad(F.col("id_form").cast("string"), 10, "0").alias("id_nda"), "champ_formulaire",
+        F.col("lwert").alias("value_field"))
+    heads = (rows.filter(K.form_fields("champ_formulaire", ["f0"], DATE_FIELDS_EXTRA)).select("id_form").distinct()
+             .join(o, "id_form").select("id_form", F.lpad(F.col("id_form").cast("string"), 10, "0").alias("id_nda"),
+                                        (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("dt_ins"),
+                                        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("j1")))
+    return ans, heads
+
+
+def form_matrix_df(spark, d):
+    ans, heads = _forms(spark, d)
+    return P.form_matrix(ans, P.form_dates(heads), FORM_FIELDS)
+
+
+_FORMS_SQL = """answers AS (SELECT id_form, lpad(CAST(id_form AS VARCHAR), 10, '0') AS id_nda, champ_formulaire,
+        lwert AS value_field FROM form_rows WHERE champ_formulaire LIKE 'f0%' OR champ_formulaire IN ('f10', 'f11')),
+    heads AS (SELECT DISTINCT f.id_form, lpad(CAST(f.id_form AS VARCHAR), 10, '0') AS id_nda,
+        o.o_orderdate + INTERVAL 1 DAY AS dt_ins, CASE WHEN o.o_orderstatus = 'F' THEN o.o_orderdate END AS j1
+        FROM (SELECT DISTINCT id_form FROM form_rows WHERE champ_formulaire LIKE 'f0%' OR champ_formulaire = 'f10') f
+        JOIN orders o ON f.id_form = o.o_orderkey),
+    dates AS (SELECT DISTINCT id_form, id_nda, coalesce(j1, dt_ins) AS dt_ins FROM heads),
+    keyed AS (SELECT a.id_nda || strftime(d.dt_ins, '%Y-%m-%d') || '_' || CAST(a.id_form AS VARCHAR) AS id_form_ndaj1,
+        a.champ_formulaire, a.value_field FROM answers a JOIN dates d ON a.id_form = d.id_form),
+    fm AS (SELECT id_form_ndaj1, regexp_extract(id_form_ndaj1, '(.*)_.*', 1) AS id_ndaj1, """ + ", ".join(
+    f"max(CASE WHEN champ_formulaire = '{f}' THEN value_field END) AS {f}" for f in FORM_FIELDS) + """
+        FROM keyed GROUP BY id_form_ndaj1)"""
+
+_LOGIT = "(CAST(-7.7631 AS DOUBLE) + CAST(0.0737 AS DOUBLE) * ({s}) + CAST(0.9971 AS DOUBLE) * ln(({s}) + 1))"
+_PROB = "(exp({l}) / (1 + exp({l})))"
+
+
+def _logit_sql(s):
+    return _LOGIT.format(s=s)
+
+
+def _prob_sql(s):
+    return _PROB.format(l=_logit_sql(s))
+
+
+@query("form_matrix", with_ctes(f"WITH {_FORMS_SQL} SELECT * FROM fm", "form_rows"))
+def q_form_matrix(spark, d):
+    """Answers pivoted to one row per form (duplicates raise)."""
+    return form_matrix_df(spark, d)
+
+
+@query("score_dataset", with_ctes(f"""WITH {_FORMS_SQL}, pm AS (SELECT lpad(CAST(o.o_orderkey AS VARCHAR), 10, '0') AS id_nda,
+    p.dt_deces FROM orders o JOIN patients p ON o.o_custkey = p.ids_pat)
+    SELECT fm.*, pm.dt_deces, {_logit_sql("TRY_CAST(fm.f11 AS DOUBLE)")} AS logit, {_prob_sql("TRY_CAST(fm.f11 AS DOUBLE)")} AS pr
+    FROM fm JOIN pm ON substr(fm.id_ndaj1, 1, 10) = pm.id_nda""", "form_rows", "patients"))
+def q_score_dataset(spark, d):
+    """P4 (+J9): form matrix, patient's death date, SAPS2 logit and probability."""
+    o = B.table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("id_nda"),
+                                           F.col("o_custkey").alias("ids_pat"))
+    return P.score_dataset(form_matrix_df(spark, d), o, B.patients(spark, d), SCORE_FIELD)
+
+
+@query("enrich_death", with_ctes(f"""WITH {_FORMS_SQL}, pm AS (SELECT lpad(CAST(o.o_orderkey AS VARCHAR), 10, '0') AS id_nda,
+    o.o_custkey AS ids_pat, p.dt_deces FROM orders o JOIN patients p ON o.o_custkey = p.ids_pat)
+    SELECT fm.id_form_ndaj1, fm.id_ndaj1, pm.ids_pat, pm.dt_deces FROM fm JOIN pm ON substr(fm.id_ndaj1, 1, 10) = pm.id_nda""",
+                                 "form_rows", "patients"))
+def q_enrich_death(spark, d):
+    """Death date of each form's patient joined onto the form matrix."""
+    from wavecohort.operators import joins as J
+    m = form_matrix_df(spark, d).select("id_form_ndaj1", "id_ndaj1")
+    m = m.withColumn("id_case", F.substring("id_ndaj1", 1, 10))
+    pmap = B.table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("id_case"),
+                                              F.col("o_custkey").alias("ids_pat"))
+    return J.enrich_death(m, pmap, B.patients(spark, d)).drop("id_case")
+
+
+@query("saps2_prob", with_ctes(f"SELECT doc_id, score, {_logit_sql('score')} AS logit, {_prob_sql('score')} AS pr FROM scores",
+                               "scores"))
+def q_saps2_prob(spark, d):
+    """SAPS2 logit and probability of a total score."""
+    s = B.scores(spark, d)
+    return s.select("doc_id", "score", P.saps2_logit("score").alias("logit"), P.saps2_prob("score").alias("pr"))
+
+
+@query("saps2_alarm", with_ctes(f"SELECT doc_id, {_prob_sql('score')} > {_prob_sql('CAST(15 AS DOUBLE)')} AS alarm FROM scores",
+                                "scores"))
+def q_saps2_alarm(spark, d):
+    """Alarm when the probability is strictly above that of score 15."""
+    s = B.scores(spark, d)
+    return s.select("doc_id", (P.saps2_prob("score") > P.saps2_prob(F.lit(15.0))).alias("alarm"))
+
+
+def _answers_weighted(spark, d):
+    r = B.form_rows(spark, d)
+    return r.select("id_form", "champ_formulaire", F.pmod(F.col("lwert").cast("int"), F.lit(WEIGHT_MOD)).alias("weight"))
+
+
+_CATS_SQL = f"""aw AS (SELECT id_form, champ_formulaire, CAST(lwert AS INTEGER) % {WEIGHT_MOD} AS weight FROM form_rows),
+    cats AS (SELECT PARENT, 'w' || saps2weight AS LID, saps2weight,
+             CAST(row_number() OVER (PARTITION BY PARENT ORDER BY CAST(saps2weight AS INTEGER)) AS INTEGER) AS "index"
+             FROM (SELECT DISTINCT champ_formulaire AS PARENT, CAST(weight AS VARCHAR) AS saps2weight FROM aw))"""
+
+
+@query("categories", with_ctes(f"WITH {_CATS_SQL} SELECT * FROM cats ORDER BY PARENT, \"index\"", "form_rows"))
+def q_categories(spark, d):
+    """Reference categories ordered by variable and index."""
+    a = _answers_weighted(spark, d)
+    return P.categories(a, F.col("weight"))
+
+
+@query("label_encode", with_ctes(f"""WITH {_CATS_SQL}, codes AS (SELECT PARENT, saps2weight,
+    CAST(dense_rank() OVER (PARTITION BY PARENT ORDER BY saps2weight) - 1 AS INTEGER) AS code FROM cats)
+    SELECT aw.id_form, aw.champ_formulaire, aw.weight, c.code FROM aw JOIN codes c
+    ON aw.champ_formulaire = c.PARENT AND CAST(aw.weight AS VARCHAR) = c.saps2weight""", "form_rows"))
+def q_label_encode(spark, d):
+    """P5: answer weights encoded in the string order of the reference weights."""
+    a = _answers_weighted(spark, d)
+    return P.label_encode(a, P.categories(a, F.col("weight")), "champ_formulaire", "weight")
+
+
+@query("add_features", with_ctes(f"""WITH {_FORMS_SQL}, x AS (SELECT id_form_ndaj1, TRY_CAST(f01 AS DOUBLE) AS f01,
+    TRY_CAST(f02 AS DOUBLE) AS f02 FROM fm)
+    SELECT id_form_ndaj1, f01, f02, count(*) OVER (PARTITION BY f01) AS C_f01, sqrt(f01) AS SQ_f01, ln(f01 + 1) AS LN_f01,
+    count(*) OVER (PARTITION BY f02) AS C_f02, sqrt(f02) AS SQ_f02, ln(f02 + 1) AS LN_f02 FROM x""", "form_rows"))
+def q_add_features(spark, d):
+    """C_, SQ_ and LN_ features of two answer columns."""
+    m = form_matrix_df(spark, d).select("id_form_ndaj1", F.col("f01").try_cast("double").alias("f01"),
+                                        F.col("f02").try_cast("double").alias("f02"))
+    return P.add_features(m, ["f01", "f02"])
+
+
+# ----------------------------------------------------------------- split and metrics (scores binding)
+
+@query("stratified_split", with_ctes("""SELECT doc_id, score, y, CAST((row_number() OVER (PARTITION BY y
+    ORDER BY md5(CAST(doc_id AS VARCHAR) || '42')) - 1) % 3 AS INTEGER) AS fold FROM scores""", "scores"))
+def q_stratified_split(spark, d):
+    """Stratified 3 folds (md5 order, seed 42); fold 0 validates."""
+    return E.stratified_split(B.scores(spark, d), "y", "doc_id", 3, 42)
+
+
+@query("binary_metrics", with_ctes("""SELECT tp, fp, tn, fn, (tp + tn) * 1.0 / (tp + fp + tn + fn) AS accuracy,
+    CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) END AS recall, CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) END AS precision
+    FROM (SELECT count(CASE WHEN y = 1 AND score > 15 THEN 1 END) AS tp, count(CASE WHEN y = 0 AND score > 15 THEN 1 END) AS fp,
+                 count(CASE WHEN y = 0 AND NOT score > 15 THEN 1 END) AS tn, count(CASE WHEN y = 1 AND NOT score > 15 THEN 1 END) AS fn
+          FROM scores)""", "scores"))
+def q_binary_metrics(spark, d):
+    """M4: confusion counts, accuracy, recall and precision of the score-15 alarm."""
+    s = B.scores(spark, d)
+    return E.binary_metrics(s, "y", P.saps2_prob("score") > P.saps2_prob(F.lit(15.0)))
+
+
+@query("roc_auc", with_ctes("""SELECT sum(pos * (neg_below + neg / 2.0)) / (sum(pos) * 1.0 * sum(neg)) AS auc,
+    CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM (
+    SELECT score, pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+    FROM (SELECT score, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg FROM scores GROUP BY score))""",
+                            "scores"))
+def q_roc_auc(spark, d):
+    """M5: exact ROC AUC of the score against the quality label (ties halved)."""
+    return E.roc_auc(B.scores(spark, d), "y", "score")
+
+
+@query("roc_points", with_ctes("""SELECT score AS threshold,
+    sum(neg) OVER (ORDER BY score DESC) * 1.0 / sum(neg) OVER () AS fpr,
+    sum(pos) OVER (ORDER BY score DESC) * 1.0 / sum(pos) OVER () AS tpr FROM (
+    SELECT score, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg FROM scores GROUP BY score)""",
+                               "scores"))
+def q_roc_points(spark, d):
+    """M6: ROC points for every distinct score threshold."""
+    return E.roc_curve(B.scores(spark, d), "y", "score")
+
+
+# ----------------------------------------------------------------- classifiers (lineitem by order)
+
+FEATURES = ["qty", "price", "disc", "tax", "n_lines"]
+
+
+def clf_frame(spark, d):
+    """Per order: mean quantity, unit price, discount, tax, line count; label =
+    any line returned ('R'); stratified fold column (fold 0 = validation)."""
+    li = B.table(spark, d, "lineitem")
+    f = li.groupBy("l_orderkey").agg(
+        F.avg("l_quantity").alias("qty"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"), F.count(F.lit(1)).cast("double").alias("n_lines"),
+        F.max((F.col("l_returnflag") == "R").cast("double")).alias("label"))
+    return E.stratified_split(f, "label", "l_orderkey", 3, 42)
+
+
+def _split(spark, d):
+    f = clf_frame(spark, d)
+    return f.filter(F.col("fold") != 0), f.filter(F.col("fold") == 0)
+
+
+def _validate(spark, d, kind, **kw):
+    tr, va = _split(spark, d)
+    n = tr.count() if kind == "logreg" else None
+    return M.validate(M.classifier(kind, n_train=n, **kw), tr, va, FEATURES)
+
+
+@query("validate_logreg")
+def q_validate_logreg(spark, d):
+    """M3/M7 (rows only): logistic regression, validation metrics."""
+    return _validate(spark, d, "logreg")
+
+
+@query("validate_tree")
+def q_validate_tree(spark, d):
+    """M8 (rows only): decision tree with leaves of at least 50 rows."""
+    return _validate(spark, d, "tree")
+
+
+@query("validate_forest")
+def q_validate_forest(spark, d):
+    """M8 (rows only): random forest, 200 trees, leaves of at least 50 rows."""
+    return _validate(spark, d, "forest")
+
+
+@query("validate_gbt")
+def q_validate_gbt(spark, d):
+    """M9 (rows only): gradient-boosted trees with early stopping on a held-out part of the training set."""
+    tr, va = _split(spark, d)
+    tr = tr.withColumn("is_val", F.pmod(F.xxhash64("l_orderkey"), F.lit(5)) == 0)
+    est = M.classifier("gbt", validationIndicatorCol="is_val", maxIter=200, stepSize=0.1)
+    return M.validate(est, tr, va, FEATURES)
+
+
+@query("validate_svm")
+def q_validate_svm(spark, d):
+    """M10 (rows only): linear SVM with probabilities calibrated on held-out margins."""
+    tr, va = _split(spark, d)
+    fit_part = tr.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) != 0)
+    cal_part = tr.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) == 0)
+    svm, cal = M.calibrated_svm(fit_part, cal_part, FEATURES, "label")
+    s = M.svm_scores(svm, cal, va)
+    m = E.binary_metrics(s, "label", F.col("proba") > 0.5).select("accuracy", "recall", "precision")
+    return m.withColumn("_k", F.lit(0)).join(E.roc_auc(s, "label", "proba").select("auc").withColumn("_k", F.lit(0)),
+                                             "_k").drop("_k")
+
+
+@query("validate_adaboost")
+def q_validate_adaboost(spark, d):
+    """M11 (rows only): AdaBoost of depth-1 trees (25 rounds here; 200 in the source)."""
+    tr, va = _split(spark, d)
+    models = M.adaboost(tr, FEATURES, "label", rounds=25)
+    s = M.adaboost_score(models, va, FEATURES)
+    m = E.binary_metrics(s, "label", F.col("prediction") > 0.5).select("accuracy", "recall", "precision")
+    return m.withColumn("_k", F.lit(0)).join(E.roc_auc(s, "label", "proba").select("auc").withColumn("_k", F.lit(0)),
+                                             "_k").drop("_k")
+
+
+@query("validate_bagging")
+def q_validate_bagging(spark, d):
+    """M12 (rows only): bagged trees (all features per split, bootstrap)."""
+    return _validate(spark, d, "bagging", numTrees=100)
+
+
+@query("cv_accuracy")
+def q_cv_accuracy(spark, d):
+    """M2 (rows only): stratified 5-fold cross-validated accuracy of the logistic regression."""
+    f = clf_frame(spark, d).drop("fold")
+    f = E.stratified_split(f, "label", "l_orderkey", 5, 42, out="cv")
+    n = f.count()
+    return M.cross_validate(M.classifier("logreg", n_train=n), f, FEATURES, "cv", 5)
+
+
+@query("importances")
+def q_importances(spark, d):
+    """M13 (rows only): forest feature importances, largest first."""
+    tr, _va = _split(spark, d)
+    model = M.fit(M.classifier("forest", numTrees=50), tr, FEATURES)
+    return M.importances(model, FEATURES)
+
+
+@query("random_search")
+def q_random_search(spark, d):
+    """M14/M15 (rows only): sampled GBT parameter maps scored by validation AUC."""
+    tr, va = _split(spark, d)
+    space = {"maxDepth": ("quniform", 2, 6, 1), "stepSize": ("uniform", 0.05, 0.3),
+             "subsamplingRate": ("uniform", 0.5, 1.0), "minInstancesPerNode": ("quniform", 1, 20, 1)}
+    _best, trials = M.random_search(lambda **p: M.classifier("gbt", maxIter=20, **p), space, 4, tr, va, FEATURES)
+    return trials
+
+
+@query("score_saved")
+def q_score_saved(spark, d):
+    """M16 (rows only): save the fitted model, load it back, score the validation fold."""
+    tr, va = _split(spark, d)
+    model = M.fit(M.classifier("logreg", n_train=tr.count()), tr, FEATURES)
+    path = shared_path(spark, f"model_logreg_{abs(hash(d))}")
+    S.save_model(model, path)
+    return M.evaluate_model(S.load_model(path), va)

@@ -11,6 +11,7 @@ from wavecohort.operators import covariance as CV
 from wavecohort.operators import series as W
 from wavecohort.operators import spectral as SP
 from wavecohort.plans import bindings as B
+from wavecohort.plans import stages as ST
 from wavecohort.plans.bindings import with_ctes
 from wavecohort.plans.q_cohort import COHORT_SPAN, _REQ, _REQ_SQL, _S24_SQL, cohort_df, sensors24
 from wavecohort.plans.registry import query
@@ -44,8 +45,8 @@ def _vc(spark):
 def wave_inputs(spark, d):
     """Cases (with window and outcome), their useful measures and the 3-sigma
     limits; the cohort and the windowed measures are planned once and shared."""
-    cohort = cohort_df(spark, d)
-    useful0 = C.useful(sensors24(spark, d, COHORT_SPAN), cohort)
+    cohort = ST.cohort(spark, d)
+    useful0 = ST.useful(spark, d)
     cases = cohort.select(F.concat("id_nda", F.col("j1").cast("string")).alias("id_case"),
                           "dt_min", "dt_max", "dt_deces")
     useful = useful0.select(
