@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _c(c) -> Column:
@@ -20,7 +22,7 @@ def _c(c) -> Column:
 def epoch_us(ts) -> Column:
     """Microseconds since the epoch for TIMESTAMP or TIMESTAMP_NTZ, independent
     of the session time zone for NTZ values."""
-    return F.timestamp_diff("MICROSECOND", EPOCH_NTZ, _c(ts).cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), _c(ts).cast("timestamp_ntz"))
 
 
 def day_start(ts) -> Column:

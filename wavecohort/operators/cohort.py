@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavecohort.functions.keys import active
-from wavecohort.operators.joins import case_data_for, first_window, icu_moves
+from wavecohort.operators.joins import first_window, icu_moves
 
 CASE = ["id_nda", "dt_deb"]
 
@@ -61,7 +61,7 @@ def require_all_vois(voi_stats: DataFrame, vois: list[str], optional=("BT",)) ->
     """Cases with at least one positive measure for every required VOI."""
     req = [v for v in vois if v not in optional]
     return (voi_stats.filter(F.col("voi").isin(req) & (F.col("n_voi") > 0))
-            .groupBy(*CASE).agg(F.count_distinct("voi").alias("_k"))
+            .groupBy(*CASE).agg(F.count(F.lit(1)).alias("_k"))
             .filter(F.col("_k") == len(req)).drop("_k"))
 
 
@@ -70,7 +70,7 @@ def require_min_points(voi_stats: DataFrame, vois: list[str], min_pts: int = 10,
     """Every required VOI has **strictly** more than ``min_pts`` measures."""
     req = [v for v in vois if v not in optional]
     return (voi_stats.filter(F.col("voi").isin(req) & (F.col("n_voi") > min_pts))
-            .groupBy(*CASE).agg(F.count_distinct("voi").alias("_k"))
+            .groupBy(*CASE).agg(F.count(F.lit(1)).alias("_k"))
             .filter(F.col("_k") == len(req)).drop("_k"))
 
 
@@ -125,24 +125,49 @@ def build_cohort(sensors: DataFrame, moves: DataFrame, units: DataFrame, stays:
     s24 = first_window(sensors, icu, span)
     stats = case_code_stats(s24, codes)
     vstats = voi_case_stats(stats, voi_codes)
-    passed = require_min_points(vstats, vois, min_pts, optional)
-    if min_pts < 0:  # C2 with a non-negative minimum already implies C1
-        passed = passed.join(require_all_vois(vstats, vois, optional), CASE, "left_semi")
-    totals = vstats.groupBy(*CASE).agg(*[
-        F.sum(F.when(F.col("voi") == v, F.col("n_voi"))).alias(v) for v in vois])
-    window = voi_window(vstats, vois, optional)
-    # Case keys come from the per-(case, code) aggregate, not from another
-    # scan of the measures: only cases holding coded measures can pass.
-    keys = stats.select(*CASE).distinct()
-    demo = case_data_for(keys, patient_info_for(icu, patients, keys.select("id_nda")),
-                         stays.join(keys.select("id_nda"), "id_nda", "left_semi"))
-    c = filter_age(totals.join(passed, CASE, "left_semi"), demo, age_min)
-    c = filter_stay(c, window, min_stay_h)
+    per_case = case_summary(vstats, vois, min_pts, optional)
+    req = [v for v in vois if v not in optional]
+    passed = per_case.filter((F.col("_n_req") == len(req)) & (F.col("_n_pass") == len(req)))
+    # Demographics are derived per stay from the movement-sized tables and
+    # joined to the passing cases on the stay id: the same rows as restricting
+    # them to stays with measures first (the inner join does that), without
+    # deriving the case keys a second time from the measures.
+    demo = stay_demographics(icu, patients, stays)
+    c = (passed.join(demo.filter(F.col("age") >= age_min), "id_nda", "inner")
+         .filter(F.col("stay_len_s") >= int(min_stay_h * 3600)))
     return c.select(F.lpad(F.col("id_nda").cast("string"), 10, "0").alias("id_nda"),
                     F.col("dt_deb").alias("j1"), *vois, "age", "cd_sex_tr", "dpt", "dt_deces",
                     "dt_min", "dt_max", "stay_len_s")
 
 
+def stay_demographics(icu: DataFrame, patients: DataFrame, stays: DataFrame) -> DataFrame:
+    """J5 per stay: patient demographics, death date kept only inside the stay
+    ``[deb, fin]`` (distinct rows, as the source's DISTINCT)."""
+    p = patient_info_for(icu, patients, icu.select("id_nda")).select(
+        "id_nda", "age", "cd_sex_tr", "dpt", F.col("dt_deces").alias("pat_dt_deces"))
+    n = stays.select("id_nda", "dt_deb_nda", "dt_fin_nda")
+    inside = (F.col("dt_deb_nda") <= F.col("pat_dt_deces")) & (F.col("pat_dt_deces") <= F.col("dt_fin_nda"))
+    return p.join(n, "id_nda").select("id_nda", "age", "pat_dt_deces", "cd_sex_tr", "dpt",
+                                      F.when(inside, F.col("pat_dt_deces")).alias("dt_deces")).distinct()
+
+
+def case_summary(voi_stats: DataFrame, vois: list[str], min_pts: int, optional=("BT",)) -> DataFrame:
+    """C1 + C2 + A6 + A13 in ONE aggregate per case: VOI totals, number of
+    required VOIs present (C1) and above ``min_pts`` (C2, strict), and the
+    common window (latest VOI start, earliest VOI end) with its length.
+    ``voi_stats`` holds one row per (case, voi), so plain counts are
+    distinct counts."""
+    req = [v for v in vois if v not in optional]
+    is_req = F.col("voi").isin(req)
+    w = voi_stats.groupBy(*CASE).agg(
+        *[F.sum(F.when(F.col("voi") == v, F.col("n_voi"))).alias(v) for v in vois],
+        F.count(F.when(is_req & (F.col("n_voi") > 0), F.lit(1))).alias("_n_req"),
+        F.count(F.when(is_req & (F.col("n_voi") > min_pts), F.lit(1))).alias("_n_pass"),
+        F.max(F.when(is_req, F.col("voi_min"))).alias("dt_min"),
+        F.min(F.when(is_req, F.col("voi_max"))).alias("dt_max"))
+    return w.withColumn("stay_len_s", F.timestamp_diff("SECOND", "dt_min", "dt_max"))
+
+
 def useful(sensors24: DataFrame, cases: DataFrame) -> DataFrame:
     """Active, positive measures of the kept cases (semi join on the real
     key columns)."""

@@ -140,9 +140,10 @@ def calibrated_svm(train: DataFrame, calib: DataFrame, features: list[str], labe
     """Linear SVM, probability by a logistic fit on held-out margins
     (Platt scaling).  Returns (svm pipeline, calibrator)."""
     svm = fit(LinearSVC(**kw), train, features, label)
-    m = svm.transform(calib).withColumn("margin", vector_to_array("rawPrediction")[1])
-    cal = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="features"),
-                           LogisticRegression(labelCol=label, featuresCol="features")]).fit(m)
+    m = (svm.transform(calib).withColumn("margin", vector_to_array("rawPrediction")[1])
+         .drop("features", "rawPrediction", "prediction"))
+    cal = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="margin_vec"),
+                           LogisticRegression(labelCol=label, featuresCol="margin_vec")]).fit(m)
     return svm, cal
 
 

@@ -28,8 +28,16 @@ ICU_MAX_REGION = 4                    # units = nations with n_regionkey < 4
 PAGE_DAY = "2024-01-20 13:00:00"      # "now" for the page-count windows
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A given table, resolved once per session (file listing and footer
+    reads happen once, as with a catalog table)."""
+    key = (id(spark), d, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{d}/{name}.parquet")
+    return _TABLES[key]
 
 
 def sensors(spark: SparkSession, d: str) -> DataFrame:
