@@ -33,7 +33,8 @@ def covariance(long: DataFrame, case: str = "case", method: str = "scm", full: b
 
 def mirror(lower: DataFrame, case: str = "case") -> DataFrame:
     """Lower triangle → full symmetric matrix rows."""
-    up = lower.filter(F.col("i") != F.col("j")).select(case, F.col("j").alias("i"), F.col("i").alias("j"), "cov")
+    rest = [c for c in lower.columns if c not in (case, "i", "j")]
+    up = lower.filter(F.col("i") != F.col("j")).select(case, F.col("j").alias("i"), F.col("i").alias("j"), *rest)
     return lower.unionByName(up)
 
 

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream processing (no watermark, stream window, session,
+stateful operator or late-data rule; survey §2.11).  Its page-view report is a
+batch query over hourly partitions (``operators.ranking.top_pages``); nothing
+here adds operators the reference does not have.
+"""
