@@ -22,6 +22,10 @@ def covariance(long: DataFrame, case: str = "case", method: str = "scm", full: b
     ``i >= j`` and a ``covar_pop`` per pair: d(d+1)/2 · n rows per case, d
     being the (small, fixed) number of VOIs.
     """
+    # One hash partitioning by case serves the self join on (case, idx), the
+    # pair aggregate on (case, i, j) and the shrinkage moments: a case holds
+    # d × n rows (the grid), so no case can be hot.
+    long = long.repartition(case)
     a = long.select(case, F.col("voi").alias("i"), "idx", F.col("value").alias("xi"))
     b = long.select(case, F.col("voi").alias("j"), "idx", F.col("value").alias("xj"))
     pairs = a.join(b, [case, "idx"]).filter(F.col("i") >= F.col("j"))

@@ -60,7 +60,7 @@ def _pipeline(spark, d):
     cases, useful, lim = wave_inputs(spark, d)
     wl = W.waves_from_measures(useful, _vc(spark), lim, "id_case", _REQ)
     c = cases.select("id_case", "dt_min", W.grid_step(cases, N_PTS).alias("step"))
-    binned = W.resample(wl.join(c, "id_case"), ["id_case", "voi"], "step", N_PTS, t0="dt_min")
+    binned = W.resample_waves(useful, _vc(spark), lim, c, _REQ, N_PTS)
     return cases, wl, binned
 
 
@@ -370,6 +370,14 @@ def q_mean_cov_riemann(spark, d):
     return CV.mean_cov_riemann(flat, "outcome", TENSOR_D)
 
 
+@query("mean_cov_logeuclid")
+def q_mean_cov_logeuclid(spark, d):
+    """V6 (rows only): log-Euclidean class mean covariance per outcome."""
+    tl = _tl(spark, d)
+    flat = CV.to_flat(_cov(spark, d, "oas"), TENSOR_D).join(tl.select("case", "outcome").distinct(), "case")
+    return CV.mean_cov_riemann(flat, "outcome", TENSOR_D, metric="logeuclid")
+
+
 @query("sample_per_class", _sql("""SELECT "case", outcome FROM (SELECT *, row_number() OVER (PARTITION BY outcome
     ORDER BY md5(CAST("case" AS VARCHAR) || '42')) AS r FROM (SELECT DISTINCT "case", outcome FROM tensor_long)) WHERE r <= 4""", _TL))
 def q_sample_per_class(spark, d):

@@ -16,6 +16,29 @@ def case_table_frame(df: DataFrame, vois: list[str], id_col: str = "id_ndaj1") -
     return df.select(nda.alias("id_nda"), F.to_date(j1).alias("j1"), *vois, *keep)
 
 
+def stored_case_table(df: DataFrame) -> DataFrame:
+    """The case table as the source stores it: every date as text and the
+    death date as the ``'None'`` sentinel when absent."""
+    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) if c == "dt_deces"
+                       else (F.col(c).cast("string").alias(c) if c in ("j1", "dt_min", "dt_max") else F.col(c))
+                       for c in df.columns])
+
+
+def case_features(stored: DataFrame) -> DataFrame:
+    """Load stored cases with typed columns: ``j1`` DATE, window bounds
+    TIMESTAMP, sentinel death dates as NULL."""
+    from wavecohort.functions.keys import to_ts
+    out = stored
+    for c in ("dt_min", "dt_max", "dt_deces"):
+        if c in out.columns:
+            out = out.withColumn(c, to_ts(c))
+    if "j1" in out.columns:
+        out = out.withColumn("j1", F.to_date("j1"))
+    if "id_nda" in out.columns:
+        out = out.withColumn("id_nda", F.col("id_nda").cast("string"))
+    return out
+
+
 def save_case_table(df: DataFrame, path: str, vois: list[str], id_col: str = "id_ndaj1") -> None:
     """Write the case table (overwrite)."""
     case_table_frame(df, vois, id_col).write.mode("overwrite").parquet(path)
