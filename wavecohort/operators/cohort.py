@@ -88,8 +88,9 @@ def patient_info(moves: DataFrame, patients: DataFrame, sensors24: DataFrame) ->
     return patient_info_for(moves, patients, sensors24.select("id_nda"))
 
 
-def patient_info_for(moves: DataFrame, patients: DataFrame, stay_keys: DataFrame) -> DataFrame:
-    m = moves.join(stay_keys.select("id_nda"), "id_nda", "left_semi")
+def patient_info_for(moves: DataFrame, patients: DataFrame, stay_keys: DataFrame | None) -> DataFrame:
+    """A8 restricted to ``stay_keys`` (all movements when ``None``)."""
+    m = moves if stay_keys is None else moves.join(stay_keys.select("id_nda"), "id_nda", "left_semi")
     return (m.join(patients, "ids_pat")
             .groupBy("id_nda", "age", "cd_sex_tr", "dt_deces", "dpt")
             .agg(F.min("dt_deb_mouv_ufr").alias("min_dt_deb_mouv"),
@@ -143,7 +144,7 @@ def build_cohort(sensors: DataFrame, moves: DataFrame, units: DataFrame, stays:
 def stay_demographics(icu: DataFrame, patients: DataFrame, stays: DataFrame) -> DataFrame:
     """J5 per stay: patient demographics, death date kept only inside the stay
     ``[deb, fin]`` (distinct rows, as the source's DISTINCT)."""
-    p = patient_info_for(icu, patients, icu.select("id_nda")).select(
+    p = patient_info_for(icu, patients, None).select(
         "id_nda", "age", "cd_sex_tr", "dpt", F.col("dt_deces").alias("pat_dt_deces"))
     n = stays.select("id_nda", "dt_deb_nda", "dt_fin_nda")
     inside = (F.col("dt_deb_nda") <= F.col("pat_dt_deces")) & (F.col("pat_dt_deces") <= F.col("dt_fin_nda"))
