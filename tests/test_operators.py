@@ -219,7 +219,10 @@ def test_local_minima_strict_inside_range(spark):
     vals = [5, 1, 5, 4, 4, 5, 2, 5, 0, 5]
     rows = [("r", base + dt.timedelta(seconds=i), float(v)) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "rec string, t timestamp_ntz, value double")
-    got = [r.value for r in W.local_minima(df, ["rec"], 0.5, 8.5).orderBy("t").collect()]
+    got = [r.value for r in W.local_minima(df, ["rec"], 0.5, 8.5, on_grid=False).orderBy("t").collect()]
+    grid = spark.createDataFrame([("r", i, base + dt.timedelta(seconds=i), float(v)) for i, v in enumerate(vals)],
+                                 "rec string, idx int, t timestamp_ntz, value double")
+    assert [r.value for r in W.local_minima(grid, ["rec"], 0.5, 8.5).orderBy("t").collect()] == [2.0]
     # range first: t=1 (1.0) and t=8 (0.0) become edges; the 4,4 plateau is not strict
     assert got == [2.0]
 

@@ -121,14 +121,15 @@ def outcome_rate(df: DataFrame, flag) -> DataFrame:
 def group_count(df: DataFrame, col: str, out: str | None = None, few_values: bool = True) -> DataFrame:
     """Number of rows sharing the row's value of ``col``.
 
-    ``few_values=True`` (categorical answers): aggregate then broadcast-join
-    back, the aggregate has one row per category.  Otherwise a window count,
-    which shuffles once on ``col``.
+    ``few_values=True`` (categorical answers): aggregate (partial before the
+    shuffle) then join back; AQE broadcasts the aggregate when its measured
+    size is small, so a hot category never lands in one task.  Otherwise a
+    window count, which puts each value's rows in one task.
     """
     out = out or f"C_{col}"
     if few_values:
         cnt = df.groupBy(col).agg(F.count(F.lit(1)).alias(out))
-        return df.join(F.broadcast(cnt), df[col].eqNullSafe(cnt[col]), "left").drop(cnt[col])
+        return df.join(cnt, df[col].eqNullSafe(cnt[col]), "left").drop(cnt[col])
     return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(col)))
 
 

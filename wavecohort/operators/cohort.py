@@ -177,14 +177,15 @@ def useful(sensors24: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def case_measures(useful_df: DataFrame) -> DataFrame:
-    """Measures of kept cases with their string case id; order only inside
-    each case (``sortWithinPartitions`` after partitioning by case), never a
-    global sort."""
+    """Measures of kept cases with their string case id, ordered by stay,
+    day, type and time.  A global sort (range partitioning on the whole
+    composite key) rather than one partition per case: a case holding a third
+    of all measures is spread over many tasks."""
     id10 = F.lpad(F.col("id_nda").cast("string"), 10, "0")
     return (useful_df.select(id10.alias("id_nda"), F.col("dt_deb").cast("string").alias("j1"),
                              F.concat(id10, F.col("dt_deb").cast("string")).alias("id_case"),
                              "id_measure_type", "dt_insert", "value_numeric")
-            .repartition("id_case").sortWithinPartitions("id_nda", "j1", "id_measure_type", "dt_insert"))
+            .orderBy("id_nda", "j1", "id_measure_type", "dt_insert"))
 
 
 def adjust_outcome(cases: DataFrame, true_deaths: DataFrame) -> DataFrame:

@@ -222,18 +222,27 @@ def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str =
 
 
 def local_minima(series: DataFrame, keys: list[str], lo_s: float, hi_s: float,
-                 time: str = "t", value: str = "value") -> DataFrame:
+                 time: str = "t", value: str = "value", on_grid: bool = True) -> DataFrame:
     """Points strictly below both neighbours, edges excluded, looked for
     only inside the open range ``(t0 + lo_s, t0 + hi_s)`` of each series (the
-    range filter comes first, then the neighbours)."""
-    w = Window.partitionBy(*keys)
-    t0 = F.min(time).over(w)
-    d = series.withColumn("_off", (epoch_us(time) - epoch_us(t0)) / 1e6)
-    d = d.filter((F.col("_off") > lo_s) & (F.col("_off") < hi_s)).drop("_off")
-    o = Window.partitionBy(*keys).orderBy(time)
-    prev, nxt = F.lag(value).over(o), F.lead(value).over(o)
-    return (d.withColumn("_p", prev).withColumn("_n", nxt)
-            .filter((F.col(value) < F.col("_p")) & (F.col(value) < F.col("_n"))).drop("_p", "_n"))
+    range filter comes first, then the neighbours).
+
+    ``t0`` comes from an aggregate joined back.  On a resampled grid
+    (``on_grid``: contiguous ``idx``) the neighbours are found by equi joins on
+    ``idx ± 1``, so a long series is processed by many tasks; otherwise
+    ``lag``/``lead`` over the series order are used.
+    """
+    t0 = series.groupBy(*keys).agg(F.min(time).alias("_t0"))
+    d = series.join(t0, keys).withColumn("_off", (epoch_us(time) - epoch_us("_t0")) / 1e6)
+    d = d.filter((F.col("_off") > lo_s) & (F.col("_off") < hi_s)).drop("_off", "_t0")
+    if on_grid:
+        prev = d.select(*keys, (F.col("idx") + 1).alias("idx"), F.col(value).alias("_p"))
+        nxt = d.select(*keys, (F.col("idx") - 1).alias("idx"), F.col(value).alias("_n"))
+        j = d.join(prev, [*keys, "idx"]).join(nxt, [*keys, "idx"])
+    else:
+        o = Window.partitionBy(*keys).orderBy(time)
+        j = d.withColumn("_p", F.lag(value).over(o)).withColumn("_n", F.lead(value).over(o))
+    return j.filter((F.col(value) < F.col("_p")) & (F.col(value) < F.col("_n"))).drop("_p", "_n")
 
 
 def case_raw(measures: DataFrame, case_col: str, case_value) -> DataFrame:

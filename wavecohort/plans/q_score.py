@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wavecohort.functions import keys as K
@@ -309,6 +311,6 @@ def q_score_saved(spark, d):
     """M16 (rows only): save the fitted model, load it back, score the validation fold."""
     tr, va = _split(spark, d)
     model = M.fit(M.classifier("logreg", n_train=tr.count()), tr, FEATURES)
-    path = shared_path(spark, f"model_logreg_{abs(hash(d))}")
+    path = shared_path(spark, f"model_logreg_{uuid.uuid4().hex}")
     S.save_model(model, path)
     return M.evaluate_model(S.load_model(path), va)
