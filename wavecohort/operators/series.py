@@ -105,8 +105,10 @@ def resample_waves(measures: DataFrame, voi_codes: DataFrame, limits: DataFrame,
          .filter(F.col("value_numeric").between(F.col("min_limit"), F.col("max_limit")))
          .select(case, "voi", "dt_insert", "value_numeric"))
     per_series = m.groupBy(case, "voi").agg(F.min("dt_insert").alias("_first"))
-    full = per_series.groupBy(case).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") == len(vois))
-    kept = per_series.join(full.select(case), case, "left_semi")
+    # number of non-empty VOIs of the case: a window over the case's d series
+    # rows (bounded by the number of VOIs)
+    kept = (per_series.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(case)))
+            .filter(F.col("_k") == len(vois)).drop("_k"))
     if anchor == "case":
         kept = kept.join(kept.groupBy(case).agg(F.min("_first").alias("_cf")), case).withColumn("_first", F.col("_cf"))
     elif anchor != "series":
