@@ -25,6 +25,12 @@ def epoch_us(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", _epoch_ntz(), _c(ts).cast("timestamp_ntz"))
 
 
+def ntz_from_epoch_us(us) -> Column:
+    """TIMESTAMP_NTZ from microseconds since the epoch, independent of the
+    session time zone."""
+    return F.timestamp_add("MICROSECOND", _c(us), _epoch_ntz())
+
+
 def day_start(ts) -> Column:
     """Midnight of the day of ``ts`` as TIMESTAMP_NTZ."""
     return F.to_date(_c(ts)).cast("timestamp_ntz")
@@ -66,9 +72,10 @@ def strip_form(col) -> Column:
 
 
 def effective_date(j1, ins) -> Column:
-    """K4: ``j1`` when present, else the insertion date."""
-    return F.coalesce(F.try_to_timestamp(_c(j1).cast("string")).cast("timestamp_ntz"),
-                      F.try_to_timestamp(_c(ins).cast("string")).cast("timestamp_ntz"))
+    """K4: ``j1`` when present, else the insertion date (wall-clock
+    timestamps, independent of the session time zone)."""
+    return F.coalesce(_c(j1).cast("string").try_cast("timestamp_ntz"),
+                      _c(ins).cast("string").try_cast("timestamp_ntz"))
 
 
 # ------------------------------------------------------------------ K5/K6 flags
@@ -109,8 +116,9 @@ def form_fields(field_col, prefixes: list[str], names: list[str]) -> Column:
 def to_ts(col, fmt: str | None = None) -> Column:
     """String → timestamp; sentinels such as 'None'/'NaT' become NULL."""
     c = _c(col).cast("string")
-    t = F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
-    return t.cast("timestamp_ntz")
+    if fmt:
+        return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    return c.try_cast("timestamp_ntz")
 
 
 def to_float(col) -> Column:

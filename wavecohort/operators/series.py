@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecohort.functions.keys import day_start, epoch_us
+from wavecohort.functions.keys import day_start, epoch_us, ntz_from_epoch_us
 
 US_PER_MIN = 60_000_000
 
@@ -219,7 +219,7 @@ def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str =
         F.lit(0), (F.floor((epoch_us("_t1") - mid) / step) - b0).cast("int"))).alias("idx"))
     g = grid.join(binned, [rec, cue, "idx"], "left")
     g = interpolate(g, [rec, cue], limit=None, fill=False)
-    t = F.timestamp_micros(mid + (b0 + F.col("idx")) * step).cast("timestamp_ntz")
+    t = ntz_from_epoch_us(mid + (b0 + F.col("idx")) * step)
     return g.select(rec, cue, "idx", t.alias("t"), "value")
 
 

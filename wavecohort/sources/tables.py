@@ -54,8 +54,9 @@ def load_ticks(spark: SparkSession, path: str, time_col: str = "timestamp",
 
 
 def with_tick_ts(df: DataFrame, time_col: str, unit: str = "ms") -> DataFrame:
-    fn = {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros}[unit]
-    return df.withColumn("ts", fn(F.col(time_col).cast("long")).cast("timestamp_ntz"))
+    from wavecohort.functions.keys import ntz_from_epoch_us
+    mult = {"s": 1_000_000, "ms": 1_000, "us": 1}[unit]
+    return df.withColumn("ts", ntz_from_epoch_us(F.col(time_col).cast("long") * F.lit(mult)))
 
 
 def sample_period(df: DataFrame, time_col: str) -> DataFrame:
