@@ -251,6 +251,15 @@ def test_spectrum_matches_numpy_fft(spark):
     assert np.isclose(np.sum(np.abs(np.fft.fft(x)) ** 2) / 16, np.sum(x ** 2))
 
 
+def test_fft_long_path_matches_native(spark):
+    rng = np.random.default_rng(5)
+    df = _grid(spark, [float(v) for v in rng.normal(size=40)])
+    a = [(r.k, r.freq, r.magnitude) for r in SP.fft_magnitude(df, ["id_case", "voi"], 0.25, 2.0).orderBy("k").collect()]
+    b = [(r.k, r.freq, r.magnitude) for r in SP.fft_magnitude_long(df, ["id_case", "voi"], 0.25, 2.0).orderBy("k").collect()]
+    assert len(a) == len(b) == 20
+    assert np.allclose(np.array(a), np.array(b))
+
+
 def test_butterworth_gain_and_constant_input():
     b, a = SP.butter_lowpass(5, 5.0, 125.0)
     z = np.exp(1j * 2 * np.pi * 5.0 / 125.0)

@@ -285,6 +285,24 @@ def q_local_minima(spark, d):
     return W.local_minima(cues_df(spark, d), ["user_id", "event_type"], *MINIMA_RANGE_S)
 
 
+@query("fft_cues", f"""WITH {_CUES_SQL}, cz AS (SELECT user_id, event_type, idx, coalesce(value, 0.0) AS v FROM cues),
+    nn AS (SELECT user_id, event_type, count(*) AS n FROM cz GROUP BY 1, 2),
+    kk AS (SELECT nn.user_id, nn.event_type, nn.n, CAST(t.k AS INTEGER) AS k FROM nn, range(nn.n) t(k)),
+    dft AS (SELECT kk.user_id, kk.event_type, kk.k, kk.n,
+            sqrt(pow(sum(c.v * cos(2 * pi() * kk.k * c.idx / kk.n)), 2) + pow(sum(c.v * sin(2 * pi() * kk.k * c.idx / kk.n)), 2)) AS mag
+            FROM kk JOIN cz c ON c.user_id = kk.user_id AND c.event_type = kk.event_type GROUP BY 1, 2, 3, 4),
+    st AS (SELECT user_id, event_type, avg(abs(mag)) AS mu, stddev_pop(abs(mag)) AS sd FROM dft GROUP BY 1, 2)
+    SELECT d.user_id, d.event_type, d.k,
+        CASE WHEN d.n // 2 > 1 THEN d.k * (1.0 / (2.0 * {CUE_PERIOD_MS / 1000.0})) / (d.n // 2 - 1) ELSE 0.0 END AS freq,
+        CASE WHEN d.mag > st.mu + 20.0 * st.sd OR d.mag < st.mu - 20.0 * st.sd THEN 0.0 ELSE d.mag END AS magnitude
+    FROM dft d JOIN st ON d.user_id = st.user_id AND d.event_type = st.event_type WHERE d.k < d.n // 2""")
+def q_fft_cues(spark, d):
+    """W13/W14 on the resampled cues: numpy FFT per series (long-series path),
+    outliers beyond 20 std zeroed, linspace frequency grid."""
+    cues = cues_df(spark, d).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return SP.fft_magnitude_long(cues, ["user_id", "event_type"], CUE_PERIOD_MS / 1000.0, 20.0)
+
+
 @query("lowpass")
 def q_lowpass(spark, d):
     """W16 (rows only): order-5 Butterworth low-pass per resampled cue."""
