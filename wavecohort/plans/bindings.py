@@ -49,17 +49,26 @@ def sensors(spark: SparkSession, d: str) -> DataFrame:
         F.when(k < 5, F.lit("x")).otherwise(F.lit("")).alias("dt_cancel"))
 
 
+def _user_spans(spark: SparkSession, d: str) -> DataFrame:
+    """One aggregate of ``events`` per user shared by movements and stays
+    (the same plan object, so Spark computes its shuffle once)."""
+    key = (id(spark), d, "_user_spans")
+    if key not in _TABLES:
+        _TABLES[key] = table(spark, d, "events").groupBy("user_id").agg(
+            F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("first_signup"),
+            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return _TABLES[key]
+
+
 def moves(spark: SparkSession, d: str) -> DataFrame:
     """Unit movements, one per user: start at the first signup, end at the last event."""
-    ev = table(spark, d, "events")
-    m = ev.groupBy("user_id").agg(
-        F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("dt_deb_mouv_ufr"),
-        F.max("ts").alias("dt_fin_mouv_ufr"))
+    m = _user_spans(spark, d)
     cust = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    return (m.filter(F.col("dt_deb_mouv_ufr").isNotNull())
+    return (m.filter(F.col("first_signup").isNotNull())
             .join(cust, m.user_id == cust.c_custkey, "inner")
             .select(F.col("user_id").alias("id_nda"), F.col("user_id").alias("ids_pat"),
-                    F.col("c_nationkey").alias("ids_ufr"), "dt_deb_mouv_ufr", "dt_fin_mouv_ufr"))
+                    F.col("c_nationkey").alias("ids_ufr"), F.col("first_signup").alias("dt_deb_mouv_ufr"),
+                    F.col("last_ts").alias("dt_fin_mouv_ufr")))
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
@@ -70,9 +79,8 @@ def units(spark: SparkSession, d: str) -> DataFrame:
 
 def stays(spark: SparkSession, d: str) -> DataFrame:
     """Hospital stays per user: first to last event."""
-    return (table(spark, d, "events").groupBy("user_id")
-            .agg(F.min("ts").alias("dt_deb_nda"), F.max("ts").alias("dt_fin_nda"))
-            .withColumnRenamed("user_id", "id_nda"))
+    return _user_spans(spark, d).select(F.col("user_id").alias("id_nda"), F.col("first_ts").alias("dt_deb_nda"),
+                                        F.col("last_ts").alias("dt_fin_nda"))
 
 
 def patients(spark: SparkSession, d: str) -> DataFrame:
