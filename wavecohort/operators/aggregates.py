@@ -87,10 +87,14 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None,
     if lo and hi:
         d = d.filter((x > F.col(lo)) & (x < F.col(hi)) if strict else x.between(F.col(lo), F.col(hi)))
     keys = [by] if by else []
-    d = d.select(*keys, x.alias("_x"), F.lit(0).alias("_g"))
-    # Bounds: one row per group (groups are few: VOIs), broadcast back.
-    bounds = d.groupBy("_g", *keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    d = d.join(F.broadcast(bounds), ["_g", *keys])
+    d = d.select(*keys, x.alias("_x"))
+    if keys:
+        # bounds: one row per group (the groups are few, e.g. VOIs), joined back
+        bounds = d.groupBy(*keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+        d = d.join(F.broadcast(bounds), keys)
+    else:
+        b = d.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+        d = d.withColumn("lo", F.lit(b["lo"])).withColumn("hi", F.lit(b["hi"]))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")

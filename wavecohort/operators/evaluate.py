@@ -78,12 +78,23 @@ def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """M6: one ROC point per distinct score used as threshold (``score >= t``
     is positive), all thresholds kept: ``(threshold, fpr, tpr)``."""
     sc = score_counts(df, y, score)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).withColumn("_k", F.lit(0))
-    r = running_sums(sc, [F.col("score").desc()], ["pos", "neg"]).withColumn("_k", F.lit(0))
-    # one-row totals (P, N) joined on a constant key: a broadcast of one row
-    return r.join(F.broadcast(tot), "_k").select(
-        F.col("score").alias("threshold"), F.try_divide(F.col("cum_neg").cast("double"), F.col("N")).alias("fpr"),
-        F.try_divide(F.col("cum_pos").cast("double"), F.col("P")).alias("tpr"))
+    # the two class totals are fetched as numbers (one aggregate row) and
+    # enter the plan as literals
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    p_tot, n_tot = F.lit(tot["P"]).cast("double"), F.lit(tot["N"]).cast("double")
+    r = running_sums(sc, [F.col("score").desc()], ["pos", "neg"])
+    return r.select(F.col("score").alias("threshold"), F.try_divide(F.col("cum_neg").cast("double"), n_tot).alias("fpr"),
+                    F.try_divide(F.col("cum_pos").cast("double"), p_tot).alias("tpr"))
+
+
+def validation_summary(scored: DataFrame, y: str, pred, proba: str) -> DataFrame:
+    """M3 summary: accuracy, recall, precision and AUC as one row (two
+    aggregates, each one row, combined on the driver)."""
+    m = binary_metrics(scored, y, pred).first()
+    a = roc_auc(scored, y, proba).first()
+    return scored.sparkSession.createDataFrame(
+        [(m["accuracy"], m["recall"], m["precision"], a["auc"])],
+        "accuracy double, recall double, precision double, auc double")
 
 
 def alarm_point(roc: DataFrame, threshold: float) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.operators.evaluate import binary_metrics, roc_auc
+from wavecohort.operators.evaluate import binary_metrics, roc_auc, validation_summary
 
 
 def classifier(kind: str, n_train: int | None = None, seed: int = 42, **kw):
@@ -73,9 +73,7 @@ def validate(est, train: DataFrame, valid: DataFrame, features: list[str], label
 
 def evaluate_model(model, valid: DataFrame, label: str = "label") -> DataFrame:
     s = positive_proba(model.transform(valid)).select(label, "prediction", "proba")
-    m = binary_metrics(s, label, F.col("prediction") > 0.5).select("accuracy", "recall", "precision")
-    a = roc_auc(s, label, "proba").select("auc")
-    return m.withColumn("_k", F.lit(0)).join(a.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return validation_summary(s, label, F.col("prediction") > 0.5, "proba")
 
 
 def cross_validate(est, df: DataFrame, features: list[str], fold_col: str, k: int, label: str = "label") -> DataFrame:

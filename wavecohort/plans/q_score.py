@@ -257,9 +257,7 @@ def q_validate_svm(spark, d):
     cal_part = tr.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) == 0)
     svm, cal = M.calibrated_svm(fit_part, cal_part, FEATURES, "label")
     s = M.svm_scores(svm, cal, va)
-    m = E.binary_metrics(s, "label", F.col("proba") > 0.5).select("accuracy", "recall", "precision")
-    return m.withColumn("_k", F.lit(0)).join(E.roc_auc(s, "label", "proba").select("auc").withColumn("_k", F.lit(0)),
-                                             "_k").drop("_k")
+    return E.validation_summary(s, "label", F.col("proba") > 0.5, "proba")
 
 
 @query("validate_adaboost")
@@ -268,9 +266,7 @@ def q_validate_adaboost(spark, d):
     tr, va = _split(spark, d)
     models = M.adaboost(tr, FEATURES, "label", rounds=25)
     s = M.adaboost_score(models, va, FEATURES)
-    m = E.binary_metrics(s, "label", F.col("prediction") > 0.5).select("accuracy", "recall", "precision")
-    return m.withColumn("_k", F.lit(0)).join(E.roc_auc(s, "label", "proba").select("auc").withColumn("_k", F.lit(0)),
-                                             "_k").drop("_k")
+    return E.validation_summary(s, "label", F.col("prediction") > 0.5, "proba")
 
 
 @query("validate_bagging")
