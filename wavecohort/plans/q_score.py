@@ -101,7 +101,7 @@ def q_enrich_death(spark, d):
 
 
 @query("saps2_prob", with_ctes(f"SELECT doc_id, score, {_logit_sql('score')} AS logit, {_prob_sql('score')} AS pr FROM scores",
-                               "scores"))
+                               "scores"), rounded=('logit', 'pr'))
 def q_saps2_prob(spark, d):
     """SAPS2 logit and probability of a total score."""
     s = B.scores(spark, d)
@@ -147,7 +147,7 @@ def q_label_encode(spark, d):
 @query("add_features", with_ctes(f"""WITH {_FORMS_SQL}, x AS (SELECT id_form_ndaj1, TRY_CAST(f01 AS DOUBLE) AS f01,
     TRY_CAST(f02 AS DOUBLE) AS f02 FROM fm)
     SELECT id_form_ndaj1, f01, f02, count(*) OVER (PARTITION BY f01) AS C_f01, sqrt(f01) AS SQ_f01, ln(f01 + 1) AS LN_f01,
-    count(*) OVER (PARTITION BY f02) AS C_f02, sqrt(f02) AS SQ_f02, ln(f02 + 1) AS LN_f02 FROM x""", "form_rows"))
+    count(*) OVER (PARTITION BY f02) AS C_f02, sqrt(f02) AS SQ_f02, ln(f02 + 1) AS LN_f02 FROM x""", "form_rows"), rounded=('SQ_f01', 'LN_f01', 'SQ_f02', 'LN_f02'))
 def q_add_features(spark, d):
     """C_, SQ_ and LN_ features of two answer columns."""
     m = form_matrix_df(spark, d).select("id_form_ndaj1", F.col("f01").try_cast("double").alias("f01"),

@@ -135,7 +135,13 @@ def q_interpolate_time(spark, d):
     return interpolated_df(spark, d)
 
 
-@query("wave_matrix", _sql(f"""WITH {_W_SQL}, pv AS (SELECT id_case, voi, list(value ORDER BY idx) AS w FROM interp GROUP BY 1, 2)
+# Array outputs carry doubles whose last bits depend on summation order; both
+# sides round the elements to 9 places so that nested values compare exactly.
+ARRAY_DIGITS = 9
+
+
+@query("wave_matrix", _sql(f"""WITH {_W_SQL}, pv AS (SELECT id_case, voi, list(round(value, {ARRAY_DIGITS}) ORDER BY idx) AS w
+    FROM interp GROUP BY 1, 2)
     SELECT pv.id_case, c.dt_deces IS NOT NULL AS outcome, list(pv.w ORDER BY pv.voi) AS waves
     FROM pv JOIN cases c ON pv.id_case = c.id_case GROUP BY pv.id_case, c.dt_deces"""))
 def q_wave_matrix(spark, d):
@@ -143,7 +149,8 @@ def q_wave_matrix(spark, d):
     cases, _wl, binned = _pipeline(spark, d)
     long = interpolated_df(spark, d, binned).join(cases.select("id_case", (F.col("dt_deces").isNotNull()).alias("outcome")),
                                           "id_case")
-    return W.to_matrix(long, "id_case", "voi", ["outcome"])
+    m = W.to_matrix(long, "id_case", "voi", ["outcome"])
+    return m.withColumn("waves", F.transform("waves", lambda w: F.transform(w, lambda x: F.round(x, ARRAY_DIGITS))))
 
 
 @query("interpolate_spline")
@@ -183,21 +190,21 @@ def q_scale_minmax(spark, d):
 @query("scale_standard", _sql("""SELECT "case", outcome, voi, idx,
     (value - mu) / CASE WHEN sd = 0 THEN 1.0 ELSE sd END AS value
     FROM (SELECT *, avg(value) OVER (PARTITION BY "case", idx) AS mu, stddev_pop(value) OVER (PARTITION BY "case", idx) AS sd
-          FROM tensor_long)""", _TL))
+          FROM tensor_long)""", _TL), rounded=('value',))
 def q_scale_standard(spark, d):
     """Standardisation per grid point (population std, zero std → 1)."""
     return W.scale(_tl(spark, d), "case", "standard", "point")
 
 
 @query("wave_slope", _sql("""SELECT "case", voi, regr_slope(value, idx) AS slope, regr_intercept(value, idx) AS intercept
-    FROM tensor_long GROUP BY 1, 2""", _TL))
+    FROM tensor_long GROUP BY 1, 2""", _TL), rounded=('slope', 'intercept'))
 def q_wave_slope(spark, d):
     """Least-squares slope and intercept of each wave."""
     return W.wave_slope(_tl(spark, d), ["case", "voi"])
 
 
 @query("detrend", _sql("""SELECT "case", outcome, voi, idx,
-    value - coalesce(regr_slope(value, idx) OVER (PARTITION BY "case", voi), 0.0) * idx AS value FROM tensor_long""", _TL))
+    value - coalesce(regr_slope(value, idx) OVER (PARTITION BY "case", voi), 0.0) * idx AS value FROM tensor_long""", _TL), rounded=('value',))
 def q_detrend(spark, d):
     """Waves minus slope · idx."""
     return W.detrend(_tl(spark, d), ["case", "voi"])
@@ -212,7 +219,7 @@ _DFT_SQL = """dft AS (SELECT t."case", t.voi, k.k, count(*) OVER (PARTITION BY t
 
 
 @query("spectrum", _sql(f"""WITH {_DFT_SQL} SELECT DISTINCT "case", voi, k, k * (n / 86400.0) / n AS freq,
-    sqrt(re * re + im * im) / n AS amplitude FROM dft WHERE k < n // 2""", _TL))
+    sqrt(re * re + im * im) / n AS amplitude FROM dft WHERE k < n // 2""", _TL), rounded=('freq', 'amplitude'))
 def q_spectrum(spark, d):
     """One-sided amplitude spectrum, Fs = n per day."""
     return SP.spectrum(_tl(spark, d), ["case", "voi"])
@@ -222,7 +229,7 @@ def q_spectrum(spark, d):
     s AS (SELECT "case", voi, avg(abs(mag)) AS mu, stddev_pop(abs(mag)) AS sd FROM m GROUP BY 1, 2)
     SELECT m."case", m.voi, m.k, m.k * CASE WHEN n // 2 > 1 THEN (1.0 / (2.0 * 0.5)) / (n // 2 - 1) ELSE 0.0 END AS freq,
     CASE WHEN abs(mag) > mu + 2.0 * sd OR abs(mag) < mu - 2.0 * sd THEN 0.0 ELSE mag END AS magnitude
-    FROM m JOIN s ON m."case" = s."case" AND m.voi = s.voi WHERE m.k < n // 2""", _TL))
+    FROM m JOIN s ON m."case" = s."case" AND m.voi = s.voi WHERE m.k < n // 2""", _TL), rounded=('freq', 'magnitude'))
 def q_fft_magnitude(spark, d):
     """Unscaled |FFT| on the linspace grid, outliers beyond 2 std zeroed."""
     return SP.fft_magnitude(_tl(spark, d), ["case", "voi"], period=0.5, outlier_k=2.0)
@@ -295,7 +302,7 @@ def q_local_minima(spark, d):
     SELECT d.user_id, d.event_type, d.k,
         CASE WHEN d.n // 2 > 1 THEN d.k * (1.0 / (2.0 * {CUE_PERIOD_MS / 1000.0})) / (d.n // 2 - 1) ELSE 0.0 END AS freq,
         CASE WHEN d.mag > st.mu + 20.0 * st.sd OR d.mag < st.mu - 20.0 * st.sd THEN 0.0 ELSE d.mag END AS magnitude
-    FROM dft d JOIN st ON d.user_id = st.user_id AND d.event_type = st.event_type WHERE d.k < d.n // 2""")
+    FROM dft d JOIN st ON d.user_id = st.user_id AND d.event_type = st.event_type WHERE d.k < d.n // 2""", rounded=('freq', 'magnitude'))
 def q_fft_cues(spark, d):
     """W13/W14 on the resampled cues: numpy FFT per series (long-series path),
     outliers beyond 20 std zeroed, linspace frequency grid."""
@@ -331,7 +338,7 @@ _COV_SQL = """pairs AS (SELECT a."case", a.voi AS i, b.voi AS j, a.value AS xi,
     mm AS (SELECT mom.*, q4.q4, q4.n FROM mom JOIN q4 ON mom."case" = q4."case")"""
 
 
-@query("cov_scm", _sql(f"WITH {_COV_SQL} SELECT * FROM scm", _TL))
+@query("cov_scm", _sql(f"WITH {_COV_SQL} SELECT * FROM scm", _TL), rounded=('cov',))
 def q_cov_scm(spark, d):
     """V1: empirical covariance per case (lower triangle)."""
     return _cov(spark, d, "scm")
@@ -341,7 +348,7 @@ def q_cov_scm(spark, d):
     CASE WHEN (n + 1.0) * (fro2 - tr * tr / d) = 0 THEN 1.0
          ELSE least(1.0, (fro2 + tr * tr) / ((n + 1.0) * (fro2 - tr * tr / d))) END AS shrinkage FROM mm)
     SELECT s."case", s.i, s.j, CASE WHEN s.i = s.j THEN (1.0 - r.shrinkage) * s.cov + r.shrinkage * r.m
-        ELSE (1.0 - r.shrinkage) * s.cov END AS cov, r.shrinkage FROM scm s JOIN r ON s."case" = r."case\"""", _TL))
+        ELSE (1.0 - r.shrinkage) * s.cov END AS cov, r.shrinkage FROM scm s JOIN r ON s."case" = r."case\"""", _TL), rounded=('cov', 'shrinkage'))
 def q_cov_oas(spark, d):
     """V3: oracle approximating shrinkage covariance per case."""
     return _cov(spark, d, "oas")
@@ -352,7 +359,7 @@ def q_cov_oas(spark, d):
     (fro2 - 2.0 * (tr / d) * tr + d * (tr / d) * (tr / d)) / d AS delta FROM mm),
     r AS (SELECT "case", m, CASE WHEN beta = 0 THEN 0.0 ELSE beta / delta END AS shrinkage FROM r0)
     SELECT s."case", s.i, s.j, CASE WHEN s.i = s.j THEN (1.0 - r.shrinkage) * s.cov + r.shrinkage * r.m
-        ELSE (1.0 - r.shrinkage) * s.cov END AS cov, r.shrinkage FROM scm s JOIN r ON s."case" = r."case\"""", _TL))
+        ELSE (1.0 - r.shrinkage) * s.cov END AS cov, r.shrinkage FROM scm s JOIN r ON s."case" = r."case\"""", _TL), rounded=('cov', 'shrinkage'))
 def q_cov_lwf(spark, d):
     """V2: Ledoit-Wolf shrinkage covariance per case."""
     return _cov(spark, d, "lwf")
@@ -360,20 +367,22 @@ def q_cov_lwf(spark, d):
 
 @query("cov_diag", _sql(f"""WITH {_COV_SQL} SELECT "case", """ + ", ".join(
     f"max(CASE WHEN i = j AND i = {k} THEN cov END) AS var_{k}" for k in range(TENSOR_D))
-    + " FROM scm WHERE i = j GROUP BY 1", _TL))
+    + " FROM scm WHERE i = j GROUP BY 1", _TL), rounded=('var_0', 'var_1', 'var_2', 'var_3'))
 def q_cov_diag(spark, d):
     """V4: variances only, one column per VOI."""
     return CV.cov_diag(_cov(spark, d, "scm"), TENSOR_D)
 
 
-@query("cov_vech", _sql(f"""WITH {_COV_SQL} SELECT "case", list(cov ORDER BY j, i) AS vech FROM scm GROUP BY 1""", _TL))
+@query("cov_vech", _sql(f"""WITH {_COV_SQL} SELECT "case", list(round(cov, {ARRAY_DIGITS}) ORDER BY j, i) AS vech
+    FROM scm GROUP BY 1""", _TL))
 def q_cov_vech(spark, d):
     """V5: half-vectorised lower triangle, column by column."""
-    return CV.cov_vech(_cov(spark, d, "scm"))
+    v = CV.cov_vech(_cov(spark, d, "scm"))
+    return v.withColumn("vech", F.transform("vech", lambda x: F.round(x, ARRAY_DIGITS)))
 
 
 @query("mean_cov_euclid", _sql(f"""WITH {_COV_SQL}, oc AS (SELECT DISTINCT "case", outcome FROM tensor_long)
-    SELECT oc.outcome, s.i, s.j, avg(s.cov) AS mean_cov FROM scm s JOIN oc ON s."case" = oc."case" GROUP BY 1, 2, 3""", _TL))
+    SELECT oc.outcome, s.i, s.j, avg(s.cov) AS mean_cov FROM scm s JOIN oc ON s."case" = oc."case" GROUP BY 1, 2, 3""", _TL), rounded=('mean_cov',))
 def q_mean_cov_euclid(spark, d):
     """V6 (euclid): class mean covariance per outcome."""
     cases = _tl(spark, d).select("case", "outcome").distinct()
