@@ -402,3 +402,29 @@ def test_running_sums_across_partitions(spark):
     df = spark.createDataFrame([(i, i % 2, 1) for i in range(1000)], "k long, g int, one int")
     r = E.running_sums(df, [F.col("k")], ["one"], ["g"], n_parts=7).collect()
     assert all(x.cum_one == x.k // 2 + 1 for x in r)
+
+
+def test_fix_charset_reads_bytes_as_latin1(spark):
+    df = spark.createDataFrame([("é",), ("abc",)], "t string")
+    got = [r[0] for r in df.select(K.fix_charset(F.encode("t", "UTF-8"), "ISO-8859-1")).collect()]
+    assert got == ["é".encode("utf-8").decode("latin-1"), "abc"]
+
+
+def test_split_blocks_stable_and_in_range(spark):
+    df = spark.range(500).withColumn("k", F.col("id").cast("string"))
+    a = {r.k: r.block for r in T.split_blocks(df, "k", 4, 42).collect()}
+    b = {r.k: r.block for r in T.split_blocks(df.repartition(7), "k", 4, 42).collect()}
+    assert a == b and set(a.values()) == {0, 1, 2, 3}
+
+
+def test_window_bounds_clamp(spark):
+    df = spark.createDataFrame([(ts("2011-02-03 10:00:00"), ts("2011-02-01 00:00:00"), ts("2011-03-01 00:00:00"))],
+                               "day timestamp_ntz, lo timestamp_ntz, hi timestamp_ntz")
+    r = df.select(*T.window_bounds(F.col("day"), F.col("lo"), F.col("hi"), 30)).first()
+    assert (r.today_md, r.yesterday_md, r.month_ago_md, r.hour) == ("0203", "0202", "0201", 10)
+
+
+def test_weights_matrix_keeps_nulls(spark):
+    df = spark.createDataFrame([("a", "H01", 1.0), ("b", "H02", 2.0)], "variable string, interval string, weight double")
+    m = {r.variable: (r.H01, r.H02) for r in T.weights_matrix(df, "variable", "interval", "weight", ["H01", "H02"]).collect()}
+    assert m == {"a": (1.0, None), "b": (None, 2.0)}
