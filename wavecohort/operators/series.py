@@ -248,5 +248,5 @@ def local_minima(series: DataFrame, keys: list[str], lo_s: float, hi_s: float,
 
 
 def case_raw(measures: DataFrame, case_col: str, case_value) -> DataFrame:
-    """The measures of one case (drill-down), ordered by time."""
+    """The measures of one case (single-case view), ordered by time."""
     return measures.filter(F.col(case_col) == F.lit(case_value)).orderBy("id_measure_type", "dt_insert")

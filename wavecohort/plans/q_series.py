@@ -163,7 +163,7 @@ def q_interpolate_spline(spark, d):
 @query("case_raw", _sql(f"""WITH {_W_SQL}, top AS (SELECT id_case FROM useful GROUP BY id_case
     ORDER BY count(*) DESC, id_case LIMIT 1) SELECT u.* FROM useful u JOIN top ON u.id_case = top.id_case"""))
 def q_case_raw(spark, d):
-    """Drill-down on one case (the one with the most measures)."""
+    """Single-case view (the case with the most measures)."""
     _c, useful, _l = wave_inputs(spark, d)
     top = (useful.groupBy("id_case").agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.desc("n"), "id_case").limit(1).select("id_case"))
