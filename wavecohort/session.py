@@ -22,6 +22,26 @@ _DEFAULTS = {
 }
 
 
+def cluster_conf(executors: int, cores_per_executor: int, target_partition_mb: int = 128) -> dict:
+    """Settings for a large cluster run (e.g. 1000 executors over ~100 TB).
+
+    Scan splits of 256 MB, AQE starting from ~3 shuffle partitions per core
+    and coalescing toward ``target_partition_mb``-sized partitions, so a
+    shuffle partition fits in executor memory and spills rarely; skewed
+    partitions above 5× the median (and 256 MB) are split.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.shuffle.partitions": str(3 * cores),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(3 * cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+    }
+
+
 def get_spark(master: str | None = None, app: str = "wavecohort",
               shuffle_partitions: int | None = None, conf: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.
