@@ -61,6 +61,7 @@ def get_spark(master: str | None = None, app: str = "wavecohort",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -78,11 +79,41 @@ RUNTIME_CONF = {
 
 def apply_runtime_conf(spark: SparkSession) -> None:
     """Set the engine's runtime SQL settings on an existing session (e.g. one
-    created by a job driver) and make sure a checkpoint folder is known."""
+    created by a job driver), make sure a checkpoint folder is known and that
+    the Python workers can import this package."""
     for k, v in RUNTIME_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute the package to the executors' Python workers once per
+    application (``addPyFile`` of a zip written under the shared checkpoint
+    folder), so pandas UDFs and ``applyInPandas`` functions that call package
+    helpers resolve wherever the workers run."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    import wavecohort
+    pkg = os.path.dirname(os.path.abspath(wavecohort.__file__))
+    out = os.path.join(ensure_checkpoint_dir(spark), f"pyfiles-{app}")
+    os.makedirs(out, exist_ok=True)
+    zpath = os.path.join(out, "wavecohort.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
