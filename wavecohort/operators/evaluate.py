@@ -25,7 +25,10 @@ def running_sums(df: DataFrame, order: list[Column], sums: list[str], groups: li
     for c in sums:
         s = s.withColumn(f"_l_{c}", F.sum(c).over(w))
     tot = s.groupBy("_pid", *groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    wo = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # offsets over the per-partition totals: (partitions × groups) rows, so a
+    # single window partition is bounded by the partition count
+    wo = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_pid") \
+        .rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *groups, *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in sums])
     out = s.join(F.broadcast(offs), ["_pid", *groups])
     for c in sums:

@@ -93,9 +93,9 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Distribute the package to the executors' Python workers once per
-    application (``addPyFile`` of a zip written under the shared checkpoint
-    folder), so pandas UDFs and ``applyInPandas`` functions that call package
-    helpers resolve wherever the workers run."""
+    application (``addPyFile`` of a zip of its sources; the driver's file
+    server hands it to every executor), so pandas UDFs and ``applyInPandas``
+    functions that call package helpers resolve wherever the workers run."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
@@ -103,9 +103,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
     import wavecohort
     pkg = os.path.dirname(os.path.abspath(wavecohort.__file__))
-    out = os.path.join(ensure_checkpoint_dir(spark), f"pyfiles-{app}")
-    os.makedirs(out, exist_ok=True)
-    zpath = os.path.join(out, "wavecohort.zip")
+    zpath = os.path.join(tempfile.mkdtemp(prefix="wavecohort-pyfiles-"), "wavecohort.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _dirs, files in os.walk(pkg):
             for f in files:
@@ -120,14 +118,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
     On a cluster this points at shared storage and is only read.  When the
-    setting is absent (local tests) a fresh scratch folder is created.
+    setting is absent (local tests) a fresh scratch folder is used as the
+    context's checkpoint directory.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="wavecohort-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        return d
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = tempfile.mkdtemp(prefix="wavecohort-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
