@@ -14,24 +14,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 
-def covariance(long: DataFrame, case: str = "case", method: str = "scm", full: bool = False) -> DataFrame:
+def covariance(long: DataFrame, case: str = "case", method: str = "scm", full: bool = False,
+               vois: list | None = None) -> DataFrame:
     """V1-V3: per-case covariance, ``scm`` (empirical), ``lwf`` (Ledoit-Wolf)
     or ``oas`` (oracle approximating shrinkage).
 
-    The empirical part is a self join on ``(case, idx)`` restricted to
-    ``i >= j`` and a ``covar_pop`` per pair: d(d+1)/2 · n rows per case, d
-    being the (small, fixed) number of VOIs.
+    Each grid point of a case becomes one row with a column per VOI (explicit
+    value list), then one aggregate per case computes every ``covar_pop``
+    pair, the VOI means and the point count: no self join, no pairs of rows.
+    One hash partitioning by case serves both aggregates and the shrinkage
+    moments; a case holds d × n rows (the grid), so no case can be hot.
+    ``vois`` lists the VOI values (read from the data when omitted: d values).
     """
-    # One hash partitioning by case serves the self join on (case, idx), the
-    # pair aggregate on (case, i, j) and the shrinkage moments: a case holds
-    # d × n rows (the grid), so no case can be hot.
-    long = long.repartition(case)
-    a = long.select(case, F.col("voi").alias("i"), "idx", F.col("value").alias("xi"))
-    b = long.select(case, F.col("voi").alias("j"), "idx", F.col("value").alias("xj"))
-    pairs = a.join(b, [case, "idx"]).filter(F.col("i") >= F.col("j"))
-    s = pairs.groupBy(case, "i", "j").agg(F.covar_pop("xi", "xj").alias("cov"))
+    if vois is None:
+        vois = sorted(r[0] for r in long.select("voi").distinct().collect())
+    d = len(vois)
+    xs = [f"_x{k}" for k in range(d)]
+    wide = (long.repartition(case).groupBy(case, "idx")
+            .agg(*[F.max(F.when(F.col("voi") == F.lit(v), F.col("value"))).alias(x) for v, x in zip(vois, xs)]))
+    pairs = [(a, b) for a in range(d) for b in range(d) if a >= b]
+    st = wide.groupBy(case).agg(*[F.covar_pop(xs[a], xs[b]).alias(f"_c{a}_{b}") for a, b in pairs],
+                                *[F.avg(x).alias(f"_m{k}") for k, x in enumerate(xs)],
+                                F.count(F.lit(1)).alias("_n"))
+    cells = F.array(*[F.struct(F.lit(vois[a]).alias("i"), F.lit(vois[b]).alias("j"), F.col(f"_c{a}_{b}").alias("cov"))
+                      for a, b in pairs])
+    s = st.select(case, F.explode(cells).alias("_p")).select(case, "_p.i", "_p.j", "_p.cov")
     if method != "scm":
-        s = _shrink(long, s, case, method)
+        s = _shrink(wide, st, s, case, d, pairs, method)
     return mirror(s, case) if full else s
 
 
@@ -42,30 +51,26 @@ def mirror(lower: DataFrame, case: str = "case") -> DataFrame:
     return lower.unionByName(up)
 
 
-def _case_moments(long: DataFrame, s: DataFrame, case: str) -> DataFrame:
-    """Per case: d, n, tr S, ‖S‖²_F and Σ_k ‖x_k‖⁴ (centred points)."""
-    off = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.lit(2.0))
-    m1 = s.groupBy(case).agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("cov"))).alias("tr"),
-                             F.sum(off * F.col("cov") * F.col("cov")).alias("fro2"),
-                             F.sum(F.when(F.col("i") == F.col("j"), F.lit(1))).alias("d"))
-    means = long.groupBy(case, "voi").agg(F.avg("value").alias("_mu"))
-    sq = (long.join(means, [case, "voi"]).groupBy(case, "idx")
-          .agg(F.sum((F.col("value") - F.col("_mu")) ** 2).alias("_q")))
-    m2 = sq.groupBy(case).agg(F.sum(F.col("_q") * F.col("_q")).alias("q4"), F.count(F.lit(1)).alias("n"))
-    return m1.join(m2, case)
-
-
-def _shrink(long: DataFrame, s: DataFrame, case: str, method: str) -> DataFrame:
-    m = _case_moments(long, s, case)
-    d, n, tr, fro2 = F.col("d").cast("double"), F.col("n").cast("double"), F.col("tr"), F.col("fro2")
-    mu = tr / d
+def _shrink(wide: DataFrame, st: DataFrame, s: DataFrame, case: str, d: int, pairs, method: str) -> DataFrame:
+    """Shrinkage toward the scaled identity from per-case moments:
+    tr S, ‖S‖²_F and Σ_k ‖x_k − m‖⁴ (centred grid points)."""
+    tr = sum((F.col(f"_c{a}_{a}") for a in range(d)), F.lit(0.0))
+    fro2 = sum(((F.lit(1.0) if a == b else F.lit(2.0)) * F.col(f"_c{a}_{b}") * F.col(f"_c{a}_{b}") for a, b in pairs),
+               F.lit(0.0))
+    m = st.select(case, tr.alias("tr"), fro2.alias("fro2"), F.col("_n").cast("double").alias("n"),
+                  *[F.col(f"_m{k}") for k in range(d)])
+    q = sum(((F.col(f"_x{k}") - F.col(f"_m{k}")) ** 2 for k in range(d)), F.lit(0.0))
+    q4 = wide.join(m.select(case, *[f"_m{k}" for k in range(d)]), case).groupBy(case).agg(F.sum(q * q).alias("q4"))
+    m = m.join(q4, case)
+    dd, n, tr, fro2 = F.lit(float(d)), F.col("n"), F.col("tr"), F.col("fro2")
+    mu = tr / dd
     if method == "oas":
         num = fro2 + tr * tr
-        den = (n + 1.0) * (fro2 - tr * tr / d)
+        den = (n + 1.0) * (fro2 - tr * tr / dd)
         rho = F.when(den == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), num / den))
     elif method == "lwf":
-        beta = (F.col("q4") / n - fro2) / (d * n)
-        delta = (fro2 - 2.0 * mu * tr + d * mu * mu) / d
+        beta = (F.col("q4") / n - fro2) / (dd * n)
+        delta = (fro2 - 2.0 * mu * tr + dd * mu * mu) / dd
         beta = F.least(beta, delta)
         rho = F.when(beta == 0, F.lit(0.0)).otherwise(beta / delta)
     else:

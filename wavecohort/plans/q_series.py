@@ -322,7 +322,7 @@ def q_lowpass(spark, d):
 # ----------------------------------------------------------------- covariance (tensor binding)
 
 def _cov(spark, d, method):
-    return CV.covariance(_tl(spark, d), "case", method)
+    return CV.covariance(_tl(spark, d), "case", method, vois=list(range(TENSOR_D)))
 
 
 _COV_SQL = """pairs AS (SELECT a."case", a.voi AS i, b.voi AS j, a.value AS xi, b.value AS xj FROM tensor_long a
