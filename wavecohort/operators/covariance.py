@@ -29,16 +29,17 @@ def covariance(long: DataFrame, case: str = "case", method: str = "scm", full: b
     if vois is None:
         vois = sorted(r[0] for r in long.select("voi").distinct().collect())
     d = len(vois)
-    xs = [f"_x{k}" for k in range(d)]
+    # Expressions are written as SQL text: one parse per expression instead of
+    # one JVM call per operator (the plans stay identical).
+    lit = [repr(v) if isinstance(v, str) else str(v) for v in vois]
     wide = (long.repartition(case).groupBy(case, "idx")
-            .agg(*[F.max(F.when(F.col("voi") == F.lit(v), F.col("value"))).alias(x) for v, x in zip(vois, xs)]))
+            .agg(*[F.expr(f"max(CASE WHEN voi = {lv} THEN value END)").alias(f"_x{k}") for k, lv in enumerate(lit)]))
     pairs = [(a, b) for a in range(d) for b in range(d) if a >= b]
-    st = wide.groupBy(case).agg(*[F.covar_pop(xs[a], xs[b]).alias(f"_c{a}_{b}") for a, b in pairs],
-                                *[F.avg(x).alias(f"_m{k}") for k, x in enumerate(xs)],
-                                F.count(F.lit(1)).alias("_n"))
-    cells = F.array(*[F.struct(F.lit(vois[a]).alias("i"), F.lit(vois[b]).alias("j"), F.col(f"_c{a}_{b}").alias("cov"))
-                      for a, b in pairs])
-    s = st.select(case, F.explode(cells).alias("_p")).select(case, "_p.i", "_p.j", "_p.cov")
+    st = wide.groupBy(case).agg(*[F.expr(f"covar_pop(_x{a}, _x{b})").alias(f"_c{a}_{b}") for a, b in pairs],
+                                *[F.expr(f"avg(_x{k})").alias(f"_m{k}") for k in range(d)],
+                                F.expr("count(1)").alias("_n"))
+    cells = "array(" + ", ".join(f"named_struct('i', {lit[a]}, 'j', {lit[b]}, 'cov', _c{a}_{b})" for a, b in pairs) + ")"
+    s = st.select(case, F.explode(F.expr(cells)).alias("_p")).select(case, "_p.i", "_p.j", "_p.cov")
     if method != "scm":
         s = _shrink(wide, st, s, case, d, pairs, method)
     return mirror(s, case) if full else s
@@ -54,31 +55,27 @@ def mirror(lower: DataFrame, case: str = "case") -> DataFrame:
 def _shrink(wide: DataFrame, st: DataFrame, s: DataFrame, case: str, d: int, pairs, method: str) -> DataFrame:
     """Shrinkage toward the scaled identity from per-case moments:
     tr S, ‖S‖²_F and Σ_k ‖x_k − m‖⁴ (centred grid points)."""
-    tr = sum((F.col(f"_c{a}_{a}") for a in range(d)), F.lit(0.0))
-    fro2 = sum(((F.lit(1.0) if a == b else F.lit(2.0)) * F.col(f"_c{a}_{b}") * F.col(f"_c{a}_{b}") for a, b in pairs),
-               F.lit(0.0))
-    m = st.select(case, tr.alias("tr"), fro2.alias("fro2"), F.col("_n").cast("double").alias("n"),
-                  *[F.col(f"_m{k}") for k in range(d)])
-    q = sum(((F.col(f"_x{k}") - F.col(f"_m{k}")) ** 2 for k in range(d)), F.lit(0.0))
-    q4 = wide.join(m.select(case, *[f"_m{k}" for k in range(d)]), case).groupBy(case).agg(F.sum(q * q).alias("q4"))
+    tr = " + ".join(f"_c{a}_{a}" for a in range(d))
+    fro2 = " + ".join(f"{1.0 if a == b else 2.0} * _c{a}_{b} * _c{a}_{b}" for a, b in pairs)
+    m = st.selectExpr(case, f"{tr} AS tr", f"{fro2} AS fro2", "CAST(_n AS DOUBLE) AS n", *[f"_m{k}" for k in range(d)])
+    q = " + ".join(f"pow(_x{k} - _m{k}, 2)" for k in range(d))
+    q4 = (wide.join(m.select(case, *[f"_m{k}" for k in range(d)]), case)
+          .groupBy(case).agg(F.expr(f"sum(pow({q}, 2))").alias("q4")))
     m = m.join(q4, case)
-    dd, n, tr, fro2 = F.lit(float(d)), F.col("n"), F.col("tr"), F.col("fro2")
-    mu = tr / dd
+    mu = f"(tr / {float(d)})"
     if method == "oas":
-        num = fro2 + tr * tr
-        den = (n + 1.0) * (fro2 - tr * tr / dd)
-        rho = F.when(den == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), num / den))
+        den = f"((n + 1.0) * (fro2 - tr * tr / {float(d)}))"
+        rho = f"CASE WHEN {den} = 0 THEN 1.0 ELSE least(1.0, (fro2 + tr * tr) / {den}) END"
     elif method == "lwf":
-        beta = (F.col("q4") / n - fro2) / (dd * n)
-        delta = (fro2 - 2.0 * mu * tr + dd * mu * mu) / dd
-        beta = F.least(beta, delta)
-        rho = F.when(beta == 0, F.lit(0.0)).otherwise(beta / delta)
+        delta = f"((fro2 - 2.0 * {mu} * tr + {float(d)} * {mu} * {mu}) / {float(d)})"
+        beta = f"least((q4 / n - fro2) / ({float(d)} * n), {delta})"
+        rho = f"CASE WHEN {beta} = 0 THEN 0.0 ELSE {beta} / {delta} END"
     else:
         raise ValueError(method)
-    r = m.select(case, rho.alias("shrinkage"), mu.alias("_mu"))
-    out = F.when(F.col("i") == F.col("j"), (1.0 - F.col("shrinkage")) * F.col("cov") + F.col("shrinkage") * F.col("_mu")) \
-        .otherwise((1.0 - F.col("shrinkage")) * F.col("cov"))
-    return s.join(r, case).select(case, "i", "j", out.alias("cov"), "shrinkage")
+    r = m.selectExpr(case, f"{rho} AS shrinkage", f"{mu} AS _mu")
+    return s.join(r, case).selectExpr(
+        case, "i", "j", "CASE WHEN i = j THEN (1.0 - shrinkage) * cov + shrinkage * _mu "
+                        "ELSE (1.0 - shrinkage) * cov END AS cov", "shrinkage")
 
 
 def cov_diag(cov: DataFrame, d: int, case: str = "case") -> DataFrame:
