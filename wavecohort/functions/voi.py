@@ -28,9 +28,20 @@ OPTIONAL_VOIS = ("BT",)
 MAX_BROADCAST_CODES = 100_000
 
 
+_DICTS: dict[tuple, DataFrame] = {}
+
+
 def dictionary(spark: SparkSession, entries=None, code_type=None) -> DataFrame:
-    """The dictionary as ``(voi STRING, label STRING, codes ARRAY<code_type>)``."""
+    """The dictionary as ``(voi STRING, label STRING, codes ARRAY<code_type>)``
+    (built once per session and entry list)."""
     entries = DEFAULT_VOIS if entries is None else entries
+    key = (id(spark), repr(entries), repr(code_type))
+    if key not in _DICTS:
+        _DICTS[key] = _dictionary(spark, entries, code_type)
+    return _DICTS[key]
+
+
+def _dictionary(spark: SparkSession, entries, code_type) -> DataFrame:
     if code_type is None:
         code_type = IntegerType() if all(isinstance(c, int) for e in entries for c in e[2]) else StringType()
     schema = StructType([StructField("voi", StringType(), False),

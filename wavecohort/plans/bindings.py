@@ -31,6 +31,18 @@ PAGE_DAY = "2024-01-20 13:00:00"      # "now" for the page-count windows
 _TABLES: dict[tuple, DataFrame] = {}
 
 
+def _memo(fn):
+    """Role tables are views over the given tables: build each DataFrame once
+    per (session, folder) and reuse it (lazy plans, no data is held)."""
+    def wrapper(spark: SparkSession, d: str, *args):
+        key = (id(spark), d, fn.__name__, args)
+        if key not in _TABLES:
+            _TABLES[key] = fn(spark, d, *args)
+        return _TABLES[key]
+    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
+    return wrapper
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A given table, resolved once per session (file listing and footer
     reads happen once, as with a catalog table)."""
@@ -40,6 +52,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+@_memo
 def sensors(spark: SparkSession, d: str) -> DataFrame:
     """Measures: ``(id_nda, id_measure_type, dt_insert, value_numeric, dt_cancel)``."""
     k = F.get_json_object("props", "$.k").try_cast("int")
@@ -60,6 +73,7 @@ def _user_spans(spark: SparkSession, d: str) -> DataFrame:
     return _TABLES[key]
 
 
+@_memo
 def moves(spark: SparkSession, d: str) -> DataFrame:
     """Unit movements, one per user: start at the first signup, end at the last event."""
     m = _user_spans(spark, d)
@@ -71,18 +85,21 @@ def moves(spark: SparkSession, d: str) -> DataFrame:
                     F.col("last_ts").alias("dt_fin_mouv_ufr")))
 
 
+@_memo
 def units(spark: SparkSession, d: str) -> DataFrame:
     """ICU units: nations of the first regions."""
     return (table(spark, d, "nation").filter(F.col("n_regionkey") < ICU_MAX_REGION)
             .select(F.col("n_nationkey").alias("ids_ufr")))
 
 
+@_memo
 def stays(spark: SparkSession, d: str) -> DataFrame:
     """Hospital stays per user: first to last event."""
     return _user_spans(spark, d).select(F.col("user_id").alias("id_nda"), F.col("first_ts").alias("dt_deb_nda"),
                                         F.col("last_ts").alias("dt_fin_nda"))
 
 
+@_memo
 def patients(spark: SparkSession, d: str) -> DataFrame:
     """Demographics from ``customer``; death date only for negative balances."""
     c = table(spark, d, "customer")
@@ -96,6 +113,7 @@ def patients(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_mktsegment").alias("dpt"))
 
 
+@_memo
 def order_stays(spark: SparkSession, d: str) -> DataFrame:
     """Stays with a recorded death date from orders ⋈ lineitem:
     start = order date, end = last ship date, death = first ship date flagged 'R'."""
@@ -107,6 +125,7 @@ def order_stays(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").alias("id_nda"), F.col("o_orderdate").alias("dt_deb_nda"), "dt_fin_nda", "dt_deces")
 
 
+@_memo
 def case_table(spark: SparkSession, d: str) -> DataFrame:
     """Stored cases ``(id_nda STRING(10), j1 DATE, dt_deces)`` of order stays."""
     s = order_stays(spark, d)
@@ -114,6 +133,7 @@ def case_table(spark: SparkSession, d: str) -> DataFrame:
                     F.to_date("dt_deb_nda").alias("j1"), "dt_deces")
 
 
+@_memo
 def form_rows(spark: SparkSession, d: str) -> DataFrame:
     """Form answers, long: form = conversation, field = 'f' || turn, value = text length mod 100."""
     c = table(spark, d, "conversations")
@@ -122,6 +142,7 @@ def form_rows(spark: SparkSession, d: str) -> DataFrame:
                     F.pmod(F.char_length("text"), F.lit(100)).cast("string").alias("lwert"), "role")
 
 
+@_memo
 def page_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hourly page counts: ``(month_day 'MMdd', hour, prj, page, hits)``."""
     ev = table(spark, d, "events")
@@ -130,6 +151,7 @@ def page_counts(spark: SparkSession, d: str) -> DataFrame:
                      F.get_json_object("props", "$.k").try_cast("bigint").alias("hits"))
 
 
+@_memo
 def tensor_long(spark: SparkSession, d: str, d_vois: int = 4) -> DataFrame:
     """Waves from ``embeddings``: 64 values = 4 VOIs × 16 points; outcome = label ≥ 5.
 
@@ -145,6 +167,7 @@ def tensor_long(spark: SparkSession, d: str, d_vois: int = 4) -> DataFrame:
                     F.col("v").cast("double").alias("value")))
 
 
+@_memo
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """Scored cases: score = n_chars mod 100, y = quality, id = doc_id."""
     lab = table(spark, d, "labels")
