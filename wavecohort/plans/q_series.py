@@ -129,6 +129,22 @@ def q_resample_mean(spark, d):
     return binned_df(spark, d)
 
 
+_CASE_ANCHOR_SQL = _W_SQL.replace(
+    "bb AS (SELECT w1.id_case, w1.voi, w1.dt_insert, w1.value_numeric AS v, c.step, least(ft.t_first, c.dt_min) AS t0\n"
+    "       FROM w1 JOIN ft ON w1.id_case = ft.id_case AND w1.voi = ft.voi JOIN cases c ON w1.id_case = c.id_case)",
+    "fc AS (SELECT id_case, min(t_first) AS t_first FROM ft GROUP BY id_case),\n"
+    "bb AS (SELECT w1.id_case, w1.voi, w1.dt_insert, w1.value_numeric AS v, c.step, least(fc.t_first, c.dt_min) AS t0\n"
+    "       FROM w1 JOIN fc ON w1.id_case = fc.id_case JOIN cases c ON w1.id_case = c.id_case)")
+
+
+@query("resample_mean_case", _sql(f"WITH {_CASE_ANCHOR_SQL} SELECT * FROM rs"))
+def q_resample_mean_case(spark, d):
+    """W4 with the case anchor: every VOI of a case binned from the case's earliest tick (aligned VOIs)."""
+    cases, useful, lim = wave_inputs(spark, d)
+    c = cases.select("id_case", "dt_min", W.grid_step(cases, N_PTS).alias("step"))
+    return W.resample_waves(useful, _vc(spark), lim, c, _REQ, N_PTS, anchor="case")
+
+
 @query("interpolate_time", _sql(f"WITH {_W_SQL} SELECT * FROM interp"))
 def q_interpolate_time(spark, d):
     """Time interpolation with the 30-point gap rule, then ffill, bfill."""
