@@ -122,19 +122,17 @@ def outcome_rate(df: DataFrame, flag) -> DataFrame:
         F.try_divide(F.col("dead") * 100.0, F.col("alive")).alias("odds"))
 
 
-def group_count(df: DataFrame, col: str, out: str | None = None, few_values: bool = True) -> DataFrame:
-    """Number of rows sharing the row's value of ``col``.
+def group_count(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """Number of rows sharing the row's value of ``col``
+    (``transform('count')``), NULL values counted together.
 
-    ``few_values=True`` (categorical answers): aggregate (partial before the
-    shuffle) then join back; AQE broadcasts the aggregate when its measured
-    size is small, so a hot category never lands in one task.  Otherwise a
-    window count, which puts each value's rows in one task.
+    Aggregate (partial before the shuffle) then join back; AQE broadcasts the
+    aggregate when its measured size is small, so a hot value never lands in
+    one task (a window over ``col`` would put all its rows in one).
     """
     out = out or f"C_{col}"
-    if few_values:
-        cnt = df.groupBy(col).agg(F.count(F.lit(1)).alias(out))
-        return df.join(cnt, df[col].eqNullSafe(cnt[col]), "left").drop(cnt[col])
-    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(col)))
+    cnt = df.groupBy(col).agg(F.count(F.lit(1)).alias(out))
+    return df.join(cnt, df[col].eqNullSafe(cnt[col]), "left").drop(cnt[col])
 
 
 def count_measures(useful: DataFrame, codes: list) -> DataFrame:
