@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from wavecohort.functions import voi as V
 from wavecohort.operators import cohort as C
 from wavecohort.operators import joins as J

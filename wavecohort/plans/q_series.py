@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from wavecohort.functions import voi as V
 from wavecohort.operators import aggregates as A
-from wavecohort.operators import cohort as C
 from wavecohort.operators import covariance as CV
 from wavecohort.operators import series as W
 from wavecohort.operators import spectral as SP
 from wavecohort.plans import bindings as B
 from wavecohort.plans import stages as ST
 from wavecohort.plans.bindings import with_ctes
-from wavecohort.plans.q_cohort import COHORT_SPAN, _REQ, _REQ_SQL, _S24_SQL, cohort_df, sensors24
+from wavecohort.plans.q_cohort import COHORT_SPAN, _REQ, _REQ_SQL, _S24_SQL
 from wavecohort.plans.registry import query
 
 # Grid of the waves (source: 96 points over the window, 30-point gap limit).
