@@ -53,9 +53,10 @@ def anti(df: DataFrame, keys_df: DataFrame, on: list[str] | str) -> DataFrame:
 
 
 def icu_moves(moves: DataFrame, units: DataFrame) -> DataFrame:
-    """Movements in ICU units.  Units are a small dimension (broadcast);
-    ``left_semi`` keeps one row per movement even if a unit id repeats."""
-    return moves.join(F.broadcast(units.select("ids_ufr")), "ids_ufr", "left_semi")
+    """Movements in ICU units; ``left_semi`` keeps one row per movement
+    even if a unit id repeats.  No broadcast hint: the unit table is data, so
+    the planner's size estimate (and AQE's measured size) decides."""
+    return moves.join(units.select("ids_ufr"), "ids_ufr", "left_semi")
 
 
 def case_data(pat_info: DataFrame, sensors24: DataFrame, nda: DataFrame) -> DataFrame:
