@@ -396,6 +396,8 @@ def test_auc_ties_and_negation(spark):
     roc = E.roc_curve(df, "y", "s").orderBy(F.desc("threshold")).collect()
     assert (roc[-1].fpr, roc[-1].tpr) == (1.0, 1.0)
     assert E.alarm_point(E.roc_curve(df, "y", "s"), 0.5).first().threshold == 0.7
+    assert E.alarm_point(E.roc_curve(df, "y", "s"), 0.7).first().threshold == 0.7
+    assert E.alarm_point(E.roc_curve(df, "y", "s"), 0.7, inclusive=False).first().threshold == 0.9
 
 
 def test_running_sums_across_partitions(spark):

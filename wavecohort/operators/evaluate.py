@@ -100,8 +100,11 @@ def validation_summary(scored: DataFrame, y: str, pred, proba: str) -> DataFrame
         "accuracy double, recall double, precision double, auc double")
 
 
-def alarm_point(roc: DataFrame, threshold: float) -> DataFrame:
-    """M6: the ROC point of the alarm threshold: the lowest threshold that is
-    still strictly above it (``score > t`` positives), by comparison, not
-    float equality."""
-    return roc.filter(F.col("threshold") > F.lit(threshold)).orderBy("threshold").limit(1)
+def alarm_point(roc: DataFrame, threshold, inclusive: bool = True) -> DataFrame:
+    """M6: the ROC point of an alarm threshold, found by comparison, not float
+    equality: the lowest ROC threshold ``>= t`` (the point whose threshold
+    equals ``t`` when a case scores exactly ``t``, as the source looks it up),
+    or ``> t`` with ``inclusive=False`` (the strict alarm rule)."""
+    t = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    cond = F.col("threshold") >= t if inclusive else F.col("threshold") > t
+    return roc.filter(cond).orderBy("threshold").limit(1)

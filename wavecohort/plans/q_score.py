@@ -195,6 +195,18 @@ def q_roc_points(spark, d):
     return E.roc_curve(B.scores(spark, d), "y", "score")
 
 
+@query("roc_alarm", with_ctes(f"""WITH p AS (SELECT y, {_prob_sql('score')} AS pr FROM scores),
+    c AS (SELECT pr AS score, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg FROM p GROUP BY pr),
+    r AS (SELECT score AS threshold, sum(neg) OVER (ORDER BY score DESC) * 1.0 / sum(neg) OVER () AS fpr,
+          sum(pos) OVER (ORDER BY score DESC) * 1.0 / sum(pos) OVER () AS tpr FROM c)
+    SELECT * FROM r WHERE threshold >= {_prob_sql('CAST(15 AS DOUBLE)')} ORDER BY threshold LIMIT 1""", "scores"),
+       rounded=("threshold",))
+def q_roc_alarm(spark, d):
+    """M6: ROC point of the SAPS2 alarm (probability of score 15) on the probability ROC."""
+    s = B.scores(spark, d).select("y", P.saps2_prob("score").alias("pr"))
+    return E.alarm_point(E.roc_curve(s, "y", "pr"), P.saps2_prob(F.lit(15.0)))
+
+
 # ----------------------------------------------------------------- classifiers (lineitem by order)
 
 FEATURES = ["qty", "price", "disc", "tax", "n_lines"]
