@@ -24,6 +24,15 @@ def stage(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     return _CACHE[key]
 
 
+def stage_df(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """Like :func:`stage` for a builder that writes its own layout (e.g. a
+    partitioned store) and returns the DataFrame reading it."""
+    key = (id(spark), d, name)
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
 def clear() -> None:
     _CACHE.clear()
 
