@@ -12,6 +12,7 @@ from wavecohort.operators import evaluate as E
 from wavecohort.operators import models as M
 from wavecohort.operators import score as P
 from wavecohort.plans import bindings as B
+from wavecohort.plans import stages as ST
 from wavecohort.plans.bindings import with_ctes
 from wavecohort.plans.registry import query
 from wavecohort.session import shared_path
@@ -214,7 +215,14 @@ FEATURES = ["qty", "price", "disc", "tax", "n_lines"]
 
 def clf_frame(spark, d):
     """Per order: mean quantity, unit price, discount, tax, line count; label =
-    any line returned ('R'); stratified fold column (fold 0 = validation)."""
+    any line returned ('R'); stratified fold column (fold 0 = validation).
+
+    Written once as a stage: model fitting passes over it many times, and
+    each pass then reads the table instead of recomputing its lineage."""
+    return ST.stage(spark, d, "clf_frame", lambda: _clf_frame(spark, d))
+
+
+def _clf_frame(spark, d):
     li = B.table(spark, d, "lineitem")
     f = li.groupBy("l_orderkey").agg(
         F.avg("l_quantity").alias("qty"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
