@@ -183,6 +183,22 @@ def test_interpolate_gap_rule(spark):
     assert all(lo <= v <= hi for v in out)
 
 
+def test_blocked_interpolation_equals_whole_series(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for sid in range(3):
+        for i in range(200):
+            v = float(rng.normal()) if rng.random() < (0.05 if sid == 2 else 0.3) else None
+            rows.append((f"c{sid}", "v", i, v))
+    rows[0] = ("c0", "v", 0, None)
+    df = spark.createDataFrame(rows, "id_case string, voi string, idx int, value double")
+    for limit, fill in [(30, True), (None, False), (3, True)]:
+        a = {(r.id_case, r.idx): r.value for r in W.interpolate(df, ["id_case", "voi"], limit, fill).collect()}
+        b = {(r.id_case, r.idx): r.value for r in W.interpolate(df, ["id_case", "voi"], limit, fill, block=7).collect()}
+        assert a.keys() == b.keys()
+        assert all((a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k]) for k in a)
+
+
 def test_resample_midnight_origin_and_trailing_drop(spark):
     rows = [("c", "v", ts("2024-01-01 00:50:00"), 1.0), ("c", "v", ts("2024-01-01 01:10:00"), 3.0),
             ("c", "v", ts("2024-01-01 01:20:00"), 5.0), ("c", "v", ts("2024-01-01 05:00:00"), 7.0)]

@@ -124,21 +124,52 @@ def resample_waves(measures: DataFrame, voi_codes: DataFrame, limits: DataFrame,
 
 
 def interpolate(grid: DataFrame, keys: list[str], limit: int | None = 30, fill: bool = True,
-                value: str = "value") -> DataFrame:
+                value: str = "value", block: int | None = None) -> DataFrame:
     """Time interpolation on an equally spaced grid with the source's gap
     rule: inside a gap the first ``limit`` points lie on the line between the
     neighbours, the rest hold the ``limit``-th value; then forward fill, then
     backward fill.  ``fill=False`` keeps leading NULLs (trailing ones take the
     last value, as linear interpolation does).
+
+    With ``block`` the grid is cut into blocks of that many points: windows
+    then run per (series, block), and the nearest known points before and
+    after a block are carried between blocks through a table of one row per
+    block.  Same result; no task holds a whole long series.
     """
-    w_prev = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    w_next = Window.partitionBy(*keys).orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
     v = F.col(value)
     known_i = F.when(v.isNotNull(), F.col("idx"))
-    g = grid.select("*", F.last(v, ignorenulls=True).over(w_prev).alias("_v0"),
-                    F.last(known_i, ignorenulls=True).over(w_prev).alias("_i0"),
-                    F.first(v, ignorenulls=True).over(w_next).alias("_v1"),
-                    F.first(known_i, ignorenulls=True).over(w_next).alias("_i1"))
+    if block is None:
+        part = keys
+        g = grid
+    else:
+        part = [*keys, "_blk"]
+        g = grid.withColumn("_blk", F.floor(F.col("idx") / F.lit(block)).cast("long"))
+    w_prev = Window.partitionBy(*part).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    w_next = Window.partitionBy(*part).orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
+    g = g.select("*", F.last(v, ignorenulls=True).over(w_prev).alias("_v0"),
+                 F.last(known_i, ignorenulls=True).over(w_prev).alias("_i0"),
+                 F.first(v, ignorenulls=True).over(w_next).alias("_v1"),
+                 F.first(known_i, ignorenulls=True).over(w_next).alias("_i1"))
+    if block is not None:
+        # one row per (series, block): its last and first known points, then
+        # carried to the following / preceding blocks
+        kn = g.filter(v.isNotNull())
+        per_block = (g.select(*part).distinct()
+                     .join(kn.groupBy(*part).agg(F.max("idx").alias("_li"), F.max_by(value, "idx").alias("_lv"),
+                                                 F.min("idx").alias("_fi"), F.min_by(value, "idx").alias("_fv")),
+                           part, "left"))
+        wb_prev = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        wb_next = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+        carry = per_block.select(*part, F.last("_li", ignorenulls=True).over(wb_prev).alias("_ci0"),
+                                 F.last("_lv", ignorenulls=True).over(wb_prev).alias("_cv0"),
+                                 F.first("_fi", ignorenulls=True).over(wb_next).alias("_ci1"),
+                                 F.first("_fv", ignorenulls=True).over(wb_next).alias("_cv1"))
+        g = g.join(carry, part)
+        g = g.select(*[c for c in g.columns if c not in ("_v0", "_i0", "_v1", "_i1", "_ci0", "_cv0", "_ci1", "_cv1")],
+                     F.coalesce("_v0", "_cv0").alias("_v0"),
+                     F.when(F.col("_i0").isNotNull(), F.col("_i0")).otherwise(F.col("_ci0")).alias("_i0"),
+                     F.coalesce("_v1", "_cv1").alias("_v1"),
+                     F.when(F.col("_i1").isNotNull(), F.col("_i1")).otherwise(F.col("_ci1")).alias("_i1"))
     k = F.col("idx") - F.col("_i0")
     if limit is not None:
         k = F.least(k, F.lit(limit))
@@ -201,7 +232,7 @@ def detrend(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame
 
 
 def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str = "ts",
-                  value: str = "value") -> DataFrame:
+                  value: str = "value", block: int = 4096) -> DataFrame:
     """One series per (recording, cue): mean per ``period_ms`` bin from
     the recording's first tick (midnight origin), every bin up to the
     recording's last tick, then unlimited time interpolation (leading gaps
@@ -218,7 +249,8 @@ def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str =
     grid = cues.select(rec, cue, "_t0", F.explode(F.sequence(
         F.lit(0), (F.floor((epoch_us("_t1") - mid) / step) - b0).cast("int"))).alias("idx"))
     g = grid.join(binned, [rec, cue, "idx"], "left")
-    g = interpolate(g, [rec, cue], limit=None, fill=False)
+    # recordings can be long: blocked windows, no task holds a whole series
+    g = interpolate(g, [rec, cue], limit=None, fill=False, block=block)
     t = ntz_from_epoch_us(mid + (b0 + F.col("idx")) * step)
     return g.select(rec, cue, "idx", t.alias("t"), "value")
 
