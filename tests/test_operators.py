@@ -446,3 +446,41 @@ def test_weights_matrix_keeps_nulls(spark):
     df = spark.createDataFrame([("a", "H01", 1.0), ("b", "H02", 2.0)], "variable string, interval string, weight double")
     m = {r.variable: (r.H01, r.H02) for r in T.weights_matrix(df, "variable", "interval", "weight", ["H01", "H02"]).collect()}
     assert m == {"a": (1.0, None), "b": (None, 2.0)}
+
+
+def test_interpolation_matches_pandas_time_rule(spark):
+    """The gap rule against the library call of the source:
+    ``interpolate(method='time', limit=30).ffill().bfill()`` on an equally
+    spaced index."""
+    pd = pytest.importorskip("pandas")
+    rng = np.random.default_rng(21)
+    rows, ref = [], {}
+    for sid in range(6):
+        n = 96
+        vals = np.where(rng.random(n) < [0.5, 0.2, 0.05, 0.8, 0.1, 0.02][sid], rng.normal(50, 10, n), np.nan)
+        idx = pd.date_range("2024-01-01", periods=n, freq="15min")
+        s = pd.Series(vals, index=idx).interpolate(method="time", limit=30).ffill().bfill()
+        for i in range(n):
+            rows.append((f"c{sid}", "v", i, None if np.isnan(vals[i]) else float(vals[i])))
+            ref[(f"c{sid}", i)] = None if np.isnan(s.iloc[i]) else float(s.iloc[i])
+    df = spark.createDataFrame(rows, "id_case string, voi string, idx int, value double")
+    got = {(r.id_case, r.idx): r.value for r in W.interpolate(df, ["id_case", "voi"], 30, True).collect()}
+    assert got.keys() == ref.keys()
+    for k, v in ref.items():
+        assert (v is None and got[k] is None) or got[k] == pytest.approx(v), k
+
+
+def test_resample_bins_match_pandas(spark):
+    """Bins of ``resample('13min').mean()`` (origin: midnight of the first
+    tick's day) for an unsorted two-day series."""
+    pd = pytest.importorskip("pandas")
+    rng = np.random.default_rng(4)
+    t = pd.to_datetime("2024-01-01 05:07:00") + pd.to_timedelta(rng.integers(0, 2 * 86400, 300), unit="s")
+    v = rng.normal(size=300)
+    ref = pd.Series(v, index=t).sort_index().resample("13min").mean()
+    ref_idx = {i: x for i, x in enumerate(ref.values) if not np.isnan(x)}
+    rows = [("c", "v", ts_.to_pydatetime(), float(x)) for ts_, x in zip(t, v)]
+    df = spark.createDataFrame(rows, "id_case string, voi string, dt_insert timestamp_ntz, value_numeric double")
+    got = {r.idx: r.value for r in W.resample(df.withColumn("step", F.lit(13)), ["id_case", "voi"], "step", 10_000).collect()}
+    assert got.keys() == ref_idx.keys()
+    assert all(got[i] == pytest.approx(ref_idx[i]) for i in got)
