@@ -74,7 +74,7 @@ WHERE d.age >= {AGE_MIN} AND w.dt_max - w.dt_min >= INTERVAL {MIN_STAY_H} HOUR""
 
 @query("cohort", COHORT_SQL)
 def q_cohort(spark, d):
-    """C5 flagship: full cohort."""
+    """The full cohort (flagship)."""
     return cohort_df(spark, d)
 
 

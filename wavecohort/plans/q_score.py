@@ -81,7 +81,7 @@ def q_form_matrix(spark, d):
     SELECT fm.*, pm.dt_deces, {_logit_sql("TRY_CAST(fm.f11 AS DOUBLE)")} AS logit, {_prob_sql("TRY_CAST(fm.f11 AS DOUBLE)")} AS pr
     FROM fm JOIN pm ON substr(fm.id_ndaj1, 1, 10) = pm.id_nda""", "form_rows", "patients"))
 def q_score_dataset(spark, d):
-    """P4 (+J9): form matrix, patient's death date, SAPS2 logit and probability."""
+    """Form matrix, patient's death date, SAPS2 logit and probability."""
     o = B.table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("id_nda"),
                                            F.col("o_custkey").alias("ids_pat"))
     return P.score_dataset(form_matrix_df(spark, d), o, B.patients(spark, d), SCORE_FIELD)
