@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from wavecohort.session import session_key
+
 # The default dictionary of the source (code, label, measure codes).
 DEFAULT_VOIS = [
     ("HR", "Heart rate", [10102, 10280]),
@@ -35,7 +37,7 @@ def dictionary(spark: SparkSession, entries=None, code_type=None) -> DataFrame:
     """The dictionary as ``(voi STRING, label STRING, codes ARRAY<code_type>)``
     (built once per session and entry list)."""
     entries = DEFAULT_VOIS if entries is None else entries
-    key = (id(spark), repr(entries), repr(code_type))
+    key = (session_key(spark), repr(entries), repr(code_type))
     if key not in _DICTS:
         _DICTS[key] = _dictionary(spark, entries, code_type)
     return _DICTS[key]

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavecohort.session import session_key
+
 # Dictionary used with the test tables (VOI → event types).
 TEST_VOIS = [
     ("HR", "Heart rate", ["click", "view"]),
@@ -35,7 +37,7 @@ def _memo(fn):
     """Role tables are views over the given tables: build each DataFrame once
     per (session, folder) and reuse it (lazy plans, no data is held)."""
     def wrapper(spark: SparkSession, d: str, *args):
-        key = (id(spark), d, fn.__name__, args)
+        key = (session_key(spark), d, fn.__name__, args)
         if key not in _TABLES:
             _TABLES[key] = fn(spark, d, *args)
         return _TABLES[key]
@@ -46,7 +48,7 @@ def _memo(fn):
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A given table, resolved once per session (file listing and footer
     reads happen once, as with a catalog table)."""
-    key = (id(spark), d, name)
+    key = (session_key(spark), d, name)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(f"{d}/{name}.parquet")
     return _TABLES[key]
@@ -65,7 +67,7 @@ def sensors(spark: SparkSession, d: str) -> DataFrame:
 def _user_spans(spark: SparkSession, d: str) -> DataFrame:
     """One aggregate of ``events`` per user shared by movements and stays
     (the same plan object, so Spark computes its shuffle once)."""
-    key = (id(spark), d, "_user_spans")
+    key = (session_key(spark), d, "_user_spans")
     if key not in _TABLES:
         _TABLES[key] = table(spark, d, "events").groupBy("user_id").agg(
             F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("first_signup"),

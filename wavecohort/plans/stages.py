@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wavecohort.session import session_key
 from wavecohort.sources.tables import checkpoint_to_shared
 
 _CACHE: dict[tuple, DataFrame] = {}
 
 
 def stage(spark: SparkSession, d: str, name: str, build) -> DataFrame:
-    key = (id(spark), d, name)
+    key = (session_key(spark), d, name)
     if key not in _CACHE:
         _CACHE[key] = checkpoint_to_shared(build(), f"stage-{name}")
     return _CACHE[key]
@@ -27,7 +28,7 @@ def stage(spark: SparkSession, d: str, name: str, build) -> DataFrame:
 def stage_df(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     """Like :func:`stage` for a builder that writes its own layout (e.g. a
     partitioned store) and returns the DataFrame reading it."""
-    key = (id(spark), d, name)
+    key = (session_key(spark), d, name)
     if key not in _CACHE:
         _CACHE[key] = build()
     return _CACHE[key]

@@ -135,6 +135,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a session for per-session caches: the application id and
+    the session object (a stopped session's successor never matches)."""
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder, for materialised stages."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
