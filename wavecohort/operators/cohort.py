@@ -159,14 +159,16 @@ def case_summary(voi_stats: DataFrame, vois: list[str], min_pts: int, optional=(
     ``voi_stats`` holds one row per (case, voi), so plain counts are
     distinct counts."""
     req = [v for v in vois if v not in optional]
-    is_req = F.col("voi").isin(req)
+    # SQL text: one parse per expression instead of one JVM call per operator
+    req_list = ", ".join("'" + v.replace("'", "''") + "'" for v in req) or "NULL"
+    is_req = f"voi IN ({req_list})"
     w = voi_stats.groupBy(*CASE).agg(
-        *[F.sum(F.when(F.col("voi") == v, F.col("n_voi"))).alias(v) for v in vois],
-        F.count(F.when(is_req & (F.col("n_voi") > 0), F.lit(1))).alias("_n_req"),
-        F.count(F.when(is_req & (F.col("n_voi") > min_pts), F.lit(1))).alias("_n_pass"),
-        F.max(F.when(is_req, F.col("voi_min"))).alias("dt_min"),
-        F.min(F.when(is_req, F.col("voi_max"))).alias("dt_max"))
-    return w.withColumn("stay_len_s", F.timestamp_diff("SECOND", "dt_min", "dt_max"))
+        *[F.expr("sum(CASE WHEN voi = '" + v.replace("'", "''") + "' THEN n_voi END)").alias(v) for v in vois],
+        F.expr(f"count(CASE WHEN {is_req} AND n_voi > 0 THEN 1 END)").alias("_n_req"),
+        F.expr(f"count(CASE WHEN {is_req} AND n_voi > {int(min_pts)} THEN 1 END)").alias("_n_pass"),
+        F.expr(f"max(CASE WHEN {is_req} THEN voi_min END)").alias("dt_min"),
+        F.expr(f"min(CASE WHEN {is_req} THEN voi_max END)").alias("dt_max"))
+    return w.withColumn("stay_len_s", F.expr("timestampdiff(SECOND, dt_min, dt_max)"))
 
 
 def useful(sensors24: DataFrame, cases: DataFrame) -> DataFrame:
