@@ -90,3 +90,13 @@ def test_param_sampling_is_seeded():
     assert a == b and all(2 <= p["d"] <= 8 and isinstance(p["d"], int) for p in a)
     sets = M.sample_feature_sets(list("abcdefg"), 10, 5, 1)
     assert all(len(s) <= 5 for s in sets)
+
+
+def test_runtime_conf_applied_by_query_wrapper(spark):
+    import __spark_entry__ as e
+    from wavecohort.session import RUNTIME_CONF, cluster_conf
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    e.queries()["window_bounds"](spark, "/root/testdata/sf0.001").collect()
+    assert all(spark.conf.get(k) == v for k, v in RUNTIME_CONF.items())
+    c = cluster_conf(1000, 8)
+    assert c["spark.sql.shuffle.partitions"] == "24000"
