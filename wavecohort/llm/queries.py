@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import packing
+from wavecohort.llm import packing, simhash
 from wavecohort.llm.common import table
 
 
@@ -11,6 +11,12 @@ def op1_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+def op10_simhash(spark, d):
+    """Near-duplicate components of all documents (4-word shingles, 4 bits)."""
+    return simhash.components_of(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
+    "op10_simhash": (op10_simhash, None),
 }
