@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import packing, simhash
+from wavecohort.llm import packing, quality, simhash
 from wavecohort.llm.common import table
 
 
@@ -11,6 +11,11 @@ def op1_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+def op8_quality_rules(spark, d):
+    """Counts, base rules and adaptive verdict of every document."""
+    return quality.report(table(spark, d, "documents"))
+
+
 def op10_simhash(spark, d):
     """Near-duplicate components of all documents (4-word shingles, 4 bits)."""
     return simhash.components_of(table(spark, d, "documents"))
@@ -18,5 +23,6 @@ def op10_simhash(spark, d):
 
 QUERIES = {
     "op1_packing": (op1_packing, None),
+    "op8_quality_rules": (op8_quality_rules, None),
     "op10_simhash": (op10_simhash, None),
 }
