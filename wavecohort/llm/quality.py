@@ -1,7 +1,7 @@
 """Quality rules with adaptive thresholds (operator 8).
 
-Every text gets counts (words, code points in words, symbols, repeated lines and
-8-word windows, capitals) and ratios of them.  Per language and source the
+Every text gets counts (words, code points in words, symbols, repeated lines,
+8-word windows and neighbouring words, capitals) and ratios of them.  Per language and source the
 distribution of each ratio is kept as a mergeable quantile sketch: counts of
 logarithmic bins, whose quantiles have a relative error of at most ``ACCURACY``.
 Sketches merge by adding counts, so they are built before the shuffle, are the
@@ -24,6 +24,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from operator import eq
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 ACCURACY, SMALLEST = 0.01, 1e-4
 FENCE, MIN_GROUP, SALTS = 3.0, 100, 16
 #: Ratio -> least spread: below it differences are not taken for signs of quality.
-RATIOS = {"symbols_per_word": 0.05, "duplicate_lines": 0.1, "repeated_words": 0.05, "word_length": 1.0, "capitals": 0.1}
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+RATIOS = {"symbols_per_word": 0.05, "duplicate_lines": 0.15, "repeated_words": 0.1, "stutter": 0.1,
+          "word_length": 1.0, "capitals": 0.1}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutter")
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 _CAPITALS = bytes(range(65, 91))
 
@@ -66,7 +68,8 @@ def _counts(text: str) -> tuple:
     words = b.split()
     lines = [x for x in b.split(b"\n") if x.strip()]
     return (len(words), len(text) - (len(b) - len(b.translate(None, _SPACE))), len(b) - len(b.translate(None, _SYMBOLS)),
-            len(lines) - len(set(lines)), _repeated(words), len(lines), len(b) - len(b.translate(None, _CAPITALS)))
+            len(lines) - len(set(lines)), _repeated(words), len(lines), len(b) - len(b.translate(None, _CAPITALS)),
+            sum(map(eq, words, words[1:])))
 
 
 def with_counts(df: DataFrame, text_col: str = "text", prefix: str = "", keep_text: bool = True) -> DataFrame:
@@ -91,7 +94,7 @@ def _ratios(prefix: str) -> dict:
     c = {x: F.col(prefix + x) for x in COUNTS}
     words = F.greatest(c["n_words"], F.lit(1))
     return {"symbols_per_word": c["n_symbols"] / words, "duplicate_lines": c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)),
-            "repeated_words": c["n_repeat_words"] / words, "word_length": c["word_chars"] / words,
+            "repeated_words": c["n_repeat_words"] / words, "stutter": c["n_stutter"] / words, "word_length": c["word_chars"] / words,
             "capitals": c["n_capitals"] / F.greatest(c["word_chars"], F.lit(1))}
 
 
