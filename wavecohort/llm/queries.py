@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import packing, quality, simhash
+from wavecohort.llm import packing, quality, simhash, toxicity
 from wavecohort.llm.common import table
 
 
@@ -11,6 +11,12 @@ def op1_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+def op3_toxicity(spark, d):
+    """Toxicity score of every document, learned from ``labels``."""
+    docs = table(spark, d, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
 def op8_quality_rules(spark, d):
     """Counts, base rules and adaptive verdict of every document."""
     return quality.report(table(spark, d, "documents"))
@@ -23,6 +29,7 @@ def op10_simhash(spark, d):
 
 QUERIES = {
     "op1_packing": (op1_packing, None),
+    "op3_toxicity": (op3_toxicity, None),
     "op8_quality_rules": (op8_quality_rules, None),
     "op10_simhash": (op10_simhash, None),
 }
