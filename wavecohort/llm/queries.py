@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import packing, quality, simhash, toxicity
+from wavecohort.llm import licenses, packing, quality, simhash, toxicity
 from wavecohort.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op3_toxicity(spark, d):
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, d, "labels")))
 
 
+def op6_licenses(spark, d):
+    """License phrases and notices in every document."""
+    return licenses.scan(table(spark, d, "documents"))
+
+
 def op8_quality_rules(spark, d):
     """Counts, base rules and adaptive verdict of every document."""
     return quality.report(table(spark, d, "documents"))
@@ -30,6 +35,7 @@ def op10_simhash(spark, d):
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op3_toxicity": (op3_toxicity, None),
+    "op6_licenses": (op6_licenses, licenses.oracle_sql()),
     "op8_quality_rules": (op8_quality_rules, None),
     "op10_simhash": (op10_simhash, None),
 }
