@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import licenses, packing, quality, simhash, toxicity
+from wavecohort.llm import chat, licenses, packing, quality, simhash, toxicity
 from wavecohort.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op3_toxicity(spark, d):
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, d, "labels")))
 
 
+def op4_chat(spark, d):
+    """Maximal logged conversations, rendered."""
+    return chat.formatted(table(spark, d, "conversations"))
+
+
 def op6_licenses(spark, d):
     """License phrases and notices in every document."""
     return licenses.scan(table(spark, d, "documents"))
@@ -35,6 +40,7 @@ def op10_simhash(spark, d):
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op3_toxicity": (op3_toxicity, None),
+    "op4_chat": (op4_chat, chat.oracle_sql()),
     "op6_licenses": (op6_licenses, licenses.oracle_sql()),
     "op8_quality_rules": (op8_quality_rules, None),
     "op10_simhash": (op10_simhash, None),
