@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.sources.tables import checkpoint_to_shared
+from wavecohort.session import shared_path
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,10 +22,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: cuts the
     lineage, and fixes the values of row numbers and partition numbers in it."""
-    return checkpoint_to_shared(df, f"llm-{name}")
+    path = shared_path(df.sparkSession, f"llm-{name}-{uuid.uuid4().hex[:8]}")
+    df.write.parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import chat, licenses, packing, quality, simhash, toxicity
+from wavecohort.llm import binary, chat, licenses, packing, quality, simhash, toxicity
 from wavecohort.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op4_chat(spark, d):
     return chat.formatted(table(spark, d, "conversations"))
 
 
+def op5_binary(spark, d):
+    """All documents as token sequences in training order: manifest of the written shards."""
+    return binary.materialise(table(spark, d, "documents"))[0]
+
+
 def op6_licenses(spark, d):
     """License phrases and notices in every document."""
     return licenses.scan(table(spark, d, "documents"))
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_packing": (op1_packing, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_chat": (op4_chat, chat.oracle_sql()),
+    "op5_binary": (op5_binary, None),
     "op6_licenses": (op6_licenses, licenses.oracle_sql()),
     "op8_quality_rules": (op8_quality_rules, None),
     "op10_simhash": (op10_simhash, None),
