@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import binary, chat, licenses, packing, quality, simhash, toxicity
+from wavecohort.llm import binary, chat, licenses, mixing, packing, quality, simhash, toxicity
 from wavecohort.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op8_quality_rules(spark, d):
     return quality.report(table(spark, d, "documents"))
 
 
+def op9_mixing(spark, d):
+    """How much of every document the target mix takes."""
+    return mixing.mixed(table(spark, d, "documents"))
+
+
 def op10_simhash(spark, d):
     """Near-duplicate components of all documents (4-word shingles, 4 bits)."""
     return simhash.components_of(table(spark, d, "documents"))
@@ -49,5 +54,6 @@ QUERIES = {
     "op5_binary": (op5_binary, None),
     "op6_licenses": (op6_licenses, licenses.oracle_sql()),
     "op8_quality_rules": (op8_quality_rules, None),
+    "op9_mixing": (op9_mixing, None),
     "op10_simhash": (op10_simhash, None),
 }
