@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import binary, chat, licenses, mixing, packing, quality, simhash, toxicity
+from wavecohort.llm import binary, chat, fingerprints, licenses, mixing, packing, quality, simhash, toxicity
 from wavecohort.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op6_licenses(spark, d):
     return licenses.scan(table(spark, d, "documents"))
 
 
+def op7_fingerprints(spark, d):
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.compared(table(spark, d, "documents"))
+
+
 def op8_quality_rules(spark, d):
     """Counts, base rules and adaptive verdict of every document."""
     return quality.report(table(spark, d, "documents"))
@@ -53,6 +58,7 @@ QUERIES = {
     "op4_chat": (op4_chat, chat.oracle_sql()),
     "op5_binary": (op5_binary, None),
     "op6_licenses": (op6_licenses, licenses.oracle_sql()),
+    "op7_fingerprints": (op7_fingerprints, None),
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_mixing": (op9_mixing, None),
     "op10_simhash": (op10_simhash, None),
