@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import binary, chat, fingerprints, licenses, mixing, packing, quality, simhash, toxicity
+from wavecohort.llm import binary, chat, classifier, fingerprints, licenses, mixing, packing, quality, simhash, toxicity
 from wavecohort.llm.common import table
 
 
@@ -11,6 +11,11 @@ def op1_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
 
+def op2_classifier(spark, d):
+    """Perplexity and verdict of every document."""
+    return classifier.report(table(spark, d, "documents"), table(spark, d, "labels"), from_files=True)
+
+
 def op3_toxicity(spark, d):
     """Toxicity score of every document, learned from ``labels``."""
     docs = table(spark, d, "documents")
@@ -54,6 +59,7 @@ def op10_simhash(spark, d):
 
 QUERIES = {
     "op1_packing": (op1_packing, None),
+    "op2_classifier": (op2_classifier, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_chat": (op4_chat, chat.oracle_sql()),
     "op5_binary": (op5_binary, None),
