@@ -416,10 +416,59 @@ def test_auc_ties_and_negation(spark):
     assert E.alarm_point(E.roc_curve(df, "y", "s"), 0.7, inclusive=False).first().threshold == 0.9
 
 
-def test_running_sums_across_partitions(spark):
-    df = spark.createDataFrame([(i, i % 2, 1) for i in range(1000)], "k long, g int, one int")
-    r = E.running_sums(df, [F.col("k")], ["one"], ["g"], n_parts=7).collect()
-    assert all(x.cum_one == x.k // 2 + 1 for x in r)
+def test_running_sums_across_buckets(spark):
+    from wavecohort.functions.ranges import quantile_bounds, range_bucket
+    df = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 2).alias("g"), F.lit(1).alias("one"))
+    bounds = quantile_bounds(df, "k", 64)
+    r = E.running_sums(df, range_bucket(F.col("k"), bounds), [F.col("k")], ["one"], ["g"])
+    assert r.filter(F.col("cum_one") != F.floor(F.col("k") / 2) + 1).count() == 0 and r.count() == 20_000
+
+
+def test_auc_and_folds_of_many_distinct_values(spark):
+    """More distinct values than any sampler sees whole: exact and the same every time."""
+    import pandas as pd
+    n = 200_000
+    rng = np.random.default_rng(1)
+    s, y = rng.permutation(n) / 7.0, rng.random(n) < 0.3
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "s": s, "y": y.astype(int)})).repartition(6)
+    rank = np.empty(n)
+    rank[np.argsort(s)] = np.arange(1, n + 1)
+    p = int(y.sum())
+    want = (rank[y].sum() - p * (p + 1) / 2) / (p * (n - p))
+    got = {E.roc_auc(df, "y", "s").first().auc for _ in range(3)}
+    assert len(got) == 1 and got.pop() == pytest.approx(want, abs=1e-12)
+    split = E.stratified_split(df, "y", "id", 3, 42)
+    train, valid = split.filter("fold <> 0"), split.filter("fold = 0")
+    assert train.join(valid, "id", "left_semi").count() == 0
+    first, again = (split.groupBy("fold", "y").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).collect()
+                    for _ in range(2))
+    assert sorted(first) == sorted(again)
+    counts = {(r.fold, r.y): r.n for r in first}
+    assert all(max(counts[f, c] for f in range(3)) - min(counts[f, c] for f in range(3)) <= 1 for c in (0, 1))
+
+
+def test_long_stay_ids_keep_their_measures(spark):
+    big = 12345678901
+    s24 = spark.createDataFrame([(big, dt.date(2024, 1, 1), "HR", ts("2024-01-01 01:00:00"), 1.0, "")] * 5
+                                + [(1234567890, dt.date(2024, 1, 1), "HR", ts("2024-01-01 01:00:00"), 1.0, "")],
+                                "id_nda long, dt_deb date, id_measure_type string, dt_insert timestamp_ntz, value_numeric double, dt_cancel string")
+    cases = spark.createDataFrame([(big, dt.date(2024, 1, 1))], "id_nda long, j1 date")
+    kept = C.useful(s24, cases)
+    assert [r.id_nda for r in kept.collect()] == [big] * 5
+    assert {r.id_nda for r in C.case_measures(kept).collect()} == {"12345678901"}
+    assert [r.k for r in spark.createDataFrame([(5,), (big,)], "i long").select(K.stay_key("i").alias("k")).collect()] == ["0000000005", str(big)]
+
+
+def test_page_windows_across_new_year(spark):
+    rows = [(dt.date(2023, 12, 14), 12, "a"), (dt.date(2023, 12, 14), 13, "b"), (dt.date(2023, 12, 31), 0, "c"),
+            (dt.date(2024, 1, 13), 12, "d"), (dt.date(2024, 1, 13), 13, "e"), (dt.date(2022, 12, 31), 0, "f")]
+    df = spark.createDataFrame([(d, h, "p", g, 1) for d, h, g in rows], "day date, hour int, prj string, page string, hits long")
+    got = {r.page for r in T.top_pages_at(df, dt.datetime(2024, 1, 13, 13), 30).collect()}
+    assert got == {"b", "c", "d"}
+    md = df.filter("year(day) > 2022").withColumn("month_day", F.date_format("day", "MMdd"))
+    assert {r.page for r in T.top_pages(md, "0113", "1214", 13, full_days=True).collect()} == {"b", "c", "d"}
+    clamped = T.top_pages_at(df, dt.datetime(2030, 1, 1), 1, last=dt.datetime(2024, 1, 1, 0))
+    assert {r.page for r in clamped.collect()} == {"c"}
 
 
 def test_fix_charset_reads_bytes_as_latin1(spark):

@@ -45,6 +45,18 @@ def case_id(id_col, ts_col) -> Column:
                     F.to_date(_c(ts_col)).cast("string"))
 
 
+def pad_left(col, width: int) -> Column:
+    """Zero-padded text of at least ``width`` characters (never cut)."""
+    s = _c(col).cast("string")
+    return F.when(F.char_length(s) < width, F.lpad(s, width, "0")).otherwise(s)
+
+
+def stay_key(col) -> Column:
+    """Stored text form of a stay id: ten digits, longer ids whole.  Joins use the
+    raw id; this is for sinks and for joins between stored tables."""
+    return pad_left(col, 10)
+
+
 def split_case_id(col) -> tuple[Column, Column]:
     """K2: ``(id_nda, j1)`` from a case id: 10 leading digits, then the date."""
     c = _c(col)

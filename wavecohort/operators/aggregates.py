@@ -54,7 +54,7 @@ def sigma_limits(stats: DataFrame, k: float = 3.0) -> DataFrame:
 
 def time_bounds(df: DataFrame, col: str) -> DataFrame:
     """Earliest and latest value of ``col``."""
-    return df.agg(F.min(col).alias("begining"), F.max(col).alias("ending"))
+    return df.agg(F.min(col).alias("beginning"), F.max(col).alias("ending"))
 
 
 def voi_totals(counter_long: DataFrame, voi_codes: DataFrame, vois: list[str],

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.functions.keys import active
+from wavecohort.functions.keys import active, stay_key
 from wavecohort.operators.joins import first_window, icu_moves
 
 CASE = ["id_nda", "dt_deb"]
@@ -120,7 +120,8 @@ def build_cohort(sensors: DataFrame, moves: DataFrame, units: DataFrame, stays:
     """The full cohort as one plan: first window (J2) → counts per code
     (A3) → coverage (C1, C2) → demographics (J5, C3) → common window (A6, C4).
 
-    Output: case key, one total per VOI, demographics, window bounds.
+    Output: case key (the raw stay id; sinks write it as text), one total per
+    VOI, demographics, window bounds.
     """
     icu = icu_moves(moves, units)
     s24 = first_window(sensors, icu, span)
@@ -136,8 +137,7 @@ def build_cohort(sensors: DataFrame, moves: DataFrame, units: DataFrame, stays:
     demo = stay_demographics(icu, patients, stays)
     c = (passed.join(demo.filter(F.col("age") >= age_min), "id_nda", "inner")
          .filter(F.col("stay_len_s") >= int(min_stay_h * 3600)))
-    return c.select(F.lpad(F.col("id_nda").cast("string"), 10, "0").alias("id_nda"),
-                    F.col("dt_deb").alias("j1"), *vois, "age", "cd_sex_tr", "dpt", "dt_deces",
+    return c.select("id_nda", F.col("dt_deb").alias("j1"), *vois, "age", "cd_sex_tr", "dpt", "dt_deces",
                     "dt_min", "dt_max", "stay_len_s")
 
 
@@ -174,7 +174,7 @@ def case_summary(voi_stats: DataFrame, vois: list[str], min_pts: int, optional=(
 def useful(sensors24: DataFrame, cases: DataFrame) -> DataFrame:
     """Active, positive measures of the kept cases (semi join on the real
     key columns)."""
-    k = cases.select(F.col("id_nda").cast("long").alias("id_nda"), F.col("j1").alias("dt_deb"))
+    k = cases.select("id_nda", F.col("j1").alias("dt_deb"))
     return active(sensors24, positive=True).join(k, CASE, "left_semi")
 
 
@@ -183,7 +183,7 @@ def case_measures(useful_df: DataFrame) -> DataFrame:
     day, type and time.  A global sort (range partitioning on the whole
     composite key) rather than one partition per case: a case holding a third
     of all measures is spread over many tasks."""
-    id10 = F.lpad(F.col("id_nda").cast("string"), 10, "0")
+    id10 = stay_key("id_nda")
     return (useful_df.select(id10.alias("id_nda"), F.col("dt_deb").cast("string").alias("j1"),
                              F.concat(id10, F.col("dt_deb").cast("string")).alias("id_case"),
                              "id_measure_type", "dt_insert", "value_numeric")

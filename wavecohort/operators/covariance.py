@@ -131,7 +131,8 @@ def mean_cov_riemann(flat: DataFrame, by: str, d: int, tol: float = 1e-8, max_it
     (``log(C^-½ Ci C^-½)``), averages natively per class, and updates the d×d
     mean on the driver (classes × d² numbers).  Input is checkpointed once to
     the cluster's checkpoint folder so each iteration rereads it instead of
-    recomputing the lineage.
+    recomputing the lineage.  Raises when the tangent mean isn't below ``tol`` after
+    ``max_iter`` iterations.
     """
     spark = flat.sparkSession
     data = flat.select(by, "cov").checkpoint(eager=True)
@@ -176,6 +177,8 @@ def mean_cov_riemann(flat: DataFrame, by: str, d: int, tol: float = 1e-8, max_it
                 step = max(step, float(np.linalg.norm(J[k])))
             if step < tol:
                 break
+        else:
+            raise RuntimeError(f"Riemannian mean: residual {step:.3g} after {max_iter} iterations (tolerance {tol:.3g})")
     rows = [(k, [float(x) for x in v.ravel()]) for k, v in means.items()]
     return spark.createDataFrame(rows, f"{by} {data.schema[by].dataType.simpleString()}, mean_cov array<double>")
 

@@ -1,10 +1,10 @@
 """Splits and evaluation (M1, M4-M6), without single-partition windows.
 
-Ranks and running sums over a global order are computed in three parallel
-steps: range-partition on the order key (equal keys land together), running
-sums inside each partition, and per-partition offsets (one row per partition
-and group, broadcast back).  No partition ever has to hold a whole class or
-all scores.
+Ranks and running sums over a global order are computed in parallel: every row
+has an order-preserving bucket that is a function of its own value; sums run inside
+each bucket, and offsets (one row per bucket and group) are added.  No task ever
+has to hold a whole class or all scores, and every evaluation of the plan puts a
+row in the same bucket.
 """
 
 from __future__ import annotations
@@ -12,28 +12,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecohort.functions.ranges import hex_bucket, quantile_bounds, range_bucket
 
-def running_sums(df: DataFrame, order: list[Column], sums: list[str], groups: list[str] | None = None,
-                 n_parts: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of ``sums`` in ``order`` within each ``groups``
-    value (few groups, e.g. a class label)."""
+#: Buckets of a score order; their bounds are literals in the plan.
+SCORE_BUCKETS = 256
+
+
+def running_sums(df: DataFrame, bucket: Column, order: list[Column], sums: list[str], groups: list[str] | None = None,
+                 prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``sums`` in ``order`` within each ``groups`` value.
+
+    ``bucket`` never decreases along ``order`` and depends on the row only; rows that
+    are equal in ``order`` share a bucket.
+    """
     groups = groups or []
-    spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    s = df.repartitionByRange(n, *[F.col(g) for g in groups], *order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for c in sums:
-        s = s.withColumn(f"_l_{c}", F.sum(c).over(w))
-    tot = s.groupBy("_pid", *groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    # offsets over the per-partition totals: (partitions × groups) rows, so a
-    # single window partition is bounded by the partition count
-    wo = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_pid") \
+    s = df.withColumn("_bucket", bucket)
+    w = Window.partitionBy("_bucket", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tot = s.groupBy("_bucket", *groups).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    # offsets over the totals: one row per bucket and group
+    wo = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_pid", *groups, *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    out = s.join(F.broadcast(offs), ["_pid", *groups])
-    for c in sums:
-        out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.col(f"_l_{c}"))
-    return out.drop("_pid", *[f"_l_{c}" for c in sums], *[f"_o_{c}" for c in sums])
+    offs = tot.select(F.col("_bucket").alias("_ob"), *[F.col(g).alias(f"_og_{g}") for g in groups],
+                      *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    on = F.col("_bucket").eqNullSafe(F.col("_ob"))
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_og_{g}"))
+    out = s.withColumns({f"_l_{c}": F.sum(c).over(w) for c in sums}).join(offs, on)
+    out = out.withColumns({f"{prefix}{c}": F.col(f"_o_{c}") + F.col(f"_l_{c}") for c in sums})
+    return out.drop("_bucket", "_ob", *[f"_og_{g}" for g in groups], *[f"_l_{c}" for c in sums], *[f"_o_{c}" for c in sums])
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, folds: int = 3, seed: int = 42,
@@ -44,7 +50,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, folds: int = 3, see
     folds.  The fold is a column, so later runs reuse the same split."""
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
     d = df.withColumn("_h", h).withColumn("_one", F.lit(1))
-    r = running_sums(d, [F.col("_h")], ["_one"], [label], prefix="_rank")
+    r = running_sums(d, hex_bucket(F.col("_h")), [F.col("_h")], ["_one"], [label], prefix="_rank")
     return r.withColumn(out, F.pmod(F.col("_rank_one") - 1, F.lit(folds)).cast("int")).drop("_h", "_one", "_rank_one")
 
 
@@ -69,7 +75,9 @@ def score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """M5: exact ROC AUC with tied scores counted half (Mann-Whitney form):
     ``Σ_s pos_s · (neg below s + neg_s / 2) / (P · N)``."""
-    sc = running_sums(score_counts(df, y, score), [F.col("score")], ["neg"])
+    counts = score_counts(df, y, score)
+    bounds = quantile_bounds(counts, "score", SCORE_BUCKETS)
+    sc = running_sums(counts, range_bucket(F.col("score"), bounds), [F.col("score")], ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     return sc.agg(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("_w"), F.sum("pos").alias("P"),
                   F.sum("neg").alias("N")).select(
@@ -85,7 +93,8 @@ def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     # enter the plan as literals
     tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     p_tot, n_tot = F.lit(tot["P"]).cast("double"), F.lit(tot["N"]).cast("double")
-    r = running_sums(sc, [F.col("score").desc()], ["pos", "neg"])
+    bounds = quantile_bounds(sc, "score", SCORE_BUCKETS)
+    r = running_sums(sc, -range_bucket(F.col("score"), bounds), [F.col("score").desc()], ["pos", "neg"])
     return r.select(F.col("score").alias("threshold"), F.try_divide(F.col("cum_neg").cast("double"), n_tot).alias("fpr"),
                     F.try_divide(F.col("cum_pos").cast("double"), p_tot).alias("tpr"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.functions.keys import active
+from wavecohort.functions.keys import active, stay_key
 
 
 def join_measures_labels(sensors: DataFrame, ref: DataFrame, code_col: str = "code",
@@ -90,7 +90,7 @@ def map_forms(cases: DataFrame, forms: DataFrame, days: int = 15) -> DataFrame:
 
 def true_death(cases: DataFrame, nda: DataFrame) -> DataFrame:
     """Cases whose death falls in ``(start, end]`` of the stay (start strict)."""
-    n = nda.select(F.lpad(F.col("id_nda").cast("string"), 10, "0").alias("_n_id"), "dt_deb_nda", "dt_fin_nda")
+    n = nda.select(stay_key("id_nda").alias("_n_id"), "dt_deb_nda", "dt_fin_nda")
     d = cases.filter(F.col("dt_deces").isNotNull())
     cond = ((d.id_nda == n._n_id) & (n.dt_deb_nda < d.dt_deces) & (d.dt_deces <= n.dt_fin_nda))
     return d.join(n, cond, "inner").select("id_nda", "j1")
@@ -119,7 +119,6 @@ def enrich_death(matrix: DataFrame, patient_map: DataFrame, patients: DataFrame,
 
 def dt_ranges(cases: DataFrame, useful: DataFrame) -> DataFrame:
     """Min and max time of the useful measures of each stored case."""
-    u = useful.select(F.lpad(F.col("id_nda").cast("string"), 10, "0").alias("id_nda"),
-                      F.col("dt_deb").alias("j1"), "dt_insert")
+    u = useful.select("id_nda", F.col("dt_deb").alias("j1"), "dt_insert")
     return (cases.select("id_nda", "j1").join(u, ["id_nda", "j1"])
             .groupBy("id_nda", "j1").agg(F.min("dt_insert").alias("dt_min"), F.max("dt_insert").alias("dt_max")))

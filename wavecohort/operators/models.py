@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from wavecohort.operators.evaluate import binary_metrics, roc_auc, validation_summary
 
 
+#: The deepest trees Spark ML allows; leaves are bounded by their number of rows.
+MAX_DEPTH = 30
+
+
 def classifier(kind: str, n_train: int | None = None, seed: int = 42, **kw):
     """Estimators named as in the source.
 
@@ -34,16 +38,18 @@ def classifier(kind: str, n_train: int | None = None, seed: int = 42, **kw):
         c = kw.pop("C", 0.9)
         return LogisticRegression(regParam=1.0 / (c * max(n_train or 1, 1)), elasticNetParam=0.0,
                                   standardization=False, maxIter=kw.pop("maxIter", 100), **kw)
+    depth = kw.pop("maxDepth", MAX_DEPTH)
     if kind == "tree":
-        return DecisionTreeClassifier(minInstancesPerNode=kw.pop("minInstancesPerNode", 50), seed=seed, **kw)
+        return DecisionTreeClassifier(minInstancesPerNode=kw.pop("minInstancesPerNode", 50), maxDepth=depth, seed=seed, **kw)
     if kind == "forest":
         return RandomForestClassifier(numTrees=kw.pop("numTrees", 200), minInstancesPerNode=kw.pop("minInstancesPerNode", 50),
-                                      seed=seed, **kw)
+                                      maxDepth=depth, seed=seed, **kw)
     if kind == "bagging":
         return RandomForestClassifier(numTrees=kw.pop("numTrees", 1000), featureSubsetStrategy="all",
-                                      bootstrap=True, subsamplingRate=1.0, seed=seed, **kw)
+                                      bootstrap=True, subsamplingRate=1.0, maxDepth=depth, seed=seed, **kw)
     if kind == "gbt":
-        return GBTClassifier(maxIter=kw.pop("maxIter", 200), seed=seed, **kw)
+        return GBTClassifier(maxIter=kw.pop("maxIter", 200), minInstancesPerNode=kw.pop("minInstancesPerNode", 40), maxDepth=depth,
+                             seed=seed, **kw)
     if kind == "svm":
         return LinearSVC(**kw)
     raise ValueError(kind)
@@ -93,13 +99,18 @@ def gbt_with_early_stop(train: DataFrame, valid_frac_col: str, **kw) -> GBTClass
     return GBTClassifier(validationIndicatorCol=valid_frac_col, **kw)
 
 
+CHECKPOINT_ROUNDS = 10
+
+
 def adaboost(df: DataFrame, features: list[str], label: str = "label", rounds: int = 200, depth: int = 1,
              seed: int = 42):
     """Discrete AdaBoost (SAMME, two classes) from weighted trees.
 
     Each round fits a ``DecisionTreeClassifier(weightCol=…)`` and updates the
-    row weights with column expressions; the data are cached once.
-    Returns ``[(alpha, model)]``.
+    row weights with column expressions; one aggregate gives the weighted error,
+    from which the normaliser follows (``2 sqrt(err (1 - err))`` of the old sum).
+    The lineage is cut by a reliable checkpoint every :data:`CHECKPOINT_ROUNDS`
+    rounds.  Returns ``[(alpha, model)]``.
     """
     d = assemble(features).transform(df).select("features", F.col(label).cast("double").alias("label"))
     n = d.count()
@@ -116,10 +127,10 @@ def adaboost(df: DataFrame, features: list[str], label: str = "label", rounds: i
         models.append((alpha, m))
         if err == 0:
             break
-        upd = F.col("w") * F.exp(F.lit(alpha) * (2 * F.col("miss") - 1))
-        p = p.select("features", "label", upd.alias("w"))
-        tot = p.agg(F.sum("w")).first()[0]
-        d = p.withColumn("w", F.col("w") / F.lit(tot)).checkpoint(eager=True)
+        upd = F.col("w") * F.exp(F.lit(alpha) * (2 * F.col("miss") - 1)) / F.lit(2 * math.sqrt(err * (1 - err)))
+        d = p.select("features", "label", upd.alias("w"))
+        if (r + 1) % CHECKPOINT_ROUNDS == 0:
+            d = d.checkpoint(eager=True)
     return models
 
 

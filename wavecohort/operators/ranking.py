@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,27 @@ def pages_in_window(counts: DataFrame, today_md: str, first_md: str, hour: int,
     md, hr = F.col("month_day"), F.col("hour")
     cond = ((md == first_md) & (hr >= hour)) | ((md == today_md) & (hr < hour))
     if full_days:
-        cond = cond | ((md > first_md) & (md < today_md))
+        # a window across New Year wraps around in MMdd order
+        between = (md > first_md) & (md < today_md) if first_md <= today_md else (md > first_md) | (md < today_md)
+        cond = cond | between
     return counts.filter(cond)
 
 
+def top_pages_at(counts: DataFrame, at: datetime, back_days: int, k: int = 20, first: datetime | None = None,
+                 last: datetime | None = None, day: str = "day") -> DataFrame:
+    """T1/T2 from a moment (K16): ``at`` is clamped to ``[first, last]``, the window goes
+    ``back_days`` back (never before ``first``) and ends before ``at``'s hour.  ``counts``
+    has a DATE column ``day`` (a partition key of the store) and ``hour``; dates keep
+    years apart and need no wrap-around."""
+    at = min(max(at, first or at), last or at)
+    start = max(at - timedelta(days=back_days), first or datetime.min)
+    d, h = F.col(day), F.col("hour")
+    lo, hi = F.lit(start.date()), F.lit(at.date())
+    w = counts.filter((d >= lo) & (d <= hi) & ((d > lo) | (h >= start.hour)) & ((d < hi) | (h < at.hour)))
+    agg = w.groupBy("prj", "page").agg(F.sum("hits").alias("sum_hits"))
+    return agg.orderBy(F.desc("sum_hits"), "prj", "page").limit(k)
+
+
 def top_pages(counts: DataFrame, today_md: str, first_md: str, hour: int, k: int = 20,
               full_days: bool = False) -> DataFrame:
     """T1/T2 + A19: top-``k`` (prj, page) by summed hits in the window.

@@ -71,7 +71,7 @@ def score_dataset(matrix: DataFrame, patient_map: DataFrame, patients: DataFrame
     """Form matrix + death date of the case's patient (J9) + SAPS2 logit and
     probability of the total score field."""
     pm = patient_map.join(patients.select("ids_pat", "dt_deces"), "ids_pat").select("id_nda", "dt_deces")
-    m = matrix.withColumn("id_nda", F.substring("id_ndaj1", 1, 10))
+    m = matrix.withColumn("id_nda", F.expr("substring(id_ndaj1, 1, char_length(id_ndaj1) - 10)"))
     s = F.col(score_field).try_cast("double")
     return (m.join(pm, "id_nda", "inner").drop("id_nda")
             .withColumn("logit", saps2_logit(s)).withColumn("pr", saps2_prob(s)))
@@ -87,19 +87,16 @@ def categories(answers: DataFrame, weight: Column) -> DataFrame:
             .select("PARENT", "LID", "saps2weight", "index").orderBy("PARENT", "index"))
 
 
-def label_encode(df: DataFrame, cats: DataFrame, var_col: str, weight_col: str, out: str = "code",
-                 max_categories: int = 1_000_000) -> DataFrame:
+def label_encode(df: DataFrame, cats: DataFrame, var_col: str, weight_col: str, out: str = "code") -> DataFrame:
     """P5: code = position of the answer's weight in the **string** sort of
     its variable's reference weights; an unknown weight raises.
 
-    The category table has one row per (variable, weight): its size is checked
-    before it is broadcast; above the bound a shuffle join is used.
+    The category table has one row per (variable, weight); Spark broadcasts it when
+    its size allows.
     """
     codes = cats.select(F.col("PARENT").alias("_var"), F.col("saps2weight").alias("_w"),
                         (F.dense_rank().over(Window.partitionBy("PARENT").orderBy("saps2weight")) - 1)
                         .cast("int").alias("_code"))
-    n = cats.count()
-    codes = F.broadcast(codes) if n <= max_categories else codes
     j = df.join(codes, (df[var_col] == codes._var) & (df[weight_col].cast("string") == codes._w), "left")
     code = F.when(F.col("_code").isNull(), F.raise_error(F.concat(
         F.lit("unknown weight "), F.col(weight_col).cast("string"), F.lit(" for "), F.col(var_col)))).otherwise(F.col("_code"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavecohort.functions.keys import pad_left, stay_key
 from wavecohort.session import session_key
 
 # Dictionary used with the test tables (VOI → event types).
@@ -27,6 +28,7 @@ TEST_CODES = sorted({c for _v, _l, cs in TEST_VOIS for c in cs})
 DEATH_BASE = "2024-01-01 12:00:00"   # patients' death date = base + (key*13 mod 40) days
 AGE_BASE, AGE_MOD = 10, 70            # age = 10 + (key*7 mod 70)
 ICU_MAX_REGION = 4                    # units = nations with n_regionkey < 4
+DATED_SHIFT = 18                      # days: dated page counts start in December
 PAGE_DAY = "2024-01-20 13:00:00"      # "now" for the page-count windows
 
 
@@ -131,7 +133,7 @@ def order_stays(spark: SparkSession, d: str) -> DataFrame:
 def case_table(spark: SparkSession, d: str) -> DataFrame:
     """Stored cases ``(id_nda STRING(10), j1 DATE, dt_deces)`` of order stays."""
     s = order_stays(spark, d)
-    return s.select(F.lpad(F.col("id_nda").cast("string"), 10, "0").alias("id_nda"),
+    return s.select(stay_key("id_nda").alias("id_nda"),
                     F.to_date("dt_deb_nda").alias("j1"), "dt_deces")
 
 
@@ -140,7 +142,7 @@ def form_rows(spark: SparkSession, d: str) -> DataFrame:
     """Form answers, long: form = conversation, field = 'f' || turn, value = text length mod 100."""
     c = table(spark, d, "conversations")
     return c.select(F.col("conv_id").alias("id_form"),
-                    F.concat(F.lit("f"), F.lpad(F.col("turn").cast("string"), 2, "0")).alias("champ_formulaire"),
+                    F.concat(F.lit("f"), pad_left("turn", 2)).alias("champ_formulaire"),
                     F.pmod(F.char_length("text"), F.lit(100)).cast("string").alias("lwert"), "role")
 
 
@@ -153,6 +155,15 @@ def page_counts(spark: SparkSession, d: str) -> DataFrame:
                      F.get_json_object("props", "$.k").try_cast("bigint").alias("hits"))
 
 
+@_memo
+def dated_page_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly page counts with a date, set back by 18 days so that they cross New Year:
+    ``(day DATE, hour, prj, page, hits)``."""
+    ev = table(spark, d, "events")
+    return ev.select(F.date_sub(F.to_date("ts"), DATED_SHIFT).alias("day"), F.hour("ts").alias("hour"), F.col("event_type").alias("prj"),
+                     F.col("user_id").cast("string").alias("page"), F.get_json_object("props", "$.k").try_cast("bigint").alias("hits"))
+
+
 @_memo
 def tensor_long(spark: SparkSession, d: str, d_vois: int = 4) -> DataFrame:
     """Waves from ``embeddings``: 64 values = 4 VOIs × 16 points; outcome = label ≥ 5.
@@ -161,7 +172,9 @@ def tensor_long(spark: SparkSession, d: str, d_vois: int = 4) -> DataFrame:
     """
     e = table(spark, d, "embeddings")
     n = F.size("embedding")
-    per = (n / d_vois).cast("int")
+    # equal parts only: a remainder would leave points without a VOI
+    per = F.when(n % d_vois == 0, (n / d_vois).cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("tensor length not divisible: "), n.cast("string"))).cast("int"))
     return (e.select(F.col("vec_id").alias("case"), (F.col("label") >= 5).alias("outcome"),
                      F.posexplode("embedding").alias("pos", "v"), per.alias("per"))
             .select("case", "outcome", (F.col("pos") / F.col("per")).cast("int").alias("voi"),
@@ -209,10 +222,12 @@ SQL: dict[str, str] = {
                             FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey""",
     "case_table": """SELECT lpad(CAST(id_nda AS VARCHAR), 10, '0') AS id_nda, CAST(dt_deb_nda AS DATE) AS j1, dt_deces
         FROM order_stays""",
-    "form_rows": """SELECT conv_id AS id_form, 'f' || lpad(CAST(turn AS VARCHAR), 2, '0') AS champ_formulaire,
+    "form_rows": """SELECT conv_id AS id_form, 'f' || CASE WHEN turn < 10 THEN '0' ELSE '' END || CAST(turn AS VARCHAR) AS champ_formulaire,
         CAST(length(text) % 100 AS VARCHAR) AS lwert, role FROM conversations""",
     "page_counts": """SELECT strftime(ts, '%m%d') AS month_day, CAST(hour(ts) AS INTEGER) AS hour, event_type AS prj,
         CAST(user_id AS VARCHAR) AS page, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS hits FROM events""",
+    "dated_page_counts": f"""SELECT CAST(ts AS DATE) - {DATED_SHIFT} AS day, CAST(hour(ts) AS INTEGER) AS hour, event_type AS prj,
+        CAST(user_id AS VARCHAR) AS page, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS hits FROM events""",
     "tensor_long": """SELECT vec_id AS "case", label >= 5 AS outcome,
         CAST((i - 1) // (len(embedding) // 4) AS INTEGER) AS voi,
         CAST((i - 1) % (len(embedding) // 4) AS INTEGER) AS idx,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wavecohort.functions import voi as V
+from wavecohort.functions.keys import stay_key
 from wavecohort.operators import cohort as C
 from wavecohort.operators import joins as J
 from wavecohort.plans import bindings as B
@@ -74,8 +75,8 @@ WHERE d.age >= {AGE_MIN} AND w.dt_max - w.dt_min >= INTERVAL {MIN_STAY_H} HOUR""
 
 @query("cohort", COHORT_SQL)
 def q_cohort(spark, d):
-    """The full cohort (flagship)."""
-    return cohort_df(spark, d)
+    """The full cohort (flagship), stay ids in their stored form."""
+    return cohort_df(spark, d).withColumn("id_nda", stay_key("id_nda"))
 
 
 @query("first_24h", with_ctes(f"WITH {_S24_SQL.format(span='1 DAY')} SELECT * FROM s24",

@@ -31,10 +31,10 @@ def _forms(spark, d):
     rows = B.form_rows(spark, d)
     o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id_form"), "o_orderdate", "o_orderstatus")
     ans = rows.filter(K.form_fields("champ_formulaire", ["f0"], ["f10", SCORE_FIELD])).select(
-        "id_form", F.lpad(F.col("id_form").cast("string"), 10, "0").alias("id_nda"), "champ_formulaire",
+        "id_form", K.stay_key("id_form").alias("id_nda"), "champ_formulaire",
         F.col("lwert").alias("value_field"))
     heads = (rows.filter(K.form_fields("champ_formulaire", ["f0"], DATE_FIELDS_EXTRA)).select("id_form").distinct()
-             .join(o, "id_form").select("id_form", F.lpad(F.col("id_form").cast("string"), 10, "0").alias("id_nda"),
+             .join(o, "id_form").select("id_form", K.stay_key("id_form").alias("id_nda"),
                                         (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("dt_ins"),
                                         F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("j1")))
     return ans, heads
@@ -82,7 +82,7 @@ def q_form_matrix(spark, d):
     FROM fm JOIN pm ON substr(fm.id_ndaj1, 1, 10) = pm.id_nda""", "form_rows", "patients"))
 def q_score_dataset(spark, d):
     """Form matrix, patient's death date, SAPS2 logit and probability."""
-    o = B.table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("id_nda"),
+    o = B.table(spark, d, "orders").select(K.stay_key("o_orderkey").alias("id_nda"),
                                            F.col("o_custkey").alias("ids_pat"))
     return P.score_dataset(form_matrix_df(spark, d), o, B.patients(spark, d), SCORE_FIELD)
 
@@ -95,8 +95,8 @@ def q_enrich_death(spark, d):
     """Death date of each form's patient joined onto the form matrix."""
     from wavecohort.operators import joins as J
     m = form_matrix_df(spark, d).select("id_form_ndaj1", "id_ndaj1")
-    m = m.withColumn("id_case", F.substring("id_ndaj1", 1, 10))
-    pmap = B.table(spark, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("id_case"),
+    m = m.withColumn("id_case", F.expr("substring(id_ndaj1, 1, char_length(id_ndaj1) - 10)"))
+    pmap = B.table(spark, d, "orders").select(K.stay_key("o_orderkey").alias("id_case"),
                                               F.col("o_custkey").alias("ids_pat"))
     return J.enrich_death(m, pmap, B.patients(spark, d)).drop("id_case")
 
@@ -186,6 +186,34 @@ def q_roc_auc(spark, d):
     return E.roc_auc(B.scores(spark, d), "y", "score")
 
 
+@query("roc_auc_continuous", """WITH s AS (SELECT l_extendedprice AS score, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS pos,
+    count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS neg FROM lineitem GROUP BY 1),
+    r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM s)
+    SELECT sum(pos * (neg_below + neg / 2.0)) / (sum(pos) * 1.0 * sum(neg)) AS auc,
+    CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM r""")
+def q_roc_auc_continuous(spark, d):
+    """M5 on a continuous score: price of a line against its return flag."""
+    li = B.table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").alias("y"), "l_extendedprice")
+    return E.roc_auc(li, "y", "l_extendedprice")
+
+
+@query("roc_points_continuous", """WITH s AS (SELECT value AS score, count(CASE WHEN event_type = 'error' THEN 1 END) AS pos,
+    count(CASE WHEN event_type <> 'error' THEN 1 END) AS neg FROM events GROUP BY 1)
+    SELECT score AS threshold, sum(neg) OVER (ORDER BY score DESC) * 1.0 / sum(neg) OVER () AS fpr,
+    sum(pos) OVER (ORDER BY score DESC) * 1.0 / sum(pos) OVER () AS tpr FROM s""")
+def q_roc_points_continuous(spark, d):
+    """M6 on a continuous score: value of an event against its being an error."""
+    ev = B.table(spark, d, "events").select((F.col("event_type") == "error").alias("y"), "value")
+    return E.roc_curve(ev, "y", "value")
+
+
+@query("stratified_split_orders", """SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus
+    ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '42')) - 1) % 3 AS INTEGER) AS fold FROM orders""")
+def q_stratified_split_orders(spark, d):
+    """M1/T10 on all orders: folds stratified by order status."""
+    return E.stratified_split(B.table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 3, 42)
+
+
 @query("roc_points", with_ctes("""SELECT score AS threshold,
     sum(neg) OVER (ORDER BY score DESC) * 1.0 / sum(neg) OVER () AS fpr,
     sum(pos) OVER (ORDER BY score DESC) * 1.0 / sum(pos) OVER () AS tpr FROM (
@@ -298,8 +326,8 @@ def q_validate_bagging(spark, d):
 @query("cv_accuracy")
 def q_cv_accuracy(spark, d):
     """M2 (rows only): stratified 5-fold cross-validated accuracy of the logistic regression."""
-    f = clf_frame(spark, d).drop("fold")
-    f = E.stratified_split(f, "label", "l_orderkey", 5, 42, out="cv")
+    f0 = clf_frame(spark, d).drop("fold")
+    f = ST.stage(spark, d, "clf_frame_cv", lambda: E.stratified_split(f0, "label", "l_orderkey", 5, 42, out="cv"))
     n = f.count()
     return M.cross_validate(M.classifier("logreg", n_train=n), f, FEATURES, "cv", 5)
 

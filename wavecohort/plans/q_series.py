@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavecohort.functions import voi as V
+from wavecohort.functions.keys import stay_key
 from wavecohort.operators import aggregates as A
 from wavecohort.operators import covariance as CV
 from wavecohort.operators import series as W
@@ -46,10 +47,10 @@ def wave_inputs(spark, d):
     limits; the cohort and the windowed measures are planned once and shared."""
     cohort = ST.cohort(spark, d)
     useful0 = ST.useful(spark, d)
-    cases = cohort.select(F.concat("id_nda", F.col("j1").cast("string")).alias("id_case"),
+    cases = cohort.select(F.concat(stay_key("id_nda"), F.col("j1").cast("string")).alias("id_case"),
                           "dt_min", "dt_max", "dt_deces")
     useful = useful0.select(
-        F.concat(F.lpad(F.col("id_nda").cast("string"), 10, "0"), F.col("dt_deb").cast("string")).alias("id_case"),
+        F.concat(stay_key("id_nda"), F.col("dt_deb").cast("string")).alias("id_case"),
         "id_measure_type", "dt_insert", "value_numeric")
     lim = A.sigma_limits(A.voi_stats(useful0, _vc(spark), _REQ), 3.0)
     return cases, useful, lim
@@ -234,7 +235,7 @@ _DFT_SQL = """dft AS (SELECT t."case", t.voi, k.k, count(*) OVER (PARTITION BY t
 
 
 @query("spectrum", _sql(f"""WITH {_DFT_SQL} SELECT DISTINCT "case", voi, k, k * (n / 86400.0) / n AS freq,
-    sqrt(re * re + im * im) / n AS amplitude FROM dft WHERE k < n // 2""", _TL), rounded=('freq', 'amplitude'))
+    sqrt(re * re + im * im) / n AS amplitude FROM dft WHERE k < n // 2""", _TL), rounded=('amplitude',))
 def q_spectrum(spark, d):
     """One-sided amplitude spectrum, Fs = n per day."""
     return SP.spectrum(_tl(spark, d), ["case", "voi"])
@@ -244,7 +245,7 @@ def q_spectrum(spark, d):
     s AS (SELECT "case", voi, avg(abs(mag)) AS mu, stddev_pop(abs(mag)) AS sd FROM m GROUP BY 1, 2)
     SELECT m."case", m.voi, m.k, m.k * CASE WHEN n // 2 > 1 THEN (1.0 / (2.0 * 0.5)) / (n // 2 - 1) ELSE 0.0 END AS freq,
     CASE WHEN abs(mag) > mu + 2.0 * sd OR abs(mag) < mu - 2.0 * sd THEN 0.0 ELSE mag END AS magnitude
-    FROM m JOIN s ON m."case" = s."case" AND m.voi = s.voi WHERE m.k < n // 2""", _TL), rounded=('freq', 'magnitude'))
+    FROM m JOIN s ON m."case" = s."case" AND m.voi = s.voi WHERE m.k < n // 2""", _TL), rounded=('magnitude',))
 def q_fft_magnitude(spark, d):
     """Unscaled |FFT| on the linspace grid, outliers beyond 2 std zeroed."""
     return SP.fft_magnitude(_tl(spark, d), ["case", "voi"], period=0.5, outlier_k=2.0)
@@ -317,7 +318,7 @@ def q_local_minima(spark, d):
     SELECT d.user_id, d.event_type, d.k,
         CASE WHEN d.n // 2 > 1 THEN d.k * (1.0 / (2.0 * {CUE_PERIOD_MS / 1000.0})) / (d.n // 2 - 1) ELSE 0.0 END AS freq,
         CASE WHEN d.mag > st.mu + 20.0 * st.sd OR d.mag < st.mu - 20.0 * st.sd THEN 0.0 ELSE d.mag END AS magnitude
-    FROM dft d JOIN st ON d.user_id = st.user_id AND d.event_type = st.event_type WHERE d.k < d.n // 2""", rounded=('freq', 'magnitude'))
+    FROM dft d JOIN st ON d.user_id = st.user_id AND d.event_type = st.event_type WHERE d.k < d.n // 2""", rounded=('magnitude',))
 def q_fft_cues(spark, d):
     """W13/W14 on the resampled cues: numpy FFT per series (long-series path),
     outliers beyond 20 std zeroed, linspace frequency grid."""

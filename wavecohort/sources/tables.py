@@ -93,12 +93,17 @@ def replace_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """Replace a table by an adjusted version of itself.
 
     The new version is written to a fresh location first (never over the path
-    being read), then the name is swapped to it.
+    being read); the old table is set aside, the new one takes its name, and only
+    then is the old one dropped.
     """
     tmp = f"{name}__new_{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").saveAsTable(_ident(tmp))
-    spark.sql(f"DROP TABLE IF EXISTS {_ident(name)}")
+    old = f"{name}__old_{uuid.uuid4().hex[:8]}"
+    if spark.catalog.tableExists(name):
+        # a crash between the renames leaves both versions in the catalog
+        spark.sql(f"ALTER TABLE {_ident(name)} RENAME TO {_ident(old)}")
     spark.sql(f"ALTER TABLE {_ident(tmp)} RENAME TO {_ident(name)}")
+    spark.sql(f"DROP TABLE IF EXISTS {_ident(old)}")
     return spark.table(name)
 
 
