@@ -3,9 +3,13 @@
 ``Encoder`` gives the ids that ``Tokenizer.encode(text, add_special_tokens=False)``
 gives, as little-endian unsigned 32-bit bytes.  When the vocabulary drops white
 space (words never merge across it), a text's ids are the ids of its words one
-after the other, so every distinct word is encoded once per worker and looked
-up afterwards; the word table is emptied when it reaches ``max_words`` (this
-bounds memory and changes no result).  Other vocabularies encode whole texts.
+after the other, so a distinct word is encoded once per worker and looked up
+afterwards.  The word table has two generations of at most ``max_words`` words:
+a full one becomes the old one, and words still in use move on from there (this
+bounds memory and changes no result).  Words of Latin letters, with at most one
+closing mark, go to the vocabulary's merge model directly where its other steps
+are known to do nothing more for them; all other words and vocabularies take
+the full path.
 """
 
 from __future__ import annotations
@@ -19,33 +23,78 @@ from array import array
 #: are encoded whole.
 _SPLIT_ONLY = re.compile("[\x1c-\x1f]")
 _LONG_WORD = 64
+#: Letters below this code point are single code points with one lower-case form
+#: (U+0130 apart) and the same in composed form.
+_LATIN_END = 0x250
+_LATIN_WORD = re.compile("[^\\W\\d_\u0130\u0250-\U0010ffff]+")
+_CLOSING = ".,!?;:"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-def _words_apart(path: str) -> bool:
-    """Whether the vocabulary's pre-tokenizer removes white space between pieces."""
-    with open(path, encoding="utf-8") as f:
-        pre = json.load(f).get("pre_tokenizer") or {}
-    steps = pre.get("pretokenizers", [pre])
-    first = steps[0] if steps else {}
+def _types(step: dict | None, inner: str) -> list[dict]:
+    step = step or {}
+    return step.get(inner, [step]) if step else []
+
+
+def _words_apart(spec: dict) -> bool:
+    """Whether the pre-tokenizer removes white space between pieces."""
+    first = (_types(spec.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
     return (first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
             and "\\s" in str(first.get("pattern")))
 
 
+def _letters_direct(spec: dict) -> bool:
+    """Whether a run of letters is composed, lower-cased, kept in one piece and
+    mapped byte by byte before the merges, and nothing else."""
+    norm, pre = _types(spec.get("normalizer"), "normalizers"), _types(spec.get("pre_tokenizer"), "pretokenizers")
+    return (_words_apart(spec) and spec.get("model", {}).get("type", "BPE") == "BPE"
+            and [n.get("type") for n in norm] == ["NFC", "Replace", "Lowercase"] and "\\s+" in str(norm[1].get("pattern"))
+            and [p.get("type") for p in pre] == ["Split", "ByteLevel"] and "[\\p{L}]+" in pre[0]["pattern"].get("Regex", "")
+            and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex"))
+
+
 class Encoder:
     def __init__(self, path: str, max_words: int = 700_000):
         # Spark runs one worker per core already
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tok = Tokenizer.from_file(path)
-        self.apart = _words_apart(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.apart, self.direct = _words_apart(spec), _letters_direct(spec)
         self.max_words = max_words
         self.table: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if self.direct:
+            self.model = self.tok.model
+            as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.bytewise = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(128, _LATIN_END) if chr(c).isalpha()}
+            self.marks = dict(zip(_CLOSING, self._whole(list(_CLOSING))))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word, with the ids of stems as a by-product."""
+        if not self.direct:
+            return dict(zip(words, self._whole(words)))
+        out, rest, match, known, merge = {}, [], _LATIN_WORD.fullmatch, self.table, self.model.tokenize
+        for w in words:
+            stem, mark = (w[:-1], self.marks[w[-1]]) if w[-1] in _CLOSING else (w, b"")
+            ids = out.get(stem) or known.get(stem)
+            if ids is None:
+                if not match(stem):
+                    rest.append(w)
+                    continue
+                low = stem.lower()
+                ids = array("I", [t.id for t in merge(low if low.isascii() else low.translate(self.bytewise))]).tobytes()
+                out[stem] = ids
+            out[w] = ids + mark
+        out.update(zip(rest, self._whole(rest)))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         if not self.apart:
@@ -57,13 +106,15 @@ class Encoder:
         for a in range(0, len(texts), 100):
             split = {i: texts[i].split() for i in range(a, min(a + 100, len(texts))) if out[i] is None}
             if len(self.table) > self.max_words:
-                self.table.clear()
+                self.table, self.old = {}, self.table
             new = set().union(*split.values()).difference(self.table)
+            if self.old:
+                again = {w: self.old[w] for w in new if w in self.old}
+                self.table.update(again)
+                new = new.difference(again)
             extra: dict[str, bytes] = {}
             if new:
-                new = list(new)
-                got = zip(new, self._whole(new))
-                for w, b in got:
+                for w, b in self._words(list(new)).items():
                     (self.table if len(w) <= _LONG_WORD else extra)[w] = b
             get = self.table.__getitem__
             for i, ws in split.items():
