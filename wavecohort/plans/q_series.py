@@ -316,7 +316,8 @@ def q_local_minima(spark, d):
             FROM kk JOIN cz c ON c.user_id = kk.user_id AND c.event_type = kk.event_type GROUP BY 1, 2, 3, 4),
     st AS (SELECT user_id, event_type, avg(abs(mag)) AS mu, stddev_pop(abs(mag)) AS sd FROM dft GROUP BY 1, 2)
     SELECT d.user_id, d.event_type, d.k,
-        CASE WHEN d.n // 2 > 1 THEN d.k * (1.0 / (2.0 * {CUE_PERIOD_MS / 1000.0})) / (d.n // 2 - 1) ELSE 0.0 END AS freq,
+        CASE WHEN d.n // 2 > 1 AND d.k = d.n // 2 - 1 THEN CAST(1.0 AS DOUBLE) / (2.0 * {CUE_PERIOD_MS / 1000.0})
+             WHEN d.n // 2 > 1 THEN d.k * ((CAST(1.0 AS DOUBLE) / (2.0 * {CUE_PERIOD_MS / 1000.0})) / (d.n // 2 - 1)) ELSE 0.0 END AS freq,
         CASE WHEN d.mag > st.mu + 20.0 * st.sd OR d.mag < st.mu - 20.0 * st.sd THEN 0.0 ELSE d.mag END AS magnitude
     FROM dft d JOIN st ON d.user_id = st.user_id AND d.event_type = st.event_type WHERE d.k < d.n // 2""", rounded=('magnitude',))
 def q_fft_cues(spark, d):
