@@ -246,8 +246,11 @@ def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str =
                        (F.floor((epoch_us(time) - mid) / step) - b0).cast("int").alias("idx"))
               .groupBy(rec, cue, "idx").agg(F.avg("_v").alias("value")))
     cues = df.select(rec, cue).distinct().join(bounds, rec)
-    grid = cues.select(rec, cue, "_t0", F.explode(F.sequence(
-        F.lit(0), (F.floor((epoch_us("_t1") - mid) / step) - b0).cast("int"))).alias("idx"))
+    last = (F.floor((epoch_us("_t1") - mid) / step) - b0).cast("int")
+    # block numbers first, spread over the tasks; each block's points are made there
+    blocks = cues.select(rec, cue, "_t0", last.alias("_last"), F.explode(F.sequence(F.lit(0), F.floor(last / block).cast("int"))).alias("_b"))
+    grid = blocks.repartition(rec, cue, "_b").select(rec, cue, "_t0", F.explode(F.sequence(
+        F.col("_b") * block, F.least(F.col("_b") * block + (block - 1), F.col("_last")))).alias("idx"))
     g = grid.join(binned, [rec, cue, "idx"], "left")
     # recordings can be long: blocked windows, no task holds a whole series
     g = interpolate(g, [rec, cue], limit=None, fill=False, block=block)
@@ -282,3 +285,9 @@ def local_minima(series: DataFrame, keys: list[str], lo_s: float, hi_s: float,
 def case_raw(measures: DataFrame, case_col: str, case_value) -> DataFrame:
     """The measures of one case (single-case view), ordered by time."""
     return measures.filter(F.col(case_col) == F.lit(case_value)).orderBy("id_measure_type", "dt_insert")
+
+
+def case_raw_at(measures: DataFrame, case_col: str, position: int) -> DataFrame:
+    """The measures of the case at a position (from 0) in the order of case ids."""
+    one = measures.select(case_col).distinct().orderBy(case_col).offset(position).limit(1)
+    return measures.join(F.broadcast(one), case_col, "left_semi").orderBy("id_measure_type", "dt_insert")

@@ -69,43 +69,38 @@ def fft_magnitude(long: DataFrame, keys: list[str], period: float, outlier_k: fl
 
 def fft_magnitude_long(long: DataFrame, keys: list[str], period: float, outlier_k: float | None = 20.0,
                        value: str = "value") -> DataFrame:
-    """W13 for long series: ``numpy.fft`` per series in ``applyInPandas``
-    (O(n log n) instead of the native O(n²) DFT), same output as
-    :func:`fft_magnitude`.  One group per series; the series is whole by
-    nature of the transform."""
-    key_fields = [f for f in long.schema.fields if f.name in keys]
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-    schema = StructType(key_fields + [StructField("k", IntegerType()), StructField("freq", DoubleType()),
-                                      StructField("magnitude", DoubleType())])
+    """W13 for long series, same output as :func:`fft_magnitude`: one step of the
+    divide-and-conquer Fourier transform as two grouped sums.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        x = pdf[value].astype(float).fillna(0.0).to_numpy()
-        n = len(x)
-        mag = np.abs(np.fft.fft(x))
-        if outlier_k is not None and n:
-            mu, sd = mag.mean(), mag.std()
-            mag = np.where((mag > mu + outlier_k * sd) | (mag < mu - outlier_k * sd), 0.0, mag)
-        h = n // 2
-        freq = np.linspace(0.0, 1.0 / (2.0 * period), h) if h > 1 else np.zeros(h)
-        out = pd.DataFrame({"k": np.arange(h, dtype="int32"), "freq": freq, "magnitude": mag[:h]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "k", "freq", "magnitude"]]
-
-    return long.select(*keys, "idx", value).groupBy(*keys).applyInPandas(run, schema)
-
-
-def zero_outliers_array(df: DataFrame, col: str, k: float = 20.0) -> DataFrame:
-    """W14 on an array column: entries whose magnitude lies outside
-    ``mean ± k·std`` (population) of the array's magnitudes become 0."""
-    x = F.col(col)
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.abs(v)) / n
-    var = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.abs(v) * F.abs(v)) / n - mean * mean
-    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return df.withColumn(col, F.transform(x, lambda v: F.when(
-        (F.abs(v) > mean + F.lit(k) * sd) | (F.abs(v) < mean - F.lit(k) * sd), F.lit(0.0)).otherwise(v)))
+    A series of ``n = n1 * n2`` points (``n1`` the largest divisor up to the square
+    root) is cut into ``n2`` interleaved parts; sums over ``j1`` give their transforms,
+    a phase factor and sums over ``j2`` the whole one: ``n * (n1 + n2)`` products
+    spread over all tasks, summed before each shuffle, and no task holds a series.
+    """
+    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    divisors = F.filter(F.sequence(F.lit(1), F.floor(F.sqrt("_n")).cast("int")), lambda x: F.col("_n") % x == 0)
+    n = n.withColumn("_n1", F.array_max(divisors).cast("long")).withColumn("_n2", F.expr("_n div _n1"))
+    x = long.select(*keys, F.col("idx").cast("long").alias("_j"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x")).join(n, keys)
+    turn = F.lit(-TWO_PI)
+    # j = j1 * n2 + j2, k = k1 + n1 * k2
+    inner = x.withColumn("_k1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n1") - 1)))
+    angle = turn * ((F.expr("_j div _n2") * F.col("_k1")) % F.col("_n1")) / F.col("_n1")
+    inner = inner.groupBy(*keys, "_n", "_n1", "_n2", (F.col("_j") % F.col("_n2")).alias("_j2"), "_k1").agg(
+        F.sum(F.col("_x") * F.cos(angle)).alias("_a"), F.sum(F.col("_x") * F.sin(angle)).alias("_b"))
+    outer = inner.withColumn("_k2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n2") - 1)))
+    angle = turn * ((F.col("_j2") * (F.col("_k1") + F.col("_n1") * F.col("_k2"))) % F.col("_n")) / F.col("_n")
+    outer = outer.groupBy(*keys, "_n", (F.col("_k1") + F.col("_n1") * F.col("_k2")).cast("int").alias("k")).agg(
+        F.sum(F.col("_a") * F.cos(angle) - F.col("_b") * F.sin(angle)).alias("_re"),
+        F.sum(F.col("_a") * F.sin(angle) + F.col("_b") * F.cos(angle)).alias("_im"))
+    d = outer.select(*keys, "k", "_n", F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("magnitude"))
+    if outlier_k is not None:
+        m = F.col("magnitude")
+        st = d.groupBy(*keys).agg(F.avg(m).alias("_mu"), F.stddev_pop(m).alias("_sd"))
+        d = d.join(st, keys).withColumn("magnitude", F.when(F.abs(m - F.col("_mu")) > outlier_k * F.col("_sd"), F.lit(0.0)).otherwise(m))
+    h = F.floor(F.col("_n") / 2).cast("int")
+    top = F.lit(1.0 / (2.0 * period))
+    freq = (F.when(h <= 1, F.lit(0.0)).when(F.col("k") == h - 1, top).otherwise(F.col("k") * (top / (h - 1))))
+    return d.filter(F.col("k") < h).select(*keys, "k", freq.alias("freq"), "magnitude")
 
 
 def zero_outliers(long: DataFrame, keys: list[str], k: float = 20.0, value: str = "value") -> DataFrame:
@@ -133,43 +128,73 @@ def butter_lowpass(order: int, cutoff: float, fs: float) -> tuple[np.ndarray, np
     return b, a
 
 
-def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Causal IIR recursion ``y_t = Σ b_i x_{t−i} − Σ_{i≥1} a_i y_{t−i}``, zero start."""
-    b = np.asarray(b, float) / a[0]
-    a = np.asarray(a, float) / a[0]
-    y = np.zeros(len(x))
-    nb, na = len(b), len(a)
-    for t in range(len(x)):
-        acc = 0.0
-        for i in range(min(nb, t + 1)):
-            acc += b[i] * x[t - i]
-        for i in range(1, min(na, t + 1)):
-            acc -= a[i] * y[t - i]
-        y[t] = acc
-    return y
+def _state_space(b: np.ndarray, a: np.ndarray, block: int):
+    """Matrices of the recursion ``y_t = sum b_i x_{t-i} - sum a_i y_{t-i}`` over a block:
+    impulse response (lower triangle), start state to outputs, inputs to end state,
+    start state to end state."""
+    b, a = np.asarray(b, float) / a[0], np.asarray(a, float) / a[0]
+    m = len(a) - 1
+    step = np.eye(m, k=1)                            # transposed direct form
+    step[:, 0] -= a[1:]
+    gain = b[1:] - a[1:] * b[0]
+    powers = [np.eye(m)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    observe = np.stack([p[0] for p in powers[:block]])
+    impulse = np.concatenate([[b[0]], [p[0] @ gain for p in powers[:block - 1]]])
+    i, j = np.indices((block, block))
+    response = np.where(i >= j, impulse[np.maximum(i - j, 0)], 0.0)
+    to_end = np.stack([powers[block - 1 - t] @ gain for t in range(block)], axis=1)
+    return response, observe, to_end, powers[block]
 
 
 def lowpass(long: DataFrame, keys: list[str], cue_col: str, cutoffs: dict, fs: float, order: int = 5,
-            value: str = "value") -> DataFrame:
-    """Butterworth low-pass per series with a per-cue cut-off.
-
-    Coefficients are computed on the driver (a few numbers per cue) and
-    shipped in the closure; each series is filtered in its own
-    ``applyInPandas`` group, in grid order.  Missing values are treated as 0
-    by the recursion, as ``lfilter`` would propagate NaN otherwise.
+            value: str = "value", block: int = 256) -> DataFrame:
+    """Causal Butterworth low-pass per series with a per-cue cut-off, zero start.
+
+    The recursion is linear, so a series is filtered in blocks of points: each block
+    alone from a zero state (a matrix product), then one row per block carries the
+    state of ``order`` numbers to the next block, and the carried state's response is
+    added.  A task holds one block, or one series' block rows.  ``idx`` is contiguous
+    from 0; missing values count as 0; cues without a cut-off stay as they are.
     """
-    coefs = {c: butter_lowpass(order, f, fs) for c, f in cutoffs.items()}
-    schema = long.select(*keys, "idx", value).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        ba = coefs.get(pdf[cue_col].iloc[0])
-        if ba is not None:
-            x = pdf[value].astype(float).fillna(0.0).to_numpy()
-            pdf[value] = lfilter(ba[0], ba[1], x)
-        return pdf
-
-    return long.select(*keys, "idx", value).groupBy(*keys).applyInPandas(run, schema)
+    made = {c: _state_space(*butter_lowpass(order, f, fs), block) for c, f in cutoffs.items()}
+    base = long.select(*keys, "idx", F.col(value).cast("double").alias(value))
+    plain = base.filter(~F.col(cue_col).isin(list(cutoffs)) | F.col(cue_col).isNull())
+    rows = base.filter(F.col(cue_col).isin(list(cutoffs))).withColumn("_blk", F.expr(f"cast(idx div {block} as int)"))
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    key_ddl = ", ".join(f"`{k}` {fields[k]}" for k in keys)
+
+    def alone(key, pdf):
+        response, _observe, to_end, _next = made[pdf[cue_col].iloc[0]]
+        x = np.zeros(block)
+        at = pdf["idx"].to_numpy() % block
+        x[at] = np.nan_to_num(pdf[value].to_numpy(float))
+        out = pdf.assign(**{value: (response @ x)[at]})
+        out["_end"] = [None] * len(out)
+        out.at[out.index[0], "_end"] = (to_end @ x).tolist()      # once per block
+        return out
+    done = rows.groupBy(*keys, "_blk").applyInPandas(
+        alone, f"{key_ddl}, idx {fields['idx']}, `{value}` double, _blk int, _end array<double>")
+
+    def carry(key, pdf):
+        pdf = pdf.sort_values("_blk")
+        move = made[pdf[cue_col].iloc[0]][3]
+        state, states = np.zeros(order), []
+        for end in pdf["_end"]:
+            states.append(state.tolist())
+            state = move @ state + np.asarray(end)
+        return pdf.drop(columns="_end").assign(_state=states)
+    states = done.filter(F.col("_end").isNotNull()).select(*keys, "_blk", "_end").groupBy(*keys).applyInPandas(
+        carry, f"{key_ddl}, _blk int, _state array<double>")
+    # constant tables: ``block`` rows for each cue
+    spark = long.sparkSession
+    seen = spark.createDataFrame([(c, t, m[1][t].tolist()) for c, m in made.items() for t in range(block)],
+                                 f"_cue {fields[cue_col]}, _t int, _observe array<double>")
+    joined = (done.join(states, [*keys, "_blk"])
+              .join(F.broadcast(seen), (F.col(cue_col) == F.col("_cue")) & (F.col("idx") % block == F.col("_t"))))
+    added = F.aggregate(F.zip_with("_observe", "_state", lambda o, z: o * z), F.lit(0.0), lambda s, v: s + v)
+    return joined.select(*keys, "idx", (F.col(value) + added).alias(value)).unionByName(plain)
 
 
 # ---------------------------------------------------------------- spline

@@ -181,9 +181,19 @@ def q_interpolate_spline(spark, d):
 def q_case_raw(spark, d):
     """Single-case view (the case with the most measures)."""
     _c, useful, _l = wave_inputs(spark, d)
-    top = (useful.groupBy("id_case").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "id_case").limit(1).select("id_case"))
-    return useful.join(top, "id_case")
+    top = useful.groupBy("id_case").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id_case").first()
+    return W.case_raw(useful, "id_case", top["id_case"] if top else None)
+
+
+CASE_POSITION = 3
+
+
+@query("case_raw_at", _sql(f"""WITH {_W_SQL}, one AS (SELECT DISTINCT id_case FROM useful ORDER BY id_case LIMIT 1 OFFSET {CASE_POSITION})
+    SELECT u.* FROM useful u JOIN one ON u.id_case = one.id_case"""))
+def q_case_raw_at(spark, d):
+    """The measures of the case at a position in the order of case ids."""
+    _c, useful, _l = wave_inputs(spark, d)
+    return W.case_raw_at(useful, "id_case", CASE_POSITION)
 
 
 # ----------------------------------------------------------------- tensor binding (embeddings)
@@ -327,13 +337,34 @@ def q_fft_cues(spark, d):
     return SP.fft_magnitude_long(cues, ["user_id", "event_type"], CUE_PERIOD_MS / 1000.0, 20.0)
 
 
-@query("lowpass")
+_FS = 1000.0 / CUE_PERIOD_MS
+_CUT = {c: _FS / f for c, f in [("click", 8), ("view", 8), ("error", 6), ("purchase", 5), ("signup", 4)]}
+
+
+def _lowpass_sql():
+    """The filter sample by sample (transposed direct form, five state numbers)."""
+    rows = []
+    for c, cut in _CUT.items():
+        b, a = SP.butter_lowpass(5, cut, _FS)
+        rows.append(f"('{c}', " + ", ".join(f"CAST('{x!r}' AS DOUBLE)" for x in [*map(float, b), *map(float, a[1:])]) + ")")
+    names = ", ".join([*[f"b{i}" for i in range(6)], *[f"a{i}" for i in range(1, 6)]])
+    nxt = ", ".join(f"k.b{i} * x.v + {f'f.z{i + 1}' if i < 5 else '0.0'} - k.a{i} * (k.b0 * x.v + f.z1) AS z{i}" for i in range(1, 6))
+    first = ", ".join(f"k.b{i} * x.v - k.a{i} * (k.b0 * x.v) AS z{i}" for i in range(1, 6))
+    return f"""WITH RECURSIVE {_CUES_SQL},
+    x AS MATERIALIZED (SELECT user_id, event_type, idx, coalesce(value, 0.0) AS v FROM cues),
+    k(event_type, {names}) AS (VALUES {", ".join(rows)}),
+    f AS (SELECT x.user_id, x.event_type, x.idx, k.b0 * x.v AS value, {first} FROM x JOIN k ON x.event_type = k.event_type WHERE x.idx = 0
+          UNION ALL
+          SELECT x.user_id, x.event_type, x.idx, k.b0 * x.v + f.z1, {nxt}
+          FROM f JOIN x ON x.user_id = f.user_id AND x.event_type = f.event_type AND x.idx = f.idx + 1 JOIN k ON x.event_type = k.event_type)
+    SELECT user_id, event_type, idx, value FROM f"""
+
+
+@query("lowpass", _lowpass_sql(), rounded=("value",))
 def q_lowpass(spark, d):
-    """W16 (rows only): order-5 Butterworth low-pass per resampled cue."""
+    """Order-5 Butterworth low-pass per resampled cue."""
     cues = cues_df(spark, d).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    fs = 1000.0 / CUE_PERIOD_MS
-    cut = {c: fs / f for c, f in [("click", 8), ("view", 8), ("error", 6), ("purchase", 5), ("signup", 4)]}
-    return SP.lowpass(cues, ["user_id", "event_type"], "event_type", cut, fs, 5)
+    return SP.lowpass(cues, ["user_id", "event_type"], "event_type", _CUT, _FS, 5)
 
 
 # ----------------------------------------------------------------- covariance (tensor binding)
