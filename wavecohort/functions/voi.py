@@ -26,10 +26,6 @@ DEFAULT_VOIS = [
 # Variables that may be missing from a case (source: body temperature).
 OPTIONAL_VOIS = ("BT",)
 
-# Upper bound checked before a dictionary is broadcast (rows of (voi, code)).
-MAX_BROADCAST_CODES = 100_000
-
-
 _DICTS: dict[tuple, DataFrame] = {}
 
 
@@ -96,8 +92,3 @@ def voi_label(dic: DataFrame, vois: DataFrame, voi_col: str = "voi") -> DataFram
                     F.when(F.col("_v").isNull(),
                            F.raise_error(F.concat(F.lit("unknown VOI: "), F.col(voi_col))))
                     .otherwise(F.col("label")).cast("string").alias("label"))
-
-
-def broadcast_small(df: DataFrame, n_rows_bound: int, limit: int = MAX_BROADCAST_CODES) -> DataFrame:
-    """Broadcast hint only when the caller's proven row bound is under ``limit``."""
-    return F.broadcast(df) if n_rows_bound <= limit else df

@@ -15,7 +15,7 @@ from wavecohort.functions.keys import active
 def measure_counts(sensors24: DataFrame, ref: DataFrame) -> DataFrame:
     """Active measures per type with its label, most frequent first
     (ties by code then label)."""
-    r = F.broadcast(ref.select(F.col("code").alias("id_measure_type"), "label"))
+    r = ref.select(F.col("code").alias("id_measure_type"), "label")
     return (active(sensors24, positive=False).join(r, "id_measure_type")
             .groupBy("id_measure_type", "label").agg(F.count(F.lit(1)).alias("counter"))
             .orderBy(F.desc("counter"), "id_measure_type", "label"))
@@ -89,9 +89,9 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None,
     keys = [by] if by else []
     d = d.select(*keys, x.alias("_x"))
     if keys:
-        # bounds: one row per group (the groups are few, e.g. VOIs), joined back
+        # bounds: one row per group, joined back (broadcast where their size allows)
         bounds = d.groupBy(*keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        d = d.join(F.broadcast(bounds), keys)
+        d = d.join(bounds, keys)
     else:
         b = d.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
         d = d.withColumn("lo", F.lit(b["lo"])).withColumn("hi", F.lit(b["hi"]))

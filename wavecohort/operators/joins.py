@@ -16,10 +16,10 @@ from wavecohort.functions.keys import active, stay_key
 
 def join_measures_labels(sensors: DataFrame, ref: DataFrame, code_col: str = "code",
                          label_col: str = "label") -> DataFrame:
-    """Measures ⋈ reference labels on the measure code (``ref`` is a
-    dimension of measure codes, broadcast)."""
+    """Measures ⋈ reference labels on the measure code (``ref`` is a table of
+    measure codes; Spark broadcasts it when its size allows)."""
     r = ref.select(F.col(code_col).alias("_code"), F.col(label_col).alias("label"))
-    return sensors.join(F.broadcast(r), sensors.id_measure_type == r._code, "inner").drop("_code")
+    return sensors.join(r, sensors.id_measure_type == r._code, "inner").drop("_code")
 
 
 def first_window(sensors: DataFrame, moves: DataFrame, span: str = "1 day") -> DataFrame:
@@ -35,11 +35,6 @@ def first_window(sensors: DataFrame, moves: DataFrame, span: str = "1 day") -> D
     return j.select(F.to_date("_start").alias("dt_deb"), *[sensors[c] for c in sensors.columns])
 
 
-def semi(df: DataFrame, keys_df: DataFrame, on: list[str] | str) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys_df`` (``IN (select …)``)."""
-    return df.join(keys_df.select(*([on] if isinstance(on, str) else on)), on, "left_semi")
-
-
 def anti(df: DataFrame, keys_df: DataFrame, on: list[str] | str) -> DataFrame:
     """``NOT IN`` on non-null keys as a plain left anti join.
 

@@ -29,9 +29,9 @@ def classifier(kind: str, n_train: int | None = None, seed: int = 42, **kw):
     """Estimators named as in the source.
 
     ``logreg``: L2 with C=0.9 → ``regParam = 1/(C·N)``, no standardisation;
-    ``tree`` / ``forest``: leaves of at least 50 rows, 200 trees;
-    ``gbt``: 200 rounds, early stop on a validation column;
-    ``bagging``: forest with all features per split;
+    ``tree`` / ``forest``: leaves of at least 50 rows, 200 trees, no other depth bound;
+    ``gbt``: 200 rounds of depth 3, leaves of at least 40 rows, early stop on a validation column;
+    ``bagging``: 1000 fully grown trees on all features;
     ``svm``: linear SVM (calibrated separately, see :func:`calibrated_svm`).
     """
     if kind == "logreg":
@@ -48,8 +48,8 @@ def classifier(kind: str, n_train: int | None = None, seed: int = 42, **kw):
         return RandomForestClassifier(numTrees=kw.pop("numTrees", 1000), featureSubsetStrategy="all",
                                       bootstrap=True, subsamplingRate=1.0, maxDepth=depth, seed=seed, **kw)
     if kind == "gbt":
-        return GBTClassifier(maxIter=kw.pop("maxIter", 200), minInstancesPerNode=kw.pop("minInstancesPerNode", 40), maxDepth=depth,
-                             seed=seed, **kw)
+        return GBTClassifier(maxIter=kw.pop("maxIter", 200), minInstancesPerNode=kw.pop("minInstancesPerNode", 40),
+                             maxDepth=depth if depth != MAX_DEPTH else 3, seed=seed, **kw)
     if kind == "svm":
         return LinearSVC(**kw)
     raise ValueError(kind)
@@ -94,11 +94,6 @@ def cross_validate(est, df: DataFrame, features: list[str], fold_col: str, k: in
     return df.sparkSession.createDataFrame(rows, "fold int, accuracy double")
 
 
-def gbt_with_early_stop(train: DataFrame, valid_frac_col: str, **kw) -> GBTClassifier:
-    """M9: GBT stopping on a validation column (loss, not AUC)."""
-    return GBTClassifier(validationIndicatorCol=valid_frac_col, **kw)
-
-
 CHECKPOINT_ROUNDS = 10
 
 

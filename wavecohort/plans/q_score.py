@@ -310,9 +310,9 @@ def q_validate_svm(spark, d):
 
 @query("validate_adaboost")
 def q_validate_adaboost(spark, d):
-    """M11 (rows only): AdaBoost of depth-1 trees (25 rounds here; 200 in the source)."""
+    """M11 (rows only): AdaBoost of depth-1 trees, 200 rounds."""
     tr, va = _split(spark, d)
-    models = M.adaboost(tr, FEATURES, "label", rounds=25)
+    models = M.adaboost(tr, FEATURES, "label", rounds=200)
     s = M.adaboost_score(models, va, FEATURES)
     return E.validation_summary(s, "label", F.col("prediction") > 0.5, "proba")
 
@@ -336,7 +336,7 @@ def q_cv_accuracy(spark, d):
 def q_importances(spark, d):
     """M13 (rows only): forest feature importances, largest first."""
     tr, _va = _split(spark, d)
-    model = M.fit(M.classifier("forest", numTrees=50), tr, FEATURES)
+    model = M.fit(M.classifier("forest"), tr, FEATURES)
     return M.importances(model, FEATURES)
 
 

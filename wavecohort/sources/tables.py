@@ -131,16 +131,14 @@ def save_model(model, path: str) -> None:
 
 def load_model(path: str):
     """Load a model saved by :func:`save_model` (pipeline or single stage)."""
-    from pyspark.ml import PipelineModel
-    try:
+    from pyspark.ml import PipelineModel, classification
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+    meta = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession())
+    name = meta["class"].rsplit(".", 1)[1]
+    if name == "PipelineModel":
         return PipelineModel.load(path)
-    except Exception:  # a bare estimator model was saved
-        from pyspark.ml.util import DefaultParamsReader
-        meta = DefaultParamsReader.loadMetadata(path, None)
-        mod, cls = meta["class"].replace("org.apache.spark", "pyspark").rsplit(".", 1)
-        import importlib
-        return getattr(importlib.import_module(mod), cls).load(path)
-
-
-def col_or_name(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    kind = getattr(classification, name, None)
+    if kind is None:
+        raise ValueError(f"not a saved classifier or pipeline: {meta['class']}")
+    return kind.load(path)
