@@ -44,5 +44,5 @@ def query(name: str, sql: str | None = None, rounded: tuple[str, ...] = ()):
 
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # Importing the query modules fills the registry.
-    from wavecohort.plans import q_cohort, q_relational, q_score, q_series  # noqa: F401
+    from wavecohort.plans import q_cohort, q_jobs, q_relational, q_score, q_series  # noqa: F401
     return REGISTRY
