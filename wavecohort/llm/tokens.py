@@ -23,10 +23,10 @@ from array import array
 #: are encoded whole.
 _SPLIT_ONLY = re.compile("[\x1c-\x1f]")
 _LONG_WORD = 64
-#: Letters below this code point are single code points with one lower-case form
-#: (U+0130 apart) and the same in composed form.
-_LATIN_END = 0x250
-_LATIN_WORD = re.compile("[^\\W\\d_\u0130\u0250-\U0010ffff]+")
+#: Latin letters below U+0180 (without U+0130): one code point each in composed
+#: form, and so are their lower-case forms.
+_LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_LATIN_WORD = re.compile(f"[{_LATIN}]+")
 _CLOSING = ".,!?;:"
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -70,7 +70,8 @@ class Encoder:
         if self.direct:
             self.model = self.tok.model
             as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-            self.bytewise = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(128, _LATIN_END) if chr(c).isalpha()}
+            self.bytewise = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(128, 0x180)
+                             if _LATIN_WORD.fullmatch(chr(c))}
             self.marks = dict(zip(_CLOSING, self._whole(list(_CLOSING))))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -83,11 +84,11 @@ class Encoder:
         out, rest, match, known, merge = {}, [], _LATIN_WORD.fullmatch, self.table, self.model.tokenize
         for w in words:
             stem, mark = (w[:-1], self.marks[w[-1]]) if w[-1] in _CLOSING else (w, b"")
+            if not match(stem):
+                rest.append(w)
+                continue
             ids = out.get(stem) or known.get(stem)
             if ids is None:
-                if not match(stem):
-                    rest.append(w)
-                    continue
                 low = stem.lower()
                 ids = array("I", [t.id for t in merge(low if low.isascii() else low.translate(self.bytewise))]).tobytes()
                 out[stem] = ids
@@ -104,24 +105,31 @@ class Encoder:
         for i, b in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = b
         for a in range(0, len(texts), 100):
-            split = {i: texts[i].split() for i in range(a, min(a + 100, len(texts))) if out[i] is None}
             if len(self.table) > self.max_words:
                 self.table, self.old = {}, self.table
-            new = set().union(*split.values()).difference(self.table)
-            if self.old:
-                again = {w: self.old[w] for w in new if w in self.old}
-                self.table.update(again)
-                new = new.difference(again)
+            find, waiting, new = self.table.get, {}, set()
+            for i in range(a, min(a + 100, len(texts))):
+                if out[i] is None:
+                    words = texts[i].split()
+                    ids = list(map(find, words))
+                    if None in ids:
+                        new.update([w for w, x in zip(words, ids) if x is None])
+                        waiting[i] = words
+                    else:
+                        out[i] = b"".join(ids)
+            if not waiting:
+                continue
+            again = {w: self.old[w] for w in new if w in self.old}
+            self.table.update(again)
             extra: dict[str, bytes] = {}
-            if new:
-                for w, b in self._words(list(new)).items():
-                    (self.table if len(w) <= _LONG_WORD else extra)[w] = b
+            for w, b in self._words([w for w in new if w not in again]).items():
+                (self.table if len(w) <= _LONG_WORD else extra)[w] = b
             get = self.table.__getitem__
-            for i, ws in split.items():
-                if extra and any(w in extra for w in ws):
-                    out[i] = b"".join([extra[w] if w in extra else get(w) for w in ws])
+            for i, words in waiting.items():
+                if extra and any(w in extra for w in words):
+                    out[i] = b"".join([extra[w] if w in extra else get(w) for w in words])
                 else:
-                    out[i] = b"".join(map(get, ws))
+                    out[i] = b"".join(map(get, words))
         return out
 
 
