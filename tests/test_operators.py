@@ -325,6 +325,37 @@ def test_lowpass_and_spline_run_per_series(spark):
     assert sp[0] == 0.0 and sp[2] == 4.0 and 0.0 < sp[1] < 4.0
 
 
+def natural_cubic(xk, yk, x):
+    """Second derivatives by a dense solve of the spline's equations."""
+    n, h = len(xk), np.diff(xk)
+    a, r = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1:i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        r[i] = 6 * ((yk[i + 1] - yk[i]) / h[i] - (yk[i] - yk[i - 1]) / h[i - 1])
+    m = np.linalg.solve(a, r)
+    j = np.clip(np.searchsorted(xk, x, side="right") - 1, 0, n - 2)
+    u, w = xk[j + 1] - x, x - xk[j]
+    return (m[j] * u ** 3 + m[j + 1] * w ** 3) / (6 * h[j]) + (yk[j] / h[j] - m[j] * h[j] / 6) * u + (yk[j + 1] / h[j] - m[j + 1] * h[j] / 6) * w
+
+
+def test_spline_equals_a_dense_solve(spark):
+    rng = np.random.default_rng(9)
+    for n, share in ((96, 0.4), (96, 0.05), (10, 1.0), (7, 0.0)):
+        y = np.where(rng.random(n) < share, rng.normal(size=n), np.nan)
+        k = np.flatnonzero(~np.isnan(y))
+        got = [r.value for r in SP.interpolate_spline(_grid(spark, [None if np.isnan(x) else float(x) for x in y]), ["id_case", "voi"])
+               .orderBy("idx").collect()]
+        if len(k) == 0:
+            assert got == [None] * n
+            continue
+        want = y.copy()
+        inside = np.arange(k[0], k[-1] + 1)
+        if len(k) > 1:
+            want[inside] = natural_cubic(k.astype(float), y[k], inside.astype(float))
+        want[:k[0]], want[k[-1]:] = y[k[0]], y[k[-1]]
+        assert np.allclose(got, want, atol=1e-9)
+
+
 # ---------------------------------------------------------------- covariance
 
 def _tensor(spark, n_cases=6, d=3, n=20, seed=1):
