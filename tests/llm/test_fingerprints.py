@@ -49,7 +49,7 @@ def test_edge_cases_and_ranges(spark, monkeypatch):
     for (i, *_), (t, e, nxt) in zip(order, edits([t or "" for _, t, *_ in order])):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest()), i
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[0].fingerprint == "" and got[0].near_next == 1.0
+    assert got[0].fingerprint == "0" * 256 and got[0].near_next == 1.0
     single = fingerprints.compared(df.filter("doc_id = 25000")).collect()[0]
     assert single.near_next == 1.0
     copies = fingerprints.compared(df.filter("doc_id = 25000").union(df.filter("doc_id = 25000"))).collect()

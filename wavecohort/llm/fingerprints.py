@@ -1,9 +1,9 @@
 """One-permutation MinHash fingerprints (operator 7), DataFrame functions only.
 
 Every 5-word shingle is hashed once; the hash's top bits name one of ``BINS`` bins,
-and a bin keeps its least hash.  An empty bin takes the value of the filled bin
-that comes first in a random order of all bins belonging to the empty one (least
-hash of the pair of bin numbers: optimal densification without repeated probes).  A
+and a bin keeps its least hash.  An empty bin takes the value of the first filled bin in a
+random sequence of its own (optimal densification); after ``PROBES`` misses, of the
+filled bin with the least hash of the pair of bin numbers, which is as uniform.  A
 fingerprint stores the ``BITS`` low-order bits of every bin, packed.  Equal lanes
 happen by chance with probability 2^-BITS, so the estimate of the Jaccard likeness
 is ``(equal share - 2^-BITS) / (1 - 2^-BITS)``, at least 0.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wavecohort.llm.common import text_or_empty
 
-BINS, BITS, SHINGLE = 128, 8, 5
+BINS, BITS, SHINGLE, PROBES = 128, 8, 5, 8
 RANGES, RANGE_ROWS = 256, 20_000
 _LANES = 64 // BITS
 _BIN_SHIFT = 64 - (BINS.bit_length() - 1)
@@ -40,7 +40,7 @@ def _bin(h: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """``df`` with the packed fingerprint (array of longs) of a string column in ``out``."""
-    w, h, m, b = (f"{x}_{out}" for x in ("w", "h", "m", "b"))
+    w, h, m, p, b, d = (f"{x}_{out}" for x in ("w", "h", "m", "p", "b", "d"))
     keep = df.columns
     words = F.array_remove(F.split(F.lower(F.col(text_col)), r"[\s]+"), "")
     n = F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))
@@ -49,24 +49,27 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     # sorted hashes: bins are runs, their first element is the least
     least = F.filter(F.col(h), lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(h), i - 1))))
 
+    # least hash of every bin, null where empty
+    filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.get(F.col(m), (F.array_position(F.col(p), j) - 1).cast("int")))
+
     def value(j):
-        own = F.try_element_at(F.filter(F.col(m), lambda x: _bin(x) == j), F.lit(1))
+        probes = [F.get(F.col(b), F.xxhash64(j, F.lit(t)).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int")) for t in range(PROBES)]
         order = F.array_min(F.transform(F.col(m), lambda x: F.struct(F.xxhash64(j, _bin(x)).alias("o"), x.alias("x"))))
-        return F.coalesce(own, order["x"])
-    # signed order puts the upper half of the bins first
-    in_order = F.concat(F.slice(F.col(m), BINS // 2 + 1, BINS // 2), F.slice(F.col(m), 1, BINS // 2))
-    bins = F.when(F.size(m) == 0, F.array_repeat(F.lit(0).cast("long"), BINS)).when(F.size(m) == BINS, in_order) \
-        .otherwise(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value))
+        return F.coalesce(F.get(F.col(b), j), *probes, order["x"])
+    bins = F.when(F.size(m) == 0, F.array_repeat(F.lit(0).cast("long"), BINS)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value))
     low = F.lit((1 << BITS) - 1).cast("long")
     packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // _LANES - 1)), lambda i: reduce(
-        lambda a, c: a.bitwiseOR(c), [F.shiftleft(F.get(F.col(b), i * _LANES + k).bitwiseAND(low), BITS * k) for k in range(_LANES)]))
+        lambda a, c: a.bitwiseOR(c), [F.shiftleft(F.get(F.col(d), i * _LANES + k).bitwiseAND(low), BITS * k) for k in range(_LANES)]))
     return (df.withColumn(w, words).withColumn(h, hashes).select(*keep, h).withColumn(m, least).select(*keep, m)
-            .withColumn(b, bins).select(*keep, F.size(m).alias(h), b).withColumn(out, F.when(F.col(h) > 0, packed).otherwise(F.array().cast("array<bigint>")))
-            .select(*keep, out))
+            .withColumn(p, F.transform(F.col(m), _bin)).withColumn(b, filled).withColumn(d, bins).select(*keep, F.size(m).alias(h), d)
+            .withColumn(out, F.when(F.col(h) > 0, packed).otherwise(F.array().cast("array<bigint>"))).select(*keep, out))
 
 
 def as_hex(fp: str) -> Column:
-    return F.lower(F.array_join(F.transform(F.col(fp), lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    """Hexadecimal text of a packed fingerprint (no words: all zeros)."""
+    digits = F.lower(F.array_join(F.transform(F.col(fp), lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    return F.rpad(digits, BINS * BITS // 4, "0")
 
 
 def likeness(a: str, b: str) -> Column:
