@@ -594,3 +594,33 @@ def test_resample_bins_match_pandas(spark):
     got = {r.idx: r.value for r in W.resample(df.withColumn("step", F.lit(13)), ["id_case", "voi"], "step", 10_000).collect()}
     assert got.keys() == ref_idx.keys()
     assert all(got[i] == pytest.approx(ref_idx[i]) for i in got)
+
+
+def test_adaboost_matches_a_plain_reading(spark):
+    """Stumps, errors and votes against the algorithm written out over the rows."""
+    import pandas as pd
+    from wavecohort.operators import models as M
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 12, size=(300, 2)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 8) ^ (rng.random(300) < 0.1)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "label": y}))
+    got = M.adaboost(df, ["a", "b"], rounds=8)
+    w, margin = np.ones(300), np.zeros(300)
+    for f, cut, lo, hi in got:
+        best = None
+        for g in range(2):
+            for c in sorted(set(x[:, g])):
+                low = x[:, g] <= c
+                parts = [(w[m & (y > 0)].sum(), w[m & (y == 0)].sum()) for m in (low, ~low)]
+                gini = sum(2 * p * n / (p + n) for p, n in parts if p + n > 0)
+                if best is None or gini < best[0] - 1e-12:
+                    best = (gini, g, c, parts)
+        gini = sum(2 * p * n / (p + n) for p, n in [(w[m & (y > 0)].sum(), w[m & (y == 0)].sum()) for m in (x[:, f] <= cut, x[:, f] > cut)] if p + n > 0)
+        assert gini == pytest.approx(best[0])
+        vote = np.where(x[:, f] <= cut, lo, hi)
+        err = w[(vote > 0) != (y > 0)].sum() / w.sum()
+        assert abs(hi) == pytest.approx(0.5 * math.log((1 - err) / err))
+        margin += vote
+        w = np.exp(-(2 * y - 1) * margin)
+    s = M.adaboost_score(got, df, ["a", "b"]).toPandas()
+    assert np.allclose(s.proba, (margin / sum(abs(h) for *_x, h in got) + 1) / 2)

@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavecohort.operators.evaluate import binary_metrics, roc_auc, validation_summary
@@ -94,50 +94,91 @@ def cross_validate(est, df: DataFrame, features: list[str], fold_col: str, k: in
     return df.sparkSession.createDataFrame(rows, "fold int, accuracy double")
 
 
-CHECKPOINT_ROUNDS = 10
-
-
-def adaboost(df: DataFrame, features: list[str], label: str = "label", rounds: int = 200, depth: int = 1,
-             seed: int = 42):
-    """Discrete AdaBoost (SAMME, two classes) from weighted trees.
-
-    Each round fits a ``DecisionTreeClassifier(weightCol=…)`` and updates the
-    row weights with column expressions; one aggregate gives the weighted error,
-    from which the normaliser follows (``2 sqrt(err (1 - err))`` of the old sum).
-    The lineage is cut by a reliable checkpoint every :data:`CHECKPOINT_ROUNDS`
-    rounds.  Returns ``[(alpha, model)]``.
+CHECKPOINT_ROUNDS, STUMP_BINS = 50, 32
+
+
+def _stumps(stumps: list) -> Column:
+    """Depth-1 trees as an array column: feature position, threshold, vote at or below
+    it, vote above (votes are -alpha or alpha)."""
+    return F.array(*[F.struct(F.lit(f).alias("f"), F.lit(float(t)).alias("t"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+                     for f, t, lo, hi in stumps])
+
+
+def _margin(stumps: list, values: str = "_x") -> Column:
+    """Sum of the votes for a row whose features are the array column ``values``."""
+    if not stumps:
+        return F.lit(0.0)
+    return F.aggregate(_stumps(stumps), F.lit(0.0), lambda s, t: s + F.when(F.get(F.col(values), t["f"]) <= t["t"], t["lo"]).otherwise(t["hi"]))
+
+
+def _best_stump(hist: list, bounds: list):
+    """Split of least weighted Gini impurity from ``(feature, bin, positive weight, negative
+    weight)`` rows, and its weighted error: ``(feature, threshold, low class, high class, error)``."""
+    best = None
+    for f, cuts in enumerate(bounds):
+        pos, neg = [0.0] * (len(cuts) + 1), [0.0] * (len(cuts) + 1)
+        for h in hist:
+            if h["f"] == f:
+                pos[h["bin"]] += h["pos"]
+                neg[h["bin"]] += h["neg"]
+        tp, tn, lp, ln = sum(pos), sum(neg), 0.0, 0.0
+        for i, cut in enumerate(cuts):
+            lp, ln = lp + pos[i], ln + neg[i]
+            hp, hn = tp - lp, tn - ln
+            impurity = sum(2 * p * n / (p + n) for p, n in ((lp, ln), (hp, hn)) if p + n > 0)
+            low, high = lp > ln, hp > hn
+            err = ((ln if low else lp) + (hn if high else hp)) / (tp + tn)
+            if best is None or impurity < best[0]:
+                best = (impurity, f, cut, low, high, err)
+    return best and best[1:]
+
+
+def adaboost(df: DataFrame, features: list[str], label: str = "label", rounds: int = 200):
+    """Discrete AdaBoost (SAMME, two classes) over weighted depth-1 trees.
+
+    Features are cut at ``STUMP_BINS`` quantiles (as Spark's own trees do).  A round
+    is one aggregate: weight per feature, bin and class, from which the driver (features
+    times bins rows) reads the best split, its error and alpha.  A row's weight follows
+    from the votes so far, so no table of weights is written each round; the sum of
+    votes is checkpointed every ``CHECKPOINT_ROUNDS`` rounds.  Returns the stumps.
     """
-    d = assemble(features).transform(df).select("features", F.col(label).cast("double").alias("label"))
-    n = d.count()
-    d = d.withColumn("w", F.lit(1.0 / n)).checkpoint(eager=True)
-    models = []
     import math
-    for r in range(rounds):
-        m = DecisionTreeClassifier(maxDepth=depth, weightCol="w", seed=seed + r).fit(d)
-        p = m.transform(d).withColumn("miss", (F.col("prediction") != F.col("label")).cast("double"))
-        err = p.agg(F.sum(F.col("w") * F.col("miss")) / F.sum("w")).first()[0]
-        if err is None or err >= 0.5:
+
+    from wavecohort.functions.ranges import quantile_bounds, range_bucket
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
+    rows = df.select(F.array(*x).alias("_x"), F.col(label).cast("double").alias("_y"))
+    bounds = [quantile_bounds(df.select(c.alias("v")), "v", STUMP_BINS) for c in x]
+    # bin = number of cuts below the value: a value at a cut goes down
+    bins = F.array(*[range_bucket(-F.get(F.col("_x"), f), [-c for c in reversed(cuts)]) for f, cuts in enumerate(bounds)])
+    sizes = F.array(*[F.lit(len(cuts)) for cuts in bounds])
+    d = rows.withColumn("_b", F.zip_with(sizes, bins, lambda n, b: n - b)).withColumn("_s", F.lit(0.0)).checkpoint(eager=True)
+    done, fresh = [], []
+    for _ in range(rounds):
+        # the weight of a row is exp(-(2y - 1) * votes); a constant factor doesn't matter
+        w = F.exp(-(2 * F.col("_y") - 1) * (F.col("_s") + _margin(fresh)))
+        hist = (d.select("_y", w.alias("w"), F.posexplode("_b").alias("f", "bin")).groupBy("f", "bin")
+                .agg(F.sum(F.when(F.col("_y") > 0, F.col("w")).otherwise(0.0)).alias("pos"),
+                     F.sum(F.when(F.col("_y") > 0, 0.0).otherwise(F.col("w"))).alias("neg")).collect())
+        best = _best_stump(hist, bounds)
+        if best is None or best[4] >= 0.5:
             break
+        f, cut, low, high, err = best
         alpha = 0.5 * math.log((1 - err) / max(err, 1e-12))
-        models.append((alpha, m))
+        fresh.append((f, cut, alpha if low else -alpha, alpha if high else -alpha))
         if err == 0:
             break
-        upd = F.col("w") * F.exp(F.lit(alpha) * (2 * F.col("miss") - 1)) / F.lit(2 * math.sqrt(err * (1 - err)))
-        d = p.select("features", "label", upd.alias("w"))
-        if (r + 1) % CHECKPOINT_ROUNDS == 0:
-            d = d.checkpoint(eager=True)
-    return models
+        if len(fresh) == CHECKPOINT_ROUNDS:
+            d = d.withColumn("_s", F.col("_s") + _margin(fresh)).checkpoint(eager=True)
+            done, fresh = done + fresh, []
+    return done + fresh
 
 
-def adaboost_score(models, df: DataFrame, features: list[str]) -> DataFrame:
+def adaboost_score(stumps, df: DataFrame, features: list[str]) -> DataFrame:
     """Weighted vote of the AdaBoost rounds as a score in [-1, 1] (``proba`` in [0, 1])."""
-    d = assemble(features).transform(df)
-    total = sum(a for a, _ in models) or 1.0
-    acc = F.lit(0.0)
-    for i, (a, m) in enumerate(models):
-        d = m.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}").transform(d)
-        acc = acc + F.lit(a) * (2 * F.col(f"_p{i}") - 1)
-    return d.withColumn("proba", (acc / total + 1) / 2).withColumn("prediction", (F.col("proba") > 0.5).cast("double"))
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    total = sum(abs(hi) for _f, _t, _lo, hi in stumps) or 1.0
+    scored = df.withColumn("_x", x).withColumn("proba", (_margin(stumps) / total + 1) / 2)
+    return scored.withColumn("prediction", (F.col("proba") > 0.5).cast("double")).drop("_x")
 
 
 def calibrated_svm(train: DataFrame, calib: DataFrame, features: list[str], label: str = "label", **kw):
