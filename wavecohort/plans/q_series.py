@@ -52,7 +52,8 @@ def wave_inputs(spark, d):
     useful = useful0.select(
         F.concat(stay_key("id_nda"), F.col("dt_deb").cast("string")).alias("id_case"),
         "id_measure_type", "dt_insert", "value_numeric")
-    lim = A.sigma_limits(A.voi_stats(useful0, _vc(spark), _REQ), 3.0)
+    # one row per VOI, read by several branches of the later plans
+    lim = ST.stage(spark, d, "limits", lambda: A.sigma_limits(A.voi_stats(useful0, _vc(spark), _REQ), 3.0))
     return cases, useful, lim
 
 
