@@ -42,6 +42,16 @@ s24 AS (SELECT CAST(n.dt_deb_mouv_ufr AS DATE) AS dt_deb, s.* FROM sensors s JOI
         ON s.id_nda = n.id_nda AND s.dt_insert >= n.dt_deb_mouv_ufr
         AND s.dt_insert <= n.dt_deb_mouv_ufr + INTERVAL {span})"""
 
+# Oracle parts.  A person row: one per stay with measures and set of demographic
+# values, with the bounds of its movements; demographics per case keep the death
+# date only where it lies between the stay's bounds.
+_PERSON_SQL = """person AS (SELECT mv.id_nda, pt.age, pt.cd_sex_tr, pt.dt_deces, pt.dpt, min(mv.dt_deb_mouv_ufr) AS first_start,
+    max(mv.dt_deb_mouv_ufr) AS last_start, max(mv.dt_fin_mouv_ufr) AS last_end
+    FROM icu_moves mv JOIN patients pt USING (ids_pat) WHERE EXISTS (SELECT 1 FROM s24 WHERE s24.id_nda = mv.id_nda) GROUP BY ALL)"""
+_DEMO_SQL = """demo AS (SELECT DISTINCT k.id_nda, k.dt_deb, pr.age, pr.dt_deces AS pat_dt_deces, pr.cd_sex_tr, pr.dpt,
+    CASE WHEN pr.dt_deces BETWEEN st.dt_deb_nda AND st.dt_fin_nda THEN pr.dt_deces END AS dt_deces
+    FROM (SELECT DISTINCT id_nda, dt_deb FROM s24 WHERE dt_cancel = '') k JOIN person pr USING (id_nda) JOIN stays st USING (id_nda))"""
+
 COHORT_SQL = with_ctes(f"""WITH {_S24_SQL.format(span=COHORT_SPAN)},
 counts AS (SELECT id_nda, dt_deb, id_measure_type, count(*) AS counter FROM s24
            WHERE id_measure_type IN {_CODES_SQL} AND dt_cancel = '' AND value_numeric > 0 GROUP BY 1, 2, 3),
@@ -50,13 +60,8 @@ vt AS (SELECT c.id_nda, c.dt_deb, d.voi, sum(c.counter) AS n FROM counts c JOIN
 lvl1 AS (SELECT id_nda, dt_deb FROM vt WHERE voi IN {_REQ_SQL} GROUP BY 1, 2 HAVING count(DISTINCT voi) = {len(_REQ)}),
 lvl2 AS (SELECT id_nda, dt_deb FROM vt WHERE voi IN {_REQ_SQL} GROUP BY 1, 2
          HAVING count(CASE WHEN n > {MIN_PTS} THEN 1 END) = {len(_REQ)}),
-pat_info AS (SELECT n.id_nda, p.age, min(n.dt_deb_mouv_ufr) AS min_dt_deb_mouv, p.cd_sex_tr, p.dt_deces, p.dpt
-             FROM icu_moves n, patients p WHERE p.ids_pat = n.ids_pat
-             AND n.id_nda IN (SELECT DISTINCT id_nda FROM s24) GROUP BY n.id_nda, p.age, p.cd_sex_tr, p.dt_deces, p.dpt),
-icu_nda AS (SELECT id_nda, dt_deb_nda, dt_fin_nda FROM stays WHERE id_nda IN (SELECT DISTINCT id_nda FROM s24)),
-demo AS (SELECT DISTINCT s.id_nda, s.dt_deb, p.age, p.dt_deces AS pat_dt_deces, p.cd_sex_tr, p.dpt,
-                CASE WHEN n.dt_deb_nda <= p.dt_deces AND p.dt_deces <= n.dt_fin_nda THEN p.dt_deces END AS dt_deces
-         FROM pat_info p, s24 s, icu_nda n WHERE p.id_nda = s.id_nda AND n.id_nda = s.id_nda AND s.dt_cancel = ''),
+{_PERSON_SQL},
+{_DEMO_SQL},
 bounds AS (SELECT id_nda, dt_deb, id_measure_type, min(dt_insert) AS min_dt, max(dt_insert) AS max_dt FROM s24
            WHERE id_measure_type IN {_CODES_SQL} AND dt_cancel = '' GROUP BY 1, 2, 3),
 vw AS (SELECT b.id_nda, b.dt_deb, d.voi, min(b.min_dt) AS vmin, max(b.max_dt) AS vmax
