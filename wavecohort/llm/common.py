@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavecohort.session import shared_path
 
+BATCH_ROWS = 2000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -30,6 +31,15 @@ def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, so that a worker holds
+    a few megabytes of text at a time."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

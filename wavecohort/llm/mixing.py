@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import fresh, staged, text_or_empty, vocabulary_path
+from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty, vocabulary_path
 
 LEVELS = ("domain", "lang", "source")
 BITS, SALTS = 12, 16
@@ -82,7 +82,7 @@ def counted(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id"
                 n += [len(x) // 4 + 1 for x in enc.encode(batch.column(5).slice(a, 200).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array(n, pa.int64())],
                                              names=[*batch.schema.names[:5], "tokens"])
-    return rows.mapInArrow(run, rows.drop("text").withColumn("tokens", F.lit(0).cast("long")).schema)
+    return map_batches(rows, run, rows.drop("text").withColumn("tokens", F.lit(0).cast("long")).schema)
 
 
 def _share(children: DataFrame, parents: DataFrame, family: list[str]) -> DataFrame:

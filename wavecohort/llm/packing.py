@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import text_or_empty, vocabulary_path
+from wavecohort.llm.common import map_batches, text_or_empty, vocabulary_path
 
 
 @dataclass(frozen=True)
@@ -180,7 +180,7 @@ def pack(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", t
                 yield out()
         yield out()
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

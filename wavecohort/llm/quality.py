@@ -29,7 +29,7 @@ from operator import eq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import fresh, staged, text_or_empty
+from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 ACCURACY, SMALLEST = 0.01, 1e-4
@@ -87,7 +87,7 @@ def with_counts(df: DataFrame, text_col: str = "text", prefix: str = "", keep_te
             yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(batch.schema.names) if c in kept] + cols,
                                              names=kept + names)
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).withColumns({c: F.lit(0).cast("long") for c in names}).schema
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def _ratios(prefix: str) -> dict:

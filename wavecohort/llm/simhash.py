@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavecohort.llm import components
-from wavecohort.llm.common import fresh, staged, text_or_empty
+from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty
 
 SHINGLE, DISTANCE = 4, 4
 NO_ID = 2 ** 63 - 1
@@ -69,7 +69,7 @@ def with_fingerprint(df: DataFrame, out: str = "fingerprint", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(batch.schema.names) if c in kept] + [got],
                                              names=[*kept, out])
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn(out, F.lit(0).cast("long")).schema
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def _signatures(fp: Column, distance: int) -> Column:

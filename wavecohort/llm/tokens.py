@@ -54,7 +54,7 @@ def _letters_direct(spec: dict) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, max_words: int = 700_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         # Spark runs one worker per core already
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import staged, text_or_empty
+from wavecohort.llm.common import map_batches, staged, text_or_empty
 
 MAX_FIT, MAX_ENTRIES = 20_000, 20_000
 SHORTEST, LONGEST_BEGINNING, LEAST_WEIGHT = 3, 8, 2.0
@@ -149,7 +149,7 @@ def _counted(rows: DataFrame, of) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(n.values(), pa.int64())], names=["entry", "n"])
                 n.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["entry", "n"])
-    return rows.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return map_batches(rows.select("text"), run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -188,7 +188,7 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             x = [list(model.features(fold(t.as_py()))) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
-    return rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "x array<double>, y int")
+    return map_batches(rows.select("text", F.col("y").cast("int").alias("y")), run, "x array<double>, y int")
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,5 +200,5 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["doc_id", "score"])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return (rows.mapInArrow(run, "doc_id long, score double")
+    return (map_batches(rows, run, "doc_id long, score double")
             .select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
