@@ -1,12 +1,6 @@
 import pytest
 
-from tests.conftest import spark  # noqa: F401  (shared session)
-
-
-def docs_schema():
-    return "doc_id long, text string, lang string, source string, n_chars long"
-
 
 @pytest.fixture(scope="session")
-def small_docs(spark):  # noqa: F811
+def small_docs(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import fresh, staged, text_or_empty
+from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty
 
 ORDER, SYMBOL_BITS, SYMBOLS = 4, 12, 4096
 FENCE, PRIOR, MIN_HELD_OUT = 4.0, 200, 50
@@ -197,7 +197,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     good = F.broadcast(good) if good.count() <= TRUSTED_BROADCAST else good
     marked = rows.join(good, F.col("doc_id") == F.col("id"), "left")
     train = F.coalesce(~F.col("held"), F.lit(False))
-    pairs = staged(marked.select("block", train.alias("train"), "text_").mapInArrow(_block_counts(order), "block long, gram long, n long"), "kn-pairs")
+    pairs = staged(map_batches(marked.select("block", train.alias("train"), "text_"), _block_counts(order), "block long, gram long, n long"), "kn-pairs")
     counts = staged(pairs.groupBy("gram").agg(F.sum("n").alias("c")), "kn-counts")
     logp = log_probabilities(counts, order)
     needed = pairs.select("block", "gram").distinct() if not from_files else pairs.select("block", "gram")
@@ -223,12 +223,13 @@ def judged(scores: DataFrame) -> DataFrame:
     held = scores.filter("trusted and held_out").withColumn("h", entropy)
     cut = [F.percentile_approx("h", [0.5, 0.95], 10_000).alias("q"), F.count(F.lit(1)).alias("n_held")]
     by_lang = held.groupBy(F.col("lang").alias("t_lang")).agg(*cut)
-    # one row for each language of the table
+    # one row for each language of the table; broadcast where its written size allows
     every = scores.select(F.col("lang").alias("t_lang")).distinct()
-    pooled = held.agg(cut[0].alias("q_all"))
-    limits = (every.alias("e").join(by_lang.alias("l"), F.col("e.t_lang").eqNullSafe(F.col("l.t_lang")), "left").join(F.broadcast(pooled), F.lit(True))
-              .select(F.col("e.t_lang"), F.when(F.coalesce("n_held", F.lit(0)) >= MIN_HELD_OUT, F.col("q")).otherwise(F.col("q_all")).alias("q")))
-    limits = F.broadcast(staged(limits, "kn-limits"))
+    pooled = held.agg(cut[0].alias("q")).first()["q"]        # two numbers
+    q_all = F.array(*[F.lit(x) for x in pooled]) if pooled else F.lit(None).cast("array<double>")
+    limits = (every.alias("e").join(by_lang.alias("l"), F.col("e.t_lang").eqNullSafe(F.col("l.t_lang")), "left")
+              .select(F.col("e.t_lang"), F.when(F.coalesce("n_held", F.lit(0)) >= MIN_HELD_OUT, F.col("q")).otherwise(q_all).alias("q")))
+    limits = staged(limits, "kn-limits")
     middle, high = F.get("q", 0), F.get("q", 1)
     adjusted = (-F.col("logp") + PRIOR * middle) / (F.col("n_symbols") + PRIOR)
     threshold = middle + FENCE * F.greatest(high - middle, F.lit(0.02))
