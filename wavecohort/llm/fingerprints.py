@@ -111,8 +111,8 @@ def _ranges(ids: DataFrame, column: str) -> Column:
     return F.expr(tree(0, len(bounds)))
 
 
-def with_next(df: DataFrame, id_col: str, tie: str, carry: list[str]) -> DataFrame:
-    """``df`` with ``next_<c>`` of every column in ``carry``: the value in the next row by
+def with_next(df: DataFrame, id_col: str, tie: str, carry: list[str], prepare=lambda rows: rows) -> DataFrame:
+    """``prepare(df)`` (columns derived from each row) with ``next_<c>`` of every column in ``carry``: the value in the next row by
     ``(id_col, tie)``, for the last row that of the first.  ``id_col`` has no nulls."""
     number = _ranges(df.select(id_col), id_col)
     firsts = df.select(F.col(id_col).alias("first_id"), number.alias("range")).groupBy("range").agg(F.min("first_id").alias("first_id"))
@@ -123,7 +123,7 @@ def with_next(df: DataFrame, id_col: str, tie: str, carry: list[str]) -> DataFra
     one = Window.partitionBy("closes").orderBy(tie)
     closing = (first_rows.withColumn("rank", F.row_number().over(one)).filter("rank = 1")
                .select(*df.columns, F.col("closes").alias("range"), F.lit(1).alias("closing")))
-    every = df.withColumn("range", number).withColumn("closing", F.lit(0)).unionByName(closing)
+    every = prepare(df.withColumn("range", number).withColumn("closing", F.lit(0))).unionByName(prepare(closing))
     order = Window.partitionBy("range").orderBy("closing", id_col, tie)
     return (every.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry}).filter("closing = 0").drop("range", "closing"))
 
@@ -133,8 +133,8 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     fingerprint, edited_fingerprint, near_edited, near_next``."""
     doc = F.col(id_col).cast("long")
     rows = df.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(-2 ** 63).cast("long")).alias("order_id"), text_or_empty(text_col).alias("text"))
-    rows = with_fingerprint(rows, "text", "fp").withColumn("tie", F.xxhash64("text"))
-    near = with_next(rows, "order_id", "tie", ["text", "fp"])
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    near = with_next(rows, "order_id", "tie", ["text", "fp"], lambda r: with_fingerprint(r, "text", "fp"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
