@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import staged, text_or_empty, vocabulary_path
+from wavecohort.llm.common import map_batches, staged, text_or_empty, vocabulary_path
 from wavecohort.session import shared_path
 
 ROUNDS = 6
@@ -99,9 +99,8 @@ def tokenised(df: DataFrame, layout: Layout, vocabulary: str | None = None, id_c
         import numpy as np
         import pyarrow as pa
 
-        from wavecohort.llm.tokens import encoder
+        from wavecohort.llm.tokens import encoder, slices
         enc, end = encoder(path), layout.end_id.to_bytes(4, "little")
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
         names = ["local", "n_ids", "ids_crc32", "doc_ids", "starts", "lengths", "ids"]
         out, parts, spans, filled, local = [], [], [], 0, 0
 
@@ -111,17 +110,21 @@ def tokenised(df: DataFrame, layout: Layout, vocabulary: str | None = None, id_c
             ids = np.frombuffer(raw + end * (layout.length - filled // 4), "<u4")
             if width == 2 and int(ids.max()) > 0xFFFF:
                 raise ValueError("ids need four bytes: use width=4")
-            out.append((local, filled // 4, zlib.crc32(raw), *map(list, zip(*spans)), ids.astype(f"<u{width}").tobytes()))
+            out.append((local, filled // 4, zlib.crc32(raw), spans, ids.astype(f"<u{width}").tobytes()))
             parts, spans, filled, local = [], [], 0, local + 1
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+            cols = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+            at = pa.array(np.cumsum([0] + [len(r[3]) for r in out]), pa.int32())
+            for i in range(3):
+                cols.append(pa.ListArray.from_arrays(at, pa.array([s[i] for r in out for s in r[3]], pa.int64())))
+            cols.append(pa.array([r[4] for r in out], pa.binary()))
             out.clear()
-            return batch
+            return pa.RecordBatch.from_arrays(cols, names=names)
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+            for a, k in slices(batch.column(1)):
+                part = batch.slice(a, k)
+                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids, at = ids + end, 0
                     while at < len(ids):
                         take = min(size - filled, len(ids) - at)
@@ -136,10 +139,24 @@ def tokenised(df: DataFrame, layout: Layout, vocabulary: str | None = None, id_c
             close()
         yield flush()
 
-    return rows.mapInArrow(run, "local long, n_ids long, ids_crc32 long, doc_ids array<long>, starts array<long>, "
+    return map_batches(rows, run, "local long, n_ids long, ids_crc32 long, doc_ids array<long>, starts array<long>, "
                                 "lengths array<long>, ids binary")
 
 
+def _compress(pack: bool):
+    """Worker function: (shard, slot, ids) with the ids of each sequence compressed, or back."""
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+        change = zstandard.ZstdCompressor(level=1).compress if pack else zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([change(x.as_buffer()) for x in part.column(2)], pa.binary())],
+                                                 names=["shard", "slot", "ids"])
+    return run
+
+
 def materialise(df: DataFrame, layout: Layout = Layout(), path: str | None = None, vocabulary: str | None = None,
                 id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Write the shards; returns the manifest (``slot, shard, record, number, n_ids, ids_crc32,
@@ -151,7 +168,6 @@ def materialise(df: DataFrame, layout: Layout = Layout(), path: str | None = Non
     made = tokenised(df, layout, vocabulary, id_col, text_col).withColumn("part", F.spark_partition_id())
     kept = staged(made, "sequences", compression="zstd")
     counts = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each input partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("part").alias("base_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -165,12 +181,15 @@ def materialise(df: DataFrame, layout: Layout = Layout(), path: str | None = Non
     def slot_of(number):
         import pandas as pd
         return pd.Series(permute(number.to_numpy(), n, key).astype("int64"))
-    numbered = (kept.join(base, F.col("part") == F.col("base_part")).withColumn("number", F.col("base") + F.col("local"))
+    # one row for each input partition
+    numbered = (kept.join(F.broadcast(base), F.col("part") == F.col("base_part")).withColumn("number", F.col("base") + F.col("local"))
                 .withColumn("slot", slot_of("number")))
     shard = F.floor(F.col("slot") / layout.per_shard).cast("int")
-    records = numbered.select(shard.alias("shard"), "slot", F.col("ids").cast("string").alias("value"))
     shards = -(-n // layout.per_shard)
-    (records.repartitionById(shards, "shard").sortWithinPartitions("shard", "slot").select("shard", "value")
+    # the one shuffle of ids carries them compressed
+    records = numbered.select(shard.alias("shard"), "slot", "ids").mapInArrow(_compress(True), "shard int, slot long, ids binary")
+    dealt = records.repartitionById(shards, "shard").mapInArrow(_compress(False), "shard int, slot long, ids binary")
+    (dealt.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))
      .write.mode("overwrite").partitionBy("shard").text(path))
     manifest = numbered.select("slot", shard.alias("shard"), F.pmod(F.col("slot"), F.lit(layout.per_shard)).alias("record"), "number",
                                "n_ids", "ids_crc32", "doc_ids", "starts", "lengths")

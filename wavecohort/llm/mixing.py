@@ -74,12 +74,12 @@ def counted(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id"
     def run(batches):
         import pyarrow as pa
 
-        from wavecohort.llm.tokens import encoder
+        from wavecohort.llm.tokens import encoder, slices
         enc = encoder(path)
         for batch in batches:
             n = []
-            for a in range(0, batch.num_rows, 200):
-                n += [len(x) // 4 + 1 for x in enc.encode(batch.column(5).slice(a, 200).to_pylist())]
+            for a, k in slices(batch.column(5)):
+                n += [len(x) // 4 + 1 for x in enc.encode(batch.column(5).slice(a, k))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array(n, pa.int64())],
                                              names=[*batch.schema.names[:5], "tokens"])
     return map_batches(rows, run, rows.drop("text").withColumn("tokens", F.lit(0).cast("long")).schema)
@@ -136,9 +136,17 @@ def taken(df_counted: DataFrame, mix: Mix) -> DataFrame:
     plan = _plan(df_counted, mix)
     rows = _with_plan(df_counted, plan, F.col("row_hash")).withColumn("order", _order(mix.seed, F.col("epochs"), F.col("row_hash")))
     rows = rows.withColumn("bin", F.shiftright("order", 64 - BITS))
-    sums = rows.groupBy(*LEVELS, "bin").agg(F.sum("tokens").alias("bin_tokens"))
-    upto = Window.partitionBy(*LEVELS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)   # at most 2^BITS rows
-    before = sums.select(*LEVELS, "bin", F.coalesce(F.sum("bin_tokens").over(upto), F.lit(0)).alias("before"))
+    # sums before each bin in two steps of 2^(BITS / 2) rows: a leaf with most rows is no large group here
+    wide = F.shiftright("bin", BITS // 2)
+    sums = rows.groupBy(*LEVELS, "bin").agg(F.sum("tokens").alias("bin_tokens")).withColumn("wide", wide)
+
+    def upto(value, keys, order):
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(w), F.lit(0))
+    coarse = (sums.groupBy(*LEVELS, "wide").agg(F.sum("bin_tokens").alias("wide_tokens"))
+              .select(*LEVELS, "wide", upto("wide_tokens", LEVELS, "wide").alias("wide_before")))
+    before = (sums.withColumn("inside", upto("bin_tokens", [*LEVELS, "wide"], "bin")).join(coarse, [*LEVELS, "wide"])
+              .select(*LEVELS, "bin", (F.col("wide_before") + F.col("inside")).alias("before")))
     inside = Window.partitionBy(*LEVELS, "bin").orderBy("order", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     return (rows.join(before, [*LEVELS, "bin"]).withColumn("part_tokens", F.greatest(F.lit(0).cast("long"), F.least("tokens", left)))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavecohort.llm.common import map_batches, text_or_empty, vocabulary_path
+from wavecohort.llm.tokens import MAX_WORDS
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,8 @@ class Packer:
 
 
 def pack(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-         prompt_col: str | None = None, end_id: int = 2, limits: Limits = Limits(), with_ids: bool = False) -> DataFrame:
+         prompt_col: str | None = None, end_id: int = 2, limits: Limits = Limits(), with_ids: bool = False,
+         max_words: int = MAX_WORDS) -> DataFrame:
     """Pieces of all rows of ``df`` packed into sequences.
 
     An example's ids are those of the prompt (no loss) and of the text (loss),
@@ -132,6 +134,7 @@ def pack(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", t
     sequence_id, offset, sequence_tokens, loss_tokens`` and, with ``with_ids``,
     ``ids`` (little-endian unsigned 32-bit).  A sequence of ``sequence_tokens``
     ids is padded to ``limits.tokens`` unless that is a power of two.
+    ``max_words`` bounds a worker's word table (speed against memory).
     """
     path = vocabulary or vocabulary_path()
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -143,8 +146,8 @@ def pack(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", t
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from wavecohort.llm.tokens import encoder
-        enc, packer = encoder(path), Packer(limits)
+        from wavecohort.llm.tokens import encoder, slices
+        enc, packer = encoder(path, max_words), Packer(limits)
         base = TaskContext.get().partitionId() << 40
         end = end_id.to_bytes(4, "little")
 
@@ -162,11 +165,11 @@ def pack(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                docs, prompts, texts = (part.column(k).to_pylist() for k in range(3))
-                heads = enc.encode(prompts) if prompt_col else [b""] * len(docs)
-                items = [(d, h + t + end, len(h) // 4) for d, h, t in zip(docs, heads, enc.encode(texts))]
+            for a, k in slices(batch.column(2)):
+                part = batch.slice(a, k)
+                docs = part.column(0).to_pylist()
+                heads = enc.encode(part.column(1)) if prompt_col else [b""] * len(docs)
+                items = [(d, h + t + end, len(h) // 4) for d, h, t in zip(docs, heads, enc.encode(part.column(2)))]
                 packer.add(items, [len(i[1]) // 4 for i in items], [i[2] for i in items])
                 n, tokens = packer.waiting()
                 if n > limits.pool_examples or tokens > limits.pool_tokens:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from wavecohort.llm import binary, chat, classifier, fingerprints, licenses, mixing, packing, quality, simhash, toxicity
 from wavecohort.llm.common import table
+from wavecohort.llm.tokens import MANY_WORDS
 
 
 def op1_packing(spark, d):
     """All documents packed into sequences of at most 4096 ids."""
-    return packing.pack(table(spark, d, "documents"))
+    return packing.pack(table(spark, d, "documents"), max_words=MANY_WORDS)
 
 
 def op2_classifier(spark, d):

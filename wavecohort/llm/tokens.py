@@ -3,8 +3,8 @@
 ``Encoder`` gives the ids that ``Tokenizer.encode(text, add_special_tokens=False)``
 gives, as little-endian unsigned 32-bit bytes.  When the vocabulary drops white
 space (words never merge across it), a text's ids are the ids of its words one
-after the other, so a distinct word is encoded once per worker and looked up
-afterwards.  The word table has two generations of at most ``max_words`` words:
+after the other.  Words are told apart by Arrow for many texts at once; a distinct
+word is encoded once per worker and looked up afterwards.  The word table has two generations of at most ``max_words`` words:
 a full one becomes the old one, and words still in use move on from there (this
 bounds memory and changes no result).  Words of Latin letters, with at most one
 closing mark, go to the vocabulary's merge model directly where its other steps
@@ -19,10 +19,10 @@ import os
 import re
 from array import array
 
-#: White space by str.split() that is not White_Space in Unicode: such texts
-#: are encoded whole.
-_SPLIT_ONLY = re.compile("[\x1c-\x1f]")
 _LONG_WORD = 64
+#: Words of one generation of the table (about 170 bytes each), by default and where a
+#: job does little else than encode.
+MAX_WORDS, MANY_WORDS = 250_000, 700_000
 #: Latin letters below U+0180 (without U+0130): one code point each in composed
 #: form, and so are their lower-case forms.
 _LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -54,7 +54,7 @@ def _letters_direct(spec: dict) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, max_words: int = 250_000):
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
         # Spark runs one worker per core already
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -83,7 +83,7 @@ class Encoder:
             return dict(zip(words, self._whole(words)))
         out, rest, match, known, merge = {}, [], _LATIN_WORD.fullmatch, self.table, self.model.tokenize
         for w in words:
-            stem, mark = (w[:-1], self.marks[w[-1]]) if w[-1] in _CLOSING else (w, b"")
+            stem, mark = (w[:-1], self.marks[w[-1]]) if w[-1:] in self.marks else (w, b"")
             if not match(stem):
                 rest.append(w)
                 continue
@@ -96,45 +96,59 @@ class Encoder:
         out.update(zip(rest, self._whole(rest)))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes."""
-        if not self.apart:
-            return self._whole(texts)
-        out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _SPLIT_ONLY.search(t)]
-        for i, b in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = b
-        for a in range(0, len(texts), 100):
-            if len(self.table) > self.max_words:
-                self.table, self.old = {}, self.table
-            find, waiting, new = self.table.get, {}, set()
-            for i in range(a, min(a + 100, len(texts))):
-                if out[i] is None:
-                    words = texts[i].split()
-                    ids = list(map(find, words))
-                    if None in ids:
-                        new.update([w for w, x in zip(words, ids) if x is None])
-                        waiting[i] = words
-                    else:
-                        out[i] = b"".join(ids)
-            if not waiting:
-                continue
-            again = {w: self.old[w] for w in new if w in self.old}
-            self.table.update(again)
-            extra: dict[str, bytes] = {}
-            for w, b in self._words([w for w in new if w not in again]).items():
-                (self.table if len(w) <= _LONG_WORD else extra)[w] = b
-            get = self.table.__getitem__
-            for i, words in waiting.items():
-                if extra and any(w in extra for w in words):
-                    out[i] = b"".join([extra[w] if w in extra else get(w) for w in words])
-                else:
-                    out[i] = b"".join(map(get, words))
-        return out
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
+    def _distinct(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the table where it has them."""
+        if len(self.table) > self.max_words:
+            self.table, self.old = {}, self.table
+        out = list(map(self.table.get, words))
+        new = [w for w, x in zip(words, out) if x is None]
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.table.update(again)
+        made = self._words([w for w in new if w not in again])
+        self.table.update((w, x) for w, x in made.items() if len(w) <= _LONG_WORD)
+        return [x if x is not None else again[w] if w in again else made[w] for w, x in zip(words, out)]
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text (a list, or an Arrow array of strings) as little-endian
+        unsigned 32-bit bytes."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.apart or not len(column):
+            return self._whole(column.to_pylist())
+        split = pc.ascii_split_whitespace(column)
+        coded = split.flatten().dictionary_encode()
+        ids = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # gather the ids of all words: each word's run of ids is copied to its place
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        n = size[word]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = pool[np.repeat(start[word] - (ends - n), n) + np.arange(total)].tobytes()
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
+        return [flat[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def slices(column, rows: int = 2000, size: int = 8 << 20):
+    """(first row, rows) of parts of a string column with at most ``rows`` rows and, but
+    for single long texts, ``size`` bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        before = int(upto[at - 1]) if at else 0
+        n = max(1, min(rows, int(np.searchsorted(upto, before + size, side="right")) - at))
+        yield at, n
+        at += n
+
+
+def encoder(path: str, max_words: int = MAX_WORDS) -> Encoder:
+    """One encoder per worker process and vocabulary file, with the largest word table asked for."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, max_words)
+    _ENCODERS[path].max_words = max(max_words, _ENCODERS[path].max_words)
     return _ENCODERS[path]
