@@ -6,6 +6,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 
+from wavecohort.functions.keys import stay_key
 from wavecohort.operators import cohort as C
 
 VOIS = [("X", ["a", "b"]), ("Y", ["c"])]
@@ -78,7 +79,7 @@ def test_cohort_matches_bruteforce_under_skew(spark):
     for min_pts, min_stay_h, age_min in [(10, 20, 18), (50, 30, 15), (0, 0, 0)]:
         got = C.build_cohort(sp["sensors"], sp["moves"], sp["units"], sp["stays"], sp["patients"], vc,
                              ["X", "Y"], ["a", "b", "c"], min_pts=min_pts, min_stay_h=min_stay_h,
-                             age_min=age_min, span="2 days")
+                             age_min=age_min, span="2 days").withColumn("id_nda", stay_key("id_nda"))   # as the sink writes it
         rows = sorted(((r.id_nda, r.j1, r.X, r.Y, r.dt_deces, r.dt_min, r.dt_max) for r in got.collect()),
                       key=lambda r: r[0])
         ref = _brute(sensors, moves, units, stays, patients, min_pts, min_stay_h, age_min, 48)
