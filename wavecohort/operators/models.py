@@ -46,7 +46,8 @@ def classifier(kind: str, n_train: int | None = None, seed: int = 42, **kw):
                                       maxDepth=depth, seed=seed, **kw)
     if kind == "bagging":
         return RandomForestClassifier(numTrees=kw.pop("numTrees", 1000), featureSubsetStrategy="all",
-                                      bootstrap=True, subsamplingRate=1.0, maxDepth=depth, seed=seed, **kw)
+                                      bootstrap=True, subsamplingRate=1.0, maxDepth=depth, seed=seed,
+                                      maxMemoryInMB=kw.pop("maxMemoryInMB", 1024), **kw)
     if kind == "gbt":
         return GBTClassifier(maxIter=kw.pop("maxIter", 200), minInstancesPerNode=kw.pop("minInstancesPerNode", 40),
                              maxDepth=depth if depth != MAX_DEPTH else 3, seed=seed, **kw)
