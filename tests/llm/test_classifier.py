@@ -96,3 +96,26 @@ def test_edge_cases(spark):
         assert [r.kept for r in classifier.report(docs, labels).collect()] == [True] * 3
         assert classifier.filtered(docs, labels).count() == 3
         assert classifier.report(docs.limit(0), labels).count() == 0
+
+
+def test_limits_are_quantiles_of_the_language(spark):
+    n = 100_000
+    held = [(i, i, "en", True, True, n, -n * (1.5 + i / 1000)) for i in range(200)]
+    new = [(1000 + i, i, "en", False, False, n, -n * h) for i, h in enumerate((1.6, 1.69, 1.72, 0.2))]
+    got = {r.doc_id: r for r in classifier.judged(spark.createDataFrame(
+        held + new, "doc_id long, row_hash long, lang string, trusted boolean, held_out boolean, n_symbols long, logp double")).collect()}
+    assert [got[1000 + i].kept for i in range(4)] == [True, True, False, False]
+    assert sum(not got[i].kept for i in range(200)) == 2
+
+
+def test_bad_texts_of_each_kind_go(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = (classifier.report(docs, labels, from_files=True).join(labels, "doc_id")
+           .join(docs.select("doc_id", "text"), "doc_id").collect())
+    clean = [r for r in out if r.quality and r.held_out]
+    assert sum(r.kept for r in clean) >= 0.98 * len(clean)
+    bad = [r for r in out if not r.quality]
+    repeated = [r for r in bad if len(set(r.text.lower().split())) < 0.3 * len(r.text.split())]
+    for group in (bad, repeated):
+        assert sum(not r.kept for r in group) > 0.9 * len(group) > 90

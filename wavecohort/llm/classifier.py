@@ -15,10 +15,11 @@ held-out fifth (crc32(id as text) a multiple of 5).  Nothing of it is capped.
    needs only the n-grams that it holds, so neither model nor corpus is broadcast.
 
 A text is rejected when its log-perplexity, pulled towards the language's middle as by
-``PRIOR`` more characters (short texts vary), lies above ``q50 + FENCE * (q95 - q50)`` of the held-out
-trusted texts of its language; languages with fewer than ``MIN_HELD_OUT`` such texts, or
-none, use the quantiles of all languages, and without any held-out trusted text nothing
-is rejected.
+``PRIOR`` more characters (short texts vary), lies above the ``HIGH`` quantile of the
+held-out trusted texts of its language, taken of the same pulled figure, or below the
+``LOW`` quantile of all its trusted texts; languages with fewer than ``MIN_HELD_OUT``
+such texts, or none, use the quantiles of all languages, and without any held-out
+trusted text nothing is rejected.
 
 Defined cases: null text is empty (its end is scored); null language is a language of
 its own; several labels of one id: the least counts; null ids and labels are not trusted;
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty
 
 ORDER, SYMBOL_BITS, SYMBOLS = 4, 12, 4096
-FENCE, PRIOR, MIN_HELD_OUT = 4.0, 200, 50
+LOW, HIGH, PRIOR, MIN_HELD_OUT = 0.001, 0.99, 200, 50
 #: Up to so many trusted ids (16 bytes each) are sent to every scan task; more are joined by a shuffle.
 TRUSTED_BROADCAST = 1_000_000
 #: Text of one block in a task, about: larger scan splits are dealt to several blocks.
@@ -218,29 +219,40 @@ def _bytes(text: str) -> int:
 
 
 def judged(scores: DataFrame) -> DataFrame:
-    """``scores`` with ``perplexity, adjusted, threshold, kept``."""
+    """``scores`` with ``perplexity, adjusted, lowest, threshold, kept``."""
     entropy = -F.col("logp") / F.col("n_symbols")
-    held = scores.filter("trusted and held_out").withColumn("h", entropy)
-    cut = [F.percentile_approx("h", [0.5, 0.95], 10_000).alias("q"), F.count(F.lit(1)).alias("n_held")]
-    by_lang = held.groupBy(F.col("lang").alias("t_lang")).agg(*cut)
+    same = F.col("lang").eqNullSafe(F.col("t_lang"))
+
+    def pulled(middle):
+        return (-F.col("logp") + PRIOR * middle) / (F.col("n_symbols") + PRIOR)
+
+    def limits(x):
+        # the model has seen the trained texts, and copies of them: none of these is too predictable
+        return F.array(F.percentile_approx(x, LOW, 10_000), F.percentile_approx(F.when(F.col("held_out"), x), HIGH, 10_000))
+    known = scores.filter("trusted").withColumn("h", F.when(F.col("held_out"), entropy))
+    middle = F.percentile_approx("h", 0.5, 10_000).alias("middle")
+    by_lang = staged(known.groupBy(F.col("lang").alias("t_lang")).agg(middle, F.count("h").alias("n_held")).filter(F.col("n_held") >= MIN_HELD_OUT), "kn-middles")
+    own = (known.join(by_lang, same).groupBy("t_lang").agg(F.first("middle").alias("middle"), limits(pulled(F.col("middle"))).alias("q")))
+    pooled = known.agg(middle).first()["middle"]             # one number, then two
+    q_all = known.agg(limits(pulled(F.lit(pooled))).alias("q")).first()["q"] if pooled is not None else [None, None]
     # one row for each language of the table; broadcast where its written size allows
-    every = scores.select(F.col("lang").alias("t_lang")).distinct()
-    pooled = held.agg(cut[0].alias("q")).first()["q"]        # two numbers
-    q_all = F.array(*[F.lit(x) for x in pooled]) if pooled else F.lit(None).cast("array<double>")
-    limits = (every.alias("e").join(by_lang.alias("l"), F.col("e.t_lang").eqNullSafe(F.col("l.t_lang")), "left")
-              .select(F.col("e.t_lang"), F.when(F.coalesce("n_held", F.lit(0)) >= MIN_HELD_OUT, F.col("q")).otherwise(q_all).alias("q")))
-    limits = staged(limits, "kn-limits")
-    middle, high = F.get("q", 0), F.get("q", 1)
-    adjusted = (-F.col("logp") + PRIOR * middle) / (F.col("n_symbols") + PRIOR)
-    threshold = middle + FENCE * F.greatest(high - middle, F.lit(0.02))
-    return (scores.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")))
-            .withColumn("perplexity", F.exp(entropy)).withColumn("adjusted", F.exp(adjusted)).withColumn("threshold", F.exp(threshold))
-            .withColumn("kept", F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(True))).drop("t_lang", "q"))
+    every = scores.select(F.col("lang").alias("e_lang")).distinct()
+    number = lambda x: F.lit(x).cast("double")
+    found = F.col("q").isNotNull()
+    cut = (every.join(own, F.col("e_lang").eqNullSafe(F.col("t_lang")), "left")
+           .select(F.col("e_lang").alias("t_lang"), F.when(found, F.col("middle")).otherwise(number(pooled)).alias("middle"),
+                   *[F.when(found, F.get("q", i)).otherwise(number(q_all[i])).alias(c) for i, c in ((0, "low"), (1, "high"))]))
+    cut = staged(cut, "kn-limits")
+    return (scores.join(cut, same)
+            .withColumn("perplexity", F.exp(entropy)).withColumn("adjusted_", pulled(F.col("middle")))
+            .withColumn("kept", F.coalesce(F.col("adjusted_").between(F.col("low"), F.col("high")), F.lit(True)))
+            .withColumn("adjusted", F.exp("adjusted_")).withColumn("lowest", F.exp("low")).withColumn("threshold", F.exp("high"))
+            .drop("t_lang", "middle", "low", "high", "adjusted_"))
 
 
 def report(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Perplexity and verdict of every row."""
-    return judged(scored(df, labels, **options)).select("doc_id", "lang", "n_symbols", "perplexity", "adjusted", "threshold", "trusted", "held_out", "kept")
+    return judged(scored(df, labels, **options)).select("doc_id", "lang", "n_symbols", "perplexity", "adjusted", "lowest", "threshold", "trusted", "held_out", "kept")
 
 
 def filtered(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
