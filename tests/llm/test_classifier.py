@@ -101,6 +101,7 @@ def test_edge_cases(spark):
 def test_limits_are_quantiles_of_the_language(spark):
     n = 100_000
     held = [(i, i, "en", True, True, n, -n * (1.5 + i / 1000)) for i in range(200)]
+    held += [(5000 + i, i, "en", True, False, n, -n * 1.5) for i in range(40)]
     new = [(1000 + i, i, "en", False, False, n, -n * h) for i, h in enumerate((1.6, 1.69, 1.72, 0.2))]
     got = {r.doc_id: r for r in classifier.judged(spark.createDataFrame(
         held + new, "doc_id long, row_hash long, lang string, trusted boolean, held_out boolean, n_symbols long, logp double")).collect()}
@@ -119,3 +120,13 @@ def test_bad_texts_of_each_kind_go(spark):
     repeated = [r for r in bad if len(set(r.text.lower().split())) < 0.3 * len(r.text.split())]
     for group in (bad, repeated):
         assert sum(not r.kept for r in group) > 0.9 * len(group) > 90
+
+
+def test_language_without_trusted_text_stays(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    without = labels.join(docs.filter("lang = 'es'").select("doc_id"), "doc_id", "left_anti")
+    out = classifier.report(docs, without, from_files=True).join(docs.select("doc_id", F.col("lang").alias("l")), "doc_id").collect()
+    spanish = [r for r in out if r.l == "es"]
+    assert spanish and all(r.kept and r.threshold is None for r in spanish)
+    assert any(not r.kept for r in out if r.l == "en")

@@ -17,9 +17,10 @@ held-out fifth (crc32(id as text) a multiple of 5).  Nothing of it is capped.
 A text is rejected when its log-perplexity, pulled towards the language's middle as by
 ``PRIOR`` more characters (short texts vary), lies above the ``HIGH`` quantile of the
 held-out trusted texts of its language, taken of the same pulled figure, or below the
-``LOW`` quantile of all its trusted texts; languages with fewer than ``MIN_HELD_OUT``
-such texts, or none, use the quantiles of all languages, and without any held-out
-trusted text nothing is rejected.
+``LOW`` quantile of all its trusted texts.  With fewer than ``MIN_HELD_OUT`` held-out
+trusted texts in a language its limits reach at least as far from its own middle as those
+of all languages do from theirs.  A language with fewer than ``MIN_TRAINED`` trained or
+``MIN_OWN`` held-out trusted texts is not known to the model: its texts are kept (null limits).
 
 Defined cases: null text is empty (its end is scored); null language is a language of
 its own; several labels of one id: the least counts; null ids and labels are not trusted;
@@ -35,6 +36,8 @@ from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty
 
 ORDER, SYMBOL_BITS, SYMBOLS = 4, 12, 4096
 LOW, HIGH, PRIOR, MIN_HELD_OUT = 0.001, 0.99, 200, 50
+#: Languages with fewer trained or held-out trusted texts are not judged.
+MIN_TRAINED, MIN_OWN = 30, 3
 #: Up to so many trusted ids (16 bytes each) are sent to every scan task; more are joined by a shuffle.
 TRUSTED_BROADCAST = 1_000_000
 #: Text of one block in a task, about: larger scan splits are dealt to several blocks.
@@ -229,22 +232,22 @@ def judged(scores: DataFrame) -> DataFrame:
     def limits(x):
         # the model has seen the trained texts, and copies of them: none of these is too predictable
         return F.array(F.percentile_approx(x, LOW, 10_000), F.percentile_approx(F.when(F.col("held_out"), x), HIGH, 10_000))
-    known = scores.filter("trusted").withColumn("h", F.when(F.col("held_out"), entropy))
-    middle = F.percentile_approx("h", 0.5, 10_000).alias("middle")
-    by_lang = staged(known.groupBy(F.col("lang").alias("t_lang")).agg(middle, F.count("h").alias("n_held")).filter(F.col("n_held") >= MIN_HELD_OUT), "kn-middles")
-    own = (known.join(by_lang, same).groupBy("t_lang").agg(F.first("middle").alias("middle"), limits(pulled(F.col("middle"))).alias("q")))
-    pooled = known.agg(middle).first()["middle"]             # one number, then two
-    q_all = known.agg(limits(pulled(F.lit(pooled))).alias("q")).first()["q"] if pooled is not None else [None, None]
-    # one row for each language of the table; broadcast where its written size allows
-    every = scores.select(F.col("lang").alias("e_lang")).distinct()
-    number = lambda x: F.lit(x).cast("double")
-    found = F.col("q").isNotNull()
-    cut = (every.join(own, F.col("e_lang").eqNullSafe(F.col("t_lang")), "left")
-           .select(F.col("e_lang").alias("t_lang"), F.when(found, F.col("middle")).otherwise(number(pooled)).alias("middle"),
-                   *[F.when(found, F.get("q", i)).otherwise(number(q_all[i])).alias(c) for i, c in ((0, "low"), (1, "high"))]))
+    known = scores.filter("trusted")
+    middles = staged(known.groupBy(F.col("lang").alias("t_lang")).agg(
+        F.percentile_approx(F.when(F.col("held_out"), entropy), 0.5, 10_000).alias("middle"),
+        F.count(F.when(F.col("held_out"), 1)).alias("n_held"), F.count(F.when(~F.col("held_out"), 1)).alias("n_trained"))
+        .filter((F.col("n_held") >= MIN_OWN) & (F.col("n_trained") >= MIN_TRAINED)), "kn-middles")
+    off = known.join(middles, same).withColumn("off", pulled(F.col("middle")) - F.col("middle"))
+    own = off.groupBy("t_lang").agg(F.first("middle").alias("middle"), F.first("n_held").alias("n_held"), limits(F.col("off")).alias("q"))
+    low, high = off.agg(limits(F.col("off")).alias("q")).first()["q"] or (None, None)         # two numbers
+    few = F.col("n_held") < MIN_HELD_OUT
+    cut = own.select("t_lang", "middle",
+                     (F.col("middle") + F.when(few, F.least(F.get("q", 0), F.lit(low).cast("double"))).otherwise(F.get("q", 0))).alias("low"),
+                     (F.col("middle") + F.when(few, F.greatest(F.get("q", 1), F.lit(high).cast("double"))).otherwise(F.get("q", 1))).alias("high"))
+    # at most one row a language, broadcast where its written size allows
     cut = staged(cut, "kn-limits")
-    return (scores.join(cut, same)
-            .withColumn("perplexity", F.exp(entropy)).withColumn("adjusted_", pulled(F.col("middle")))
+    return (scores.join(cut, same, "left")
+            .withColumn("perplexity", F.exp(entropy)).withColumn("adjusted_", pulled(F.coalesce("middle", entropy)))
             .withColumn("kept", F.coalesce(F.col("adjusted_").between(F.col("low"), F.col("high")), F.lit(True)))
             .withColumn("adjusted", F.exp("adjusted_")).withColumn("lowest", F.exp("low")).withColumn("threshold", F.exp("high"))
             .drop("t_lang", "middle", "low", "high", "adjusted_"))
