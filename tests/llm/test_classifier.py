@@ -130,3 +130,17 @@ def test_language_without_trusted_text_stays(spark):
     spanish = [r for r in out if r.l == "es"]
     assert spanish and all(r.kept and r.threshold is None for r in spanish)
     assert any(not r.kept for r in out if r.l == "en")
+
+
+def test_ngrams_reach_over_words_and_tell_symbols_apart():
+    def rows(texts):
+        g, _ = classifier._ngrams(texts, ORDER)
+        return set(zip(*[c.tolist() for c in g]))
+    slot = defaultdict(list)
+    for c in range(0x4E00, 0x9FFF):
+        slot[(c * 2654435761 >> 7) % 2048].append(chr(c))
+    a, b = next(v for v in slot.values() if len(v) > 1)[:2]
+    assert rows([a]) != rows([b]) and rows(["😀"]) != rows(["😁"])
+    # the same words in another order give other n-grams inside, so the table grows with the corpus
+    assert len(rows(["one two red", "two one red", "red two one"])) > 2 * len(rows(["one two red"]))
+    assert len({g[0] for g in rows(["the cat the dog the cow"])}) > 10 and ORDER > 8

@@ -1,8 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model (operator 2).
 
-The model has character n-grams of ``ORDER`` (spaces and digits each one symbol;
-letters above U+07FF share 2048 symbols) of all trusted texts: labelled good, outside the
-held-out fifth (crc32(id as text) a multiple of 5).  Nothing of it is capped.
+The model has character n-grams of ``ORDER`` (spaces and digits each one symbol, every
+other code point its own; three symbols of 21 bits in a long, nothing hashed) of all
+trusted texts: labelled good, outside the held-out fifth (crc32(id as text) a multiple
+of 5).  They reach over a word's edge, so their number grows with the corpus.  Nothing
+of it is capped.
 
 1. Every scan split (a *block*) gives its distinct n-grams with their trusted counts.
 2. Summed by n-gram they are the highest-order counts; lower orders count distinct
@@ -34,85 +36,98 @@ from pyspark.sql import functions as F
 
 from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty
 
-ORDER, SYMBOL_BITS, SYMBOLS = 4, 12, 4096
+ORDER, SYMBOL_BITS, SYMBOLS = 9, 21, 0x110000
 LOW, HIGH, PRIOR, MIN_HELD_OUT = 0.001, 0.99, 200, 50
 #: Languages with fewer trained or held-out trusted texts are not judged.
 MIN_TRAINED, MIN_OWN = 30, 3
 #: Up to so many trusted ids (16 bytes each) are sent to every scan task; more are joined by a shuffle.
 TRUSTED_BROADCAST = 1_000_000
 #: Text of one block in a task, about: larger scan splits are dealt to several blocks.
-BLOCK_BYTES = 32 * 2 ** 20
+BLOCK_BYTES = 8 * 2 ** 20
 _END = 1
 
 
-def _symbols():
-    """Symbol of every code point below 2^16 (0: start, 1: end)."""
-    import numpy as np
-    t = np.arange(1 << 16, dtype=np.int64)
-    high = t >= 2048
-    t[high] = 2048 + (t[high] * 2654435761 >> 7) % 2048
-    t[:33], t[48:58] = 32, 48
-    return t
+def _columns(order: int) -> list[str]:
+    """Key columns of an n-gram: three symbols in each, ``g0`` has the last ones."""
+    return [f"g{i}" for i in range(max(1, -(-order // 3)))]
 
 
-def _ngrams(texts: list[str], table, order: int):
-    """All n-grams of the texts (with start padding and end), and how many each text has."""
+def _ngrams(texts: list[str], order: int):
+    """All n-grams of the texts (with start padding and end) as key columns, and how many each text has."""
     import numpy as np
     parts, sizes = [], np.zeros(len(texts), np.int64)
     start, end = np.zeros(order - 1, np.int64), np.array([_END])
     for i, t in enumerate(texts):
-        c = np.frombuffer(t.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-        wide = c >= 1 << 16
-        s = table[np.where(wide, 0, c)] if wide.any() else table[c]
-        if wide.any():
-            s[wide] = 2048 + (c[wide] * 2654435761 >> 7) % 2048
+        s = np.frombuffer(t.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        s[s < 33] = 32
+        s[(s >= 48) & (s < 58)] = 48
         parts += [start, s, end]
         sizes[i] = len(s) + 1
     x = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    n = len(x) - order + 1
-    if n < 1:
-        return np.zeros(0, np.int64), sizes
-    g = x[:n].copy()
-    for k in range(1, order):
-        g = (g << SYMBOL_BITS) | x[k:k + n]
-    return g[x[order - 1:] != 0], sizes
+    n = max(0, len(x) - order + 1)
+    whole, out = x[order - 1:] != 0, []
+    for last in range(order, 0, -3):
+        g = np.zeros(n, np.int64)
+        for k in range(max(0, last - 3), last):
+            g = (g << SYMBOL_BITS) | x[k:k + n]
+        out.append(g[whole])
+    return out, sizes
+
+
+def _mixed(grams: list):
+    """A number of every n-gram, to sort and look up by; equality is always that of the columns."""
+    import numpy as np
+    h = np.zeros(len(grams[0]), np.uint64)
+    for g in grams:
+        h = (h ^ g.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _merged(grams: list, counts: list):
+def _merged(grams: list, counts):
+    """Equal n-grams summed (two rows may stay where others have the same mixed number)."""
     import numpy as np
-    g, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-    return g, np.bincount(inverse, np.concatenate(counts), len(g)).astype(np.int64)
+    by = np.argsort(_mixed(grams))
+    grams = [g[by] for g in grams]
+    new = np.ones(len(by), bool)
+    if len(by):
+        new[1:] = np.any([g[1:] != g[:-1] for g in grams], axis=0)
+    first = np.flatnonzero(new)
+    return [g[first] for g in grams], np.add.reduceat(counts[by], first) if len(first) else counts[:0]
 
 
 def _block_counts(order: int):
-    """Worker function: rows (block, trusted, text) -> block, gram, n (trusted occurrences)."""
+    """Worker function: rows (block, trusted, text) -> block, key columns, n (trusted occurrences)."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        table, held = _symbols(), {}
+        held = {}
+
+        def joined(parts):
+            return _merged([np.concatenate(c) for c in zip(*[p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
 
         def rows(block):
-            g, n = _merged(*held.pop(block)[:2])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g), pa.array(n)], names=["block", "gram", "n"])
+            g, n = joined(held.pop(block)[0])
+            for a in range(0, len(n), 200_000):
+                part = [x[a:a + 200_000] for x in (*g, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block)), *map(pa.array, part)], names=["block", *_columns(order), "n"])
         for batch in batches:
             blocks, trusted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for block in np.unique(blocks).tolist():
                 for good in (False, True):
                     at = np.flatnonzero((blocks == block) & (trusted == good))
                     for a in range(0, len(at), 100):
-                        g, _ = _ngrams([batch.column(2)[i].as_py() for i in at[a:a + 100].tolist()], table, order)
-                        u, n = np.unique(g, return_counts=True)
-                        own = held.setdefault(block, [[], [], 0])
+                        g, _ = _ngrams([batch.column(2)[i].as_py() for i in at[a:a + 100].tolist()], order)
+                        u = _merged(g, np.full(len(g[0]), int(good)))
+                        own = held.setdefault(block, [[], 0])
                         own[0].append(u)
-                        own[1].append(n * good)
-                        own[2] += len(u)
-                        if own[2] > 3_000_000:       # merge now and then: memory stays at the distinct n-grams
-                            u, n = _merged(own[0], own[1])
-                            held[block] = [[u], [n], 0]
-            while sum(sum(map(len, o[0])) for o in held.values()) > 12_000_000 and len(held) > 1:
-                yield rows(next(iter(held)))         # a block that comes back gives more rows; they are summed
+                        own[1] += len(u[1])
+                        if own[1] > 3_000_000:       # merge now and then: memory stays at the distinct n-grams
+                            held[block] = [[joined(own[0])], 0]
+            while sum(len(u[1]) for o in held.values() for u in o[0]) > 6_000_000 and len(held) > 1:
+                yield from rows(next(iter(held)))    # a block that comes back gives more rows; they are summed
         for block in list(held):
-            yield rows(block)
+            yield from rows(block)
     return run
 
 
@@ -124,29 +139,47 @@ def _discounts(c: DataFrame) -> dict:
             for i in (1, 2, 3)}
 
 
+def _suffix(order: int, prefix: str = "g") -> list:
+    """Key columns of an n-gram without its first symbol."""
+    names = _columns(order - 1)
+    mask = F.lit((1 << SYMBOL_BITS * (order - 1 - 3 * (len(names) - 1))) - 1).cast("long")
+    return [(F.col(g).bitwiseAND(mask) if g == names[-1] else F.col(g)).alias(prefix + g[1:]) for g in names]
+
+
+def _context(order: int, prefix: str) -> list:
+    """Key columns of an n-gram without its last symbol."""
+    have, out = _columns(order), []
+    for i, g in enumerate(_columns(order - 1)):
+        c = F.shiftright(g, SYMBOL_BITS)
+        if i + 1 < len(have):
+            c = c.bitwiseOR(F.shiftleft(F.col(have[i + 1]).bitwiseAND(F.lit((1 << SYMBOL_BITS) - 1).cast("long")), 2 * SYMBOL_BITS))
+        out.append(c.alias(prefix + str(i)))
+    return out
+
+
 def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, logp`` for every row of ``counts`` (``gram, c``; c = 0: seen only in texts that
-    are not trusted)."""
-    suffix = {k: F.col("gram").bitwiseAND(F.lit((1 << SYMBOL_BITS * (k - 1)) - 1).cast("long")) for k in range(2, order + 1)}
-    seen, types = {order: counts.filter("c > 0")}, {order: counts.select("gram")}
+    """Key columns and ``logp`` for every row of ``counts`` (key columns, ``c``; c = 0: seen
+    only in texts that are not trusted)."""
+    seen, types = {order: counts.filter("c > 0")}, {order: counts.select(_columns(order))}
     for k in range(order, 1, -1):
-        seen[k - 1] = staged(seen[k].groupBy(suffix[k].alias("gram")).agg(F.count(F.lit(1)).alias("c")), "kn-counts")
-        types[k - 1] = types[k].select(suffix[k].alias("gram")).distinct()
+        seen[k - 1] = staged(seen[k].groupBy(_suffix(k)).agg(F.count(F.lit(1)).alias("c")), "kn-counts")
+        types[k - 1] = staged(types[k].select(_suffix(k)).distinct(), "kn-types")
     below = None
     for k in range(1, order + 1):
         d = _discounts(seen[k])
         less = F.when(F.col("c") >= 3, d[3]).when(F.col("c") == 2, d[2]).otherwise(d[1])
-        context = F.shiftright("gram", SYMBOL_BITS)
-        sums = seen[k].groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(less).alias("kept_back"))
-        rows = types[k].join(seen[k], "gram", "left").withColumn("context", context).join(sums, "context", "left")
+        contexts = [f"c{i}" for i in range(len(_columns(k - 1)))]
+        sums = seen[k].groupBy(_context(k, "c")).agg(F.sum("c").alias("total"), F.sum(less).alias("kept_back"))
+        rows = types[k].join(seen[k], _columns(k), "left").select("*", *_context(k, "c")).join(sums, contexts, "left")
         own = F.when(F.col("c").isNull(), 0.0).otherwise((F.col("c") - less) / F.col("total"))
         rest = F.when(F.col("total").isNull(), 1.0).otherwise(F.col("kept_back") / F.col("total"))
         if k == 1:
             rows = rows.withColumn("lower", F.lit(1.0 / SYMBOLS))
         else:
-            rows = rows.withColumn("short", suffix[k]).join(below.select(F.col("gram").alias("short"), F.col("p").alias("lower")), "short")
-        below = staged(rows.select("gram", (own + rest * F.col("lower")).alias("p")), "kn-level")
-    return below.select("gram", F.log("p").alias("logp"))
+            shorter = below.select(*[F.col(g).alias("s" + g[1:]) for g in _columns(k - 1)], F.col("p").alias("lower"))
+            rows = rows.select("*", *_suffix(k, "s")).join(shorter, ["s" + g[1:] for g in _columns(k - 1)])
+        below = staged(rows.select(*_columns(k), (own + rest * F.col("lower")).alias("p")), "kn-level")
+    return below.select(*_columns(order), F.log("p").alias("logp"))
 
 
 def _scores(order: int, keep: list[str]):
@@ -157,24 +190,27 @@ def _scores(order: int, keep: list[str]):
         names = [*keep, "n_symbols", "logp"]
         if not docs.num_rows:
             return pa.table({**{c: docs.column(c) for c in keep}, "n_symbols": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
-        g, p = grams.column("gram").to_numpy(), grams.column("logp").to_numpy()
-        by = np.argsort(g)
-        g, p, table = g[by], p[by], _symbols()
-        slot_g, slot_p = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20)     # direct look-up, sorted search for the rest
-
-        def slot(x):
-            return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        at = slot(g)
-        slot_g[at], slot_p[at] = g, p
+        g, p = [grams.column(c).to_numpy() for c in _columns(order)], grams.column("logp").to_numpy()
+        h = _mixed(g)
+        by = np.argsort(h)
+        g, p, h = [c[by] for c in g], p[by], h[by]
+        drop = np.uint64(64 - max(16, len(h).bit_length()))
+        slots = np.zeros(1 << 64 - int(drop), np.int32)       # direct look-up, sorted search for the rest
+        slots[(h >> drop).astype(np.int64)] = np.arange(len(h))
+
+        def differ(at, x):
+            return np.any([c[at] != y for c, y in zip(g, x)], axis=0)
         n, total, text = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows), docs.column("text_")
         for a in range(0, docs.num_rows, 100):
-            x, size = _ngrams(text.slice(a, 100).to_pylist(), table, order)
-            at = slot(x)
-            value, miss = slot_p[at], np.flatnonzero(slot_g[at] != x)
-            if len(miss):
-                value[miss] = p[np.searchsorted(g, x[miss])]
+            x, size = _ngrams(text.slice(a, 100).to_pylist(), order)
+            hx = _mixed(x)
+            at = slots[(hx >> drop).astype(np.int64)].astype(np.int64)
+            miss = np.flatnonzero(differ(at, x))
+            at[miss] = np.searchsorted(h, hx[miss])
+            while len(miss := miss[differ(at[miss], [c[miss] for c in x])]):
+                at[miss] += 1                                  # another n-gram with the same mixed number
             n[a:a + 100] = size
-            total[a:a + 100] = np.add.reduceat(value, np.concatenate([[0], np.cumsum(size)[:-1]]))
+            total[a:a + 100] = np.add.reduceat(p[at], np.concatenate([[0], np.cumsum(size)[:-1]]))
         return pa.table([docs.column(c) for c in keep] + [pa.array(n), pa.array(total)], names=names)
     return run
 
@@ -200,12 +236,13 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     good = staged(good, "kn-trusted")
     good = F.broadcast(good) if good.count() <= TRUSTED_BROADCAST else good
     marked = rows.join(good, F.col("doc_id") == F.col("id"), "left")
-    train = F.coalesce(~F.col("held"), F.lit(False))
-    pairs = staged(map_batches(marked.select("block", train.alias("train"), "text_"), _block_counts(order), "block long, gram long, n long"), "kn-pairs")
-    counts = staged(pairs.groupBy("gram").agg(F.sum("n").alias("c")), "kn-counts")
+    train, keys = F.coalesce(~F.col("held"), F.lit(False)), _columns(order)
+    pairs = staged(map_batches(marked.select("block", train.alias("train"), "text_"), _block_counts(order),
+                              "block long, " + "".join(f"{g} long, " for g in keys) + "n long"), "kn-pairs")
+    counts = staged(pairs.groupBy(keys).agg(F.sum("n").alias("c")), "kn-counts")
     logp = log_probabilities(counts, order)
-    needed = pairs.select("block", "gram").distinct() if not from_files else pairs.select("block", "gram")
-    tables = needed.join(logp, "gram").groupBy("block")
+    needed = pairs.select("block", *keys).distinct() if not from_files else pairs.select("block", *keys)
+    tables = needed.join(logp, keys).groupBy("block")
     keep = ["doc_id", "row_hash", "lang"]
     docs = rows.select("block", "doc_id", F.xxhash64("text_").alias("row_hash"), "lang", "text_").groupBy("block")
     out = docs.cogroup(tables).applyInArrow(_scores(order, keep), "doc_id long, row_hash long, lang string, n_symbols long, logp double")
