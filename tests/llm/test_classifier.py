@@ -144,3 +144,19 @@ def test_ngrams_reach_over_words_and_tell_symbols_apart():
     # the same words in another order give other n-grams inside, so the table grows with the corpus
     assert len(rows(["one two red", "two one red", "red two one"])) > 2 * len(rows(["one two red"]))
     assert len({g[0] for g in rows(["the cat the dog the cow"])}) > 10 and ORDER > 8
+
+
+def test_copies_are_spread_and_scored_once(spark, monkeypatch):
+    import pyarrow as pa
+    copies = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text_"))
+    assert copies.select(classifier._share(8)).distinct().count() == 8
+    grams, scored = classifier._ngrams(["a text", "b"], ORDER)[0], []
+    rows = sorted(set(zip(*[g.tolist() for g in grams])))
+    table = pa.table({**{f"g{i}": [r[i] for r in rows] for i in range(len(grams))}, "logp": [-1.0 - i for i in range(len(rows))]})
+    ngrams = classifier._ngrams
+    monkeypatch.setattr(classifier, "_ngrams", lambda texts, order: scored.extend(texts) or ngrams(texts, order))
+    out = classifier._scores(ORDER, ["doc_id"])(pa.table({"doc_id": list(range(300)), "text_": ["a text", "b", "a text"] * 100}), table)
+    assert sorted(scored) == ["a text", "b"]
+    assert out.column("n_symbols").to_pylist() == [7, 2, 7] * 100
+    logp = out.column("logp").to_pylist()
+    assert logp == logp[:3] * 100 and logp[0] == logp[2] != logp[1]

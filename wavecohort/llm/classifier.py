@@ -187,6 +187,7 @@ def _scores(order: int, keep: list[str]):
     def run(docs, grams):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         names = [*keep, "n_symbols", "logp"]
         if not docs.num_rows:
             return pa.table({**{c: docs.column(c) for c in keep}, "n_symbols": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
@@ -200,8 +201,10 @@ def _scores(order: int, keep: list[str]):
 
         def differ(at, x):
             return np.any([c[at] != y for c, y in zip(g, x)], axis=0)
-        n, total, text = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows), docs.column("text_")
-        for a in range(0, docs.num_rows, 100):
+        text = pc.unique(docs.column("text_"))                 # copies are scored once
+        copy = pc.index_in(docs.column("text_"), text).to_numpy()
+        n, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        for a in range(0, len(text), 100):
             x, size = _ngrams(text.slice(a, 100).to_pylist(), order)
             hx = _mixed(x)
             at = slots[(hx >> drop).astype(np.int64)].astype(np.int64)
@@ -211,10 +214,15 @@ def _scores(order: int, keep: list[str]):
                 at[miss] += 1                                  # another n-gram with the same mixed number
             n[a:a + 100] = size
             total[a:a + 100] = np.add.reduceat(p[at], np.concatenate([[0], np.cumsum(size)[:-1]]))
-        return pa.table([docs.column(c) for c in keep] + [pa.array(n), pa.array(total)], names=names)
+        return pa.table([docs.column(c) for c in keep] + [pa.array(n[copy]), pa.array(total[copy])], names=names)
     return run
 
 
+def _share(n: int):
+    """Share of a scan split that a row is dealt to: the same in every scan, and copies of a text are spread."""
+    return F.pmod(F.xxhash64("doc_id", "text_"), F.lit(n))
+
+
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality",
            from_files: bool = False, order: int = ORDER) -> DataFrame:
     """``doc_id, row_hash, lang, trusted, held_out, n_symbols, logp`` of every row (written).
@@ -228,7 +236,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     if not from_files:
         rows = staged(rows, "kn-docs")
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    share = F.pmod(F.xxhash64("text_"), F.lit(max(1, 2 * split // BLOCK_BYTES)))
+    share = _share(max(1, 2 * split // BLOCK_BYTES))
     rows = rows.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start(), share))
     held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
     good = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("q")).dropna()
