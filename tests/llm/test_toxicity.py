@@ -49,3 +49,15 @@ def test_edge_cases(spark):
         assert not [r.held_out for r in out if r.doc_id is None][0]
     assert toxicity.scored(docs.limit(0), toxicity.fit(docs.limit(0), odd)).count() == 0
     assert docs.filter(F.lit(False)).count() == 0
+
+
+def test_disguised_forms():
+    for word in ("dis9usting", "di5gu$t1ng", "(disgu5ting)"):
+        assert fold(f"so {word} here") == " so disgusting here ", word
+    for word in ("(1diot)", '"1diot"', "!diot", "|diot", "-!d1ot", "_1diot_"):
+        assert fold(f"an {word} here") == " an idiot here ", word
+    assert fold("9 2024 (3) ! | 1999") == " 9 2024 3 1999 "
+    m = Model({" idiot ": 4.0, fold("loser"): 3.0, " été ": 2.5}, (1.0, 1.0, 1.0, -9.0), ("sore loser",))
+    assert m.features(fold("an ídíot here")) == m.features(fold("an i\u0301di\u0301ot here")) == m.features(fold("an idiot here"))
+    assert m.features(fold("a ĺóser"))[2] == 3.0 and m.features(fold("a sóre loser"))[2] == 0.0
+    assert m.features(fold("l'été"))[2] == 2.5 and m.features(fold("ete 한국어"))[2] == 0.0

@@ -2,8 +2,8 @@
 
 Texts are folded (compatibility forms, look-alike letters of other scripts, digit
 and sign substitutions next to letters, ``l`` and ``i`` as one, marks as spaces) and
-searched in one pass for all lexicon entries: whole words or word beginnings.  A
-word counts with the heaviest entry that it matches; a match inside an exception
+searched in one pass for all lexicon entries: whole words or word beginnings; texts
+with accents in a second pass without them.  A word counts with the heaviest entry that it matches; a match inside an exception
 phrase doesn't count.  The score is a logistic function of the summed weight, the
 summed weight per word (length normalisation) and the heaviest single weight.
 
@@ -43,8 +43,8 @@ EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "circus clown
 LOOK_ALIKES = dict(zip("авеёикмнорстухѕіјԁԛԝһӏɑɡıοαβεικνρτυχωϲϳ", "abeeukmhopctyxsijdqwhlagioabeikvptuxwcj"))
 #: Digits and signs written for letters.
 SUBSTITUTES = str.maketrans("013457890@$!|", "oieastbgoasii")
-_NEXT_TO_LETTER = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|(?<![^\s])[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?![^\W_])")
-_SIGNS = re.compile(r"[0134578@$!|]")
+_NEXT_TO_LETTER = re.compile(r"(?<=[^\W\d_])[01345789@$!|]+(?=[^\W\d_])|(?<![^\W_])[01345789@$!|]+(?=[^\W\d_])|(?<=[^\W\d_])[01345789]+(?![^\W_])")
+_SIGNS = re.compile(r"[01345789@$!|]")
 _MODELS: dict[int, tuple] = {}
 
 
@@ -62,7 +62,16 @@ class _Fold(dict):
         return out
 
 
-_FOLD = _Fold()
+class _Plain(dict):
+    """Code point of a folded text -> its letter without accents (one letter for one), worked out at first use."""
+
+    def __missing__(self, code):
+        out = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(x) != "Mn")
+        self[code] = LOOK_ALIKES.get(out, out).replace("l", "i") if len(out) == 1 else chr(code)
+        return self[code]
+
+
+_FOLD, _PLAIN = _Fold(), _Plain()
 
 
 def fold(text: str) -> str:
@@ -75,10 +84,16 @@ def fold(text: str) -> str:
     return " " + " ".join(text.translate(_FOLD).split()) + " "
 
 
+def _forms(folded: str) -> tuple[str, ...]:
+    """The folded text and, where it has accents, the same without them (all places stay)."""
+    plain = folded if folded.isascii() else folded.translate(_PLAIN)
+    return (folded, plain) if plain != folded else (folded,)
+
+
 def _entries(folded: str) -> set[str]:
-    """Lexicon candidates: ``" word "`` and ``" beginning"``."""
+    """Lexicon candidates of all forms: ``" word "`` and ``" beginning"``."""
     out = set()
-    for w in set(folded.split()):
+    for w in {w for form in _forms(folded) for w in form.split()}:
         if len(w) >= SHORTEST:
             out.add(f" {w} ")
             out.update(" " + w[:k] for k in range(SHORTEST, min(LONGEST_BEGINNING + 1, len(w) + 1)))
@@ -106,12 +121,13 @@ class Model:
 
     def features(self, folded: str) -> tuple[float, float, float]:
         heaviest, spared = {}, []
-        for end, (n, w) in self.automaton().iter(folded):
-            start = end - n + 1
-            if w is None:
-                spared.append((start, end))
-            elif w > heaviest.get(start, 0.0):
-                heaviest[start] = w
+        for form in _forms(folded):
+            for end, (n, w) in self.automaton().iter(form):
+                start = end - n + 1
+                if w is None:
+                    spared.append((start, end))
+                elif w > heaviest.get(start, 0.0):
+                    heaviest[start] = w
         for a, b in spared:
             for s in [s for s in heaviest if a <= s < b]:
                 del heaviest[s]
