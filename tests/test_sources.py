@@ -100,3 +100,10 @@ def test_runtime_conf_applied_by_query_wrapper(spark):
     assert all(spark.conf.get(k) == v for k, v in RUNTIME_CONF.items())
     c = cluster_conf(1000, 8)
     assert c["spark.sql.shuffle.partitions"] == "24000"
+
+
+def test_random_search_draws_the_rounds():
+    from wavecohort.operators import models as M
+    from wavecohort.plans.q_score import RANDOM_SPACE
+    rounds = [p["maxIter"] for p in M.sample_param_maps(RANDOM_SPACE, 300)]
+    assert set(rounds) == set(range(40, 46))

@@ -340,13 +340,16 @@ def q_importances(spark, d):
     return M.importances(model, FEATURES)
 
 
+#: The rounds are those of the source's live space.
+RANDOM_SPACE = {"maxIter": ("quniform", 40, 45, 1), "maxDepth": ("quniform", 2, 6, 1), "stepSize": ("uniform", 0.05, 0.3),
+                "subsamplingRate": ("uniform", 0.5, 1.0), "minInstancesPerNode": ("quniform", 1, 20, 1)}
+
+
 @query("random_search")
 def q_random_search(spark, d):
     """M14/M15 (rows only): sampled GBT parameter maps scored by validation AUC."""
     tr, va = _split(spark, d)
-    space = {"maxDepth": ("quniform", 2, 6, 1), "stepSize": ("uniform", 0.05, 0.3),
-             "subsamplingRate": ("uniform", 0.5, 1.0), "minInstancesPerNode": ("quniform", 1, 20, 1)}
-    _best, trials = M.random_search(lambda **p: M.classifier("gbt", maxIter=20, **p), space, 4, tr, va, FEATURES)
+    _best, trials = M.random_search(lambda **p: M.classifier("gbt", **p), RANDOM_SPACE, 4, tr, va, FEATURES)
     return trials
 
 
