@@ -161,18 +161,19 @@ def _context(order: int, prefix: str) -> list:
 def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """Key columns and ``logp`` for every row of ``counts`` (key columns, ``c``; c = 0: seen
     only in texts that are not trusted)."""
-    seen, types = {order: counts.filter("c > 0")}, {order: counts.select(_columns(order))}
+    levels = {order: counts}
     for k in range(order, 1, -1):
-        seen[k - 1] = staged(seen[k].groupBy(_suffix(k)).agg(F.count(F.lit(1)).alias("c")), "kn-counts")
-        types[k - 1] = staged(types[k].select(_suffix(k)).distinct(), "kn-types")
+        above = F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("c")       # distinct left neighbours in trusted text
+        levels[k - 1] = staged(levels[k].groupBy(_suffix(k)).agg(above), "kn-counts")
     below = None
     for k in range(1, order + 1):
-        d = _discounts(seen[k])
+        seen = levels[k].filter("c > 0")
+        d = _discounts(seen)
         less = F.when(F.col("c") >= 3, d[3]).when(F.col("c") == 2, d[2]).otherwise(d[1])
         contexts = [f"c{i}" for i in range(len(_columns(k - 1)))]
-        sums = seen[k].groupBy(_context(k, "c")).agg(F.sum("c").alias("total"), F.sum(less).alias("kept_back"))
-        rows = types[k].join(seen[k], _columns(k), "left").select("*", *_context(k, "c")).join(sums, contexts, "left")
-        own = F.when(F.col("c").isNull(), 0.0).otherwise((F.col("c") - less) / F.col("total"))
+        sums = seen.groupBy(_context(k, "c")).agg(F.sum("c").alias("total"), F.sum(less).alias("kept_back"))
+        rows = levels[k].select("*", *_context(k, "c")).join(sums, contexts, "left")
+        own = F.when(F.col("c") == 0, 0.0).otherwise((F.col("c") - less) / F.col("total"))
         rest = F.when(F.col("total").isNull(), 1.0).otherwise(F.col("kept_back") / F.col("total"))
         if k == 1:
             rows = rows.withColumn("lower", F.lit(1.0 / SYMBOLS))
