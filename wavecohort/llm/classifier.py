@@ -122,9 +122,9 @@ def _block_counts(order: int):
                         own = held.setdefault(block, [[], 0])
                         own[0].append(u)
                         own[1] += len(u[1])
-                        if own[1] > 500_000:         # merge now and then: memory stays at the distinct n-grams
+                        if own[1] > 250_000:         # merge now and then: memory stays at the distinct n-grams
                             held[block] = [[joined(own[0])], 0]
-            while sum(len(u[1]) for o in held.values() for u in o[0]) > 2_500_000:
+            while sum(len(u[1]) for o in held.values() for u in o[0]) > 1_200_000:
                 # a block that comes back gives more rows; they are summed
                 yield from rows(max(held, key=lambda b: sum(len(u[1]) for u in held[b][0])))
         for block in list(held):
