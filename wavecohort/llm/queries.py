@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import binary, chat, classifier, fingerprints, licenses, mixing, packing, quality, simhash, toxicity
+from wavecohort.llm import (
+    binary, chat, classifier, fingerprints, licenses, merkle, mixing, packing, quality, simhash, toxicity,
+)
 from wavecohort.llm.common import table
 from wavecohort.llm.tokens import MANY_WORDS
 
@@ -58,6 +60,11 @@ def op10_simhash(spark, d):
     return simhash.components_of(table(spark, d, "documents"))
 
 
+def op12_merkle(spark, d):
+    """Merkle manifest of all documents, and what it says of rows changed afterwards."""
+    return merkle.audited(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_classifier": (op2_classifier, None),
@@ -69,4 +76,5 @@ QUERIES = {
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_mixing": (op9_mixing, None),
     "op10_simhash": (op10_simhash, None),
+    "op12_merkle": (op12_merkle, merkle.oracle_sql()),
 }
