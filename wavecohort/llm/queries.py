@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wavecohort.llm import (
-    binary, chat, classifier, fingerprints, licenses, merkle, mixing, packing, quality, simhash, toxicity,
+    binary, chat, classifier, fingerprints, licenses, merkle, mixing, packing, quality, simhash, toxicity, whitening,
 )
 from wavecohort.llm.common import table
 from wavecohort.llm.tokens import MANY_WORDS
@@ -60,6 +60,11 @@ def op10_simhash(spark, d):
     return simhash.components_of(table(spark, d, "documents"))
 
 
+def op11_whitening(spark, d):
+    """All embeddings on the four leading components of their covariance."""
+    return whitening.report(table(spark, d, "embeddings"))
+
+
 def op12_merkle(spark, d):
     """Merkle manifest of all documents, and what it says of rows changed afterwards."""
     return merkle.audited(table(spark, d, "documents"))
@@ -76,5 +81,6 @@ QUERIES = {
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_mixing": (op9_mixing, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_whitening": (op11_whitening, None),
     "op12_merkle": (op12_merkle, merkle.oracle_sql()),
 }
