@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wavecohort.llm import (
-    binary, chat, classifier, fingerprints, licenses, merkle, mixing, packing, quality, simhash, toxicity, whitening,
+    binary, chat, classifier, fingerprints, licenses, merkle, mixing, packing, quality, simhash, suffixes, toxicity, whitening,
 )
 from wavecohort.llm.common import table
 from wavecohort.llm.tokens import MANY_WORDS
@@ -70,6 +70,11 @@ def op12_merkle(spark, d):
     return merkle.audited(table(spark, d, "documents"))
 
 
+def op13_suffixes(spark, d):
+    """What is left of all documents without passages of 200 bytes or more that repeat."""
+    return suffixes.cleaned(table(spark, d, "documents"), keep_text=False)
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_classifier": (op2_classifier, None),
@@ -83,4 +88,5 @@ QUERIES = {
     "op10_simhash": (op10_simhash, None),
     "op11_whitening": (op11_whitening, None),
     "op12_merkle": (op12_merkle, merkle.oracle_sql()),
+    "op13_suffixes": (op13_suffixes, None),
 }
