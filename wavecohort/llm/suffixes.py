@@ -310,7 +310,8 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_b
     homes = map_batches(texts, _compressed, f"id {kind}, n_bytes long, z binary").withColumn("rid", F.monotonically_increasing_id())
     homes = staged(homes, "suffix-texts", compression="none")
     source = homes.filter(F.col("n_bytes") >= WINDOW).select("rid", "n_bytes", "z")
-    common = map_batches(source, _anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    # written, so that both sides of the next join are plain shuffles and a hot anchor's partition is split
+    common = staged(map_batches(source, _anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"), "suffix-anchors")
     live = staged(map_batches(source, _occurrences, "anchor long, shash long, rid long, at long, windows int, left int").join(common, "anchor", "left_semi"), "suffix-live")
     # any occurrence of equal strings will do
     once = live.groupBy("anchor", "shash").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("rid", "at", "windows", "left")])
