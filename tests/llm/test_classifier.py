@@ -14,7 +14,7 @@ ORDER = classifier.ORDER
 def symbols(text):
     out = []
     for c in map(ord, text or ""):
-        out.append(2048 + (c * 2654435761 >> 7) % 2048 if c >= 2048 else 32 if c < 33 else 48 if 48 <= c < 58 else c)
+        out.append(32 if c < 33 else 48 if 48 <= c < 58 else c)
     return [0] * (ORDER - 1) + out + [1]
 
 
@@ -132,31 +132,63 @@ def test_language_without_trusted_text_stays(spark):
     assert any(not r.kept for r in out if r.l == "en")
 
 
+def grams(texts):
+    m, r, _ = classifier._ngrams(texts)
+    return set(zip(m.tolist(), r.tolist()))
+
+
 def test_ngrams_reach_over_words_and_tell_symbols_apart():
-    def rows(texts):
-        g, _ = classifier._ngrams(texts, ORDER)
-        return set(zip(*[c.tolist() for c in g]))
-    slot = defaultdict(list)
-    for c in range(0x4E00, 0x9FFF):
-        slot[(c * 2654435761 >> 7) % 2048].append(chr(c))
-    a, b = next(v for v in slot.values() if len(v) > 1)[:2]
-    assert rows([a]) != rows([b]) and rows(["😀"]) != rows(["😁"])
+    one = {chr(c): grams([chr(c)]) for c in range(0x4E00, 0x5200)}
+    assert len({frozenset(g) for g in one.values()}) == len(one) and grams(["😀"]) != grams(["😁"])
     # the same words in another order give other n-grams inside, so the table grows with the corpus
-    assert len(rows(["one two red", "two one red", "red two one"])) > 2 * len(rows(["one two red"]))
-    assert len({g[0] for g in rows(["the cat the dog the cow"])}) > 10 and ORDER > 8
+    assert len(grams(["one two red", "two one red", "red two one"])) > 1.8 * len(grams(["one two red"]))
+
+
+def test_pressed_arrays_come_back():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000):
+        a, b = np.sort(rng.integers(0, 2 ** 62, n)), rng.integers(-2 ** 62, 2 ** 62, n)
+        got = classifier._unpressed(classifier._pressed(a, b), n, 2)
+        assert (got[0] == a).all() and (got[1] == b).all()
+
+
+def test_many_small_blocks_give_the_same(spark, small_docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = small_docs.filter("n_chars < 1500")
+    want = sorted((r.doc_id, round(r.logp, 2)) for r in classifier.scored(docs, labels).collect())
+    got = classifier.scored(docs.repartition(3), labels, block_bytes=3000).collect()
+    assert sorted((r.doc_id, round(r.logp, 2)) for r in got) == want
+
+
+def test_very_long_text(spark, small_docs):
+    labels = spark.createDataFrame([(1, 1), (7, 1)], "doc_id long, quality int")
+    rows = [(1, "the cat sat on the mat. " * 40, "en"), (2, "the cat " * 300_000, "en"), (2, "the cat " * 300_000, "en"), (3, "the cat sat", "en"), (7, "é" * 70_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = Brute([r[1] for r in rows if r[0] in (1, 7) and zlib.crc32(str(r[0]).encode()) % 5])
+    got = classifier.scored(docs, labels).collect()
+    assert len(got) == 5 and sorted(r.n_symbols for r in got) == sorted(len(r[1]) + 1 for r in rows)
+    short = next(r for r in got if r.doc_id == 3)
+    assert abs(short.logp - model.logp("the cat sat")) < 1e-5 * abs(short.logp)
 
 
 def test_copies_are_spread_and_scored_once(spark, monkeypatch):
+    import numpy as np
     import pyarrow as pa
     copies = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text_"))
     assert copies.select(classifier._share(8)).distinct().count() == 8
-    grams, scored = classifier._ngrams(["a text", "b"], ORDER)[0], []
-    rows = sorted(set(zip(*[g.tolist() for g in grams])))
-    table = pa.table({**{f"g{i}": [r[i] for r in rows] for i in range(len(grams))}, "logp": [-1.0 - i for i in range(len(rows))]})
-    ngrams = classifier._ngrams
-    monkeypatch.setattr(classifier, "_ngrams", lambda texts, order: scored.extend(texts) or ngrams(texts, order))
-    out = classifier._scores(ORDER, ["doc_id"])(pa.table({"doc_id": list(range(300)), "text_": ["a text", "b", "a text"] * 100}), table)
+    m, r, _ = classifier._ngrams(["a text", "b"])
+    m, r, c = classifier._merged(m, r, np.ones(len(m), np.int64))
+    p = -1.0 - np.arange(len(m), dtype=np.float32)
+    table = pa.table({"n": [len(m)], "grams": [classifier._pressed(m, r, c)],
+                      "logp": [pa.compress(np.ascontiguousarray(p.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)]})
+    texts = ["a text", "b", "a text"] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * 300), pa.array(range(300)), pa.array([0] * 300), pa.array(["en"] * 300), pa.array(texts)],
+                                       names=["block", "doc_id", "row_hash", "lang", "text"])
+    chunks, scored, ngrams = pa.Table.from_batches(list(classifier._chunks([batch, batch]))), [], classifier._ngrams
+    monkeypatch.setattr(classifier, "_ngrams", lambda t: scored.extend(t) or ngrams(t))
+    out = classifier._scores(chunks, table)
     assert sorted(scored) == ["a text", "b"]
-    assert out.column("n_symbols").to_pylist() == [7, 2, 7] * 100
+    assert out.column("n_symbols").to_pylist() == [7, 2, 7] * 200
     logp = out.column("logp").to_pylist()
-    assert logp == logp[:3] * 100 and logp[0] == logp[2] != logp[1]
+    assert logp == logp[:3] * 200 and logp[0] == logp[2] != logp[1]

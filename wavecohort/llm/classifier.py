@@ -1,20 +1,19 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model (operator 2).
 
-The model has character n-grams of ``ORDER`` (spaces and digits each one symbol, every
-other code point its own; three symbols of 21 bits in a long, nothing hashed) of all
-trusted texts: labelled good, outside the held-out fifth (crc32(id as text) a multiple
-of 5).  They reach over a word's edge, so their number grows with the corpus.  Nothing
-of it is capped.
-
-1. Every scan split (a *block*) gives its distinct n-grams with their trusted counts.
-2. Summed by n-gram they are the highest-order counts; lower orders count distinct
-   left neighbours; each order has the three modified discounts from its counts of
-   counts.  Log-probabilities of all n-grams of the corpus are joined up from the
-   lowest order: counts, context sums and the next lower order, each join hashed by
-   its own key, so every count table is sharded.
-3. The log-probabilities are joined to the (block, n-gram) pairs and meet the texts of
-   their block; a text's perplexity is that of its characters and its end.  A block
-   needs only the n-grams that it holds, so neither model nor corpus is broadcast.
+The model has character n-grams of order 6 (spaces and digits each one symbol, every other
+code point its own, 21 bits each, nothing hashed) of all trusted texts: labelled good, outside
+the held-out fifth (crc32(id as text) a multiple of 5).  They reach over a word's edge, and their
+number grows with the corpus.  Nothing of it is capped.
+
+1. Every scan split (a *block*) gives its distinct n-grams with their trusted counts, dealt to
+   shards by the three symbols before the last: sorted and compressed, two or three bytes each.
+2. A shard holds all n-grams with its contexts, so the counts of orders 6, 5 and 4 (distinct left
+   neighbours below 6), their context sums and counts of counts are made in it.  What it knows
+   of order 3 is summed over the shards; orders 3 to 1 are small tables, joined up from the
+   lowest: counts, context sums and the next lower order, each join hashed by its own key.
+3. The shards meet the order-3 probabilities of their n-grams and send every block the
+   log-probabilities of its own, where they meet its (compressed) texts; a text's perplexity is that of
+   its characters and its end.  Neither model nor corpus is broadcast.
 
 A text is rejected when its log-perplexity, pulled towards the language's middle as by
 ``PRIOR`` more characters (short texts vary), lies above the ``HIGH`` quantile of the
@@ -36,27 +35,28 @@ from pyspark.sql import functions as F
 
 from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty
 
-ORDER, SYMBOL_BITS, SYMBOLS = 9, 21, 0x110000
+ORDER, SYMBOL_BITS, SYMBOLS = 6, 21, 0x110000
+#: Orders up to this one are joined as tables; n-grams are dealt to shards by as many symbols before the last.
+SMALL_ORDER = 3
 LOW, HIGH, PRIOR, MIN_HELD_OUT = 0.001, 0.99, 200, 50
 #: Languages with fewer trained or held-out trusted texts are not judged.
 MIN_TRAINED, MIN_OWN = 30, 3
-#: Up to so many trusted ids (16 bytes each) are sent to every scan task; more are joined by a shuffle.
-TRUSTED_BROADCAST = 1_000_000
-#: Text of one block in a task, about: larger scan splits are dealt to several blocks.
-BLOCK_BYTES = 8 * 2 ** 20
+#: Text of one block, about: larger scan splits are dealt to several blocks.
+BLOCK_BYTES = 32 * 2 ** 20
+#: Shards of the n-grams of few blocks, and for so many blocks one more: a task holds some ten million
+#: n-grams.  Larger blocks give fewer of them (at 100 TB: half a gigabyte of text a block).
+SHARDS, BLOCKS_A_SHARD = 16, 8
+#: Symbols that a task turns into n-grams at a time.
+_CHUNK = 2 ** 20
 _END = 1
 
 
-def _columns(order: int) -> list[str]:
-    """Key columns of an n-gram: three symbols in each, ``g0`` has the last ones."""
-    return [f"g{i}" for i in range(max(1, -(-order // 3)))]
-
-
-def _ngrams(texts: list[str], order: int):
-    """All n-grams of the texts (with start padding and end) as key columns, and how many each text has."""
+def _ngrams(texts: list[str]):
+    """All n-grams of the texts (with start padding and end) as two numbers, ``m`` (the three symbols
+    before the last) and ``r`` (the others), and how many each text has."""
     import numpy as np
     parts, sizes = [], np.zeros(len(texts), np.int64)
-    start, end = np.zeros(order - 1, np.int64), np.array([_END])
+    start, end = np.zeros(ORDER - 1, np.int64), np.array([_END])
     for i, t in enumerate(texts):
         s = np.frombuffer(t.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
         s[s < 33] = 32
@@ -64,208 +64,329 @@ def _ngrams(texts: list[str], order: int):
         parts += [start, s, end]
         sizes[i] = len(s) + 1
     x = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    n = max(0, len(x) - order + 1)
-    whole, out = x[order - 1:] != 0, []
-    for last in range(order, 0, -3):
-        g = np.zeros(n, np.int64)
-        for k in range(max(0, last - 3), last):
-            g = (g << SYMBOL_BITS) | x[k:k + n]
-        out.append(g[whole])
-    return out, sizes
-
-
-def _mixed(grams: list):
-    """A number of every n-gram, to sort and look up by; equality is always that of the columns."""
+    n = max(0, len(x) - ORDER + 1)
+    whole = x[ORDER - 1:] != 0
+
+    def packed(a, b, c):
+        return ((x[a:a + n] << 2 * SYMBOL_BITS) | (x[b:b + n] << SYMBOL_BITS) | x[c:c + n])[whole]
+    return packed(2, 3, 4), packed(0, 1, 5), sizes
+
+
+def _texts_by(texts: list[str]):
+    """Ranges of ``texts`` of about ``_CHUNK`` symbols."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) + ORDER
+        if held > _CHUNK:
+            yield a, i + 1
+            a, held = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
+def _mixed(m, r):
+    """A number of every n-gram, to look up by; equality is always that of the n-gram."""
     import numpy as np
-    h = np.zeros(len(grams[0]), np.uint64)
-    for g in grams:
+    h = np.zeros(len(m), np.uint64)
+    for g in (m, r):
         h = (h ^ g.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _merged(grams: list, counts):
-    """Equal n-grams summed (two rows may stay where others have the same mixed number)."""
+def _merged(m, r, counts):
+    """Equal n-grams summed, in the order of their mixed numbers (two rows may stay where others have the same one)."""
     import numpy as np
-    by = np.argsort(_mixed(grams))
-    grams = [g[by] for g in grams]
-    new = np.ones(len(by), bool)
-    if len(by):
-        new[1:] = np.any([g[1:] != g[:-1] for g in grams], axis=0)
-    first = np.flatnonzero(new)
-    return [g[first] for g in grams], np.add.reduceat(counts[by], first) if len(first) else counts[:0]
+    by = np.argsort(_mixed(m, r))
+    m, r = m[by], r[by]
+    first = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (r[1:] != r[:-1]))) if len(by) else by
+    return m[first], r[first], np.add.reduceat(counts[by], first) if len(first) else counts[:0]
 
 
-def _block_counts(order: int):
-    """Worker function: rows (block, trusted, text) -> block, key columns, n (trusted occurrences)."""
+def _pressed(*arrays) -> bytes:
+    """Arrays of whole numbers as differences, byte by byte of their places, compressed."""
+    import numpy as np
+    import pyarrow as pa
+    planes = [np.diff(np.append(0, a)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpressed(z, n: int, k: int) -> list:
+    """The ``k`` arrays of ``n`` numbers that were compressed."""
+    import numpy as np
+    import pyarrow as pa
+    raw = np.frombuffer(pa.decompress(z, 8 * n * k, "zstd", asbytes=True), np.uint8).reshape(k, 8, n)
+    return [np.cumsum(np.ascontiguousarray(p.T).view("<i8").ravel()) for p in raw]
+
+
+def _block_counts(shards: int):
+    """Worker function: rows (block, trusted, text) -> rows (shard, block, n, grams): the block's
+    distinct n-grams with their trusted occurrences."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        held = {}
+        held = {}                                            # block -> merged n-grams, parts that came after them
 
-        def joined(parts):
-            return _merged([np.concatenate(c) for c in zip(*[p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
+        def merge(block):
+            base, parts = held[block]
+            held[block] = (_merged(*[np.concatenate(c) for c in zip(base, *parts)]), [])
 
         def rows(block):
-            g, n = joined(held.pop(block)[0])
-            for a in range(0, len(n), 200_000):
-                part = [x[a:a + 200_000] for x in (*g, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block)), *map(pa.array, part)], names=["block", *_columns(order), "n"])
+            merge(block)
+            m, r, n = held.pop(block)[0]
+            shard = (_mixed(m, np.zeros_like(m)) >> np.uint64(33)).astype(np.int64) % shards
+            by = np.lexsort((r, m, shard))
+            m, r, n, shard = m[by], r[by], n[by], shard[by]
+            ends = np.searchsorted(shard, np.arange(shards + 1)).tolist()
+            some = [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k for k, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([b - a for _, a, b in some], pa.int32()),
+                pa.array([_pressed(m[a:b], r[a:b], n[a:b]) for _, a, b in some], pa.binary())], names=["shard", "block", "n", "grams"])
+        nothing = tuple(np.zeros(0, np.int64) for _ in range(3))
         for batch in batches:
             blocks, trusted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for block in np.unique(blocks).tolist():
                 for good in (False, True):
-                    at = np.flatnonzero((blocks == block) & (trusted == good))
-                    for a in range(0, len(at), 100):
-                        g, _ = _ngrams([batch.column(2)[i].as_py() for i in at[a:a + 100].tolist()], order)
-                        u = _merged(g, np.full(len(g[0]), int(good)))
-                        own = held.setdefault(block, [[], 0])
-                        own[0].append(u)
-                        own[1] += len(u[1])
-                        if own[1] > 250_000:         # merge now and then: memory stays at the distinct n-grams
-                            held[block] = [[joined(own[0])], 0]
-            while sum(len(u[1]) for o in held.values() for u in o[0]) > 1_200_000:
+                    texts = batch.column(2).filter(pa.array((blocks == block) & (trusted == good))).to_pylist()
+                    for a, b in _texts_by(texts):
+                        m, r, _ = _ngrams(texts[a:b])
+                        base, parts = held.setdefault(block, (nothing, []))
+                        parts.append(_merged(m, r, np.full(len(m), int(good))))
+                        if sum(len(p[0]) for p in parts) > max(500_000, len(base[0])):
+                            merge(block)
+            while sum(len(x[0]) for base, parts in held.values() for x in (base, *parts)) > 4_000_000:
                 # a block that comes back gives more rows; they are summed
-                yield from rows(max(held, key=lambda b: sum(len(u[1]) for u in held[b][0])))
+                yield from rows(max(held, key=lambda b: len(held[b][0][0]) + sum(len(p[0]) for p in held[b][1])))
         for block in list(held):
             yield from rows(block)
     return run
 
 
-def _discounts(c: DataFrame) -> dict:
+class _Shard:
+    """All n-grams of a shard, each once, with the counts of orders 6, 5 and 4.
+
+    ``counts[k]``: trusted count of each order-k n-gram; ``shorter[k]``: where its suffix is among
+    those of order k - 1; ``context[k]``: number of its context; ``of[i]``: where the n-gram in
+    position i of row j of the given table is.
+    """
+
+    def __init__(self, table):
+        import numpy as np
+        sizes = table.column("n").to_pylist()
+        parts = [_unpressed(z.as_buffer(), n, 3) for z, n in zip(table.column("grams"), sizes)]
+        m, r, c = (np.concatenate(x) for x in zip(*parts))
+        mask = (1 << SYMBOL_BITS) - 1
+        _, mid = np.unique(m, return_inverse=True)
+        last, first = r & mask, r >> SYMBOL_BITS             # first: the two symbols before m
+        _, edge = np.unique(r, return_inverse=True)
+        _, at, self.of = np.unique(mid * (edge.max() + 1) + edge, return_index=True, return_inverse=True)
+        self.ends = np.cumsum(sizes)
+        self.counts, self.shorter, self.context = {ORDER: np.bincount(self.of, c, len(at)).astype(np.int64)}, {}, {}
+        m, mid, first, last = m[at], mid[at], first[at], last[at]
+        for k in range(ORDER, SMALL_ORDER, -1):
+            self.context[k] = self.ids(mid, first)[1]
+            if k == SMALL_ORDER + 1:
+                break
+            first = first & (mask if k == ORDER else 0)      # without its first symbol
+            at, self.shorter[k] = self.ids(mid, first, last)
+            self.counts[k - 1] = np.bincount(self.shorter[k], self.counts[k] > 0, len(at)).astype(np.int64)
+            m, mid, first, last = m[at], mid[at], first[at], last[at]
+        # of order 3: the last two of m, and the last symbol
+        self.tail, self.tail_of = np.unique(((m & ((1 << 2 * SYMBOL_BITS) - 1)) << SYMBOL_BITS) | last, return_inverse=True)
+        self.tail_counts = np.bincount(self.tail_of, self.counts[SMALL_ORDER + 1] > 0, len(self.tail)).astype(np.int64)
+
+    @staticmethod
+    def ids(*columns):
+        """First row of each distinct combination, and the number of every row's."""
+        import numpy as np
+        at, number = None, np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            _, c = np.unique(c, return_inverse=True)
+            _, at, number = np.unique(number * (c.max(initial=0) + 1) + c, return_index=True, return_inverse=True)
+        return at, number
+
+
+def _shard_counts(table):
+    """Worker function of a shard: rows (shard, order, gram, c): order-3 n-grams with the distinct left neighbours that
+    the shard knows, and counts of counts of orders above (``gram``: the count, 1 to 4)."""
+    import numpy as np
+    import pyarrow as pa
+    s = _Shard(table)
+    order, gram, c = [np.full(len(s.tail), SMALL_ORDER)], [s.tail], [s.tail_counts]
+    for k, counts in s.counts.items():
+        order.append(np.full(4, k))
+        gram.append(np.arange(1, 5))
+        c.append(np.bincount(np.minimum(counts, 5), minlength=6)[1:5])
+    order, gram, c = np.concatenate(order), np.concatenate(gram), np.concatenate(c)
+    return pa.table([pa.array(np.full(len(c), table.column("shard")[0].as_py(), np.int32)), pa.array(order.astype(np.int32)), pa.array(gram), pa.array(c)],
+                    names=["shard", "order", "gram", "c"])
+
+
+def _shard_probabilities(discounts: dict):
+    """Worker function of a shard and the order-3 log-probabilities of its n-grams: rows (block, n, grams, logp)."""
+    def run(table, small):
+        import numpy as np
+        import pyarrow as pa
+        s = _Shard(table)
+        gram, logp = small.column("gram").to_numpy(), small.column("logp").to_numpy()
+        by = np.argsort(gram)
+        p = np.exp(logp[by][np.searchsorted(gram[by], s.tail)])[s.tail_of]
+        for k in range(SMALL_ORDER + 1, ORDER + 1):
+            c, context, d = s.counts[k], s.context[k], discounts[k]
+            if k > SMALL_ORDER + 1:
+                p = p[s.shorter[k]]
+            less = np.where(c > 0, np.array([0.0, d[1], d[2], d[3]])[np.minimum(c, 3)], 0.0)
+            total, back = np.bincount(context, c)[context], np.bincount(context, less)[context]
+            seen = total > 0
+            p = np.where(seen, (c - less + back * p) / np.where(seen, total, 1), p)
+        logp, ends = np.log(p)[s.of].astype(np.float32), s.ends.tolist()
+        packed = [pa.compress(np.ascontiguousarray(logp[a:b].view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+                  for a, b in zip([0] + ends, ends)]
+        return pa.table([table.column("block"), table.column("n"), table.column("grams"), pa.array(packed, pa.binary())], names=["block", "n", "grams", "logp"])
+    return run
+
+
+def _discounts(n: dict) -> dict:
     """Modified Kneser-Ney discounts of one order, from its counts of counts."""
-    n = c.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
-    y = n.n1 / (n.n1 + 2 * n.n2) if n.n1 else 0.5
-    return {i: min(max(i - (i + 1) * y * n[f"n{i + 1}"] / n[f"n{i}"], 0.1 * i), float(i)) if n[f"n{i}"] and n[f"n{i + 1}"] else 0.5 * i
-            for i in (1, 2, 3)}
-
-
-def _suffix(order: int, prefix: str = "g") -> list:
-    """Key columns of an n-gram without its first symbol."""
-    names = _columns(order - 1)
-    mask = F.lit((1 << SYMBOL_BITS * (order - 1 - 3 * (len(names) - 1))) - 1).cast("long")
-    return [(F.col(g).bitwiseAND(mask) if g == names[-1] else F.col(g)).alias(prefix + g[1:]) for g in names]
-
-
-def _context(order: int, prefix: str) -> list:
-    """Key columns of an n-gram without its last symbol."""
-    have, out = _columns(order), []
-    for i, g in enumerate(_columns(order - 1)):
-        c = F.shiftright(g, SYMBOL_BITS)
-        if i + 1 < len(have):
-            c = c.bitwiseOR(F.shiftleft(F.col(have[i + 1]).bitwiseAND(F.lit((1 << SYMBOL_BITS) - 1).cast("long")), 2 * SYMBOL_BITS))
-        out.append(c.alias(prefix + str(i)))
-    return out
-
-
-def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Key columns and ``logp`` for every row of ``counts`` (key columns, ``c``; c = 0: seen
-    only in texts that are not trusted)."""
-    levels = {order: counts}
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    return {i: min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.1 * i), float(i)) if n[i] and n[i + 1] else 0.5 * i for i in (1, 2, 3)}
+
+
+def log_probabilities(counts: DataFrame, order: int = SMALL_ORDER) -> DataFrame:
+    """``gram, logp`` for every row of ``counts`` (``gram``: up to three symbols, ``c``; c = 0: seen only in
+    texts that are not trusted)."""
+    levels, mask = {order: counts}, lambda k: F.lit((1 << SYMBOL_BITS * (k - 1)) - 1).cast("long")
     for k in range(order, 1, -1):
         above = F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("c")       # distinct left neighbours in trusted text
-        levels[k - 1] = staged(levels[k].groupBy(_suffix(k)).agg(above), "kn-counts")
+        levels[k - 1] = staged(levels[k].groupBy(F.col("gram").bitwiseAND(mask(k)).alias("gram")).agg(above), "kn-counts")
     below = None
     for k in range(1, order + 1):
-        seen = levels[k].filter("c > 0")
-        d = _discounts(seen)
+        seen, context = levels[k].filter("c > 0"), F.shiftright("gram", SYMBOL_BITS).alias("context")
+        n = seen.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
+        d = _discounts({i: n[f"n{i}"] for i in range(1, 5)})
         less = F.when(F.col("c") >= 3, d[3]).when(F.col("c") == 2, d[2]).otherwise(d[1])
-        contexts = [f"c{i}" for i in range(len(_columns(k - 1)))]
-        sums = seen.groupBy(_context(k, "c")).agg(F.sum("c").alias("total"), F.sum(less).alias("kept_back"))
-        rows = levels[k].select("*", *_context(k, "c")).join(sums, contexts, "left")
+        sums = seen.groupBy(context).agg(F.sum("c").alias("total"), F.sum(less).alias("kept_back"))
+        rows = levels[k].select("*", context).join(sums, "context", "left")
         own = F.when(F.col("c") == 0, 0.0).otherwise((F.col("c") - less) / F.col("total"))
         rest = F.when(F.col("total").isNull(), 1.0).otherwise(F.col("kept_back") / F.col("total"))
         if k == 1:
             rows = rows.withColumn("lower", F.lit(1.0 / SYMBOLS))
         else:
-            shorter = below.select(*[F.col(g).alias("s" + g[1:]) for g in _columns(k - 1)], F.col("p").alias("lower"))
-            rows = rows.select("*", *_suffix(k, "s")).join(shorter, ["s" + g[1:] for g in _columns(k - 1)])
-        below = staged(rows.select(*_columns(k), (own + rest * F.col("lower")).alias("p")), "kn-level")
-    return below.select(*_columns(order), F.log("p").alias("logp"))
+            rows = rows.withColumn("shorter", F.col("gram").bitwiseAND(mask(k))).join(below.select(F.col("gram").alias("shorter"), F.col("p").alias("lower")), "shorter")
+        below = staged(rows.select("gram", (own + rest * F.col("lower")).alias("p")), "kn-level")
+    return below.select("gram", F.log("p").alias("logp"))
 
 
-def _scores(order: int, keep: list[str]):
+def _chunks(batches):
+    """Rows (block, doc_id, row_hash, lang, text) -> per batch and block one row with its texts compressed together."""
+    import numpy as np
+    import pyarrow as pa
+    for batch in batches:
+        blocks, rows = batch.column(0).to_numpy(zero_copy_only=False), []
+        for block in np.unique(blocks).tolist():
+            own = batch.filter(pa.array(blocks == block))
+            texts = [t.encode() for t in own.column(4).to_pylist()]
+            sizes = [len(t) for t in texts]
+            rows.append((block, *[own.column(i).to_pylist() for i in (1, 2, 3)], sizes, pa.compress(b"".join(texts), "zstd", asbytes=True) if any(sizes) else b""))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
+            pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()))],
+            names=["block", "doc_id", "row_hash", "lang", "sizes", "z"])
+
+
+def _scores(chunks, grams):
     """Worker function of the co-group: texts of a block and the log-probabilities of its n-grams."""
-    def run(docs, grams):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        names = [*keep, "n_symbols", "logp"]
-        if not docs.num_rows:
-            return pa.table({**{c: docs.column(c) for c in keep}, "n_symbols": pa.array([], pa.int64()), "logp": pa.array([], pa.float64())})
-        g, p = [grams.column(c).to_numpy() for c in _columns(order)], grams.column("logp").to_numpy()
-        h = _mixed(g)
-        by = np.argsort(h)
-        g, p, h = [c[by] for c in g], p[by], h[by]
-        drop = np.uint64(64 - max(16, len(h).bit_length()))
-        slots = np.zeros(1 << 64 - int(drop), np.int32)       # direct look-up, sorted search for the rest
-        slots[(h >> drop).astype(np.int64)] = np.arange(len(h))
-
-        def differ(at, x):
-            return np.any([c[at] != y for c, y in zip(g, x)], axis=0)
-        text = pc.unique(docs.column("text_"))                 # copies are scored once
-        copy = pc.index_in(docs.column("text_"), text).to_numpy()
-        n, total = np.zeros(len(text), np.int64), np.zeros(len(text))
-        for a in range(0, len(text), 100):
-            x, size = _ngrams(text.slice(a, 100).to_pylist(), order)
-            hx = _mixed(x)
-            at = slots[(hx >> drop).astype(np.int64)].astype(np.int64)
-            miss = np.flatnonzero(differ(at, x))
-            at[miss] = np.searchsorted(h, hx[miss])
-            while len(miss := miss[differ(at[miss], [c[miss] for c in x])]):
-                at[miss] += 1                                  # another n-gram with the same mixed number
-            n[a:a + 100] = size
-            total[a:a + 100] = np.add.reduceat(p[at], np.concatenate([[0], np.cumsum(size)[:-1]]))
-        return pa.table([docs.column(c) for c in keep] + [pa.array(n[copy]), pa.array(total[copy])], names=names)
-    return run
-
-
-def _share(n: int):
-    """Share of a scan split that a row is dealt to: the same in every scan, and copies of a text are spread."""
-    return F.pmod(F.xxhash64("doc_id", "text_"), F.lit(n))
+    import numpy as np
+    import pyarrow as pa
+    names, parts = ["doc_id", "row_hash", "lang", "n_symbols", "logp"], [np.zeros((2, 0), np.int64)]
+    logps = [np.zeros(0, np.float32)]
+    for n, g, p in zip(grams.column("n").to_pylist(), grams.column("grams"), grams.column("logp")):
+        parts.append(np.array(_unpressed(g.as_buffer(), n, 3)[:2]))
+        raw = np.frombuffer(pa.decompress(p.as_buffer(), 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+        logps.append(np.ascontiguousarray(raw.T).view(np.float32).ravel())
+    (m, r), p = np.concatenate(parts, axis=1), np.concatenate(logps)
+    h = _mixed(m, r)
+    by = np.argsort(h)
+    m, r, p, h = m[by], r[by], p[by].astype(np.float64), h[by]
+    drop = np.uint64(64 - max(16, len(h).bit_length()))
+    slots = np.zeros(1 << 64 - int(drop), np.int32)           # direct look-up, sorted search for the rest
+    slots[(h >> drop).astype(np.int64)] = np.arange(len(h))
+
+    def differ(at, x, y):
+        return (m[at] != x) | (r[at] != y)
+
+    def logp(texts):
+        x, y, size = _ngrams(texts)
+        hx = _mixed(x, y)
+        at = slots[(hx >> drop).astype(np.int64)].astype(np.int64)
+        miss = np.flatnonzero(differ(at, x, y))
+        at[miss] = np.searchsorted(h, hx[miss])
+        while len(miss := miss[differ(at[miss], x[miss], y[miss])]):
+            at[miss] += 1                                      # another n-gram with the same mixed number
+        return size, np.add.reduceat(p[at], np.cumsum(size) - size)
+    known, out = {}, {c: [] for c in names}                    # copies are scored once
+    for row in range(chunks.num_rows):
+        sizes = chunks.column("sizes")[row].as_py()
+        z, ends = chunks.column("z")[row].as_buffer(), np.cumsum(sizes).tolist()
+        raw = pa.decompress(z, ends[-1], "zstd", asbytes=True) if ends[-1] else b""
+        keys, new = [], {}
+        for a, b in zip([0] + ends, ends):
+            text = raw[a:b]
+            keys.append((b - a, hash(text)))
+            if keys[-1] not in known:
+                new.setdefault(keys[-1], text.decode("utf-8", "replace"))
+        texts, names_ = list(new.values()), list(new)
+        for a, b in _texts_by(texts):
+            size, value = logp(texts[a:b])
+            known.update(zip(names_[a:b], zip(size.tolist(), value.tolist())))
+        for c in names[:3]:
+            out[c] += chunks.column(c)[row].as_py()
+        for c, i in (("n_symbols", 0), ("logp", 1)):
+            out[c] += [known[k][i] for k in keys]
+    return pa.table([pa.array(out[c], t) for c, t in zip(names, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=names)
 
 
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality",
-           from_files: bool = False, order: int = ORDER) -> DataFrame:
+           from_files: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, row_hash, lang, trusted, held_out, n_symbols, logp`` of every row (written).
 
     ``from_files``: ``df`` reads files directly, so the blocks are its scan splits; other
     tables are written first.
     """
-    spark = df.sparkSession
     text = text_or_empty(text_col)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text_"))
     if not from_files:
         rows = staged(rows, "kn-docs")
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    share = _share(max(1, 2 * split // BLOCK_BYTES))
-    rows = rows.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start(), share))
+    # files hold texts compressed, to about a third
+    shares = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() * 3 / block_bytes))
+    rows = rows.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start(), _share(shares)))
     held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
     good = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("q")).dropna()
             .groupBy("id").agg(F.min("q").alias("q")).filter("q > 0").select("id", held.alias("held")))
     good = staged(good, "kn-trusted")
-    good = F.broadcast(good) if good.count() <= TRUSTED_BROADCAST else good
     marked = rows.join(good, F.col("doc_id") == F.col("id"), "left")
-    train, keys = F.coalesce(~F.col("held"), F.lit(False)), _columns(order)
-    pairs = staged(map_batches(marked.select("block", train.alias("train"), "text_"), _block_counts(order),
-                              "block long, " + "".join(f"{g} long, " for g in keys) + "n long"), "kn-pairs")
-    counts = staged(pairs.groupBy(keys).agg(F.sum("n").alias("c")), "kn-counts")
-    logp = log_probabilities(counts, order)
-    needed = pairs.select("block", *keys).distinct() if not from_files else pairs.select("block", *keys)
-    tables = needed.join(logp, keys).groupBy("block")
-    keep = ["doc_id", "row_hash", "lang"]
-    docs = rows.select("block", "doc_id", F.xxhash64("text_").alias("row_hash"), "lang", "text_").groupBy("block")
-    out = docs.cogroup(tables).applyInArrow(_scores(order, keep), "doc_id long, row_hash long, lang string, n_symbols long, logp double")
+    train = F.coalesce(~F.col("held"), F.lit(False))
+    blocks = rows.select("block").distinct().count()
+    pairs = staged(map_batches(marked.select("block", train.alias("train"), "text_"), _block_counts(SHARDS + blocks // BLOCKS_A_SHARD),
+                               "shard int, block long, n int, grams binary"), "kn-pairs", compression="none")
+    seen = staged(pairs.groupBy("shard").applyInArrow(_shard_counts, "shard int, order int, gram long, c long"), "kn-shards")
+    tops = {(r.order, r.gram): r.c for r in seen.filter(F.col("order") > SMALL_ORDER).groupBy("order", "gram").agg(F.sum("c").alias("c")).collect()}
+    discounts = {k: _discounts({i: tops.get((k, i), 0) for i in range(1, 5)}) for k in range(SMALL_ORDER + 1, ORDER + 1)}
+    seen = seen.filter(F.col("order") == SMALL_ORDER)
+    small = log_probabilities(staged(seen.groupBy("gram").agg(F.sum("c").alias("c")), "kn-counts"))
+    needed = seen.select("shard", "gram").join(small, "gram").groupBy("shard")
+    logp = pairs.groupBy("shard").cogroup(needed).applyInArrow(_shard_probabilities(discounts), "block long, n int, grams binary, logp binary")
+    chunks = map_batches(rows.select("block", "doc_id", F.xxhash64("text_").alias("row_hash"), "lang", "text_"), _chunks,
+                         "block long, doc_id array<long>, row_hash array<long>, lang array<string>, sizes array<long>, z binary")
+    out = chunks.groupBy("block").cogroup(logp.groupBy("block")).applyInArrow(
+        _scores, "doc_id long, row_hash long, lang string, n_symbols long, logp double")
     out = staged(out, "kn-scores")
     return out.join(good, F.col("doc_id") == F.col("id"), "left").select(
-        *keep, F.col("id").isNotNull().alias("trusted"), F.coalesce("held", F.lit(False)).alias("held_out"), "n_symbols", "logp")
+        "doc_id", "row_hash", "lang", F.col("id").isNotNull().alias("trusted"), F.coalesce("held", F.lit(False)).alias("held_out"), "n_symbols", "logp")
 
 
-def _bytes(text: str) -> int:
-    """A Spark size setting in bytes."""
-    text = str(text).strip().lower().rstrip("b")
-    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(text[-1:], 0)
-    return int(text[:-1] if unit else text) << unit
+def _share(n):
+    """Share of a scan split that a row is dealt to: the same in every scan, and copies of a text are spread."""
+    return F.pmod(F.xxhash64("doc_id", "text_"), n if not isinstance(n, int) else F.lit(n))
 
 
 def judged(scores: DataFrame) -> DataFrame:

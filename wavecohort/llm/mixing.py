@@ -161,18 +161,30 @@ def mixed(df: DataFrame, mix: Mix = Mix(), **columns) -> DataFrame:
 
 def selected(df: DataFrame, mix: Mix, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None,
              lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Rows of ``df`` (same columns) that the mix takes at least in part, once each.
+    """Rows of ``df`` (same columns) as often as the mix takes them: once for every whole epoch, and once
+    more in the last epoch's prefix (whose last row may count in part).
 
     A leaf's prefix ends at one place of its order, so rows are selected by
-    comparing their own place: no text is shuffled.
+    comparing their own place: no text is shuffled.  Rows equal in id and text share that place; the
+    rows at the end of a prefix are written and numbered (per file, plus those of earlier files), and as many as
+    the mix takes are kept.
     """
     named = dict(id_col=id_col, text_col=text_col, domain=domain, lang_col=lang_col, source_col=source_col)
     rows = taken(staged(counted(df, vocabulary, **named), "mix-counted"), mix)
-    ends = staged(rows.groupBy(*LEVELS).agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("part_tokens") > 0, F.col("order"))).alias("last")),
-                  "mix-ends")
+    places = rows.groupBy(*LEVELS, "order").agg(F.max("epochs").alias("epochs"), F.count(F.when(F.col("part_tokens") > 0, 1)).alias("n"))
+    place = F.when(F.col("n") > 0, F.col("order"))
+    ends = staged(places.groupBy(*LEVELS).agg(F.max("epochs").alias("epochs"), F.max(place).alias("last"), F.max_by("n", place).alias("n_last")), "mix-ends")
     tmp = fresh(df, "mix_row")
     inner = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(tmp)
     keyed = df.select(inner, *_branches(df, domain, lang_col, source_col), _row_hash(id_col, text_or_empty(text_col)).alias("row_hash"))
-    own = _order(mix.seed, F.col("epochs"), F.col("row_hash"))
-    kept = _with_plan(keyed, ends, F.col("row_hash")).filter((F.col("epochs") > 0) | (own <= F.col("last")))
-    return kept.select(F.col(f"{tmp}.*"))
+    placed = _with_plan(keyed, ends, F.col("row_hash")).withColumn("own", _order(mix.seed, F.col("epochs"), F.col("row_hash")))
+    at_end = F.coalesce(F.col("own") == F.col("last"), F.lit(False))
+    last = staged(placed.filter(at_end).withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), "mix-last")
+    earlier = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)        # one row a file
+    files = last.groupBy(*LEVELS, "part").agg(F.count(F.lit(1)).alias("rows")).select(*LEVELS, "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy(*LEVELS, "part").orderBy("seq")) + F.col("before")
+    last = last.join(files, [*LEVELS, "part"]).withColumn("more", (number <= F.col("n_last")).cast("int"))
+    rest = placed.filter(~at_end).withColumn("more", F.coalesce((F.col("own") < F.col("last")).cast("int"), F.lit(0)))
+    out = rest.select(tmp, "epochs", "more").union(last.select(tmp, "epochs", "more"))
+    times = (F.col("epochs") + F.col("more")).cast("int")
+    return out.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(F.col(f"{tmp}.*"))
