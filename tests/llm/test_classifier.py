@@ -178,9 +178,9 @@ def test_copies_are_spread_and_scored_once(spark, monkeypatch):
     copies = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text_"))
     assert copies.select(classifier._share(8)).distinct().count() == 8
     m, r, _ = classifier._ngrams(["a text", "b"])
-    m, r, c = classifier._merged(m, r, np.ones(len(m), np.int64))
+    m, r, _ = classifier._merged(m, r, np.ones(len(m), np.int64))
     p = -1.0 - np.arange(len(m), dtype=np.float32)
-    table = pa.table({"n": [len(m)], "grams": [classifier._pressed(m, r, c)],
+    table = pa.table({"n": [len(m)], "grams": [classifier._pressed(m, r)],
                       "logp": [pa.compress(np.ascontiguousarray(p.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)]})
     texts = ["a text", "b", "a text"] * 100
     batch = pa.RecordBatch.from_arrays([pa.array([5] * 300), pa.array(range(300)), pa.array([0] * 300), pa.array(["en"] * 300), pa.array(texts)],

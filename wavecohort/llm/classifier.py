@@ -42,7 +42,7 @@ LOW, HIGH, PRIOR, MIN_HELD_OUT = 0.001, 0.99, 200, 50
 #: Languages with fewer trained or held-out trusted texts are not judged.
 MIN_TRAINED, MIN_OWN = 30, 3
 #: Text of one block, about: larger scan splits are dealt to several blocks.
-BLOCK_BYTES = 32 * 2 ** 20
+BLOCK_BYTES = 64 * 2 ** 20
 #: Shards of the n-grams of few blocks, and for so many blocks one more: a task holds some ten million
 #: n-grams.  Larger blocks give fewer of them (at 100 TB: half a gigabyte of text a block).
 SHARDS, BLOCKS_A_SHARD = 16, 8
@@ -120,8 +120,8 @@ def _unpressed(z, n: int, k: int) -> list:
 
 
 def _block_counts(shards: int):
-    """Worker function: rows (block, trusted, text) -> rows (shard, block, n, grams): the block's
-    distinct n-grams with their trusted occurrences."""
+    """Worker function: rows (block, trusted, text) -> rows (shard, block, n, grams, counts): the block's
+    distinct n-grams and their trusted occurrences."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -141,7 +141,8 @@ def _block_counts(shards: int):
             some = [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
             yield pa.RecordBatch.from_arrays([
                 pa.array([k for k, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([b - a for _, a, b in some], pa.int32()),
-                pa.array([_pressed(m[a:b], r[a:b], n[a:b]) for _, a, b in some], pa.binary())], names=["shard", "block", "n", "grams"])
+                *[pa.array([_pressed(*[x[a:b] for x in xs]) for _, a, b in some], pa.binary()) for xs in ((m, r), (n,))]],
+                names=["shard", "block", "n", "grams", "counts"])
         nothing = tuple(np.zeros(0, np.int64) for _ in range(3))
         for batch in batches:
             blocks, trusted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -173,7 +174,7 @@ class _Shard:
     def __init__(self, table):
         import numpy as np
         sizes = table.column("n").to_pylist()
-        parts = [_unpressed(z.as_buffer(), n, 3) for z, n in zip(table.column("grams"), sizes)]
+        parts = [_unpressed(g.as_buffer(), n, 2) + _unpressed(c.as_buffer(), n, 1) for g, c, n in zip(table.column("grams"), table.column("counts"), sizes)]
         m, r, c = (np.concatenate(x) for x in zip(*parts))
         mask = (1 << SYMBOL_BITS) - 1
         _, mid = np.unique(m, return_inverse=True)
@@ -300,7 +301,7 @@ def _scores(chunks, grams):
     names, parts = ["doc_id", "row_hash", "lang", "n_symbols", "logp"], [np.zeros((2, 0), np.int64)]
     logps = [np.zeros(0, np.float32)]
     for n, g, p in zip(grams.column("n").to_pylist(), grams.column("grams"), grams.column("logp")):
-        parts.append(np.array(_unpressed(g.as_buffer(), n, 3)[:2]))
+        parts.append(np.array(_unpressed(g.as_buffer(), n, 2)))
         raw = np.frombuffer(pa.decompress(p.as_buffer(), 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
         logps.append(np.ascontiguousarray(raw.T).view(np.float32).ravel())
     (m, r), p = np.concatenate(parts, axis=1), np.concatenate(logps)
@@ -367,7 +368,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     train = F.coalesce(~F.col("held"), F.lit(False))
     blocks = rows.select("block").distinct().count()
     pairs = staged(map_batches(marked.select("block", train.alias("train"), "text_"), _block_counts(SHARDS + blocks // BLOCKS_A_SHARD),
-                               "shard int, block long, n int, grams binary"), "kn-pairs", compression="none")
+                               "shard int, block long, n int, grams binary, counts binary"), "kn-pairs", compression="none")
     seen = staged(pairs.groupBy("shard").applyInArrow(_shard_counts, "shard int, order int, gram long, c long"), "kn-shards")
     tops = {(r.order, r.gram): r.c for r in seen.filter(F.col("order") > SMALL_ORDER).groupBy("order", "gram").agg(F.sum("c").alias("c")).collect()}
     discounts = {k: _discounts({i: tops.get((k, i), 0) for i in range(1, 5)}) for k in range(SMALL_ORDER + 1, ORDER + 1)}
