@@ -11,14 +11,14 @@ import random
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.operators.evaluate import binary_metrics, roc_auc, validation_summary
+from wavecohort.operators.evaluate import validation_summary
 
 
 #: The deepest trees Spark ML allows; leaves are bounded by their number of rows.
@@ -31,28 +31,22 @@ def classifier(kind: str, n_train: int | None = None, seed: int = 42, **kw):
     ``logreg``: L2 with C=0.9 → ``regParam = 1/(C·N)``, no standardisation;
     ``tree`` / ``forest``: leaves of at least 50 rows, 200 trees, no other depth bound;
     ``gbt``: 200 rounds of depth 3, leaves of at least 40 rows, early stop on a validation column;
-    ``bagging``: 1000 fully grown trees on all features;
-    ``svm``: linear SVM (calibrated separately, see :func:`calibrated_svm`).
+    bagging (M12) and second-order boosting are in :mod:`wavecohort.operators.ensembles`, kernel machines (M10)
+    in :mod:`wavecohort.operators.linear`.
     """
     if kind == "logreg":
         c = kw.pop("C", 0.9)
         return LogisticRegression(regParam=1.0 / (c * max(n_train or 1, 1)), elasticNetParam=0.0,
                                   standardization=False, maxIter=kw.pop("maxIter", 100), **kw)
-    depth = kw.pop("maxDepth", MAX_DEPTH)
+    depth = kw.pop("maxDepth", 3 if kind == "gbt" else MAX_DEPTH)
     if kind == "tree":
         return DecisionTreeClassifier(minInstancesPerNode=kw.pop("minInstancesPerNode", 50), maxDepth=depth, seed=seed, **kw)
     if kind == "forest":
         return RandomForestClassifier(numTrees=kw.pop("numTrees", 200), minInstancesPerNode=kw.pop("minInstancesPerNode", 50),
                                       maxDepth=depth, seed=seed, **kw)
-    if kind == "bagging":
-        return RandomForestClassifier(numTrees=kw.pop("numTrees", 1000), featureSubsetStrategy="all",
-                                      bootstrap=True, subsamplingRate=1.0, maxDepth=depth, seed=seed,
-                                      maxMemoryInMB=kw.pop("maxMemoryInMB", 1024), **kw)
     if kind == "gbt":
         return GBTClassifier(maxIter=kw.pop("maxIter", 200), minInstancesPerNode=kw.pop("minInstancesPerNode", 40),
-                             maxDepth=depth if depth != MAX_DEPTH else 3, seed=seed, **kw)
-    if kind == "svm":
-        return LinearSVC(**kw)
+                             maxDepth=depth, seed=seed, **kw)
     raise ValueError(kind)
 
 
@@ -83,16 +77,66 @@ def evaluate_model(model, valid: DataFrame, label: str = "label") -> DataFrame:
     return validation_summary(s, label, F.col("prediction") > 0.5, "proba")
 
 
-def cross_validate(est, df: DataFrame, features: list[str], fold_col: str, k: int, label: str = "label") -> DataFrame:
-    """M2: stratified k-fold accuracy, one row per fold (fold column from
+def fold_rows(df: DataFrame, features: list[str], fold_col: str, id_col: str, label: str, k: int, x: Column | None = None) -> DataFrame:
+    """Rows of the fits of all folds: ``id, y, fold, held`` (a fifth, for calibration), ``x`` and the binned ``b`` (written)."""
+    from wavecohort.operators import ensembles, linear
+    from wavecohort.sources.tables import checkpoint_to_shared
+    keep = [F.xxhash64(id_col).alias("id"), F.col(label).cast("double").alias("y"), F.col(fold_col).cast("int").alias("fold"),
+            (F.pmod(F.xxhash64(F.col(id_col), F.lit("held")), F.lit(5)) == 0).alias("held"), (linear.vector(features) if x is None else x).alias("x")]
+    return checkpoint_to_shared(ensembles.binned(df, features, ensembles.cut_points(df, features), keep), "fold-rows")
+
+
+def _accuracies(scored: DataFrame, fold: str = "fold") -> dict:
+    """Accuracy per fold of rows ``y, proba`` and the fold they were left out of."""
+    right = (F.col("proba") > 0.5) == (F.col("y") > 0.5)
+    return {r.f: r.a for r in scored.groupBy(F.col(fold).alias("f")).agg(F.avg(right.cast("double")).alias("a")).collect()}
+
+
+def fold_logistic(rows: DataFrame, k: int, c: float = 0.9):
+    """M2: logistic regressions that leave out one fold each, fitted together (one aggregate a Newton step)."""
+    from wavecohort.operators import linear
+    return linear.newton(rows, [linear.Linear("logistic", c, f) for f in range(k)])
+
+
+def cross_validate(df: DataFrame, features: list[str], fold_col: str, k: int, id_col: str, label: str = "label", c: float = 0.9) -> DataFrame:
+    """M2: stratified k-fold accuracy of the logistic regression, one row per fold (fold column from
     :func:`stratified_split`)."""
-    rows = []
-    for f in range(k):
-        model = fit(est, df.filter(F.col(fold_col) != f), features, label)
-        s = model.transform(df.filter(F.col(fold_col) == f))
-        acc = binary_metrics(s, label, F.col("prediction") > 0.5).select("accuracy").first()[0]
-        rows.append((f, float(acc) if acc is not None else None))
-    return df.sparkSession.createDataFrame(rows, "fold int, accuracy double")
+    from wavecohort.operators import linear
+    rows = fold_rows(df, features, fold_col, id_col, label, k)
+    models = fold_logistic(rows, k, c)
+    got = _accuracies(rows.withColumn("proba", linear.logistic(linear.by_fold(models, lambda m: linear.linear_margin(F.col("x"), m.weights)))))
+    return df.sparkSession.createDataFrame([(f, got.get(f)) for f in range(k)], "fold int, accuracy double")
+
+
+def cross_validate_all(df: DataFrame, features: list[str], fold_col: str, k: int, id_col: str, label: str = "label", forest_trees: int = 200,
+                       boost: dict | None = None) -> DataFrame:
+    """M2 for every classifier, the folds of each fitted together: ``classifier, fold, accuracy``."""
+    from wavecohort.operators import ensembles as T
+    from wavecohort.operators import linear
+    d, out = len(features), []
+    rows = fold_rows(df, features, fold_col, id_col, label, k)
+
+    def add(name, got):
+        out.extend((name, f, got.get(f)) for f in range(k))
+    models = fold_logistic(rows, k)
+    add("logreg", _accuracies(rows.withColumn("proba", linear.logistic(linear.by_fold(models, lambda m: linear.linear_margin(F.col("x"), m.weights))))))
+    waves = linear.fourier(linear.standardised(df, features), d, 1.0 / d)
+    wide = fold_rows(df, features, fold_col, id_col, label, k, waves)
+    machines = linear.newton(wide, [linear.Linear("squared_hinge", 1.0, f, "fit") for f in range(k)])
+    scales = linear.calibrated(wide, machines)
+    proba = F.lit(None)
+    for m, s in zip(machines, scales):
+        proba = F.when(F.col("fold") == m.fold, linear.logistic(s.weights[0] * linear.linear_margin(F.col("x"), m.weights) + s.weights[1])).otherwise(proba)
+    add("svm", _accuracies(wide.withColumn("proba", proba)))
+    binned, labels = rows.select("id", "y", "fold", "b"), rows.select("id", "y", "fold")
+    for name, trees, options in (("tree", 1, {"bootstrap": False}), ("forest", forest_trees, {"mtry": max(1, int(d ** 0.5))})):
+        grown = T.bag(binned, d, trees * k, min_leaf=50, of=F.col("fold") != F.col("tree") % k, **options)
+        scored = T.bag_scores(binned, grown, F.col("tree") % k).join(labels, "id")
+        add(name, _accuracies(scored.filter("model = fold")))
+    boosted = T.boost(binned, d, [T.Boost(fold=f, **(boost or {})) for f in range(k)])
+    scored = T.boost_scores(rows.select("y", "fold", "b"), boosted)
+    add("boost", _accuracies(scored.select("y", "fold", F.get("proba", F.col("fold")).alias("proba"))))
+    return df.sparkSession.createDataFrame(out, "classifier string, fold int, accuracy double")
 
 
 CHECKPOINT_ROUNDS, STUMP_BINS = 50, 32
@@ -182,23 +226,6 @@ def adaboost_score(stumps, df: DataFrame, features: list[str]) -> DataFrame:
     return scored.withColumn("prediction", (F.col("proba") > 0.5).cast("double")).drop("_x")
 
 
-def calibrated_svm(train: DataFrame, calib: DataFrame, features: list[str], label: str = "label", **kw):
-    """Linear SVM, probability by a logistic fit on held-out margins
-    (Platt scaling).  Returns (svm pipeline, calibrator)."""
-    svm = fit(LinearSVC(**kw), train, features, label)
-    m = (svm.transform(calib).withColumn("margin", vector_to_array("rawPrediction")[1])
-         .drop("features", "rawPrediction", "prediction"))
-    cal = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="margin_vec"),
-                           LogisticRegression(labelCol=label, featuresCol="margin_vec")]).fit(m)
-    return svm, cal
-
-
-def svm_scores(svm, cal, df: DataFrame) -> DataFrame:
-    m = svm.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction",
-                                                                                          "prediction")
-    return positive_proba(cal.transform(m))
-
-
 def importances(model, features: list[str]) -> DataFrame:
     """Feature importances of a tree model, sorted descending."""
     est = model.stages[-1] if hasattr(model, "stages") else model
@@ -237,18 +264,81 @@ def sample_feature_sets(candidates: list[str], n: int, max_k: int = 5, seed: int
     return [sorted(rnd.sample(candidates, rnd.randint(0, min(max_k, len(candidates))))) for _ in range(n)]
 
 
-def random_search(make_est, space: dict, n: int, train: DataFrame, valid: DataFrame, features: list[str],
-                  label: str = "label", seed: int = 42):
-    """Evaluate ``n`` sampled parameter maps, maximise validation AUC and
-    keep the best fitted model.  Returns (best_model, trials DataFrame)."""
-    best, best_auc, trials = None, -1.0, []
-    for i, params in enumerate(sample_param_maps(space, n, seed)):
-        model = fit(make_est(**params), train, features, label)
-        s = positive_proba(model.transform(valid))
-        auc = roc_auc(s, label, "proba").first()["auc"]
-        auc = float(auc) if auc is not None else float("nan")
-        trials.append((i, str(sorted(params.items())), auc))
-        if auc > best_auc:
-            best, best_auc = model, auc
-    spark = train.sparkSession
-    return best, spark.createDataFrame(trials, "trial int, params string, auc double")
+def _parzen(values: list, low: float, high: float):
+    """Density of values in a range: a normal around each, as wide as the way to its neighbours, and a flat part."""
+    import math
+    points = sorted(values)
+    gaps = [b - a for a, b in zip(points, points[1:])] or [high - low]
+    least = (high - low) / min(100, 1 + len(points))
+    widths = [max(least, a, b) for a, b in zip([0.0, *gaps], [*gaps, 0.0])] if len(points) > 1 else [high - low]
+
+    def density(x):
+        flat = 1 / (high - low) if high > low else 1.0
+        return (flat + sum(math.exp(-((x - m) / s) ** 2 / 2) / (s * 2.5066282746310002) for m, s in zip(points, widths))) / (len(points) + 1)
+
+    def draw(rnd):
+        i = rnd.randrange(len(points) + 1)
+        if i == len(points):
+            return rnd.uniform(low, high)
+        while True:
+            x = rnd.gauss(points[i], widths[i])
+            if low <= x <= high:
+                return x
+    return density, draw
+
+
+def suggest(space: dict, seen: list[tuple[dict, float]], n: int, seed: int, startup: int = 10, good: float = 0.5, candidates: int = 24) -> list[dict]:
+    """``n`` parameter maps given the earlier trials ``(parameters, score)``.
+
+    The first ``startup`` are uniform draws.  Then each parameter is drawn from the density of its values in the
+    best trials (``good`` times the root of their number), and of ``candidates`` draws the one is kept that is likeliest there
+    against the density of the other trials (tree-structured Parzen estimators).
+    """
+    import math
+    rnd = random.Random(f"{seed}-{len(seen)}")
+    if len(seen) < startup:
+        return sample_param_maps(space, n, rnd.randrange(2 ** 30))
+    ranked = sorted(seen, key=lambda t: -t[1] if t[1] == t[1] else math.inf)
+    cut = max(1, math.ceil(good * math.sqrt(len(ranked))))
+    out = []
+    for _ in range(n):
+        p = {}
+        for k, spec in space.items():
+            best, rest = ([t[0][k] for t in part] for part in (ranked[:cut], ranked[cut:]))
+            if spec[0] == "choice":
+                weight = {c: (best.count(c) + 1) / (len(best) + len(spec[1])) for c in spec[1]}
+                other = {c: (rest.count(c) + 1) / (len(rest) + len(spec[1])) for c in spec[1]}
+                draws = rnd.choices(spec[1], [weight[c] for c in spec[1]], k=candidates)
+                p[k] = max(draws, key=lambda c: weight[c] / other[c])
+                continue
+            low, high = float(spec[1]), float(spec[2])
+            (likely, draw), (other, _) = _parzen(best, low, high), _parzen(rest, low, high)
+            x = max((draw(rnd) for _ in range(candidates)), key=lambda v: math.log(likely(v)) - math.log(other(v)))
+            if spec[0] == "quniform":
+                x = round(x / spec[3]) * spec[3]
+                x = int(x) if float(spec[3]).is_integer() else x
+            p[k] = x
+        out.append(p)
+    return out
+
+
+def adaptive_search(spark, space: dict, n: int, evaluate, path: str, batch: int = 12, seed: int = 42, startup: int = 10) -> DataFrame:
+    """``n`` trials, ``batch`` at a time, each batch suggested by all earlier ones; ``evaluate(params, first)`` gets a
+    list of parameter maps and their first trial number and returns their scores.
+
+    Trials are written to ``path`` batch by batch, and a search that is started again on that path goes on after the last
+    written batch.  Returns the trial table ``trial, params, auc`` (parameters as JSON).
+    """
+    import json
+    schema = "trial int, params string, auc double"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    rows = spark.read.schema(schema).parquet(path).orderBy("trial").collect() if known else []
+    seen = [(json.loads(r.params), r.auc if r.auc is not None else float("nan")) for r in rows]
+    while len(seen) < n:
+        params = suggest(space, seen, min(batch, n - len(seen)), seed, startup)
+        scores = evaluate(params, len(seen))
+        new = [(len(seen) + i, json.dumps(p, sort_keys=True), None if a is None else float(a)) for i, (p, a) in enumerate(zip(params, scores))]
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(path)
+        seen += [(p, float("nan") if a is None else float(a)) for p, a in zip(params, scores)]
+    return spark.read.schema(schema).parquet(path)

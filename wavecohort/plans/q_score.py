@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from wavecohort.functions import keys as K
+from wavecohort.operators import ensembles as T
 from wavecohort.operators import evaluate as E
+from wavecohort.operators import linear as L
 from wavecohort.operators import models as M
 from wavecohort.operators import score as P
 from wavecohort.plans import bindings as B
@@ -239,6 +241,8 @@ def q_roc_alarm(spark, d):
 # ----------------------------------------------------------------- classifiers (lineitem by order)
 
 FEATURES = ["qty", "price", "disc", "tax", "n_lines"]
+#: The source's boosting parameters.
+SOURCE_BOOST = {"max_depth": 3, "n_estimators": 95, "min_child_weight": 3.7, "base_score": 0.5, "colsample_bytree": 0.8}
 
 
 def clf_frame(spark, d):
@@ -297,15 +301,27 @@ def q_validate_gbt(spark, d):
     return M.validate(est, tr, va, FEATURES)
 
 
+@query("validate_boost")
+def q_validate_boost(spark, d):
+    """M9 (rows only): second-order boosting with the source's parameters."""
+    f = clf_frame(spark, d)
+    rows = M.fold_rows(f, FEATURES, "fold", "l_orderkey", "label", 3)
+    model, = T.boost(rows.select("id", "y", "fold", "b"), len(FEATURES), [T.Boost(fold=0, **SOURCE_BOOST)])
+    s = T.boost_scores(rows.filter("fold = 0").select("y", "b"), [model]).withColumn("proba", F.col("proba")[0])
+    return E.validation_summary(s, "y", F.col("proba") > 0.5, "proba")
+
+
 @query("validate_svm")
 def q_validate_svm(spark, d):
-    """M10 (rows only): linear SVM with probabilities calibrated on held-out margins."""
-    tr, va = _split(spark, d)
-    fit_part = tr.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) != 0)
-    cal_part = tr.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) == 0)
-    svm, cal = M.calibrated_svm(fit_part, cal_part, FEATURES, "label")
-    s = M.svm_scores(svm, cal, va)
-    return E.validation_summary(s, "label", F.col("proba") > 0.5, "proba")
+    """M10 (rows only): kernel SVM (random Fourier features) with probabilities calibrated on held-out margins."""
+    f = clf_frame(spark, d)
+    waves = L.fourier(L.standardised(f, FEATURES, f.filter("fold <> 0")), len(FEATURES), 1.0 / len(FEATURES))
+    rows = M.fold_rows(f, FEATURES, "fold", "l_orderkey", "label", 3, waves)
+    machines = L.newton(rows, [L.Linear("squared_hinge", 1.0, 0, "fit")])
+    scale, = L.calibrated(rows, machines)
+    margin = L.linear_margin(F.col("x"), machines[0].weights)
+    s = rows.filter("fold = 0").select("y", L.logistic(scale.weights[0] * margin + scale.weights[1]).alias("proba"))
+    return E.validation_summary(s, "y", F.col("proba") > 0.5, "proba")
 
 
 @query("validate_adaboost")
@@ -319,17 +335,29 @@ def q_validate_adaboost(spark, d):
 
 @query("validate_bagging")
 def q_validate_bagging(spark, d):
-    """M12 (rows only): bagged trees (all features per split, bootstrap)."""
-    return _validate(spark, d, "bagging", numTrees=100)
+    """M12 (rows only): 1000 fully grown trees on Poisson-weighted rows, all features at every split."""
+    rows = M.fold_rows(clf_frame(spark, d), FEATURES, "fold", "l_orderkey", "label", 3)
+    trees = T.bag(rows.filter("fold <> 0").select("id", "y", "b"), len(FEATURES), 1000)
+    valid = rows.filter("fold = 0")
+    s = T.bag_scores(valid, trees).join(valid.select("id", "y"), "id")
+    return E.validation_summary(s, "y", F.col("proba") > 0.5, "proba")
+
+
+def _cv_frame(spark, d):
+    f0 = clf_frame(spark, d).drop("fold")
+    return ST.stage(spark, d, "clf_frame_cv", lambda: E.stratified_split(f0, "label", "l_orderkey", 5, 42, out="cv"))
 
 
 @query("cv_accuracy")
 def q_cv_accuracy(spark, d):
-    """M2 (rows only): stratified 5-fold cross-validated accuracy of the logistic regression."""
-    f0 = clf_frame(spark, d).drop("fold")
-    f = ST.stage(spark, d, "clf_frame_cv", lambda: E.stratified_split(f0, "label", "l_orderkey", 5, 42, out="cv"))
-    n = f.count()
-    return M.cross_validate(M.classifier("logreg", n_train=n), f, FEATURES, "cv", 5)
+    """M2 (rows only): stratified 5-fold cross-validated accuracy of the logistic regression, all folds at once."""
+    return M.cross_validate(_cv_frame(spark, d), FEATURES, "cv", 5, "l_orderkey")
+
+
+@query("cv_classifiers")
+def q_cv_classifiers(spark, d):
+    """M2 (rows only): stratified 5-fold cross-validated accuracy of every classifier of the source's list."""
+    return M.cross_validate_all(_cv_frame(spark, d), FEATURES, "cv", 5, "l_orderkey", boost=SOURCE_BOOST)
 
 
 @query("importances")
@@ -341,16 +369,20 @@ def q_importances(spark, d):
 
 
 #: The rounds are those of the source's live space.
-RANDOM_SPACE = {"maxIter": ("quniform", 40, 45, 1), "maxDepth": ("quniform", 2, 6, 1), "stepSize": ("uniform", 0.05, 0.3),
-                "subsamplingRate": ("uniform", 0.5, 1.0), "minInstancesPerNode": ("quniform", 1, 20, 1)}
+RANDOM_SPACE = {"n_estimators": ("quniform", 40, 45, 1), "max_depth": ("quniform", 2, 6, 1), "learning_rate": ("uniform", 0.05, 0.3),
+                "subsample": ("uniform", 0.5, 1.0), "min_child_weight": ("uniform", 1, 10)}
+SEARCH_TRIALS, SEARCH_BATCH = 24, 12
 
 
 @query("random_search")
 def q_random_search(spark, d):
-    """M14/M15 (rows only): sampled GBT parameter maps scored by validation AUC."""
-    tr, va = _split(spark, d)
-    _best, trials = M.random_search(lambda **p: M.classifier("gbt", **p), RANDOM_SPACE, 4, tr, va, FEATURES)
-    return trials
+    """M14/M15 (rows only): boosting parameters suggested by earlier trials, scored by validation AUC; a batch is fitted at once."""
+    rows = M.fold_rows(clf_frame(spark, d), FEATURES, "fold", "l_orderkey", "label", 3).select("id", "y", "fold", "b")
+
+    def evaluate(params, first):
+        models = T.boost(rows, len(FEATURES), [T.Boost(fold=0, patience=30, seed=first + i, **p) for i, p in enumerate(params)])
+        return [max(m.aucs) if m.aucs else None for m in models]
+    return M.adaptive_search(spark, RANDOM_SPACE, SEARCH_TRIALS, evaluate, shared_path(spark, f"trials-{uuid.uuid4().hex}"), SEARCH_BATCH)
 
 
 @query("score_saved")
