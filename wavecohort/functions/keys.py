@@ -58,16 +58,17 @@ def stay_key(col) -> Column:
 
 
 def split_case_id(col) -> tuple[Column, Column]:
-    """K2: ``(id_nda, j1)`` from a case id: 10 leading digits, then the date."""
-    c = _c(col)
-    return (F.regexp_extract(c, r"^([0-9]{10})([0-9]{4}-[0-9]{2}-[0-9]{2})", 1),
-            F.regexp_extract(c, r"^([0-9]{10})([0-9]{4}-[0-9]{2}-[0-9]{2})", 2))
+    """K2: ``(id_nda, j1)`` from a case id: ten digits or more, then the date."""
+    # fixed value: the form of a stored case id
+    c, form = _c(col), r"^([0-9]{10,})([0-9]{4}-[0-9]{2}-[0-9]{2})"
+    return F.regexp_extract(c, form, 1), F.regexp_extract(c, form, 2)
 
 
 def split_case_id_fixed(col) -> tuple[Column, Column]:
-    """K2 (substring form): first 10 chars, then the remaining ``len - 10``."""
+    """K2 (substring form): the last ten characters are the date, the id comes before them."""
     c = _c(col)
-    return F.substring(c, 1, 10), c.substr(F.lit(11), F.char_length(c) - 10)
+    cut = F.greatest(F.char_length(c) - 10, F.lit(10))
+    return c.substr(F.lit(1), cut), c.substr(cut + 1, F.char_length(c) - cut)
 
 
 # ------------------------------------------------------------------ K3/K4 form keys

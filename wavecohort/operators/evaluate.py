@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecohort.functions.ranges import hex_bucket, quantile_bounds, range_bucket
+from wavecohort.sources.tables import checkpoint_to_shared
 
 #: Buckets of a score order; their bounds are literals in the plan.
 SCORE_BUCKETS = 256
@@ -75,7 +76,8 @@ def score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """M5: exact ROC AUC with tied scores counted half (Mann-Whitney form):
     ``Σ_s pos_s · (neg below s + neg_s / 2) / (P · N)``."""
-    counts = score_counts(df, y, score)
+    # written: the bounds, the totals and the running sums all read them
+    counts = checkpoint_to_shared(score_counts(df, y, score), "score-counts")
     bounds = quantile_bounds(counts, "score", SCORE_BUCKETS)
     sc = running_sums(counts, range_bucket(F.col("score"), bounds), [F.col("score")], ["neg"])
     below = F.col("cum_neg") - F.col("neg")
@@ -88,7 +90,7 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """M6: one ROC point per distinct score used as threshold (``score >= t``
     is positive), all thresholds kept: ``(threshold, fpr, tpr)``."""
-    sc = score_counts(df, y, score)
+    sc = checkpoint_to_shared(score_counts(df, y, score), "score-counts")
     # the two class totals are fetched as numbers (one aggregate row) and
     # enter the plan as literals
     tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()

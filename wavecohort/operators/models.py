@@ -265,12 +265,12 @@ def sample_feature_sets(candidates: list[str], n: int, max_k: int = 5, seed: int
 
 
 def _parzen(values: list, low: float, high: float):
-    """Density of values in a range: a normal around each, as wide as the way to its neighbours, and a flat part."""
+    """Density of values in a range: a normal around each, as wide as the way to its next neighbour, and a flat part."""
     import math
     points = sorted(values)
-    gaps = [b - a for a, b in zip(points, points[1:])] or [high - low]
-    least = (high - low) / min(100, 1 + len(points))
-    widths = [max(least, a, b) for a, b in zip([0.0, *gaps], [*gaps, 0.0])] if len(points) > 1 else [high - low]
+    gaps = [b - a for a, b in zip(points, points[1:])]
+    least = (high - low) / (10 + 2 * len(points))
+    widths = [max(least, min(a, b)) for a, b in zip([*gaps[:1], *gaps], [*gaps, *gaps[-1:]])] if gaps else [(high - low) / 2] * len(points)
 
     def density(x):
         flat = 1 / (high - low) if high > low else 1.0
@@ -287,7 +287,7 @@ def _parzen(values: list, low: float, high: float):
     return density, draw
 
 
-def suggest(space: dict, seen: list[tuple[dict, float]], n: int, seed: int, startup: int = 10, good: float = 0.5, candidates: int = 24) -> list[dict]:
+def suggest(space: dict, seen: list[tuple[dict, float]], n: int, seed: int, startup: int = 10, good: float = 0.7, candidates: int = 24) -> list[dict]:
     """``n`` parameter maps given the earlier trials ``(parameters, score)``.
 
     The first ``startup`` are uniform draws.  Then each parameter is drawn from the density of its values in the

@@ -155,16 +155,16 @@ def interpolate(grid: DataFrame, keys: list[str], limit: int | None = 30, fill:
         # carried to the following / preceding blocks
         kn = g.filter(v.isNotNull())
         per_block = (g.select(*part).distinct()
-                     .join(kn.groupBy(*part).agg(F.max("idx").alias("_li"), F.max_by(value, "idx").alias("_lv"),
-                                                 F.min("idx").alias("_fi"), F.min_by(value, "idx").alias("_fv")),
-                           part, "left"))
+                     .transform(join_on, kn.groupBy(*part).agg(F.max("idx").alias("_li"), F.max_by(value, "idx").alias("_lv"),
+                                                               F.min("idx").alias("_fi"), F.min_by(value, "idx").alias("_fv")),
+                                part, "left"))
         wb_prev = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
         wb_next = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
         carry = per_block.select(*part, F.last("_li", ignorenulls=True).over(wb_prev).alias("_ci0"),
                                  F.last("_lv", ignorenulls=True).over(wb_prev).alias("_cv0"),
                                  F.first("_fi", ignorenulls=True).over(wb_next).alias("_ci1"),
                                  F.first("_fv", ignorenulls=True).over(wb_next).alias("_cv1"))
-        g = g.join(carry, part)
+        g = join_on(g, carry, part)
         g = g.select(*[c for c in g.columns if c not in ("_v0", "_i0", "_v1", "_i1", "_ci0", "_cv0", "_ci1", "_cv1")],
                      F.coalesce("_v0", "_cv0").alias("_v0"),
                      F.when(F.col("_i0").isNotNull(), F.col("_i0")).otherwise(F.col("_ci0")).alias("_i0"),
@@ -231,6 +231,13 @@ def detrend(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame
     return long.withColumn(value, F.col(value) - F.coalesce(slope, F.lit(0.0)) * F.col("idx"))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys match each other; the right side's keys are dropped."""
+    other = {k: f"_on_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    return left.join(right.withColumnsRenamed(other), on, how).drop(*other.values())
+
+
 def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str = "ts",
                   value: str = "value", block: int = 4096) -> DataFrame:
     """One series per (recording, cue): mean per ``period_ms`` bin from
@@ -241,17 +248,17 @@ def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str =
     step = F.lit(period_ms * 1000)
     mid = epoch_us(day_start("_t0"))
     b0 = F.floor((epoch_us("_t0") - mid) / step)
-    d = df.select(rec, cue, time, value).join(bounds, rec)
+    d = join_on(df.select(rec, cue, time, value), bounds, [rec])       # a null recording is one like any other
     binned = (d.select(rec, cue, F.col(value).alias("_v"),
                        (F.floor((epoch_us(time) - mid) / step) - b0).cast("int").alias("idx"))
               .groupBy(rec, cue, "idx").agg(F.avg("_v").alias("value")))
-    cues = df.select(rec, cue).distinct().join(bounds, rec)
+    cues = join_on(df.select(rec, cue).distinct(), bounds, [rec])
     last = (F.floor((epoch_us("_t1") - mid) / step) - b0).cast("int")
     # block numbers first, spread over the tasks; each block's points are made there
     blocks = cues.select(rec, cue, "_t0", last.alias("_last"), F.explode(F.sequence(F.lit(0), F.floor(last / block).cast("int"))).alias("_b"))
     grid = blocks.repartition(rec, cue, "_b").select(rec, cue, "_t0", F.explode(F.sequence(
         F.col("_b") * block, F.least(F.col("_b") * block + (block - 1), F.col("_last")))).alias("idx"))
-    g = grid.join(binned, [rec, cue, "idx"], "left")
+    g = join_on(grid, binned, [rec, cue, "idx"], "left")
     # recordings can be long: blocked windows, no task holds a whole series
     g = interpolate(g, [rec, cue], limit=None, fill=False, block=block)
     t = ntz_from_epoch_us(mid + (b0 + F.col("idx")) * step)

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecohort.operators.series import join_on
+
 TWO_PI = 2.0 * math.pi
 
 
@@ -66,36 +68,78 @@ def fft_magnitude(long: DataFrame, keys: list[str], period: float, outlier_k: fl
     return d.filter(F.col("k") < h).select(*keys, "k", (F.col("k") * step).alias("freq"), "magnitude")
 
 
+def _factors(df: DataFrame, size: str = "_n") -> DataFrame:
+    """``_n1 * _n2`` = size, ``_n1`` the largest divisor up to the square root."""
+    divisors = F.filter(F.sequence(F.lit(1), F.floor(F.sqrt(size)).cast("int")), lambda x: F.col(size) % x == 0)
+    return df.withColumn("_n1", F.array_max(divisors).cast("long")).withColumn("_n2", F.expr(f"{size} div _n1"))
+
+
+def _dft(x: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Transform of each series ``_j, _x, _y`` (real and imaginary part; missing points are 0) of ``size = _n1 * _n2``
+    points as two grouped sums: ``_j, _x, _y`` of the result, and all columns named in ``keys``."""
+    turn = F.lit(-TWO_PI)
+
+    def summed(rows, by, angle):
+        c, s = F.cos(angle), F.sin(angle)
+        return rows.groupBy(*by).agg(F.sum(F.col("_x") * c - F.col("_y") * s).alias("_x"), F.sum(F.col("_x") * s + F.col("_y") * c).alias("_y"))
+    # j = j1 * n2 + j2, k = k1 + n1 * k2
+    own = [*keys, size, "_n1", "_n2"]
+    inner = x.withColumn("_k1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n1") - 1)))
+    inner = summed(inner, [*own, (F.col("_j") % F.col("_n2")).alias("_j2"), "_k1"], turn * ((F.expr("_j div _n2") * F.col("_k1")) % F.col("_n1")) / F.col("_n1"))
+    outer = inner.withColumn("_k2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n2") - 1))).withColumn("_k", F.col("_k1") + F.col("_n1") * F.col("_k2"))
+    return summed(outer, [*own, F.col("_k").alias("_j")], turn * ((F.col("_j2") * F.col("_k")) % F.col(size)) / F.col(size))
+
+
+def _chirped(x: DataFrame, keys: list[str]) -> DataFrame:
+    """Transform of series whose length has no divisor near its root, as a convolution with a chirp (``exp(i pi j^2 / n)``) of
+    a padded length ``_m = _n1 * _n2`` that has one: three transforms of that length."""
+    root = F.ceil(F.sqrt(2 * F.col("_n") - 1)).cast("long")
+    x = x.withColumn("_n1", root).withColumn("_n2", root).withColumn("_m", root * root)
+    # j^2 mod 2n is exact in whole numbers; the angle stays small
+    angle = lambda j: F.lit(TWO_PI / 2) * ((j * j) % (2 * F.col("_n"))) / F.col("_n")
+    a = angle(F.col("_j"))
+    lengths = x.select("_n", "_m", "_n1", "_n2").distinct()
+    around = F.least(F.col("_j"), F.col("_m") - F.col("_j"))
+    chirp = (lengths.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).filter(around < F.col("_n"))
+             .select("_n", "_m", "_n1", "_n2", "_j", F.cos(angle(around)).alias("_x"), F.sin(angle(around)).alias("_y")))
+    turned = x.select(*keys, "_n", "_m", "_n1", "_n2", "_j", (F.col("_x") * F.cos(a) + F.col("_y") * F.sin(a)).alias("_x"),
+                      (F.col("_y") * F.cos(a) - F.col("_x") * F.sin(a)).alias("_y"))
+    left, right = _dft(turned, [*keys, "_n"], "_m"), _dft(chirp, ["_n"], "_m")
+    right = right.select("_n", "_j", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"))
+    # product, conjugated: one more forward transform is the inverse one
+    both = left.join(right, ["_n", "_j"]).select(*keys, "_n", "_m", "_n1", "_n2", "_j", (F.col("_x") * F.col("_cx") - F.col("_y") * F.col("_cy")).alias("_x"),
+                                                 (-F.col("_x") * F.col("_cy") - F.col("_y") * F.col("_cx")).alias("_y"))
+    # the factor exp(-i pi k^2 / n) that is left turns the result, and doesn't change its size
+    done = _dft(both, [*keys, "_n"], "_m").filter(F.col("_j") < F.col("_n"))
+    return done.select(*keys, "_n", "_j", (F.col("_x") / F.col("_m")).alias("_x"), (F.col("_y") / F.col("_m")).alias("_y"))
+
+
+#: A series whose lesser factor is below this share of its root goes by the chirp.
+EVEN_SHARE = 0.125
+
+
 def fft_magnitude_long(long: DataFrame, keys: list[str], period: float, outlier_k: float | None = 20.0,
                        value: str = "value") -> DataFrame:
-    """W13 for long series, same output as :func:`fft_magnitude`: one step of the
+    """W13 for long series of any length, same output as :func:`fft_magnitude`: the
     divide-and-conquer Fourier transform as two grouped sums.
 
     A series of ``n = n1 * n2`` points (``n1`` the largest divisor up to the square
     root) is cut into ``n2`` interleaved parts; sums over ``j1`` give their transforms,
     a phase factor and sums over ``j2`` the whole one: ``n * (n1 + n2)`` products
-    spread over all tasks, summed before each shuffle, and no task holds a series.
+    spread over all tasks, summed before each shuffle, and no task holds a series.  Where the two factors lie
+    far apart (a prime length) the series is a convolution with a chirp, of a
+    padded length with equal factors.
     """
-    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    divisors = F.filter(F.sequence(F.lit(1), F.floor(F.sqrt("_n")).cast("int")), lambda x: F.col("_n") % x == 0)
-    n = n.withColumn("_n1", F.array_max(divisors).cast("long")).withColumn("_n2", F.expr("_n div _n1"))
-    x = long.select(*keys, F.col("idx").cast("long").alias("_j"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x")).join(n, keys)
-    turn = F.lit(-TWO_PI)
-    # j = j1 * n2 + j2, k = k1 + n1 * k2
-    inner = x.withColumn("_k1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n1") - 1)))
-    angle = turn * ((F.expr("_j div _n2") * F.col("_k1")) % F.col("_n1")) / F.col("_n1")
-    inner = inner.groupBy(*keys, "_n", "_n1", "_n2", (F.col("_j") % F.col("_n2")).alias("_j2"), "_k1").agg(
-        F.sum(F.col("_x") * F.cos(angle)).alias("_a"), F.sum(F.col("_x") * F.sin(angle)).alias("_b"))
-    outer = inner.withColumn("_k2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n2") - 1)))
-    angle = turn * ((F.col("_j2") * (F.col("_k1") + F.col("_n1") * F.col("_k2"))) % F.col("_n")) / F.col("_n")
-    outer = outer.groupBy(*keys, "_n", (F.col("_k1") + F.col("_n1") * F.col("_k2")).cast("int").alias("k")).agg(
-        F.sum(F.col("_a") * F.cos(angle) - F.col("_b") * F.sin(angle)).alias("_re"),
-        F.sum(F.col("_a") * F.sin(angle) + F.col("_b") * F.cos(angle)).alias("_im"))
-    d = outer.select(*keys, "k", "_n", F.sqrt(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("magnitude"))
+    n = _factors(long.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("_n"))).withColumn("_even", F.col("_n1") >= EVEN_SHARE * F.sqrt("_n"))
+    x = join_on(long.select(*keys, F.col("idx").cast("long").alias("_j"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
+                            F.lit(0.0).alias("_y")), n, keys)
+    even = _dft(x.filter("_even").drop("_even"), keys, "_n").select(*keys, "_n", "_j", "_x", "_y")
+    odd = _chirped(x.filter(~F.col("_even")).drop("_even", "_n1", "_n2"), keys)
+    d = even.union(odd).select(*keys, F.col("_j").cast("int").alias("k"), "_n", F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")).alias("magnitude"))
     if outlier_k is not None:
         m = F.col("magnitude")
         st = d.groupBy(*keys).agg(F.avg(m).alias("_mu"), F.stddev_pop(m).alias("_sd"))
-        d = d.join(st, keys).withColumn("magnitude", F.when(F.abs(m - F.col("_mu")) > outlier_k * F.col("_sd"), F.lit(0.0)).otherwise(m))
+        d = join_on(d, st, keys).withColumn("magnitude", F.when(F.abs(m - F.col("_mu")) > outlier_k * F.col("_sd"), F.lit(0.0)).otherwise(m))
     h = F.floor(F.col("_n") / 2).cast("int")
     top = F.lit(1.0 / (2.0 * period))
     freq = (F.when(h <= 1, F.lit(0.0)).when(F.col("k") == h - 1, top).otherwise(F.col("k") * (top / (h - 1))))
@@ -155,7 +199,7 @@ def lowpass(long: DataFrame, keys: list[str], cue_col: str, cutoffs: dict, fs: f
     alone from a zero state (a matrix product), then one row per block carries the
     state of ``order`` numbers to the next block, and the carried state's response is
     added.  A task holds one block, or one series' block rows.  ``idx`` is contiguous
-    from 0; missing values count as 0; cues without a cut-off stay as they are.
+    from 0; missing values count as 0; cues without a cut-off stay as they are; a null key is one like any other.
     """
     made = {c: _state_space(*butter_lowpass(order, f, fs), block) for c, f in cutoffs.items()}
     base = long.select(*keys, "idx", F.col(value).cast("double").alias(value))
@@ -190,7 +234,7 @@ def lowpass(long: DataFrame, keys: list[str], cue_col: str, cutoffs: dict, fs: f
     spark = long.sparkSession
     seen = spark.createDataFrame([(c, t, m[1][t].tolist()) for c, m in made.items() for t in range(block)],
                                  f"_cue {fields[cue_col]}, _t int, _observe array<double>")
-    joined = (done.join(states, [*keys, "_blk"])
+    joined = (join_on(done, states, [*keys, "_blk"])
               .join(F.broadcast(seen), (F.col(cue_col) == F.col("_cue")) & (F.col("idx") % block == F.col("_t"))))
     added = F.aggregate(F.zip_with("_observe", "_state", lambda o, z: o * z), F.lit(0.0), lambda s, v: s + v)
     return joined.select(*keys, "idx", (F.col(value) + added).alias(value)).unionByName(plain)
