@@ -4,6 +4,8 @@ import re
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from wavecohort.llm import licenses
 
 SCHEMA = "doc_id long, text string, label string, words_ string"
@@ -42,3 +44,10 @@ def test_spans_of_repeated_notices(spark):
     df = spark.createDataFrame([(1, " ".join(["Released under the MIT License."] * 3))], "k int, text_ string")
     out = licenses.spans(df, ["k"]).filter("verified").collect()
     assert sorted((r.label, r.first_word, r.last_word) for r in out) == [("mit", 0, 4), ("mit", 5, 9), ("mit", 10, 14)]
+
+
+def test_only_a_to_z_are_lowered(spark):
+    # the Kelvin sign is no k, so these words are in no template
+    df = spark.createDataFrame([(1, "This wor\u212a is licensed under", "q", "z"), (2, "CC BY", "q", "z")], SCHEMA)
+    words = {r[0]: r[1] for r in df.withColumn("text_", F.col("text")).select("doc_id", licenses._words()).collect()}
+    assert words == {1: ["this", "wor\u212a", "is", "licensed", "under"], 2: ["cc", "by"]}

@@ -77,3 +77,11 @@ def test_many_tiny_documents_need_no_padding(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     docs = [(i, "") for i in range(3000)]
     assert _check(pack(df).collect(), docs) == 0
+
+
+def test_loss_limit_below_the_shortest_cut(spark):
+    df = spark.createDataFrame([(i, "q", "answer " * 30) for i in range(6)], "doc_id long, p string, text string")
+    lim = Limits(tokens=64, segments=5, loss=8, min_cut=16)
+    out = pack(df, prompt_col="p", limits=lim)
+    assert out.agg(F.sum("length")).first()[0] == 6 * (len(_encode("answer " * 30)) + len(_encode("q")) - 1)
+    assert out.groupBy("sequence_id").agg(F.sum("loss_tokens").alias("l")).agg(F.max("l")).first()[0] <= 8

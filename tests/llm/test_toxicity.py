@@ -61,3 +61,13 @@ def test_disguised_forms():
     assert m.features(fold("an ídíot here")) == m.features(fold("an i\u0301di\u0301ot here")) == m.features(fold("an idiot here"))
     assert m.features(fold("a ĺóser"))[2] == 3.0 and m.features(fold("a sóre loser"))[2] == 0.0
     assert m.features(fold("l'été"))[2] == 2.5 and m.features(fold("ete 한국어"))[2] == 0.0
+
+
+def test_the_lexicon_has_no_cap(spark):
+    words = [f"zq{a}{b}x" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    toxic = [(i, " ".join(f"{w}{c}" for w in words for c in "qrstuvwxyz" * 1), 1) for i in range(1, 40) if i]
+    clean = [(1000 + i, "a plain text of common words", 0) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in toxic + clean], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in toxic + clean], "doc_id long, toxic int")
+    found = toxicity.fit(docs, labels).weights
+    assert sum(e.count("zq") > 0 for e in found) >= len(words)

@@ -65,9 +65,8 @@ def _values(base=BASE, notices=NOTICES) -> str:
 
 
 def _words():
-    # lower() also maps non-ASCII letters; those stay word characters, and no
-    # template word can come from one
-    return F.array_remove(F.split(F.lower(F.col("text_")), _GAP), "")
+    # A-Z only: lower() maps the Kelvin sign to k, too
+    return F.array_remove(F.split(F.translate(F.col("text_"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _GAP), "")
 
 
 def _pairs(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,7 +131,7 @@ def oracle_sql() -> str:
     return f"""
 WITH grams(template, label, is_base, n_pairs, position, t_word, t_next) AS (VALUES {_values()}),
 d AS (SELECT doc_id, row_number() OVER () AS k,
-             list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+             list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 pairs AS (SELECT k, unnest(range(len(w) - 1)) AS pos, unnest(w[1:len(w) - 1]) AS word, unnest(w[2:]) AS next_word FROM d WHERE len(w) > 1),
 votes AS (SELECT DISTINCT k, template, label, is_base, n_pairs, pos - position AS diagonal, position
           FROM pairs JOIN grams ON word = t_word AND next_word = t_next),

@@ -100,7 +100,7 @@ class Packer:
                 # ids before the prompt's end are free of loss
                 free = max(0, int(self.prompt[i]) - int(self.start[i]))
                 length = min(ct, int(tok[i]), free + cl)
-                if length < lim.min_cut:
+                if length < lim.min_cut and placed:  # an empty sequence takes what the limits allow
                     break
             cl -= self._take(i, length, placed)
             ct -= length

@@ -10,8 +10,8 @@ summed weight per word (length normalisation) and the heaviest single weight.
 The lexicon is learned: entries of toxic training texts, weighted by the log of
 the ratio of their document frequencies in toxic and in other texts; the logistic
 function is fitted on training texts that the weights have not seen.  Fitting uses
-at most ``MAX_FIT`` labelled rows, taken by a hash of the id, and at most
-``MAX_ENTRIES`` entries: bounds of the model, not of the scored texts.  Rows whose
+at most ``MAX_FIT`` labelled rows, taken by a hash of the id (a bound of the fit, not of the scored
+texts), and every entry that enough of their toxic texts hold.  Rows whose
 crc32(id as text) is a multiple of 5 are never learned from.
 
 Defined cases: null text counts as empty; an empty text has the score of no match;
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wavecohort.llm.common import map_batches, staged, text_or_empty
 
-MAX_FIT, MAX_ENTRIES = 20_000, 20_000
+MAX_FIT = 20_000
 SHORTEST, LONGEST_BEGINNING, LEAST_WEIGHT = 3, 8, 2.0
 MIN_SUPPORT, SUPPORT_SHARE = 3, 0.003
 #: Harmless phrases that hold words used as insults elsewhere.
@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, other = (rows.filter(f"fold <> 4 and y {op} 0") for op in ("<>", "="))
     n_toxic, n_other = toxic.count(), other.count()
     least = max(MIN_SUPPORT, math.ceil(SUPPORT_SHARE * n_toxic))
-    found = (_counted(toxic, _entries).filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(MAX_ENTRIES).collect())
+    # texts of the sample times their entries over ``least`` bound this
+    found = _counted(toxic, _entries).filter(F.col("n") >= least).collect()
     wanted = frozenset(r.entry for r in found)
     clean = {r.entry: r.n for r in _counted(other, lambda f: _entries(f) & wanted).collect()} if wanted else {}
     weights = {}
