@@ -192,3 +192,11 @@ def test_copies_are_spread_and_scored_once(spark, monkeypatch):
     assert out.column("n_symbols").to_pylist() == [7, 2, 7] * 200
     logp = out.column("logp").to_pylist()
     assert logp == logp[:3] * 200 and logp[0] == logp[2] != logp[1]
+
+
+def test_trusted_ids_joined_by_a_shuffle_give_the_same(spark, small_docs, monkeypatch):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = small_docs.filter("n_chars < 1500")
+    want = sorted((r.doc_id, round(r.logp, 2)) for r in classifier.scored(docs, labels).collect())
+    monkeypatch.setattr(classifier, "TRUSTED_SENT", 0)
+    assert sorted((r.doc_id, round(r.logp, 2)) for r in classifier.scored(docs, labels).collect()) == want

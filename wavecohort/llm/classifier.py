@@ -46,6 +46,9 @@ BLOCK_BYTES = 64 * 2 ** 20
 #: Shards of the n-grams of few blocks, and for so many blocks one more: a task holds some ten million
 #: n-grams.  Larger blocks give fewer of them (at 100 TB: half a gigabyte of text a block).
 SHARDS, BLOCKS_A_SHARD = 16, 8
+#: So many trusted ids (16 bytes each, counted first) go to the scan tasks; more are joined by a shuffle
+#: of the texts, with the same result.
+TRUSTED_SENT = 1_000_000
 #: Symbols that a task turns into n-grams at a time.
 _CHUNK = 2 ** 20
 _END = 1
@@ -103,12 +106,16 @@ def _merged(m, r, counts):
     return m[first], r[first], np.add.reduceat(counts[by], first) if len(first) else counts[:0]
 
 
+def _small(raw: bytes) -> bytes:
+    import pyarrow as pa
+    return pa.Codec("zstd", compression_level=7).compress(raw, asbytes=True)
+
+
 def _pressed(*arrays) -> bytes:
     """Arrays of whole numbers as differences, byte by byte of their places, compressed."""
     import numpy as np
-    import pyarrow as pa
     planes = [np.diff(np.append(0, a)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
-    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+    return _small(b"".join(planes))
 
 
 def _unpressed(z, n: int, k: int) -> list:
@@ -241,7 +248,7 @@ def _shard_probabilities(discounts: dict):
             seen = total > 0
             p = np.where(seen, (c - less + back * p) / np.where(seen, total, 1), p)
         logp, ends = np.log(p)[s.of].astype(np.float32), s.ends.tolist()
-        packed = [pa.compress(np.ascontiguousarray(logp[a:b].view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+        packed = [_small(np.ascontiguousarray(logp[a:b].view(np.uint8).reshape(-1, 4).T).tobytes())
                   for a, b in zip([0] + ends, ends)]
         return pa.table([table.column("block"), table.column("n"), table.column("grams"), pa.array(packed, pa.binary())], names=["block", "n", "grams", "logp"])
     return run
@@ -288,7 +295,7 @@ def _chunks(batches):
             own = batch.filter(pa.array(blocks == block))
             texts = [t.encode() for t in own.column(4).to_pylist()]
             sizes = [len(t) for t in texts]
-            rows.append((block, *[own.column(i).to_pylist() for i in (1, 2, 3)], sizes, pa.compress(b"".join(texts), "zstd", asbytes=True) if any(sizes) else b""))
+            rows.append((block, *[own.column(i).to_pylist() for i in (1, 2, 3)], sizes, _small(b"".join(texts)) if any(sizes) else b""))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
             pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()))],
             names=["block", "doc_id", "row_hash", "lang", "sizes", "z"])
@@ -364,7 +371,8 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     good = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("q")).dropna()
             .groupBy("id").agg(F.min("q").alias("q")).filter("q > 0").select("id", held.alias("held")))
     good = staged(good, "kn-trusted")
-    marked = rows.join(good, F.col("doc_id") == F.col("id"), "left")
+    sent = F.broadcast(good) if good.count() <= TRUSTED_SENT else good
+    marked = rows.join(sent, F.col("doc_id") == F.col("id"), "left")
     train = F.coalesce(~F.col("held"), F.lit(False))
     blocks = rows.select("block").distinct().count()
     pairs = staged(map_batches(marked.select("block", train.alias("train"), "text_"), _block_counts(SHARDS + blocks // BLOCKS_A_SHARD),
