@@ -369,7 +369,7 @@ def q_importances(spark, d):
 
 
 #: The rounds are those of the source's live space.
-RANDOM_SPACE = {"n_estimators": ("quniform", 40, 45, 1), "max_depth": ("quniform", 2, 6, 1), "learning_rate": ("uniform", 0.05, 0.3),
+RANDOM_SPACE = {"maxIter": ("quniform", 40, 45, 1), "max_depth": ("quniform", 2, 6, 1), "learning_rate": ("uniform", 0.05, 0.3),
                 "subsample": ("uniform", 0.5, 1.0), "min_child_weight": ("uniform", 1, 10)}
 SEARCH_TRIALS, SEARCH_BATCH = 24, 12
 
@@ -380,7 +380,8 @@ def q_random_search(spark, d):
     rows = M.fold_rows(clf_frame(spark, d), FEATURES, "fold", "l_orderkey", "label", 3).select("id", "y", "fold", "b")
 
     def evaluate(params, first):
-        models = T.boost(rows, len(FEATURES), [T.Boost(fold=0, patience=30, seed=first + i, **p) for i, p in enumerate(params)])
+        models = T.boost(rows, len(FEATURES), [T.Boost(n_estimators=p["maxIter"], fold=0, patience=30, seed=first + i, **{k: v for k, v in p.items() if k != "maxIter"})
+                                                 for i, p in enumerate(params)])
         return [max(m.aucs) if m.aucs else None for m in models]
     return M.adaptive_search(spark, RANDOM_SPACE, SEARCH_TRIALS, evaluate, shared_path(spark, f"trials-{uuid.uuid4().hex}"), SEARCH_BATCH)
 
