@@ -51,25 +51,3 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
-
-
-def numbered(spark: SparkSession, df: DataFrame, order: list[str], weight: str, out: str, name: str) -> DataFrame:
-    """``df`` staged with ``out``: the sum of ``weight`` over all rows before the row
-    in the order of the columns ``order`` (rows equal in ``order`` in any order).
-
-    Rows are range-partitioned and written with a local running sum and their
-    partition number; the offsets of partitions, one row each, are added after
-    reading back, so partition numbers are never evaluated twice.
-    """
-    from pyspark.sql import Window
-    part, local, total = fresh(df, "part"), fresh(df, "local"), fresh(df, "total")
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn(part, F.spark_partition_id())
-    # the range partition is contiguous, so a window by its number needs no other order
-    w = Window.partitionBy(part).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    kept = staged(ranged.withColumn(local, F.coalesce(F.sum(weight).over(w), F.lit(0))), name)
-    sums = kept.groupBy(part).agg(F.sum(weight).alias(total))
-    # one row per partition: bounded by the number of partitions
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col(part), F.coalesce(F.sum(total).over(before), F.lit(0)).alias(total))
-    return (kept.join(base, part)
-            .withColumn(out, F.col(total) + F.col(local)).drop(part, local, total))
