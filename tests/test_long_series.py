@@ -60,3 +60,56 @@ def test_long_stay_ids_are_kept(spark):
     assert [tuple(r) for r in df.select(a, b).collect()] == [(i, "2101-02-03") for i in ids]
     key = df.select(K.stay_key(F.lit(12345678901))).first()[0]
     assert key == ids[0]
+
+
+def thomas(x, y):
+    """Second derivatives of the natural spline by plain elimination."""
+    n, h = len(x), np.diff(x)
+    c, d, m = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in range(1, n - 1):
+        p = 2 * (h[i - 1] + h[i]) - h[i - 1] * c[i - 1]
+        c[i], d[i] = h[i] / p, (6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1]) - h[i - 1] * d[i - 1]) / p
+    for i in range(n - 2, 0, -1):
+        m[i] = d[i] - c[i] * m[i + 1]
+    return m
+
+
+def plain_spline(y):
+    at, k = np.arange(len(y), dtype=float), np.flatnonzero(~np.isnan(y))
+    if not len(k):
+        return [None] * len(y)
+    x, v = k.astype(float), y[k]
+    if len(k) == 1:
+        return [float(v[0])] * len(y)
+    m, h = thomas(x, v), np.diff(x)
+    j = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
+    b, a = x[j + 1] - at, at - x[j]
+    s = (m[j] * b ** 3 + m[j + 1] * a ** 3) / (6 * h[j]) + (v[j] / h[j] - m[j] * h[j] / 6) * b + (v[j + 1] / h[j] - m[j + 1] * h[j] / 6) * a
+    s = np.where(at < x[0], v[0], np.where(at > x[-1], v[-1], s))
+    return [float(p) for p in np.where(np.isnan(y), s, y)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_spline_of_many_series_by_blocks(spark, block):
+    rng = np.random.default_rng(4)
+    series = {name: np.where(rng.random(n) < share, rng.normal(size=n).cumsum(), np.nan)
+              for name, n, share in (("a", 300, 0.3), ("b", 300, 0.01), ("c", 41, 1.0), (None, 120, 0.5), ("none", 20, 0.0), ("long", 5000 if block > 7 else 600, 0.2))}
+    one = np.full(30, np.nan)
+    one[11] = 2.5
+    series["one"] = one
+    rows = [(k, i, None if np.isnan(v) and i % 2 else float(v)) for k, y in series.items() for i, v in enumerate(y)]     # NaN and NULL are both missing
+    rng.shuffle(rows)
+    got = SP.interpolate_spline(spark.createDataFrame(rows, "s string, idx int, value double"), ["s"], block=block)
+    assert got.columns == ["s", "idx", "value"]
+    out = {}
+    for r in got.collect():
+        out.setdefault(r.s, {})[r.idx] = r.value
+    assert set(out) == set(series)
+    for k, y in series.items():
+        mine, want = [out[k][i] for i in range(len(y))], plain_spline(y)
+        assert mine == (want if want[0] is None else pytest.approx(want, rel=1e-9, abs=1e-9)), k
+
+
+def test_spline_of_an_empty_grid(spark):
+    empty = spark.createDataFrame([], "s string, idx int, value double")
+    assert SP.interpolate_spline(empty, ["s"]).collect() == []

@@ -122,17 +122,18 @@ def _sym_fn(m: np.ndarray, fn) -> np.ndarray:
     return (v * fn(w)[..., None, :]) @ np.swapaxes(v, -1, -2)
 
 
-def mean_cov_riemann(flat: DataFrame, by: str, d: int, tol: float = 1e-8, max_iter: int = 50,
+def mean_cov_riemann(flat: DataFrame, by: str, d: int, tol: float = 1e-8, max_iter: int = 100,
                      metric: str = "riemann") -> DataFrame:
     """V6: affine-invariant (``riemann``) or log-Euclidean mean per class.
 
     Riemann: start at the Euclidean mean; each iteration maps every matrix to
-    the tangent space at the current mean with a vectorised pandas UDF
-    (``log(C^-½ Ci C^-½)``), averages natively per class, and updates the d×d
-    mean on the driver (classes × d² numbers).  Input is checkpointed once to
-    the cluster's checkpoint folder so each iteration rereads it instead of
-    recomputing the lineage.  Raises when the tangent mean isn't below ``tol`` after
-    ``max_iter`` iterations.
+    the tangent space at the class's current mean with a vectorised pandas UDF
+    (``log(C^-½ Ci C^-½)``), averages natively per class, and moves the d×d
+    mean on the driver (classes × d² numbers) along the averaged tangent, whose norm is the residual.  The step
+    follows from the last two residuals (secant quotient); a step after which the residual has grown is
+    taken back and halved.  A class whose residual is below ``tol`` stops: its matrices
+    are mapped no more.  Input is checkpointed once to the cluster's checkpoint folder so each iteration rereads it
+    instead of recomputing the lineage.  Raises when a class isn't done after ``max_iter`` iterations.
     """
     spark = flat.sparkSession
     data = flat.select(by, "cov").checkpoint(eager=True)
@@ -164,21 +165,35 @@ def mean_cov_riemann(flat: DataFrame, by: str, d: int, tol: float = 1e-8, max_it
         means = {k: _sym_fn(v, np.exp) for k, v in avg_arrays(data.withColumn("l", logm("cov")), "l").items()}
     else:
         means = avg_arrays(data, "cov")
+        tried = dict(means)                              # where the residual is measured next
+        steps = dict.fromkeys(means, 1.0)
+        tangents: dict = {}                              # at the accepted means
+        live = set(means)
         for _ in range(max_iter):
-            isq = {k: _sym_fn(c, lambda w: 1.0 / np.sqrt(w)) for k, c in means.items()}
+            isq = {k: _sym_fn(tried[k], lambda w: 1.0 / np.sqrt(w)) for k in live}
             lut = spark.createDataFrame([(k, [float(x) for x in v.ravel()]) for k, v in isq.items()],
                                         f"{by} {data.schema[by].dataType.simpleString()}, isq array<double>")
             t = data.join(F.broadcast(lut), by).withColumn("l", logm_at("cov", "isq"))
-            J = avg_arrays(t, "l")
-            step = 0.0
-            for k, c in means.items():
-                sq = _sym_fn(c, np.sqrt)
-                means[k] = sq @ _sym_fn(J[k], np.exp) @ sq
-                step = max(step, float(np.linalg.norm(J[k])))
-            if step < tol:
+            for k, tangent in avg_arrays(t, "l").items():
+                residual, before = np.linalg.norm(tangent), tangents.get(k)
+                if before is not None and residual >= np.linalg.norm(before):
+                    steps[k] /= 2.0
+                else:
+                    if before is not None:
+                        moved, turned = steps[k] * before, before - tangent
+                        quotient = float(np.sum(moved * moved) / np.sum(moved * turned)) if np.sum(moved * turned) > 0 else 1.0
+                        steps[k] = min(max(quotient, 0.05), 2.0)
+                    means[k], tangents[k] = tried[k], tangent
+                    if residual < tol:
+                        live.discard(k)
+                        continue
+                sq = _sym_fn(means[k], np.sqrt)
+                tried[k] = sq @ _sym_fn(steps[k] * tangents[k], np.exp) @ sq
+            if not live:
                 break
         else:
-            raise RuntimeError(f"Riemannian mean: residual {step:.3g} after {max_iter} iterations (tolerance {tol:.3g})")
+            worst = max(float(np.linalg.norm(tangents[k])) for k in live)
+            raise RuntimeError(f"Riemannian mean: residual {worst:.3g} after {max_iter} iterations (tolerance {tol:.3g})")
     rows = [(k, [float(x) for x in v.ravel()]) for k, v in means.items()]
     return spark.createDataFrame(rows, f"{by} {data.schema[by].dataType.simpleString()}, mean_cov array<double>")
 

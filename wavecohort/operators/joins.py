@@ -11,15 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.functions.keys import active, stay_key
-
-
-def join_measures_labels(sensors: DataFrame, ref: DataFrame, code_col: str = "code",
-                         label_col: str = "label") -> DataFrame:
-    """Measures ⋈ reference labels on the measure code (``ref`` is a table of
-    measure codes; Spark broadcasts it when its size allows)."""
-    r = ref.select(F.col(code_col).alias("_code"), F.col(label_col).alias("label"))
-    return sensors.join(r, sensors.id_measure_type == r._code, "inner").drop("_code")
+from wavecohort.functions.keys import active, epoch_us, stay_key
 
 
 def first_window(sensors: DataFrame, moves: DataFrame, span: str = "1 day") -> DataFrame:
@@ -35,6 +27,23 @@ def first_window(sensors: DataFrame, moves: DataFrame, span: str = "1 day") -> D
     return j.select(F.to_date("_start").alias("dt_deb"), *[sensors[c] for c in sensors.columns])
 
 
+def first_window_bucketed(sensors: DataFrame, moves: DataFrame, days: int = 1) -> DataFrame:
+    """J2 for hot stays, same rows as :func:`first_window` with a span of whole days.
+
+    Equi join on (stay, time bucket): a bucket is as long as the window, a measure lies in one
+    and a window in two of them (every one it touches), so a stay's measures
+    spread over as many tasks as it has buckets and every matching pair meets once.
+    """
+    width = days * 86_400_000_000
+    bucket = lambda t: F.floor(epoch_us(t) / F.lit(width))
+    m = moves.select(F.col("id_nda").alias("_m_id"), F.col("dt_deb_mouv_ufr").alias("_start"))
+    end = F.col("_start") + F.expr(f"INTERVAL {days} DAY")
+    m = m.filter(F.col("_start").isNotNull()).withColumn("_m_bucket", F.explode(F.sequence(bucket(F.col("_start")), bucket(end))))
+    s = sensors.withColumn("_bucket", bucket(F.col("dt_insert")))
+    j = s.join(m, (s.id_nda == m._m_id) & (s._bucket == m._m_bucket) & (s.dt_insert >= m._start) & (s.dt_insert <= end), "inner")
+    return j.select(F.to_date("_start").alias("dt_deb"), *[s[c] for c in sensors.columns])
+
+
 def anti(df: DataFrame, keys_df: DataFrame, on: list[str] | str) -> DataFrame:
     """``NOT IN`` on non-null keys as a plain left anti join.
 
@@ -74,13 +83,23 @@ def case_data_for(cases: DataFrame, pat_info: DataFrame, nda: DataFrame) -> Data
                     F.when(inside, F.col("pat_dt_deces")).alias("dt_deces")).distinct()
 
 
-def map_forms(cases: DataFrame, forms: DataFrame, days: int = 15) -> DataFrame:
+def map_forms(cases: DataFrame, forms: DataFrame, days: int = 15, bucket_days: int = 30) -> DataFrame:
     """A form belongs to a case of the same stay when ``j1 + days >= form date``
-    (no lower bound), distinct."""
-    c = cases.select("id_nda", "j1")
-    f = forms.select(F.col("id_nda").alias("_f_id"), "form_date", "id_form")
-    cond = (c.id_nda == f._f_id) & (F.date_add(c.j1, days) >= F.to_date(f.form_date))
-    return c.join(f, cond, "inner").select("id_nda", "j1", "id_form").distinct()
+    (no lower bound), distinct.
+
+    Only a form's earliest date decides, so both sides are made distinct before the
+    join and its pairs need no second pass.  The join is on (stay, bucket of form dates): a case becomes one row for
+    every bucket of its stay that holds a form and starts before the case's own limit, so a stay with very
+    many cases and forms spreads over its buckets and all but the last of them match whole.
+    """
+    bucket = lambda day: F.floor(F.unix_date(day) / F.lit(bucket_days))
+    f = (forms.groupBy(F.col("id_nda").alias("_f_id"), "id_form").agg(F.min(F.to_date("form_date")).alias("_day"))
+         .withColumn("_bucket", bucket(F.col("_day"))))
+    c = cases.select("id_nda", "j1").distinct().withColumn("_limit", F.date_add("j1", days))
+    held = f.select("_f_id", "_bucket").distinct().filter(F.col("_bucket").isNotNull())
+    held = held.select(F.col("_f_id").alias("_h_id"), F.col("_bucket").alias("_h_bucket"))
+    c = c.join(held, (c.id_nda == held._h_id) & (held._h_bucket <= bucket(c._limit))).select("id_nda", "j1", "_limit", "_h_bucket")
+    return c.join(f, (c.id_nda == f._f_id) & (c._h_bucket == f._bucket) & (c._limit >= f._day)).select("id_nda", "j1", "id_form")
 
 
 def true_death(cases: DataFrame, nda: DataFrame) -> DataFrame:

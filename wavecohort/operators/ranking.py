@@ -7,6 +7,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecohort.functions.ranges import range_bucket
+from wavecohort.operators.evaluate import running_sums
+
 
 def window_bounds(day: Column, lo: Column, hi: Column, back_days: int = 30) -> list[Column]:
     """Clamp ``day`` (a timestamp) to ``[lo, hi]``; derive yesterday and
@@ -49,6 +52,28 @@ def top_pages_at(counts: DataFrame, at: datetime, back_days: int, k: int = 20, f
     return agg.orderBy(F.desc("sum_hits"), "prj", "page").limit(k)
 
 
+def day_totals(hours: DataFrame, day: str = "day") -> DataFrame:
+    """Rollup of hourly counts for :func:`top_pages_rolled`: hits per (day, prj, page)."""
+    return hours.groupBy(day, "prj", "page").agg(F.sum("hits").alias("hits"))
+
+
+def top_pages_rolled(days: DataFrame, hours: DataFrame, at: datetime, back_days: int, k: int = 20, first: datetime | None = None,
+                     last: datetime | None = None, day: str = "day") -> DataFrame:
+    """T1/T2 from two levels of partial sums, same result as :func:`top_pages_at`: the whole days of the window come from
+    ``days`` (:func:`day_totals`), the hours of its two edge days from ``hours``.  With both stores partitioned by ``day`` a
+    window reads two days of hourly rows whatever its length."""
+    at = min(max(at, first or at), last or at)
+    start = max(at - timedelta(days=back_days), first or datetime.min)
+    d, h, lo, hi = F.col(day), F.col("hour"), F.lit(start.date()), F.lit(at.date())
+    if start.date() == at.date():
+        edges = (d == lo) & (h >= start.hour) & (h < at.hour)
+    else:
+        edges = d.isin(start.date(), at.date()) & (((d == lo) & (h >= start.hour)) | ((d == hi) & (h < at.hour)))
+    w = days.filter((d > lo) & (d < hi)).select("prj", "page", "hits").unionAll(hours.filter(edges).select("prj", "page", "hits"))
+    agg = w.groupBy("prj", "page").agg(F.sum("hits").alias("sum_hits"))
+    return agg.orderBy(F.desc("sum_hits"), "prj", "page").limit(k)
+
+
 def top_pages(counts: DataFrame, today_md: str, first_md: str, hour: int, k: int = 20,
               full_days: bool = False) -> DataFrame:
     """T1/T2 + A19: top-``k`` (prj, page) by summed hits in the window.
@@ -62,9 +87,28 @@ def top_pages(counts: DataFrame, today_md: str, first_md: str, hour: int, k: int
     return agg.orderBy(F.desc("sum_hits"), "prj", "page").limit(k)
 
 
+#: Rows that give the bounds of :func:`sequence_in_group`'s buckets, and buckets.
+ORDER_SAMPLE, ORDER_BUCKETS = 2048, 64
+
+
+def order_bounds(df: DataFrame, by: str, order: list[str]) -> list:
+    """Distinct bounds that cut the first order column into at most :data:`ORDER_BUCKETS` parts of about equal rows."""
+    sample = (df.select(by, *order).filter(F.col(order[0]).isNotNull()).withColumn("_h", F.xxhash64(by, *order))
+              .orderBy("_h").limit(ORDER_SAMPLE).select(order[0]).collect())
+    values = sorted(r[0] for r in sample)
+    return sorted({values[i * len(values) // ORDER_BUCKETS] for i in range(1, ORDER_BUCKETS)}) if values else []
+
+
 def sequence_in_group(df: DataFrame, by: str, order: list[str], out: str = "seq") -> DataFrame:
-    """1..n within each group in the given order."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    """1..n within each group in the given (ascending) order.
+
+    A group of any size is ranked in buckets of its first order column, and offsets of one row a bucket are
+    added.  The bounds come from :data:`ORDER_SAMPLE` rows (the least hashes); they set how evenly
+    rows spread, never the result.  Rows equal in that column share a bucket; nulls come first.
+    """
+    bounds = order_bounds(df, by, order)
+    ranked = running_sums(df.withColumn("_one", F.lit(1)), range_bucket(F.col(order[0]), bounds), [F.col(c) for c in order], ["_one"], [by], prefix="_rank")
+    return ranked.withColumn(out, F.col("_rank_one").cast("int")).drop("_one", "_rank_one")
 
 
 def weights_matrix(df: DataFrame, row: str, col: str, value: str, values: list, fill: float | None = None) -> DataFrame:

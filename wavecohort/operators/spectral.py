@@ -1,10 +1,9 @@
-"""Spectra and filters of grid series.
+"""Spectra and filters of grid series (W12-W14, W16; W6 is in :mod:`spline`).
 
 Short series (the 96-point waves) use native higher-order functions on the
 series' array: the work stays in the JVM and the result is checkable in SQL.
-Recursive filters and splines cannot be written as column expressions; they
-run per series in ``applyInPandas`` (one group = one resampled series, its
-size bounded by the grid).
+Recursive filters cannot be written as column expressions; they run in blocks of
+points in ``applyInPandas``.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecohort.operators.series import join_on
+from wavecohort.operators.spline import interpolate_spline  # noqa: F401
 
 TWO_PI = 2.0 * math.pi
 
@@ -238,44 +238,3 @@ def lowpass(long: DataFrame, keys: list[str], cue_col: str, cutoffs: dict, fs: f
               .join(F.broadcast(seen), (F.col(cue_col) == F.col("_cue")) & (F.col("idx") % block == F.col("_t"))))
     added = F.aggregate(F.zip_with("_observe", "_state", lambda o, z: o * z), F.lit(0.0), lambda s, v: s + v)
     return joined.select(*keys, "idx", (F.col(value) + added).alias(value)).unionByName(plain)
-
-
-# ---------------------------------------------------------------- spline
-
-def _second_derivatives(p: str) -> str:
-    """SQL for the second derivatives of the natural cubic spline through the points of
-    array column ``p`` (structs ``x, y``): the tridiagonal system by elimination, one
-    pass forward and one back over the array."""
-    h = f"({p}[i + 1].x - {p}[i].x)"
-    h0 = f"({p}[i].x - {p}[i - 1].x)"
-    right = f"(6.0D * (({p}[i + 1].y - {p}[i].y) / {h} - ({p}[i].y - {p}[i - 1].y) / {h0}))"
-    pivot = f"(2.0D * ({h0} + {h}) - {h0} * a.c[i - 1])"
-    inner = f"IF(size({p}) > 2, sequence(1, size({p}) - 2), array())"
-    forward = (f"aggregate({inner}, named_struct('c', array(0.0D), 'd', array(0.0D)), (a, i) -> named_struct("
-               f"'c', concat(a.c, array({h} / {pivot})), 'd', concat(a.d, array(({right} - {h0} * a.d[i - 1]) / {pivot}))))")
-    return f"transform(array({forward}), s -> concat(array(0.0D), aggregate(reverse({inner}), array(0.0D), (m, i) -> concat(array(s.d[i] - s.c[i] * m[0]), m))))[0]"
-
-
-def interpolate_spline(grid: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Cubic-spline filling of the NULL grid points between known points
-    of each series (natural end conditions), edges held at the nearest known
-    value.  A series is one grid (bounded), so its known points fit an array; the
-    filling itself is a window over the grid."""
-    v = F.col(value)
-    known = grid.filter(v.isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("idx").cast("double").alias("x"), v.cast("double").alias("y")))).alias("_p"))
-    second = known.select(*keys, "_p", F.expr(f"IF(size(_p) < 2, array(0.0D), {_second_derivatives('_p')})").alias("_m"))
-    knots = second.select(*keys, F.explode(F.arrays_zip(F.col("_p.x").alias("x"), F.col("_m").alias("m"))).alias("_k"))
-    knots = knots.select(*keys, F.col("_k.x").alias("_kx"), F.col("_k.m").alias("_km"))
-    g = grid.select(*keys, "idx", value)
-    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys] + [F.col("g.idx") == F.col("k._kx")]
-    g = g.alias("g").join(knots.alias("k"), same, "left").select("g.*", "_km")
-    w0 = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    w1 = Window.partitionBy(*keys).orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
-    point = F.when(v.isNotNull(), F.struct(F.col("idx").cast("double").alias("x"), v.cast("double").alias("y"), F.coalesce("_km", F.lit(0.0)).alias("m")))
-    g = g.withColumn("_a", F.last(point, ignorenulls=True).over(w0)).withColumn("_b", F.first(point, ignorenulls=True).over(w1))
-    h, a, b = F.col("_b.x") - F.col("_a.x"), F.col("_b.x") - F.col("idx"), F.col("idx") - F.col("_a.x")
-    cubic = ((F.col("_a.m") * a * a * a + F.col("_b.m") * b * b * b) / (6 * h) + (F.col("_a.y") / h - F.col("_a.m") * h / 6) * a
-             + (F.col("_b.y") / h - F.col("_b.m") * h / 6) * b)
-    out = (F.when(v.isNotNull(), v).when(F.col("_a").isNull(), F.col("_b.y")).when(F.col("_b").isNull(), F.col("_a.y")).otherwise(cubic))
-    return g.select(*keys, "idx", out.alias(value))

@@ -170,9 +170,30 @@ def q_wave_matrix(spark, d):
     return m.withColumn("waves", F.transform("waves", lambda w: F.transform(w, lambda x: F.round(x, ARRAY_DIGITS))))
 
 
-@query("interpolate_spline")
+# The oracle solves each series' system by elimination: one recursive step a knot, forward and back.
+_SPLINE_SQL = """kn AS (SELECT id_case, voi, CAST(idx AS DOUBLE) AS x, value AS y, row_number() OVER s AS i, count(*) OVER (PARTITION BY id_case, voi) AS n,
+    CAST(idx AS DOUBLE) - lag(CAST(idx AS DOUBLE)) OVER s AS h0, lead(CAST(idx AS DOUBLE)) OVER s - CAST(idx AS DOUBLE) AS h1,
+    value - lag(value) OVER s AS e0, lead(value) OVER s - value AS e1
+    FROM gv WHERE value IS NOT NULL WINDOW s AS (PARTITION BY id_case, voi ORDER BY idx)),
+mm AS (WITH RECURSIVE fw(id_case, voi, i, n, c, d) AS (
+        SELECT id_case, voi, i, n, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM kn WHERE i = 1
+        UNION ALL SELECT k.id_case, k.voi, k.i, k.n, k.h1 / (2 * (k.h0 + k.h1) - k.h0 * f.c),
+            (6 * (k.e1 / k.h1 - k.e0 / k.h0) - k.h0 * f.d) / (2 * (k.h0 + k.h1) - k.h0 * f.c)
+        FROM fw f JOIN kn k ON k.id_case = f.id_case AND k.voi = f.voi AND k.i = f.i + 1 WHERE k.i < k.n),
+    bw(id_case, voi, i, m) AS (SELECT id_case, voi, n, CAST(0 AS DOUBLE) FROM kn WHERE i = 1
+        UNION ALL SELECT f.id_case, f.voi, f.i, f.d - f.c * b.m FROM bw b JOIN fw f ON f.id_case = b.id_case AND f.voi = b.voi AND f.i = b.i - 1)
+    SELECT k.id_case, k.voi, k.x, b.m FROM kn k JOIN bw b ON k.id_case = b.id_case AND k.voi = b.voi AND k.i = b.i)"""
+
+
+@query("interpolate_spline", _sql(f"""WITH {_W_SQL}, {_SPLINE_SQL} SELECT w.id_case, w.voi, w.idx, CASE WHEN w.value IS NOT NULL THEN w.value
+    WHEN w.i0 IS NULL THEN w.v1 WHEN w.i1 IS NULL THEN w.v0
+    ELSE (a.m * (w.i1 - w.idx) ** 3 + b.m * (w.idx - w.i0) ** 3) / (6 * (w.i1 - w.i0))
+        + (w.v0 / (w.i1 - w.i0) - a.m * (w.i1 - w.i0) / 6) * (w.i1 - w.idx)
+        + (w.v1 / (w.i1 - w.i0) - b.m * (w.i1 - w.i0) / 6) * (w.idx - w.i0) END AS value
+    FROM iw w LEFT JOIN mm a ON a.id_case = w.id_case AND a.voi = w.voi AND a.x = w.i0
+    LEFT JOIN mm b ON b.id_case = w.id_case AND b.voi = w.voi AND b.x = w.i1"""), rounded=("value",))
 def q_interpolate_spline(spark, d):
-    """W6 (rows only): cubic-spline filling of the resampled grid per series."""
+    """Cubic-spline filling of the resampled grid per series."""
     g = W.fill_grid(binned_df(spark, d), ["id_case", "voi"], N_PTS)
     return SP.interpolate_spline(g, ["id_case", "voi"])
 
