@@ -39,6 +39,9 @@ ORDER, SYMBOL_BITS, SYMBOLS = 6, 21, 0x110000
 #: Orders up to this one are joined as tables; n-grams are dealt to shards by as many symbols before the last.
 SMALL_ORDER = 3
 LOW, HIGH, PRIOR, MIN_HELD_OUT = 0.001, 0.99, 200, 50
+
+#: Decimals of the log-perplexities that limits and verdicts are taken from.
+GRID_DIGITS = 4
 #: Languages with fewer trained or held-out trusted texts are not judged.
 MIN_TRAINED, MIN_OWN = 30, 3
 #: Text of one block, about: larger scan splits are dealt to several blocks.
@@ -400,29 +403,34 @@ def _share(n):
 
 def judged(scores: DataFrame) -> DataFrame:
     """``scores`` with ``perplexity, adjusted, lowest, threshold, kept``."""
+    # limits and verdicts on a grid: the same in every run, whatever order sums and quantiles are merged in
+    def grid(x):
+        return F.round(x, GRID_DIGITS)
     entropy = -F.col("logp") / F.col("n_symbols")
     same = F.col("lang").eqNullSafe(F.col("t_lang"))
 
     def pulled(middle):
-        return (-F.col("logp") + PRIOR * middle) / (F.col("n_symbols") + PRIOR)
-
-    def limits(x):
-        # the model has seen the trained texts, and copies of them: none of these is too predictable
-        return F.array(F.percentile_approx(x, LOW, 10_000), F.percentile_approx(F.when(F.col("held_out"), x), HIGH, 10_000))
-    known = scores.filter("trusted")
+        return grid((-F.col("logp") + PRIOR * middle) / (F.col("n_symbols") + PRIOR))
+
+    def quantile(at, of):
+        # exact, over at most some 100 000 values of the grid
+        return F.expr(f"percentile_disc({at}) WITHIN GROUP (ORDER BY {of})")
+    # the model has seen the trained texts, and copies of them: none of these is too predictable
+    limits = F.array(quantile(LOW, "off"), quantile(HIGH, "IF(held_out, off, NULL)")).alias("q")
+    known = scores.filter("trusted").withColumn("entropy", grid(entropy))
     middles = staged(known.groupBy(F.col("lang").alias("t_lang")).agg(
-        F.percentile_approx(F.when(F.col("held_out"), entropy), 0.5, 10_000).alias("middle"),
+        quantile(0.5, "IF(held_out, entropy, NULL)").alias("middle"),
         F.count(F.when(F.col("held_out"), 1)).alias("n_held"), F.count(F.when(~F.col("held_out"), 1)).alias("n_trained"))
         .filter((F.col("n_held") >= MIN_OWN) & (F.col("n_trained") >= MIN_TRAINED)), "kn-middles")
-    off = known.join(middles, same).withColumn("off", pulled(F.col("middle")) - F.col("middle"))
-    own = off.groupBy("t_lang").agg(F.first("middle").alias("middle"), F.first("n_held").alias("n_held"), limits(F.col("off")).alias("q"))
-    low, high = off.agg(limits(F.col("off")).alias("q")).first()["q"] or (None, None)         # two numbers
+    off = known.join(middles, same).withColumn("off", grid(pulled(F.col("middle")) - F.col("middle")))
+    own = off.groupBy("t_lang").agg(F.first("middle").alias("middle"), F.first("n_held").alias("n_held"), limits)
+    low, high = off.agg(limits).first()["q"] or (None, None)         # two numbers
     few = F.col("n_held") < MIN_HELD_OUT
     cut = own.select("t_lang", "middle",
                      (F.col("middle") + F.when(few, F.least(F.get("q", 0), F.lit(low).cast("double"))).otherwise(F.get("q", 0))).alias("low"),
                      (F.col("middle") + F.when(few, F.greatest(F.get("q", 1), F.lit(high).cast("double"))).otherwise(F.get("q", 1))).alias("high"))
     # at most one row a language, broadcast where its written size allows
-    cut = staged(cut, "kn-limits")
+    cut = staged(cut.withColumns({c: grid(F.col(c)) for c in ("low", "high")}), "kn-limits")
     return (scores.join(cut, same, "left")
             .withColumn("perplexity", F.exp(entropy)).withColumn("adjusted_", pulled(F.coalesce("middle", entropy)))
             .withColumn("kept", F.coalesce(F.col("adjusted_").between(F.col("low"), F.col("high")), F.lit(True)))
