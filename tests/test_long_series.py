@@ -113,3 +113,32 @@ def test_spline_of_many_series_by_blocks(spark, block):
 def test_spline_of_an_empty_grid(spark):
     empty = spark.createDataFrame([], "s string, idx int, value double")
     assert SP.interpolate_spline(empty, ["s"]).collect() == []
+
+
+def test_many_short_series_beside_a_long_one(spark):
+    rng = np.random.default_rng(7)
+    series = {(r, "a"): rng.normal(size=120) for r in range(40)} | {(99, "a"): rng.normal(size=SP.SHORT + 8)}
+    rows = [(r, c, i, float(v)) for (r, c), x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "rec long, cue string, idx int, value double").repartition(4)
+    # short series don't meet as one row per product: no row is made more often than once
+    for part, few in ((df, False), (df.filter("rec < 99"), True)):
+        out = SP.fft_magnitude_long(part, ["rec", "cue"], 0.5, None)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Generate" not in plan) == few
+        got = {}
+        for r in out.orderBy("k").collect():
+            got.setdefault(r.rec, []).append(r.magnitude)
+        for (r, _), x in series.items():
+            if r < 99 or not few:
+                assert np.allclose(got[r], np.abs(np.fft.fft(x))[:len(x) // 2], atol=1e-9)
+    b, a = SP.butter_lowpass(5, 5.0, 125.0)
+    for part in (df, df.filter("rec < 99")):
+        out = {}
+        for r in SP.lowpass(part, ["rec", "cue"], "cue", {"a": 5.0}, 125.0).collect():
+            out.setdefault(r.rec, {})[r.idx] = r.value
+        for r, y in out.items():
+            x, z, want = series[r, "a"], np.zeros(6), []
+            for v in x:
+                want.append(b[0] * v + z[0])
+                z[:5] = z[1:] + b[1:] * v - a[1:] * want[-1]
+            assert np.allclose([y[i] for i in range(len(x))], want, atol=1e-9)

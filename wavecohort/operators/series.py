@@ -254,15 +254,34 @@ def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str =
               .groupBy(rec, cue, "idx").agg(F.avg("_v").alias("value")))
     cues = join_on(df.select(rec, cue).distinct(), bounds, [rec])
     last = (F.floor((epoch_us("_t1") - mid) / step) - b0).cast("int")
-    # block numbers first, spread over the tasks; each block's points are made there
+    # one row per block of points with the list of its known ones; recordings can be long, no task holds a whole series
     blocks = cues.select(rec, cue, "_t0", last.alias("_last"), F.explode(F.sequence(F.lit(0), F.floor(last / block).cast("int"))).alias("_b"))
-    grid = blocks.repartition(rec, cue, "_b").select(rec, cue, "_t0", F.explode(F.sequence(
-        F.col("_b") * block, F.least(F.col("_b") * block + (block - 1), F.col("_last")))).alias("idx"))
-    g = join_on(grid, binned, [rec, cue, "idx"], "left")
-    # recordings can be long: blocked windows, no task holds a whole series
-    g = interpolate(g, [rec, cue], limit=None, fill=False, block=block)
+    known = binned.filter(F.col("idx").isNotNull() & F.col("value").isNotNull())
+    lists = known.groupBy(rec, cue, F.floor(F.col("idx") / block).cast("int").alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), F.col("value").alias("v")))).alias("_p"))
+    g = join_on(blocks, lists, [rec, cue, "_b"], "left")
+    # the nearest known points before and after a block, carried between blocks
+    ends = blocks.select(rec, cue, "_b").transform(join_on, lists.select(
+        rec, cue, "_b", F.get("_p", F.lit(0)).alias("_first"), F.element_at("_p", -1).alias("_final")), [rec, cue, "_b"], "left")
+    over = Window.partitionBy(rec, cue).orderBy("_b")
+    carry = ends.select(rec, cue, "_b", F.last("_final", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+                        F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    g = join_on(g, carry, [rec, cue, "_b"])
+    # stretches from one known point to the next; the grid is made from them last and not shuffled any more
+    low, high = F.col("_b") * block, F.least(F.col("_b") * block + (block - 1), F.col("_last"))
+    g = g.select(rec, cue, "_t0", low.alias("_low"), high.alias("_high"), "_after",
+                 F.concat(F.array("_before"), F.coalesce("_p", F.array().cast(g.schema["_p"].dataType))).alias("_q"))
+
+    def stretch(p, j):
+        after = F.coalesce(F.get("_q", j + 1), F.col("_after"))
+        return F.struct(p["i"].alias("i0"), p["v"].alias("v0"), after["i"].alias("i1"), after["v"].alias("v1"),
+                        F.greatest(p["i"], F.col("_low")).alias("a"), F.least(F.get("_q", j + 1)["i"] - 1, F.col("_high")).alias("z"))
+    g = g.select(rec, cue, "_t0", F.explode(F.filter(F.transform("_q", stretch), lambda x: x["a"] <= x["z"])).alias("_s"))
+    g = g.select(rec, cue, "_t0", "_s.*").select(rec, cue, "_t0", "i0", "v0", "i1", "v1", F.explode(F.sequence("a", "z")).alias("idx"))
+    line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("idx") - F.col("i0")) / (F.col("i1") - F.col("i0"))
+    v = F.when((F.col("idx") == F.col("i0")) | F.col("i1").isNull(), F.col("v0")).otherwise(line)
     t = ntz_from_epoch_us(mid + (b0 + F.col("idx")) * step)
-    return g.select(rec, cue, "idx", t.alias("t"), "value")
+    return g.select(rec, cue, "idx", t.alias("t"), v.alias("value"))
 
 
 def local_minima(series: DataFrame, keys: list[str], lo_s: float, hi_s: float,

@@ -116,6 +116,45 @@ def _chirped(x: DataFrame, keys: list[str]) -> DataFrame:
 
 #: A series whose lesser factor is below this share of its root goes by the chirp.
 EVEN_SHARE = 0.125
+#: Series of at most so many points are transformed whole, many of them at once.
+SHORT = 512
+
+
+def _ddl(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
+
+
+def _fft_magnitude_short(long: DataFrame, keys: list[str], period: float, outlier_k: float | None, value: str) -> DataFrame:
+    """:func:`fft_magnitude_long` of series of at most ``SHORT`` points: one row per series, transformed batch by batch."""
+    point = F.struct(F.col("idx").cast("long").alias("i"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    lists = long.groupBy(*keys).agg(F.collect_list(point).alias("_p")).select(*keys, "_p.i", "_p.v")
+    lists = lists.toDF(*[f"_key{i}" for i in range(len(keys))], "_i", "_v")
+    top = 1.0 / (2.0 * period)
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            at, x = batch.column(len(keys)), batch.column(len(keys) + 1)
+            ends = np.cumsum(at.value_lengths().to_numpy())
+            at, x = at.flatten().to_numpy(), x.flatten().to_numpy()
+            size = np.diff(np.append(0, ends))
+            for n in np.unique(size[size > 1]):
+                own = np.flatnonzero(size == n)
+                places = (ends[own] - n)[:, None] + np.arange(n)
+                dense = np.zeros((len(own), n))
+                np.add.at(dense, (np.arange(len(own))[:, None], at[places] % n), x[places])
+                m = np.abs(np.fft.fft(dense, axis=1))
+                if outlier_k is not None:
+                    m[np.abs(m - m.mean(axis=1, keepdims=True)) > outlier_k * m.std(axis=1, keepdims=True)] = 0.0
+                h = int(n) // 2
+                freq = np.arange(h) * (top / (h - 1)) if h > 1 else np.zeros(h)
+                if h > 1:
+                    freq[-1] = top
+                who = pa.array(np.repeat(own, h))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(who) for i in range(len(keys))], pa.array(np.tile(np.arange(h, dtype=np.int32), len(own))),
+                                                  pa.array(np.tile(freq, len(own))), pa.array(m[:, :h].ravel())],
+                                                 names=[*batch.schema.names[:len(keys)], "k", "freq", "magnitude"])
+    return lists.mapInArrow(run, _ddl(lists, lists.columns[:len(keys)]) + ", k int, freq double, magnitude double").toDF(*keys, "k", "freq", "magnitude")
 
 
 def fft_magnitude_long(long: DataFrame, keys: list[str], period: float, outlier_k: float | None = 20.0,
@@ -128,9 +167,15 @@ def fft_magnitude_long(long: DataFrame, keys: list[str], period: float, outlier_
     a phase factor and sums over ``j2`` the whole one: ``n * (n1 + n2)`` products
     spread over all tasks, summed before each shuffle, and no task holds a series.  Where the two factors lie
     far apart (a prime length) the series is a convolution with a chirp, of a
-    padded length with equal factors.
+    padded length with equal factors.  Series of at most ``SHORT`` points are transformed whole
+    (:func:`_fft_magnitude_short`): their products would be more rows than points.
     """
-    n = _factors(long.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("_n"))).withColumn("_even", F.col("_n1") >= EVEN_SHARE * F.sqrt("_n"))
+    counts = long.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("_n"))
+    longest = counts.agg(F.max("_n")).first()[0] or 0
+    if longest <= SHORT:
+        return _fft_magnitude_short(long, keys, period, outlier_k, value)
+    few = join_on(long, counts.filter(F.col("_n") <= SHORT).drop("_n"), keys)
+    n = _factors(counts.filter(F.col("_n") > SHORT)).withColumn("_even", F.col("_n1") >= EVEN_SHARE * F.sqrt("_n"))
     x = join_on(long.select(*keys, F.col("idx").cast("long").alias("_j"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
                             F.lit(0.0).alias("_y")), n, keys)
     even = _dft(x.filter("_even").drop("_even"), keys, "_n").select(*keys, "_n", "_j", "_x", "_y")
@@ -143,7 +188,7 @@ def fft_magnitude_long(long: DataFrame, keys: list[str], period: float, outlier_
     h = F.floor(F.col("_n") / 2).cast("int")
     top = F.lit(1.0 / (2.0 * period))
     freq = (F.when(h <= 1, F.lit(0.0)).when(F.col("k") == h - 1, top).otherwise(F.col("k") * (top / (h - 1))))
-    return d.filter(F.col("k") < h).select(*keys, "k", freq.alias("freq"), "magnitude")
+    return d.filter(F.col("k") < h).select(*keys, "k", freq.alias("freq"), "magnitude").unionByName(_fft_magnitude_short(few, keys, period, outlier_k, value))
 
 
 def zero_outliers(long: DataFrame, keys: list[str], k: float = 20.0, value: str = "value") -> DataFrame:
