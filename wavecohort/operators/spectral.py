@@ -241,29 +241,45 @@ def lowpass(long: DataFrame, keys: list[str], cue_col: str, cutoffs: dict, fs: f
     """Causal Butterworth low-pass per series with a per-cue cut-off, zero start.
 
     The recursion is linear, so a series is filtered in blocks of points: each block
-    alone from a zero state (a matrix product), then one row per block carries the
+    alone from a zero state (a matrix product of many blocks at once), then, for series of several blocks, one row per block carries the
     state of ``order`` numbers to the next block, and the carried state's response is
-    added.  A task holds one block, or one series' block rows.  ``idx`` is contiguous
+    added.  A task holds a batch of blocks, or one series' block rows.  ``idx`` is contiguous
     from 0; missing values count as 0; cues without a cut-off stay as they are; a null key is one like any other.
     """
     made = {c: _state_space(*butter_lowpass(order, f, fs), block) for c, f in cutoffs.items()}
     base = long.select(*keys, "idx", F.col(value).cast("double").alias(value))
     plain = base.filter(~F.col(cue_col).isin(list(cutoffs)) | F.col(cue_col).isNull())
-    rows = base.filter(F.col(cue_col).isin(list(cutoffs))).withColumn("_blk", F.expr(f"cast(idx div {block} as int)"))
+    rows = base.filter(F.col(cue_col).isin(list(cutoffs)))
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_ddl = ", ".join(f"`{k}` {fields[k]}" for k in keys)
+    cue, k = keys.index(cue_col), len(keys)
+    point = F.struct(F.col("idx").alias("i"), F.col(value).alias("v"))
+    lists = rows.groupBy(*keys, F.expr(f"cast(idx div {block} as int)").alias("_blk")).agg(F.collect_list(point).alias("_p")).select(*keys, "_blk", "_p.i", "_p.v")
 
-    def alone(key, pdf):
-        response, _observe, to_end, _next = made[pdf[cue_col].iloc[0]]
-        x = np.zeros(block)
-        at = pdf["idx"].to_numpy() % block
-        x[at] = np.nan_to_num(pdf[value].to_numpy(float))
-        out = pdf.assign(**{value: (response @ x)[at]})
-        out["_end"] = [None] * len(out)
-        out.at[out.index[0], "_end"] = (to_end @ x).tolist()      # once per block
-        return out
-    done = rows.groupBy(*keys, "_blk").applyInPandas(
-        alone, f"{key_ddl}, idx {fields['idx']}, `{value}` double, _blk int, _end array<double>")
+    def alone(batches):
+        import pyarrow as pa
+        for batch in batches:
+            at, x = batch.column(k + 1), batch.column(k + 2)
+            size, cues = at.value_lengths().to_numpy(), np.array(batch.column(cue).to_pylist(), dtype=object)
+            owner, place = np.repeat(np.arange(len(size)), size), at.flatten().to_numpy() % block
+            dense = np.zeros((len(size), block))
+            dense[owner, place] = np.nan_to_num(x.flatten().to_numpy(zero_copy_only=False).astype(float))
+            out, ends = np.zeros_like(dense), np.zeros((len(size), order))
+            for c in set(cues):
+                response, _observe, to_end, _next = made[c]
+                own = np.flatnonzero(cues == c)
+                part = np.zeros((-(-len(own) // 16) * 16, block))       # whole tiles: a row's result doesn't depend on the rows beside it
+                part[:len(own)] = dense[own]
+                out[own], ends[own] = (part @ response.T)[:len(own)], (part @ to_end.T)[:len(own)]
+            offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[owner, place]))
+            last = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * order), pa.array(ends.ravel()))
+            idx = pa.ListArray.from_arrays(pa.array(offsets), at.flatten())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k + 1], idx, values, last], names=[*batch.schema.names[:k + 1], "_i", "_v", "_end"])
+    done = lists.mapInArrow(alone, f"{key_ddl}, _blk int, _i array<{fields['idx']}>, _v array<double>, _end array<double>")
+    zipped = F.explode(F.arrays_zip(F.col("_i").alias("i"), F.col("_v").alias("v"))).alias("_p")
+    if (rows.agg(F.max("idx")).first()[0] or 0) < block:
+        return done.select(*keys, zipped).select(*keys, F.col("_p.i").alias("idx"), F.col("_p.v").alias(value)).unionByName(plain)
 
     def carry(key, pdf):
         pdf = pdf.sort_values("_blk")
@@ -273,13 +289,14 @@ def lowpass(long: DataFrame, keys: list[str], cue_col: str, cutoffs: dict, fs: f
             states.append(state.tolist())
             state = move @ state + np.asarray(end)
         return pdf.drop(columns="_end").assign(_state=states)
-    states = done.filter(F.col("_end").isNotNull()).select(*keys, "_blk", "_end").groupBy(*keys).applyInPandas(
-        carry, f"{key_ddl}, _blk int, _state array<double>")
+    ends = done.select(*keys, "_blk", "_end").withColumn("_most", F.max("_blk").over(Window.partitionBy(*keys))).filter("_most > 0").drop("_most")
+    states = ends.groupBy(*keys).applyInPandas(carry, f"{key_ddl}, _blk int, _state array<double>")
     # constant tables: ``block`` rows for each cue
     spark = long.sparkSession
     seen = spark.createDataFrame([(c, t, m[1][t].tolist()) for c, m in made.items() for t in range(block)],
                                  f"_cue {fields[cue_col]}, _t int, _observe array<double>")
-    joined = (join_on(done, states, [*keys, "_blk"])
+    joined = (join_on(done, states, [*keys, "_blk"], "left").select(*keys, "_state", zipped)
+              .select(*keys, "_state", F.col("_p.i").alias("idx"), F.col("_p.v").alias(value))
               .join(F.broadcast(seen), (F.col(cue_col) == F.col("_cue")) & (F.col("idx") % block == F.col("_t"))))
     added = F.aggregate(F.zip_with("_observe", "_state", lambda o, z: o * z), F.lit(0.0), lambda s, v: s + v)
-    return joined.select(*keys, "idx", (F.col(value) + added).alias(value)).unionByName(plain)
+    return joined.select(*keys, "idx", (F.col(value) + F.coalesce(added, F.lit(0.0))).alias(value)).unionByName(plain)
