@@ -142,3 +142,26 @@ def test_many_short_series_beside_a_long_one(spark):
                 want.append(b[0] * v + z[0])
                 z[:5] = z[1:] + b[1:] * v - a[1:] * want[-1]
             assert np.allclose([y[i] for i in range(len(x))], want, atol=1e-9)
+
+
+def test_grid_is_made_after_the_last_shuffle(spark):
+    rows = [(r, c, i * 7 % 997 if r == 1 else i, float(i * i % 13) if i % 5 else None) for r in (None, 1, 2) for c in ("a", None) for i in range(3, 300, 4)]
+    df = spark.createDataFrame(rows, "rec long, cue string, tick int, value double").withColumn(
+        "ts", F.timestamp_micros(F.lit(10 ** 15) + F.col("tick") * 1_000_000).cast("timestamp_ntz"))
+    out = W.resample_cues(df, "rec", "cue", 1000, block=50)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence(") < plan.index("Join") and "sequence" in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.rec, r.cue), {})[r.idx] = r.value
+    for key in got:
+        mine = [x for x in rows if x[:2] == key]
+        start, end = min(x[2] for x in rows if x[0] == key[0]), max(x[2] for x in rows if x[0] == key[0])
+        known = {x[2] - start: x[3] for x in mine if x[3] is not None}
+        at, (xs, ys) = np.arange(end - start + 1), zip(*sorted(known.items()))
+        want = [None if i < xs[0] else v for i, v in zip(at.tolist(), np.interp(at, xs, ys).tolist())]
+        assert sorted(got[key]) == at.tolist()
+        assert [got[key][i] for i in at.tolist()] == pytest.approx(want), key
+    # minima in blocks of any size: those of the whole series
+    low = {b: sorted((str(r.rec), str(r.cue), r.idx) for r in W.local_minima(out, ["rec", "cue"], 5, 150, block=b).collect()) for b in (1, 2, 16, 4096)}
+    assert low[1] == low[2] == low[16] == low[4096] and {x[0] for x in low[16]} == {"None", "1", "2"}

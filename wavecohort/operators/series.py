@@ -285,23 +285,26 @@ def resample_cues(df: DataFrame, rec: str, cue: str, period_ms: int, time: str =
 
 
 def local_minima(series: DataFrame, keys: list[str], lo_s: float, hi_s: float,
-                 time: str = "t", value: str = "value", on_grid: bool = True) -> DataFrame:
+                 time: str = "t", value: str = "value", on_grid: bool = True, block: int = 4096) -> DataFrame:
     """Points strictly below both neighbours, edges excluded, looked for
     only inside the open range ``(t0 + lo_s, t0 + hi_s)`` of each series (the
     range filter comes first, then the neighbours).
 
-    ``t0`` comes from an aggregate joined back.  On a resampled grid
-    (``on_grid``: contiguous ``idx``) the neighbours are found by equi joins on
-    ``idx ± 1``, so a long series is processed by many tasks; otherwise
+    ``t0`` comes from an aggregate joined back (a null key is one like any other).  On a resampled grid
+    (``on_grid``: contiguous ``idx``) the neighbours are looked for in blocks of points, whose
+    edge points the next block gets too, so a long series is processed by many tasks; otherwise
     ``lag``/``lead`` over the series order are used.
     """
     t0 = series.groupBy(*keys).agg(F.min(time).alias("_t0"))
-    d = series.join(t0, keys).withColumn("_off", (epoch_us(time) - epoch_us("_t0")) / 1e6)
+    d = join_on(series, t0, keys).withColumn("_off", (epoch_us(time) - epoch_us("_t0")) / 1e6)
     d = d.filter((F.col("_off") > lo_s) & (F.col("_off") < hi_s)).drop("_off", "_t0")
     if on_grid:
-        prev = d.select(*keys, (F.col("idx") + 1).alias("idx"), F.col(value).alias("_p"))
-        nxt = d.select(*keys, (F.col("idx") - 1).alias("idx"), F.col(value).alias("_n"))
-        j = d.join(prev, [*keys, "idx"]).join(nxt, [*keys, "idx"])
+        own, at = F.floor(F.col("idx") / block).cast("int"), F.pmod(F.col("idx"), F.lit(block))
+        near = F.when(at == 0, F.array(own, own - 1)).when(at == block - 1, F.array(own, own + 1)).otherwise(F.array(own)) if block > 1 else F.array(own - 1, own, own + 1)
+        d = d.withColumn("_blk", F.explode(near))
+        o = Window.partitionBy(*keys, "_blk").orderBy("idx")
+        beside = lambda f, step: F.when(f("idx").over(o) == F.col("idx") + step, f(value).over(o))
+        j = d.withColumn("_p", beside(F.lag, -1)).withColumn("_n", beside(F.lead, 1)).filter(F.col("_blk") == own).drop("_blk")
     else:
         o = Window.partitionBy(*keys).orderBy(time)
         j = d.withColumn("_p", F.lag(value).over(o)).withColumn("_n", F.lead(value).over(o))
