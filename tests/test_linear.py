@@ -140,3 +140,30 @@ def test_saved_boosted_model_scores_alike(spark, tmp_path):
     T.save_boost(spark, model, names, cuts, str(tmp_path / "model"))
     got = {r.id: r.proba for r in T.load_boost(spark, str(tmp_path / "model"))(df).collect()}
     assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+
+
+def test_adaboost_rounds_sum_in_the_tasks(spark, monkeypatch):
+    import math
+
+    import numpy as np
+
+    from wavecohort.operators import models as M
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (400, 2)).astype(float)
+    y = ((x[:, 0] > 2) ^ (rng.random(400) < 0.2) | (x[:, 1] > 4)).astype(float)
+    df = spark.createDataFrame([(float(a), None if b == 0 else float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, label double")
+
+    def no_row_per_feature(*_):
+        raise AssertionError("a row per feature and round")
+    monkeypatch.setattr(M.F, "posexplode", no_row_per_feature)
+    stumps = M.adaboost(df, ["a", "b"], rounds=12)
+    assert len(stumps) == 12
+    votes = np.zeros(400)
+    for f, cut, low, high in stumps:
+        w = np.exp(-(2 * y - 1) * votes)
+        split = lambda g, c: sum(2 * w[m & (y > 0)].sum() * w[m & (y <= 0)].sum() / w[m].sum() for m in (x[:, g] <= c, x[:, g] > c) if m.any())
+        assert split(f, cut) <= min(split(g, c) for g in (0, 1) for c in range(5)) * (1 + 1e-9)
+        vote = np.where(x[:, f] <= cut, low, high)
+        err = w[(vote > 0) != (y > 0)].sum() / w.sum()
+        assert abs(high) == abs(low) and math.isclose(abs(high), 0.5 * math.log((1 - err) / err), rel_tol=1e-9)
+        votes += vote
