@@ -1,6 +1,7 @@
 """Joins, ranks and means whose groups may be very large: same rows as the plain forms, spread over many tasks."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -153,3 +154,21 @@ def test_riemann_mean_is_invariant(spark):
     classes = {0: ms, 1: [w @ m @ w.T for m in ms], 2: [np.linalg.inv(m) for m in ms]}
     got = {r.cls: np.array(r.mean_cov).reshape(3, 3) for r in CV.mean_cov_riemann(frame(spark, classes), "cls", 3).collect()}
     assert np.allclose(got[1], w @ got[0] @ w.T, rtol=1e-6) and np.allclose(got[2], np.linalg.inv(got[0]), rtol=1e-6)
+
+
+def test_merged_partitions_stay_small_and_the_cohort_is_several_stages(spark):
+    from tests.conftest import SF_SMALL
+    from wavecohort.plans.q_cohort import cohort_df
+    from wavecohort.session import apply_runtime_conf
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    try:
+        for given, held in (("64m", "8m"), ("16k", "16k")):
+            spark.conf.set(size, given)
+            apply_runtime_conf(spark)
+            assert spark.conf.get(size) == held
+    finally:
+        spark.conf.set(size, before)
+    plan = cohort_df(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    # the aggregates per case have a shuffle of their own, apart from the measures' join on the stay
+    assert re.search(r"Exchange hashpartitioning\(id_nda#\d+L, dt_deb#\d+", plan)

@@ -125,7 +125,9 @@ def build_cohort(sensors: DataFrame, moves: DataFrame, units: DataFrame, stays:
     """
     icu = icu_moves(moves, units)
     s24 = first_window(sensors, icu, span)
-    stats = case_code_stats(s24, codes)
+    # on the whole case key: the aggregates per case are a stage of their own, and so are the demographics (a task holds
+    # memory for every join and aggregate of its stage)
+    stats = case_code_stats(s24, codes).repartition(*CASE)
     vstats = voi_case_stats(stats, voi_codes)
     per_case = case_summary(vstats, vois, min_pts, optional)
     req = [v for v in vois if v not in optional]
