@@ -167,3 +167,21 @@ def test_adaboost_rounds_sum_in_the_tasks(spark, monkeypatch):
         err = w[(vote > 0) != (y > 0)].sum() / w.sum()
         assert abs(high) == abs(low) and math.isclose(abs(high), 0.5 * math.log((1 - err) / err), rel_tol=1e-9)
         votes += vote
+
+
+def test_waves_made_in_the_tasks_equal_written_ones(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, rng.gauss(0, 1), rng.gauss(0, 1), i % 3, i % 5 == 0) for i in range(900)], "id long, a double, b double, fold int, held boolean")
+    df = df.withColumn("y", (F.col("a") * F.col("b") > 0).cast("double"))
+    x, models = L.standardised(df, ["a", "b"]), lambda: [L.Linear("squared_hinge", 1.0, f, "fit") for f in (0, 1)]
+    rows = df.select("y", "fold", "held", x.alias("x"))
+    waves = L.waves_of(2, 0.5, 60)
+    written = L.newton(df.select("y", "fold", "held", L.fourier(x, 2, 0.5, 60).alias("x")).persist(), models())
+    made = L.newton(rows, models(), waves=waves)
+    for a, b in zip(written, made):
+        assert len(b.weights) == 61 and np.allclose(a.weights, b.weights, rtol=1e-6, atol=1e-8)
+    seen = L.margins(rows, made, waves).withColumn("i", F.lit(1)).persist()
+    assert seen.count() == 900 and sum(r.margin[0] > 0 for r in seen.filter("y = 1 and fold = 0").collect()) > 100
+    wide = df.select("y", "fold", "held", L.fourier(x, 2, 0.5, 60).alias("x"))
+    for a, b in zip(L.calibrated(wide, written), L.calibrated(seen, made, [F.get("margin", F.lit(i)) for i in range(2)])):
+        assert np.allclose(a.weights, b.weights, rtol=1e-4)
