@@ -185,3 +185,18 @@ def test_waves_made_in_the_tasks_equal_written_ones(spark):
     wide = df.select("y", "fold", "held", L.fourier(x, 2, 0.5, 60).alias("x"))
     for a, b in zip(L.calibrated(wide, written), L.calibrated(seen, made, [F.get("margin", F.lit(i)) for i in range(2)])):
         assert np.allclose(a.weights, b.weights, rtol=1e-4)
+
+
+def test_a_folds_rows_go_down_the_trees_that_left_them_out(spark, monkeypatch):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.gauss(0, 1), rng.gauss(0, 1), i % 5) for i in range(200)], "id long, a double, b double, fold int")
+    df = df.withColumn("label", (F.col("a") + F.col("b") > 0).cast("double"))
+    seen, plain = [], T.bag_scores
+
+    def scored(rows, trees, *model):
+        seen.append(({r.fold for r in rows.select("fold").distinct().collect()}, rows.count(), trees.select("tree").distinct().count()))
+        return plain(rows, trees, *model)
+    monkeypatch.setattr(T, "bag_scores", scored)
+    got = M.cross_validate_all(df, ["a", "b"], "fold", 5, "id", forest_trees=3, boost={"n_estimators": 1}).collect()
+    assert seen == [({f}, 40, n) for n in (1, 3) for f in range(5)]
+    assert len(got) == 25 and all(r.accuracy is not None for r in got)
