@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty
+from wavecohort.llm.common import fresh, lean, map_batches, staged, text_or_empty
 
 ORDER, SYMBOL_BITS, SYMBOLS = 6, 21, 0x110000
 #: Orders up to this one are joined as tables; n-grams are dealt to shards by as many symbols before the last.
@@ -380,17 +380,17 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     blocks = rows.select("block").distinct().count()
     pairs = staged(map_batches(marked.select("block", train.alias("train"), "text_"), _block_counts(SHARDS + blocks // BLOCKS_A_SHARD),
                                "shard int, block long, n int, grams binary, counts binary"), "kn-pairs", compression="none")
-    seen = staged(pairs.groupBy("shard").applyInArrow(_shard_counts, "shard int, order int, gram long, c long"), "kn-shards")
+    seen = staged(pairs.groupBy("shard").applyInArrow(lean(_shard_counts), "shard int, order int, gram long, c long"), "kn-shards")
     tops = {(r.order, r.gram): r.c for r in seen.filter(F.col("order") > SMALL_ORDER).groupBy("order", "gram").agg(F.sum("c").alias("c")).collect()}
     discounts = {k: _discounts({i: tops.get((k, i), 0) for i in range(1, 5)}) for k in range(SMALL_ORDER + 1, ORDER + 1)}
     seen = seen.filter(F.col("order") == SMALL_ORDER)
     small = log_probabilities(staged(seen.groupBy("gram").agg(F.sum("c").alias("c")), "kn-counts"))
     needed = seen.select("shard", "gram").join(small, "gram").groupBy("shard")
-    logp = pairs.groupBy("shard").cogroup(needed).applyInArrow(_shard_probabilities(discounts), "block long, n int, grams binary, logp binary")
+    logp = pairs.groupBy("shard").cogroup(needed).applyInArrow(lean(_shard_probabilities(discounts)), "block long, n int, grams binary, logp binary")
     chunks = map_batches(rows.select("block", "doc_id", F.xxhash64("text_").alias("row_hash"), "lang", "text_"), _chunks,
                          "block long, doc_id array<long>, row_hash array<long>, lang array<string>, sizes array<long>, z binary")
     out = chunks.groupBy("block").cogroup(logp.groupBy("block")).applyInArrow(
-        _scores, "doc_id long, row_hash long, lang string, n_symbols long, logp double")
+        lean(_scores), "doc_id long, row_hash long, lang string, n_symbols long, logp double")
     out = staged(out, "kn-scores")
     return out.join(good, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "row_hash", "lang", F.col("id").isNotNull().alias("trusted"), F.coalesce("held", F.lit(False)).alias("held_out"), "n_symbols", "logp")

@@ -22,7 +22,7 @@ from array import array
 _LONG_WORD = 64
 #: Words of one generation of the table (about 170 bytes each), by default and where a
 #: job does little else than encode.
-MAX_WORDS, MANY_WORDS = 250_000, 700_000
+MAX_WORDS, MANY_WORDS = 100_000, 700_000
 #: Latin letters below U+0180 (without U+0130): one code point each in composed
 #: form, and so are their lower-case forms.
 _LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -132,7 +132,7 @@ class Encoder:
         return [flat[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def slices(column, rows: int = 2000, size: int = 8 << 20):
+def slices(column, rows: int = 1000, size: int = 4 << 20):
     """(first row, rows) of parts of a string column with at most ``rows`` rows and, but
     for single long texts, ``size`` bytes."""
     import numpy as np
