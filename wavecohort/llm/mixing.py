@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecohort.llm.common import fresh, map_batches, staged, text_or_empty, vocabulary_path
+from wavecohort.llm.tokens import MAX_WORDS
 
 LEVELS = ("domain", "lang", "source")
 BITS, SALTS = 12, 16
@@ -65,8 +66,9 @@ def _order(seed: int, epoch: Column, row_hash: Column) -> Column:
 
 
 def counted(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None,
-            lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``doc_id, domain, lang, source, row_hash, tokens``: the only reading of texts."""
+            lang_col: str = "lang", source_col: str = "source", max_words: int = MAX_WORDS) -> DataFrame:
+    """``doc_id, domain, lang, source, row_hash, tokens``: the only reading of texts.
+    ``max_words`` bounds a worker's word table (speed against memory)."""
     path, text = vocabulary or vocabulary_path(), text_or_empty(text_col)
     rows = df.select(F.col(id_col).alias("doc_id"), *_branches(df, domain, lang_col, source_col), _row_hash(id_col, text).alias("row_hash"),
                      text.alias("text"))
@@ -75,7 +77,7 @@ def counted(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id"
         import pyarrow as pa
 
         from wavecohort.llm.tokens import encoder, slices
-        enc = encoder(path)
+        enc = encoder(path, max_words)
         for batch in batches:
             n = []
             for a, k in slices(batch.column(5)):
@@ -154,9 +156,9 @@ def taken(df_counted: DataFrame, mix: Mix) -> DataFrame:
             .select("doc_id", *LEVELS, "tokens", F.col("budget").alias("leaf_budget"), "epochs", "part_tokens", "taken_tokens", "order"))
 
 
-def mixed(df: DataFrame, mix: Mix = Mix(), **columns) -> DataFrame:
+def mixed(df: DataFrame, mix: Mix = Mix(), **options) -> DataFrame:
     """One row per row of ``df``: its leaf, tokens and how much of it the mix takes."""
-    return taken(staged(counted(df, **columns), "mix-counted"), mix)
+    return taken(staged(counted(df, **options), "mix-counted"), mix)
 
 
 def selected(df: DataFrame, mix: Mix, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None,
