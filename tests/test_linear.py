@@ -200,3 +200,30 @@ def test_a_folds_rows_go_down_the_trees_that_left_them_out(spark, monkeypatch):
     got = M.cross_validate_all(df, ["a", "b"], "fold", 5, "id", forest_trees=3, boost={"n_estimators": 1}).collect()
     assert seen == [({f}, 40, n) for n in (1, 3) for f in range(5)]
     assert len(got) == 25 and all(r.accuracy is not None for r in got)
+
+
+def test_adaboost_rows_are_packed_and_scored_per_interval(spark, monkeypatch):
+    import numpy as np
+
+    from wavecohort.operators import models as M
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 2))
+    y = ((x[:, 0] > 0.2) ^ (rng.random(500) < 0.2)).astype(float)
+    data = [(i, None if i % 50 == 0 else float("nan") if i % 61 == 0 else float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(data, "id int, a double, b double, label double").repartition(3)
+    monkeypatch.setattr(M, "STUMP_ROWS", 64)
+    plans = []
+    from wavecohort.sources import tables
+    kept = tables.checkpoint_to_shared
+    monkeypatch.setattr(tables, "checkpoint_to_shared", lambda d, name: plans.append(kept(d, name)) or plans[-1])
+    stumps = M.adaboost(df, ["a", "b"], rounds=30)
+    packs = plans[-1].collect()                              # the votes of the last write
+    assert len(plans) == 1 + len(stumps) // M.CHECKPOINT_ROUNDS > 2 and len(packs) < 20 and sum(len(p.y) for p in packs) == 500
+    votes = [sum(lo if (0.0 if v is None else v) <= t else hi for f, t, lo, hi in stumps for v in [(a, b)[f]]) for _, a, b, _ in data]
+    total = sum(abs(hi) for *_, hi in stumps)
+    got = {r.id: r.proba for r in M.adaboost_score(stumps, df, ["a", "b"]).collect()}
+    assert np.allclose([got[i] for i in range(500)], (np.array(votes) / total + 1) / 2)
+    # the rows' votes in training are those that score them, NaN too
+    upto = stumps[:len(stumps) // M.CHECKPOINT_ROUNDS * M.CHECKPOINT_ROUNDS]
+    want = sorted(sum(lo if (0.0 if v is None else v) <= t else hi for f, t, lo, hi in upto for v in [(a, b)[f]]) for _, a, b, _ in data)
+    assert np.allclose(np.sort(np.concatenate([np.frombuffer(bytes(p.s)) for p in packs])), want)
